@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
+from .language import identify, learn
 from .packing import pack
+from .pii import detect
 from .runtime import read
 
 
@@ -12,8 +12,17 @@ def op1_pack(spark, sf_dir):
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark, sf_dir):
+    return detect(read(spark, sf_dir, "documents"))
+
+
+def op5_language(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return identify(docs, learn(docs))
+
+
 def queries():
-    return {"op1_pack": op1_pack}
+    return {"op1_pack": op1_pack, "op2_pii": op2_pii, "op5_language": op5_language}
 
 
 def oracle_sql():
