@@ -2,28 +2,43 @@
 
 from __future__ import annotations
 
-from .language import identify, learn
-from .packing import pack
-from .pii import detect
+from . import decontaminate, language, licenses, near_dup, packing, pii, quality
 from .runtime import read
 
 
 def op1_pack(spark, sf_dir):
-    return pack(read(spark, sf_dir, "documents"))
+    return packing.pack(read(spark, sf_dir, "documents"))
 
 
 def op2_pii(spark, sf_dir):
-    return detect(read(spark, sf_dir, "documents"))
+    return pii.detect(read(spark, sf_dir, "documents"))
+
+
+def op4_decontaminate(spark, sf_dir):
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op5_language(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    return identify(docs, learn(docs))
+    return language.identify(docs, language.learn(docs))
+
+
+def op6_licenses(spark, sf_dir):
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, read(spark, sf_dir, "labels")))
+
+
+def op10_near_duplicates(spark, sf_dir):
+    return near_dup.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
 
 def queries():
-    return {"op1_pack": op1_pack, "op2_pii": op2_pii, "op5_language": op5_language}
+    return {f.__name__: f for f in (op1_pack, op2_pii, op4_decontaminate, op5_language, op6_licenses, op9_quality, op10_near_duplicates)}
 
 
 def oracle_sql():
-    return {}
+    return {"op6_licenses": licenses.sql()}

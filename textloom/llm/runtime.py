@@ -44,15 +44,33 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table that ``keep`` returned and nothing reads any more."""
+    if df.kept_at in _KEPT:
+        _KEPT.remove(df.kept_at)
+        _delete(df.sparkSession, df.kept_at)
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Exempt a table that ``keep`` returned from ``sweep``."""
+    _KEPT.remove(df.kept_at)
+    return df
 
 
 def sweep(spark: SparkSession) -> None:
     """Delete every table that ``keep`` has written in this process so far."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _KEPT:
-        path = jvm.org.apache.hadoop.fs.Path(_KEPT.pop().rsplit("/", 1)[0])
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _KEPT.pop())
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
