@@ -108,6 +108,10 @@ def _sign(batches):
         yield done()
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v, similarity) of the pairs, by their exact weighted Jaccard similarity.
 
@@ -135,13 +139,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     shingles are linked; classes are the connected components.  Equal texts (case and
     white space aside) are collapsed first.  Of the texts that share a band
 
-    1. each is compared with the least partner that any of its bands has,
-    2. then with every band's least text that is still in another component,
+    1. each is compared with the most popular text of its bands (the popularity of a
+       text is the number of texts in all of its bands: an original has more than its
+       edited copies),
+    2. then with every band's most popular text that is still in another component,
     3. then, where a band still holds several components, with each text there that
-       is in another component,
+       is in another component, if what both share with any text there leaves room for
+       the similarity (a text with more cells of its own than that has no partner),
 
-    so every pair in a common band is either compared or already in one component.
-    Steps 1 and 2 are linear in the texts; step 3 sees only what differs.
+    so every pair in a common band is compared, already in one component, or provably
+    below the similarity.  Steps 1 and 2 are linear in the texts.
 
     class_id is the least doc_id of the class, null if it has none; ``kept`` marks its
     rows with that doc_id.  A text without words (null, empty, blank) is a class of
@@ -151,26 +158,35 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     signed = keep(id_and_text(docs).mapInArrow(_sign, SCHEMA), "signatures")
     texts = signed.where("key is not null").select("key", "bands").dropDuplicates(["key"])
     entries = texts.select("key", F.explode("bands").alias("band"))
-    shared = entries.groupBy("band").agg(F.min("key").alias("rep"), F.count("*").alias("n")).where("n > 1").select("band", "rep")
-    members = keep(entries.join(shared, "band"), "members")
-    stars = members.where("key <> rep").select(F.col("key").alias("u"), F.col("rep").alias("v"))
+    shared = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    entries = keep(entries.join(shared, "band"), "entries")
+    popular = entries.groupBy("key").agg(F.sum("n").alias("pop"))
+    members = keep(entries.join(popular, "key").select("key", "band", "pop"), "members")
+    reps = members.groupBy("band").agg(F.max(F.struct("pop", "key")).alias("rep"))
+    stars = keep(members.join(reps, "band").where("key <> rep.key").select(F.col("key").alias("u"), "rep").distinct(), "stars")
 
-    needed = members.select("key").distinct()
-    sets = keep(signed.where("key is not null").select("key", "cells").join(needed, "key", "left_semi").dropDuplicates(["key"]), "sets")
+    sets = keep(signed.where("key is not null").select("key", "cells").join(popular.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
 
-    first = keep(_verified(stars.groupBy("u").agg(F.min("v").alias("v")), sets), "first")
+    first = keep(_verified(_ordered(stars.groupBy("u").agg(F.max("rep").alias("rep")).select("u", F.col("rep.key").alias("v"))), sets), "first")
     roots = _roots(first, similarity)
-    apart = _root(_root(stars.distinct(), roots, "u", "ru"), roots, "v", "rv").where("ru <> rv").select("u", "v")
+    apart = _root(_root(_ordered(stars.select("u", F.col("rep.key").alias("v"))), roots, "u", "ru"), roots, "v", "rv").where("ru <> rv").select("u", "v")
     second = keep(_verified(apart.join(first, ["u", "v"], "left_anti"), sets), "second")
     found = first.unionByName(second)
     roots = _roots(found, similarity)
 
-    rooted = _root(members, roots, "key", "r")
+    rooted = _root(members.select("band", "key"), roots, "key", "r")
     several = rooted.groupBy("band").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select("band")
     left = keep(rooted.join(several, "band", "left_semi"), "left")
-    x = left.select("band", F.col("key").alias("u"), F.col("r").alias("ru"))
-    y = left.select("band", F.col("key").alias("v"), F.col("r").alias("rv"))
-    rest = x.join(y, "band").where("u > v and ru <> rv").select("u", "v").distinct()
+    held = sets.join(left.select("key").distinct(), "key", "left_semi")
+    # cells of no other text there: a pair has no more in common than the least of what each shares at all
+    single = held.select("key", F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1").groupBy("key").agg(F.count("*").alias("single"))
+    room = held.select("key", F.size("cells").alias("n")).join(single, "key", "left").select("key", "n", (F.col("n") - F.coalesce("single", F.lit(0))).alias("s"))
+    room = keep(room.where(F.col("s") >= similarity * F.col("n")), "room")
+    left = left.join(room, "key")
+    x = left.select("band", F.col("key").alias("u"), F.col("r").alias("ru"), F.col("n").alias("nu"), F.col("s").alias("su"))
+    y = left.select("band", F.col("key").alias("v"), F.col("r").alias("rv"), F.col("n").alias("nv"), F.col("s").alias("sv"))
+    can = F.least("su", "sv") * (1 + similarity) >= similarity * (F.col("nu") + F.col("nv"))
+    rest = x.join(y, (x["band"] == y["band"]) & F.expr("u > v and ru <> rv") & can).select("u", "v").distinct()
     third = keep(_verified(rest.join(found.select("u", "v"), ["u", "v"], "left_anti"), sets), "third")
     roots = _roots(found.unionByName(third), similarity)
 
@@ -186,7 +202,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         ).withColumn("kept", F.col("key").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id"))),
         "rows",
     )
-    for table in (signed, members, sets, left):
+    for table in (signed, entries, members, stars, sets, room):
         forget(table)
     return out
 
