@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, near_dup, packing, pii, quality
+from . import decontaminate, language, licenses, near_dup, neighbours, packing, pii, quality, training_order
 from .runtime import read
 
 
@@ -14,6 +14,10 @@ def op2_pii(spark, sf_dir):
     return pii.detect(read(spark, sf_dir, "documents"))
 
 
+def op3_neighbours(spark, sf_dir):
+    return neighbours.neighbours(read(spark, sf_dir, "embeddings"))
+
+
 def op4_decontaminate(spark, sf_dir):
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -27,6 +31,10 @@ def op6_licenses(spark, sf_dir):
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op8_training_order(spark, sf_dir):
+    return training_order.materialise(read(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return quality.score(docs, quality.learn(docs, read(spark, sf_dir, "labels")))
@@ -37,7 +45,7 @@ def op10_near_duplicates(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_pack, op2_pii, op4_decontaminate, op5_language, op6_licenses, op9_quality, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_pack, op2_pii, op3_neighbours, op4_decontaminate, op5_language, op6_licenses, op8_training_order, op9_quality, op10_near_duplicates)}
 
 
 def oracle_sql():
