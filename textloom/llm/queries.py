@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, near_dup, neighbours, packing, pii, quality, training_order
+from . import decontaminate, language, licenses, near_dup, neighbours, packing, pii, quality, repeats, training_order
 from .runtime import read
 
 
@@ -31,6 +31,10 @@ def op6_licenses(spark, sf_dir):
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op7_repeats(spark, sf_dir):
+    return repeats.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op8_training_order(spark, sf_dir):
     return training_order.materialise(read(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_near_duplicates(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_pack, op2_pii, op3_neighbours, op4_decontaminate, op5_language, op6_licenses, op8_training_order, op9_quality, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_pack, op2_pii, op3_neighbours, op4_decontaminate, op5_language, op6_licenses, op7_repeats, op8_training_order, op9_quality, op10_near_duplicates)}
 
 
 def oracle_sql():
