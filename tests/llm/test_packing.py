@@ -19,6 +19,13 @@ def test_words_equal_the_library():
         assert np.frombuffer(words.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_the_samples_equal_the_library(spark):
+    words, t = Words(default_path()), Tokenizer.from_file(default_path())
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    for text in [*texts, "straße ǆ ﬁn e\u0301t é ΑΣ σς İi ⅷ ªº ŉ 漢字 ١٢ हिन्दी"]:
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_differencing_balances():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 200, 400).tolist()

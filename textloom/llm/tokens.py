@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 
 import numpy as np
 
@@ -27,6 +28,14 @@ def default_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def _byte_names() -> list[str]:
+    """The character by which byte-level vocabularies show each byte: itself if it is
+    printable, else the next free one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    free = iter(range(256, 512))
+    return [chr(b if b in plain else next(free)) for b in range(256)]
+
+
 class Words(dict):
     """Word -> identifiers, as little-endian unsigned 32-bit integers."""
 
@@ -35,6 +44,8 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.shown = _byte_names()
 
     def exact(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -47,6 +58,9 @@ class Words(dict):
             ids = self[word[:-1]] + self[word[-1]]
         elif word.isascii() and word.isalpha() and not word.islower():
             ids = self[word.lower()]
+        elif word.isalpha() and word.islower() and word == word.lower() and unicodedata.is_normalized("NFC", word):
+            # letters alone are one piece for the model, which sees names of their bytes
+            ids = np.array([t.id for t in self.model.tokenize("".join(map(self.shown.__getitem__, word.encode())))], "<u4").tobytes()
         else:
             ids = self.exact(word)
         self[word] = ids
