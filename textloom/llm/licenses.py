@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -54,22 +53,16 @@ def size_bounds(size: int, similarity: float = SIMILARITY) -> tuple[int, int]:
     return math.ceil(size * similarity / (2 - similarity) - 1e-9), math.floor(size * (2 - similarity) / similarity + 1e-9)
 
 
-def needed_words(templates, similarity: float = SIMILARITY) -> list[str]:
-    """Words of which every line that matches a template holds one at least.
+def needed_pairs(templates, similarity: float = SIMILARITY) -> list[str]:
+    """Bigrams of which every line that matches a template holds one at least.
 
     A match shares c of the template's b bigrams with c >= b s / (2 - s), so it has one
-    of any b - c + 1 of them.  Words are taken, those of most uncovered bigrams first,
-    until those that hold a taken word are as many for every template.
+    of any b - c + 1 of them: those of the most letters are taken, as they are rare.
     """
-    left = [(set(b), len(b) - size_bounds(len(b), similarity)[0] + 1) for b in templates]
-    taken: list[str] = []
-    while left := [(b, n) for b, n in left if n > 0]:
-        gain = Counter(w for b, _ in left for p in b for w in set(p.split()) if len(w) > 3 or all(len(x) <= 3 for q in b for x in q.split()))
-        word = min(gain, key=lambda w: (-gain[w] * len(w), w))
-        taken.append(word)
-        held = [{p for p in b if word in p.split()} for b, _ in left]
-        left = [(b - h, n - len(h)) for (b, n), h in zip(left, held)]
-    return taken
+    taken = set()
+    for b in templates:
+        taken.update(sorted(b, key=lambda p: (-len(p), p))[: len(b) - size_bounds(len(b), similarity)[0] + 1])
+    return sorted(taken)
 
 
 def _words(line: Column) -> Column:
@@ -81,8 +74,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, similarity: f
 
     A line of a text is a notice of a licence if the Dice coefficient of their sets of word bigrams is at
     least ``similarity``.  A line matches only if the number of its bigrams is within
-    the size bounds of some template; texts and lines without any of the words that a
-    match needs are passed over first.
+    the size bounds of some template; texts and lines without the words of any
+    bigram that a match needs are passed over first.
 
     Null and empty texts have no licence; lines of any length are read; repeated rows
     and null identifiers give a row each; further columns are ignored.
@@ -95,15 +88,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, similarity: f
     if parsed:
         bounds = {k: size_bounds(len(b), similarity) for k, b in parsed.items()}
         least, most = min(lo for lo, _ in bounds.values()), max(hi for _, hi in bounds.values())
-        needed = needed_words(parsed.values(), similarity)
+        pairs = [p.split() for p in needed_pairs(parsed.values(), similarity)]
 
-        def likely(x: Column) -> Column:
-            return reduce(Column.__or__, [F.contains(F.lower(x), F.lit(w)) for w in needed])
+        def likely(x: Column) -> Column:  # the words of some needed bigram; lower case is taken once
+            held = lambda t: reduce(Column.__or__, [F.contains(t, F.lit(a)) & F.contains(t, F.lit(b)) for a, b in pairs])
+            return F.exists(F.array(F.lower(x)), held)
 
         def of_line(line: Column) -> Column:
-            words = _words(line)
-            grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat(F.element_at(words, i), F.lit(" "), F.element_at(words, i + 1))))
-            grams = F.when(F.size(words) > 1, grams).otherwise(F.array().cast("array<string>"))
+            # every value that is used twice is bound by a lambda, so it is computed once
+            grams = lambda w: F.filter(F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isNotNull())
 
             def against(g: Column) -> Column:
                 tests = []
@@ -113,7 +106,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, similarity: f
                     tests.append(F.when(F.size(g).between(lo, hi), F.struct(F.lit(k).alias("id"), dice.alias("dice"))))
                 return F.filter(F.array(*tests), lambda t: t["dice"] >= similarity)
 
-            return F.flatten(F.transform(F.filter(F.array(grams), lambda g: F.size(g).between(least, most)), against))
+            return F.flatten(F.transform(F.filter(F.transform(F.filter(F.array(_words(line)), lambda w: F.size(w) > 1), lambda w: F.array_distinct(grams(w))), lambda g: F.size(g).between(least, most)), against))
 
         lines = F.filter(F.split("text", "\n"), likely)
         found = F.when(likely(F.col("text")), F.flatten(F.transform(lines, of_line))).otherwise(empty)
