@@ -31,7 +31,7 @@ def hits(source: str, p: str, extra: str = "") -> str:
 
 
 def stripped(x: str) -> str:
-    return rf"regexp_replace(regexp_replace({x}, '\A\s+', ''), '\s+\z', '')"
+    return rf"regexp_replace(regexp_replace({x}, '\A[\s\x{{00A0}}]+', ''), '[\s\x{{00A0}}]+\z', '')"
 
 
 def _row(reg: int, rule: Rule, inner: str, suggestion: str | None = None, kind: str | None = None, conf: str | None = None, desc: str | None = None, original: str = "original") -> str:

@@ -197,11 +197,11 @@ def oracle_sql() -> dict[str, str]:
     top = o.ctes("prose", ALL_PROSE, "resolved")
     ids = o.names(r.id for _, r in ALL_CODE.rules())
     starts = f"""{top},
-    parts AS (SELECT doc_id, path, i, raw, ends, unnest(range(1, len(raw) + 1)) AS i2 FROM (SELECT doc_id, path, 0 AS i, regexp_split_to_array(content, '[.!?]\\s') AS raw, regexp_extract_all(content, '[.!?]\\s') AS ends FROM v)),
+    parts AS (SELECT doc_id, path, i, raw, ends, unnest(range(1, len(raw) + 1)) AS i2 FROM (SELECT doc_id, path, 0 AS i, regexp_split_to_array(content, '[.!?][\\s\\x{{00A0}}]') AS raw, regexp_extract_all(content, '[.!?][\\s\\x{{00A0}}]') AS ends FROM v)),
     cut AS (SELECT doc_id, path, i2 AS i, CASE WHEN i2 > 1 THEN substring(ends[i2 - 1], 2) ELSE '' END || raw[i2] || CASE WHEN i2 <= len(ends) THEN left(ends[i2], 1) ELSE '' END AS p FROM parts),
     sent AS (SELECT doc_id, path, i, {o.stripped('p')} AS t, coalesce(sum(strlen(p)) OVER w, 0)::BIGINT AS b, 1 + coalesce(sum(length(p) - length(replace(p, chr(10), ''))) OVER w, 0)::BIGINT AS line FROM cut WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     starts_at AS (SELECT doc_id, s, {o.stripped('original')} AS word, strlen(substring(content, 1, s)) AS b FROM resolved),
-    scores AS (SELECT sent.doc_id, path, i, t, line, count(*) AS hits, count(*) / greatest(len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')), 1)::DOUBLE AS d,
+    scores AS (SELECT sent.doc_id, path, i, t, line, count(*) AS hits, count(*) / greatest(len(list_filter(regexp_split_to_array(t, '[\\s\\x{{00A0}}]+'), lambda x: x <> '')), 1)::DOUBLE AS d,
       string_agg(word, '|' ORDER BY s) FILTER (WHERE word <> '' AND strlen(word) < 60) AS words FROM sent JOIN starts_at a ON a.doc_id = sent.doc_id AND a.b >= sent.b AND a.b < sent.b + strlen(t) + 4 WHERE t <> '' GROUP BY sent.doc_id, path, i, t, line)"""
     out |= {
         "custom_phrases": o.match_sql("prose", ALL_PROSE.only("custom-phrases"), "m"),
