@@ -32,3 +32,10 @@ def test_edges(spark):
     assert learn(empty) == {} and identify(empty, {}).count() == 0
     assert {r.doc_id for r in known_language(docs).collect()} == {1, 8}
     assert decide(Ranks({}), "word")[0] == "und"
+
+
+def test_bounded_fit_rows(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "'the and of' as text", "'en' as lang").union(spark.range(30).selectExpr("id as doc_id", "'der und die' as text", "'de' as lang"))
+    got = learn(docs, 500)
+    assert set(got) == {"de", "en"}
+    assert got == learn(docs, 5000)  # one text: the same profile, from fewer rows
