@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 
 from textloom.llm.components import components
-from textloom.llm.near_dup import classes, darts, one_of_each
+from textloom.llm.near_dup import classes, darts, one_of_each, parity_map
 from textloom.llm.shingles import cells, mix
 
 COLS = "doc_id long, text string, key string, class_id int"
@@ -88,3 +88,14 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([((i * 37) % n, ((i + 1) * 37) % n) for i in range(n - 1)] + [(500, 501)], "u long, v long")
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(n)}, 500: 500, 501: 500}
+
+
+def test_parity_maps_never_differ_more_than_cells():
+    rng = np.random.default_rng(4)
+    for n in (1, 40, 3000):
+        base = rng.integers(-(2**31), 2**31, n).astype(np.int32)
+        for share in (0.0, 0.1, 0.6):
+            other = np.where(rng.random(n) < share, rng.integers(-(2**31), 2**31, n), base).astype(np.int32)
+            a, b = np.unique(base), np.unique(other)
+            far = int(np.bitwise_count((parity_map(a) ^ parity_map(b)).view(np.uint64)).sum())
+            assert far <= len(np.setxor1d(a, b)) and (share > 0 or far == 0)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -18,6 +20,8 @@ BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _NAME = np.uint64(0xA0761D6478BD642F)
+#: Bits of the parity maps that bound how many cells two texts share.
+MAP_BITS = 2048
 #: Words whose darts are thrown at once.
 BLOCK_WORDS = 250_000
 
@@ -68,8 +72,17 @@ def bands(signatures: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-SCHEMA = "doc_id long, key binary, bands array<long>, cells array<int>"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("cells", pa.list_(pa.int32()))])
+def parity_map(short: np.ndarray) -> np.ndarray:
+    """MAP_BITS bits as longs: each tells whether an odd number of cells falls on it.
+
+    A cell that one of two texts has alone changes one bit, so their maps differ in no
+    more bits than they have cells alone.
+    """
+    return np.packbits(np.bincount(short & (MAP_BITS - 1), minlength=MAP_BITS) & 1).view(np.int64)
+
+
+SCHEMA = "doc_id long, key binary, bands array<long>, cells array<int>, parity array<long>"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("cells", pa.list_(pa.int32())), ("parity", pa.list_(pa.int64()))])
 
 
 def text_key(words: list[str]) -> bytes | None:
@@ -90,7 +103,7 @@ def _sign(batches):
         b = bands(darts(flat, np.repeat(np.arange(len(regions)), sizes), len(regions)))
         short = [np.unique(r.astype(np.uint32).view(np.int32)) for r in regions]
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), _lists(np.where(np.array(sizes)[:, None] > 0, b, 0).reshape(-1), [BANDS] * len(regions), pa.int64()), _lists(np.concatenate(short), [len(s) for s in short], pa.int32())],
+            [pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), _lists(np.where(np.array(sizes)[:, None] > 0, b, 0).reshape(-1), [BANDS] * len(regions), pa.int64()), _lists(np.concatenate(short), [len(s) for s in short], pa.int32()), _lists(np.concatenate([parity_map(s) for s in short]), [MAP_BITS // 64] * len(short), pa.int64())],
             schema=_ARROW,
         )
 
@@ -145,7 +158,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     2. then with every band's most popular text that is still in another component,
     3. then, where a band still holds several components, with each text there that
        is in another component, if what both share with any text there leaves room for
-       the similarity (a text with more cells of its own than that has no partner),
+       the similarity (a text with more cells of its own than that has no partner) and
+       their parity maps do not differ in more bits than the similarity allows,
 
     so every pair in a common band is compared, already in one component, or provably
     below the similarity.  Steps 1 and 2 are linear in the texts.
@@ -165,7 +179,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     reps = members.groupBy("band").agg(F.max(F.struct("pop", "key")).alias("rep"))
     stars = keep(members.join(reps, "band").where("key <> rep.key").select(F.col("key").alias("u"), "rep").distinct(), "stars")
 
-    sets = keep(signed.where("key is not null").select("key", "cells").join(popular.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
+    sets = keep(signed.where("key is not null").select("key", "cells", "parity").join(popular.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
 
     first = keep(_verified(_ordered(stars.groupBy("u").agg(F.max("rep").alias("rep")).select("u", F.col("rep.key").alias("v"))), sets), "first")
     roots = _roots(first, similarity)
@@ -180,12 +194,15 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     held = sets.join(left.select("key").distinct(), "key", "left_semi")
     # cells of no other text there: a pair has no more in common than the least of what each shares at all
     single = held.select("key", F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1").groupBy("key").agg(F.count("*").alias("single"))
-    room = held.select("key", F.size("cells").alias("n")).join(single, "key", "left").select("key", "n", (F.col("n") - F.coalesce("single", F.lit(0))).alias("s"))
+    room = held.select("key", "parity", F.size("cells").alias("n")).join(single, "key", "left").select("key", "parity", "n", (F.col("n") - F.coalesce("single", F.lit(0))).alias("s"))
     room = keep(room.where(F.col("s") >= similarity * F.col("n")), "room")
     left = left.join(room, "key")
-    x = left.select("band", F.col("key").alias("u"), F.col("r").alias("ru"), F.col("n").alias("nu"), F.col("s").alias("su"))
-    y = left.select("band", F.col("key").alias("v"), F.col("r").alias("rv"), F.col("n").alias("nv"), F.col("s").alias("sv"))
+    x = left.select("band", F.col("key").alias("u"), F.col("r").alias("ru"), F.col("n").alias("nu"), F.col("s").alias("su"), F.col("parity").alias("pu"))
+    y = left.select("band", F.col("key").alias("v"), F.col("r").alias("rv"), F.col("n").alias("nv"), F.col("s").alias("sv"), F.col("parity").alias("pv"))
     can = F.least("su", "sv") * (1 + similarity) >= similarity * (F.col("nu") + F.col("nv"))
+    # c of n + m cells in common leave n + m - 2 c alone: at the similarity, at most this share of n + m
+    differ = reduce(Column.__add__, [F.bit_count(F.col("pu")[i].bitwiseXOR(F.col("pv")[i])) for i in range(MAP_BITS // 64)])
+    can = can & (differ * (1 + similarity) <= (F.col("nu") + F.col("nv")) * (1 - similarity) + 1e-6)
     rest = x.join(y, (x["band"] == y["band"]) & F.expr("u > v and ru <> rv") & can).select("u", "v").distinct()
     third = keep(_verified(rest.join(found.select("u", "v"), ["u", "v"], "left_anti"), sets), "third")
     roots = _roots(found.unionByName(third), similarity)
