@@ -1,5 +1,8 @@
 from collections import Counter
 
+import numpy as np
+
+from textloom.llm import language
 from textloom.llm.language import PROFILE, Ranks, decide, grams, identify, known_language, learn
 from textloom.llm.runtime import read
 
@@ -39,3 +42,14 @@ def test_bounded_fit_rows(spark):
     got = learn(docs, 500)
     assert set(got) == {"de", "en"}
     assert got == learn(docs, 5000)  # one text: the same profile, from fewer rows
+
+
+def test_counts_equal_those_of_words(monkeypatch):
+    text = "Älter a I'd don't naïve, x9y _ straße 日本 " * 9
+    words = language._WORD.findall(text.lower())
+    want = Counter(int(language.gram_hashes(np.array([ord(c) for c in g], np.uint32), len(g))[0]) for w in words for g in grams(w))
+    letters = np.array([ord(c) for c in f" {' '.join(words)} "], np.uint32)
+    for block in (500_000, 7):
+        monkeypatch.setattr(language, "BLOCK_LETTERS", block)
+        v, n = language.counted(letters)
+        assert dict(zip(v.tolist(), n.tolist())) == want

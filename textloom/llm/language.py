@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from functools import partial
 
@@ -21,7 +20,9 @@ PROFILE = 400
 FIT_ROWS = 3000
 #: A text whose distance is above this share of the largest possible one is in no learned language.
 REJECT_FROM = 0.97
-CACHE_WORDS = 200_000
+#: Characters whose n-grams are counted at once.
+BLOCK_LETTERS = 500_000
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 SCHEMA = "doc_id long, lang_pred string, score double, distance double"
@@ -32,52 +33,67 @@ def grams(word: str) -> list[str]:
     return [g for n in range(1, LONGEST + 1) for i in range(len(w) - n + 1) if (g := w[i : i + n]) != " "]
 
 
+def gram_hashes(letters: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the ``n`` characters from each place on."""
+    h = (letters[: max(0, len(letters) - n + 1)].astype(np.uint64) + np.uint64(1)) * _MULTIPLIER
+    for i in range(1, n):
+        h = h * _MULTIPLIER + letters[i : i + len(h)]
+    return h
+
+
+def counted(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, count) of the n-grams of words with one space before, between and after them."""
+    values, counts = [], []
+    for at in range(0, len(letters), BLOCK_LETTERS):
+        inside = letters[at : at + BLOCK_LETTERS + LONGEST - 1] != 32
+        found = []
+        for n in range(1, LONGEST + 1):
+            h = gram_hashes(letters[at : at + BLOCK_LETTERS + n - 1], n)
+            whole = inside[: len(h)].copy() if n == 1 else np.ones(len(h), bool)
+            for i in range(1, n - 1):  # a space may only be first or last
+                whole &= inside[i : i + len(h)]
+            found.append(h[whole])
+        v = np.sort(np.concatenate(found))
+        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        values.append(v[first])
+        counts.append(np.diff(first, append=len(v)))
+    if len(values) == 1:
+        return values[0], counts[0]
+    v, place = np.unique(np.concatenate(values), return_inverse=True)
+    return v, np.bincount(place, np.concatenate(counts)).astype(np.int64)
+
+
 class Ranks:
     """Out-of-place distances to the profiles of all languages."""
 
     def __init__(self, profiles: dict[str, list[str]]):
         self.langs = sorted(profiles)
-        self.rank = {}
+        rank: dict[int, np.ndarray] = {}
         for j, lang in enumerate(self.langs):
             for r, g in enumerate(profiles[lang]):
-                self.rank.setdefault(g, np.full(len(self.langs), PROFILE, np.int32))[j] = r
-        self.clear()
-
-    def clear(self):
-        self.number, self.words = {}, {}
-        self.tie, self.rows = np.empty(1024, np.int64), np.empty((1024, len(self.langs)), np.int32)
-
-    def word(self, w: str) -> np.ndarray:
-        ids = []
-        for g in grams(w):
-            i = self.number.get(g)
-            if i is None:
-                i = self.number[g] = len(self.number)
-                if i == len(self.tie):
-                    self.tie, self.rows = np.concatenate([self.tie, self.tie]), np.concatenate([self.rows, self.rows])
-                self.tie[i] = zlib.crc32(g.encode())
-                self.rows[i] = self.rank.get(g, PROFILE)
-            ids.append(i)
-        got = self.words[w] = np.array(ids, np.int32)
-        return got
+                h = int(gram_hashes(np.array([ord(c) for c in g], np.uint32), len(g))[0])
+                rank.setdefault(h, np.full(len(self.langs), PROFILE, np.int32))[j] = r
+        self.keys = np.array(sorted(rank), np.uint64)
+        self.rows = np.array([rank[k] for k in sorted(rank)], np.int32).reshape(len(rank), len(self.langs))
 
     def distances(self, text: str | None) -> np.ndarray | None:
         """For each language from 0 to 1; None if the text has no letters."""
-        counts = Counter(_WORD.findall(text.lower())) if text else None
-        if not counts:
+        words = " ".join(_WORD.findall(text.lower())) if text else ""
+        if not words:
             return None
-        if len(self.words) > CACHE_WORDS:
-            self.clear()
-        parts = [self.words[w] if w in self.words else self.word(w) for w in counts]
-        ids = np.concatenate(parts)
-        weight = np.repeat(np.fromiter(counts.values(), np.float64, len(parts)), [len(p) for p in parts])
-        total = np.bincount(ids, weight, minlength=1)
-        seen = np.flatnonzero(total)
-        if len(seen) > 4 * PROFILE:
-            least = np.partition(total[seen], -PROFILE)[-PROFILE]
-            seen = seen[total[seen] >= least]
-        top = seen[np.lexsort((self.tie[seen], -total[seen]))[:PROFILE]]
-        return np.abs(self.rows[top] - np.arange(len(top))[:, None]).sum(0) / (PROFILE * len(top))
+        values, total = counted(np.frombuffer(f" {words} ".encode("utf-32-le"), np.uint32))
+        if len(total) > PROFILE:  # of equally frequent n-grams those of least hash
+            least = np.partition(total, -PROFILE)[-PROFILE]
+            more, ties = np.flatnonzero(total > least), np.flatnonzero(total == least)
+            pick = np.concatenate([more, ties[: PROFILE - len(more)]])
+            values, total = values[pick], total[pick]
+        top = values[np.lexsort((values, -total))]
+        place = np.minimum(np.searchsorted(self.keys, top), max(0, len(self.keys) - 1))
+        ranks = np.full((len(top), len(self.langs)), PROFILE, np.int32)
+        if len(self.keys):
+            known = self.keys[place] == top
+            ranks[known] = self.rows[place[known]]
+        return np.abs(ranks - np.arange(len(top))[:, None]).sum(0) / (PROFILE * len(top))
 
 
 _RANKS: dict[int, Ranks] = {}
