@@ -112,7 +112,8 @@ class Items:
             if len(h) >= width:
                 s = shingles(h, width)
                 hits = np.flatnonzero(bitmap[(s % np.uint64(_BITMAP)).astype(np.int64)])
-                hits = hits[np.isin(s[hits], self.known[width])] if len(hits) else hits
+                known = self.known[width]
+                hits = hits[known[np.minimum(np.searchsorted(known, s[hits]), len(known) - 1)] == s[hits]]
                 if len(hits):
                     at[width] = (s, hits)
         best: dict[tuple[int, int], tuple] = {}
