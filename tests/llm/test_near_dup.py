@@ -83,6 +83,14 @@ def test_edges(spark):
     assert classes(docs.limit(0)).count() == 0
 
 
+def test_clashing_names_stay(spark):
+    rows = [(1, "same text here", "k", 1, "x"), (2, "same text here", "k", 2, "y"), (3, None, None, 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, _ROW int, `a.b` string")
+    kept = one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
 def test_components_of_a_path(spark):
     n = 200
     edges = spark.createDataFrame([((i * 37) % n, ((i + 1) * 37) % n) for i in range(n - 1)] + [(500, 501)], "u long, v long")

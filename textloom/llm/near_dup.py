@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .components import components
 from .runtime import forget, id_and_text, keep
@@ -224,28 +225,26 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return out
 
 
-def _with_key(batches):
+def _with_key(batches, name: str):
     for batch in batches:
         keys = [text_key(words_of(t.as_py())) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "_key"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, name])
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` without further members of each class; columns stay.
 
     Of a class the row of least doc_id stays (of repeated such rows, one); rows
-    without words all stay.
+    without words all stay.  Columns may have any names.
     """
     chosen = classes(docs, similarity).where("kept and key is not null").groupBy("class_key").agg(F.min("key").alias("_key")).select("_key")
-    keyed = docs.mapInArrow(_with_key, _plus_key(docs))
-    blank = keyed.where("_key is null").select(*docs.columns)
+    name, taken = "_key", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    own = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    keyed = docs.mapInArrow(partial(_with_key, name=name), StructType([*docs.schema.fields, StructField(name, BinaryType())]))
+    blank = keyed.where(F.col(name).isNull()).select(*own)
     first = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    texts = keyed.where("_key is not null").groupBy("_key").agg(F.min_by(F.struct(*docs.columns), first).alias("_row"))
+    texts = keyed.where(F.col(name).isNotNull()).select(F.col(name).alias("_key"), first.alias("_first"), F.struct(*own).alias("_row"))
+    texts = texts.groupBy("_key").agg(F.min_by("_row", "_first").alias("_row"))
     return blank.unionByName(texts.join(chosen, "_key", "left_semi").select("_row.*"))
-
-
-def _plus_key(docs: DataFrame):
-    from pyspark.sql.types import BinaryType, StructField, StructType
-
-    return StructType([*docs.schema.fields, StructField("_key", BinaryType())])
-
