@@ -45,3 +45,13 @@ def test_stages_equal_brute_force(spark, tmp_path):
         assert r.doc_tokens == len(ids)
         assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "personal_data", "packing"]
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    text = "the quick brown fox jumps over the lazy dog and runs home"
+    docs = spark.createDataFrame([(1, text, "en", "k", 1), (2, None, None, None, None)], "doc_id long, text string, lang string, `a.b` string, _KEY int")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert (1, text, "en", "k", 1) in [tuple(r) for r in out.collect()]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import id_and_text
+from .runtime import id_and_text, plain_names
 from .shingles import WIDTH, cells, shingles, word_hashes, words_of
 
 SIMILARITY = 0.8
@@ -178,6 +178,7 @@ def _clean(batches, items: Items, similarity: float):
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that hold no near copy of a benchmark item; columns stay."""
+    rows = plain_names(docs)
     for items in _item_blocks(benchmark):
-        docs = docs.mapInArrow(partial(_clean, items=items, similarity=similarity), docs.schema)
-    return docs
+        rows = rows.mapInArrow(partial(_clean, items=items, similarity=similarity), rows.schema)
+    return rows.toDF(*docs.columns)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import bucket_of
+from .runtime import bucket_of, plain_names
 
 #: N-grams of one to this many characters, within words padded by a space on each side.
 LONGEST = 4
@@ -191,4 +191,5 @@ def identify(docs: DataFrame, profiles: dict[str, list[str]]) -> DataFrame:
 
 def known_language(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is one of the learned; columns stay as they are."""
-    return docs.mapInArrow(partial(_keep_known, profiles=learn(docs), reject=REJECT_FROM), docs.schema)
+    rows = plain_names(docs)
+    return rows.mapInArrow(partial(_keep_known, profiles=learn(docs), reject=REJECT_FROM), rows.schema).toDF(*docs.columns)

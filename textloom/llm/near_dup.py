@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .components import components
-from .runtime import forget, id_and_text, keep
+from .runtime import forget, id_and_text, keep, plain_names
 from .shingles import cells, mix, shingles, word_hashes, words_of
 
 SIMILARITY = 0.8
@@ -225,10 +225,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return out
 
 
-def _with_key(batches, name: str):
+def _with_key(batches):
     for batch in batches:
         keys = [text_key(words_of(t.as_py())) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, name])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "_key"])
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -238,13 +238,9 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     without words all stay.  Columns may have any names.
     """
     chosen = classes(docs, similarity).where("kept and key is not null").groupBy("class_key").agg(F.min("key").alias("_key")).select("_key")
-    name, taken = "_key", {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    own = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
-    keyed = docs.mapInArrow(partial(_with_key, name=name), StructType([*docs.schema.fields, StructField(name, BinaryType())]))
-    blank = keyed.where(F.col(name).isNull()).select(*own)
+    rows = plain_names(docs)
+    keyed = rows.mapInArrow(_with_key, StructType([*rows.schema.fields, StructField("_key", BinaryType())]))
+    blank = keyed.where("_key is null").select(*rows.columns)
     first = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    texts = keyed.where(F.col(name).isNotNull()).select(F.col(name).alias("_key"), first.alias("_first"), F.struct(*own).alias("_row"))
-    texts = texts.groupBy("_key").agg(F.min_by("_row", "_first").alias("_row"))
-    return blank.unionByName(texts.join(chosen, "_key", "left_semi").select("_row.*"))
+    texts = keyed.where("_key is not null").groupBy("_key").agg(F.min_by(F.struct(*rows.columns), first).alias("_row"))
+    return blank.unionByName(texts.join(chosen, "_key", "left_semi").select("_row.*")).toDF(*docs.columns)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import id_and_text, keep
+from .runtime import id_and_text, keep, plain_names
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("pattern", "check", "gazetteer", "word", "neighbour")
@@ -244,7 +244,8 @@ def _mask(batches, added, column):
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` masked; every row and column stays."""
     added = fit(candidates(docs))
-    return docs.mapInArrow(partial(_mask, added=frozenset(added), column="text"), docs.schema)
+    rows = plain_names(docs)
+    return rows.mapInArrow(partial(_mask, added=frozenset(added), column="text"), rows.schema).toDF(*docs.columns)
 
 
 def sha256_hex(text: str) -> str:

@@ -82,6 +82,12 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def plain_names(docs: DataFrame) -> DataFrame:
+    """``docs`` with columns other than doc_id and text named by place: no name clashes or needs
+    quoting.  ``toDF(*docs.columns)`` gives the names back."""
+    return docs.toDF(*(c.lower() if c.lower() in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)))
+
+
 def bucket_of(doc_id, mod: int):
     """crc32 of the identifier as text, modulo ``mod`` (null identifiers: of the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
