@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import bucket_of, plain_names
+from .runtime import bucket_of, plain_names, settle
 
 #: N-grams of one to this many characters, within words padded by a space on each side.
 LONGEST = 4
@@ -125,10 +125,12 @@ def _predict(batches, profiles):
 
 
 def _keep_known(batches, profiles, reject):
+    settle()
     ranks = _ranks(profiles)
     for batch in batches:
         got = [decide(ranks, t.as_py()) for t in batch.column("text")]
         yield batch.filter(pa.array([g[0] != UNKNOWN and g[2] <= reject for g in got], pa.bool_()))
+    settle()
 
 
 def _count(batches):
@@ -144,6 +146,8 @@ def _count(batches):
         for i in range(0, len(got), 50_000):
             part = got[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([g for g, _ in part]), pa.array([n for _, n in part], pa.int64())], names=["lang", "gram", "n"])
+    total.clear()
+    settle()
 
 
 def learn(docs: DataFrame, rows: int = FIT_ROWS) -> dict[str, list[str]]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .components import components
-from .runtime import forget, id_and_text, keep, plain_names
+from .runtime import forget, id_and_text, keep, plain_names, settle
 from .shingles import cells, mix, shingles, word_hashes, words_of
 
 SIMILARITY = 0.8
@@ -23,8 +23,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _NAME = np.uint64(0xA0761D6478BD642F)
 #: Bits of the parity maps that bound how many cells two texts share.
 MAP_BITS = 2048
-#: Words whose darts are thrown at once.
-BLOCK_WORDS = 250_000
+#: Words and texts whose darts are thrown at once.
+BLOCK_WORDS, BLOCK_TEXTS = 250_000, 1024
 
 
 def darts(regions: np.ndarray, doc: np.ndarray, n_docs: int, k: int = COORDINATES) -> np.ndarray:
@@ -96,6 +96,7 @@ def _lists(values: np.ndarray, sizes: list[int], kind) -> pa.Array:
 
 
 def _sign(batches):
+    settle("shingles")
     ids, keys, regions, n = [], [], [], 0
 
     def done():
@@ -115,11 +116,13 @@ def _sign(batches):
             keys.append(text_key(words))
             regions.append(cells(shingles(word_hashes(words))))
             n += len(words)
-            if n >= BLOCK_WORDS or len(ids) >= 4096:
+            if n >= BLOCK_WORDS or len(ids) >= BLOCK_TEXTS:
                 yield done()
                 ids, keys, regions, n = [], [], [], 0
     if ids:
         yield done()
+    ids, keys, regions = [], [], []
+    settle()
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -226,21 +229,31 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def _with_key(batches):
+    """Each row with the key of its text; of the rows of a batch with equal doc_id and key one stays."""
     for batch in batches:
         keys = [text_key(words_of(t.as_py())) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "_key"])
+        seen, stay = set(), []
+        for row in zip(batch.column("doc_id").to_pylist(), keys):
+            stay.append(row[1] is None or row not in seen)
+            seen.add(row)
+        out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "_key"])
+        yield out.filter(pa.array(stay, pa.bool_()))
+    settle()
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` without further members of each class; columns stay.
 
     Of a class the row of least doc_id stays (of repeated such rows, one); rows
-    without words all stay.  Columns may have any names.
+    without words all stay.  Columns may have any names.  Whole rows are shuffled
+    once, by text and doc_id, so the copies of one text spread over tasks.
     """
-    chosen = classes(docs, similarity).where("kept and key is not null").groupBy("class_key").agg(F.min("key").alias("_key")).select("_key")
+    last = F.lit(2**63 - 1)  # null identifiers come last
+    kept = classes(docs, similarity).where("kept and key is not null")
+    chosen = kept.groupBy("class_key").agg(F.min("key").alias("_key"), F.coalesce(F.min("class_id"), last).alias("_first")).select("_key", "_first")
     rows = plain_names(docs)
     keyed = rows.mapInArrow(_with_key, StructType([*rows.schema.fields, StructField("_key", BinaryType())]))
     blank = keyed.where("_key is null").select(*rows.columns)
-    first = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    texts = keyed.where("_key is not null").groupBy("_key").agg(F.min_by(F.struct(*rows.columns), first).alias("_row"))
-    return blank.unionByName(texts.join(chosen, "_key", "left_semi").select("_row.*")).toDF(*docs.columns)
+    texts = keyed.where("_key is not null").select("_key", F.coalesce(F.col("doc_id").cast("long"), last).alias("_first"), F.struct(*rows.columns).alias("_row"))
+    texts = texts.join(chosen, ["_key", "_first"], "left_semi").groupBy("_key", "_first").agg(F.first("_row").alias("_row"))
+    return blank.unionByName(texts.select("_row.*")).toDF(*docs.columns)

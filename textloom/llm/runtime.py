@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 _KEPT: list[str] = []
+#: What Python workers remember between tasks: how each cache is emptied.
+CACHES: dict = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -82,6 +86,19 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def settle(*uses: str) -> None:
+    """Empty the caches of a Python worker but those named, and give freed memory back to the
+    system: a worker lives on beside the JVM when its operator has ended."""
+    for name, clear in CACHES.items():
+        if name not in uses:
+            clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # only glibc has it
+        pass
+
+
 def plain_names(docs: DataFrame) -> DataFrame:
     """``docs`` with columns other than doc_id and text named by place: no name clashes or needs
     quoting.  ``toDF(*docs.columns)`` gives the names back."""

@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .runtime import CACHES
+
 WIDTH = 5
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -28,6 +30,7 @@ class WordHashes(dict):
 
 
 _HASHES = WordHashes()
+CACHES["shingles"] = _HASHES.clear
 
 
 def words_of(text: str | None) -> list[str]:

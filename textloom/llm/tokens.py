@@ -13,6 +13,8 @@ import unicodedata
 
 import numpy as np
 
+from .runtime import CACHES
+
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Words that a worker remembers before it starts afresh.
@@ -20,6 +22,7 @@ CACHE_WORDS = 600_000
 #: str.split() treats these as white space, the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
 _CACHES: dict[str, "Words"] = {}
+CACHES["tokens"] = _CACHES.clear
 
 
 def default_path() -> str:
