@@ -53,3 +53,17 @@ def test_counts_equal_those_of_words(monkeypatch):
         monkeypatch.setattr(language, "BLOCK_LETTERS", block)
         v, n = language.counted(letters)
         assert dict(zip(v.tolist(), n.tolist())) == want
+
+
+def test_texts_of_unlearned_languages_go(spark):
+    docs = read(spark, SF, "documents")
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. "
+    russian = "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства. "
+    chinese = "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。"
+    foreign = [(10**9 + i, t * times) for i, (t, times) in enumerate([(finnish, 1), (finnish, 300), (russian, 1), (russian, 300), (chinese, 1), (chinese, 300)])]
+    more = spark.createDataFrame(foreign, "doc_id long, text string").selectExpr("doc_id", "text", "null as lang")
+    some = docs.select("doc_id", "text", "lang")
+    kept = {r.doc_id for r in known_language(some.unionByName(more)).collect()}
+    assert not kept & {i for i, _ in foreign}
+    lettered = {r.doc_id for r in some.collect() if r.text and language._WORD.search(r.text)}
+    assert kept == lettered  # held-out rows of the learned languages, too
