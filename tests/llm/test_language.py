@@ -67,3 +67,13 @@ def test_texts_of_unlearned_languages_go(spark):
     assert not kept & {i for i, _ in foreign}
     lettered = {r.doc_id for r in some.collect() if r.text and language._WORD.search(r.text)}
     assert kept == lettered  # held-out rows of the learned languages, too
+
+
+def test_counts_of_texts_of_every_length(monkeypatch):
+    monkeypatch.setattr(language, "BLOCK_LETTERS", 7)
+    for size in range(1, 30):
+        for word in ("a" * size, "ab " * size + "c", ("abcdefghij " * 9)[:size].strip()):
+            letters = np.array([ord(c) for c in f" {word} "], np.uint32)
+            want = Counter(int(language.gram_hashes(np.array([ord(c) for c in g], np.uint32), len(g))[0]) for w in word.split() for g in grams(w))
+            v, n = language.counted(letters)
+            assert dict(zip(v.tolist(), n.tolist())) == want

@@ -55,6 +55,8 @@ def counted(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 whole &= inside[i : i + len(h)]
             found.append(h[whole])
         v = np.sort(np.concatenate(found))
+        if not len(v):  # the closing space alone
+            continue
         first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
         values.append(v[first])
         counts.append(np.diff(first, append=len(v)))
