@@ -107,3 +107,16 @@ def test_parity_maps_never_differ_more_than_cells():
             a, b = np.unique(base), np.unique(other)
             far = int(np.bitwise_count((parity_map(a) ^ parity_map(b)).view(np.uint64)).sum())
             assert far <= len(np.setxor1d(a, b)) and (share > 0 or far == 0)
+
+
+def test_pairs_at_the_similarity_exactly(spark):
+    rows, pairs = [], []
+    for g in range(40):
+        w = [f"g{g}w{i}" for i in range(39)]
+        common = w[4:36]  # 28 shingles; the two texts have 32 and 31
+        pairs.append((len(rows), len(rows) + 1))
+        texts = [w[:36], w[4:39]] + [common[i : i + n + 4] for n in range(20, 25) for i in range(29 - n)]  # the windows are more popular
+        rows += [(len(rows) + i, " ".join(t), "x", 0) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.class_id for r in classes(spark.createDataFrame(rows, COLS)).collect()}
+    assert all(got[u] == got[v] == u for u, v in pairs)
+    assert sum(c == u for u, _ in pairs for c in got.values()) == 80  # no window is in their class

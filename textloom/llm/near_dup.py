@@ -199,11 +199,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # cells of no other text there: a pair has no more in common than the least of what each shares at all
     single = held.select("key", F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1").groupBy("key").agg(F.count("*").alias("single"))
     room = held.select("key", "parity", F.size("cells").alias("n")).join(single, "key", "left").select("key", "parity", "n", (F.col("n") - F.coalesce("single", F.lit(0))).alias("s"))
-    room = keep(room.where(F.col("s") >= similarity * F.col("n")), "room")
+    room = keep(room.where(F.col("s") >= similarity * F.col("n") - 1e-6), "room")
     left = left.join(room, "key")
     x = left.select("band", F.col("key").alias("u"), F.col("r").alias("ru"), F.col("n").alias("nu"), F.col("s").alias("su"), F.col("parity").alias("pu"))
     y = left.select("band", F.col("key").alias("v"), F.col("r").alias("rv"), F.col("n").alias("nv"), F.col("s").alias("sv"), F.col("parity").alias("pv"))
-    can = F.least("su", "sv") * (1 + similarity) >= similarity * (F.col("nu") + F.col("nv"))
+    can = F.least("su", "sv") * (1 + similarity) >= similarity * (F.col("nu") + F.col("nv")) - 1e-6
     # c of n + m cells in common leave n + m - 2 c alone: at the similarity, at most this share of n + m
     differ = reduce(Column.__add__, [F.bit_count(F.col("pu")[i].bitwiseXOR(F.col("pv")[i])) for i in range(MAP_BITS // 64)])
     can = can & (differ * (1 + similarity) <= (F.col("nu") + F.col("nv")) * (1 - similarity) + 1e-6)
