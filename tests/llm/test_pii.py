@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from textloom.llm.pii import KINDS, detect, luhn, masked, redact, reliabilities, sha256_hex, spans_of
+from textloom.llm.pii import KINDS, chances, detect, luhn, masked, redact, reliabilities, sha256_hex, spans_of
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -67,3 +67,10 @@ def test_reliabilities_find_the_bad_labeler():
     posterior, p = reliabilities(v, np.ones(4000))
     assert ((posterior > 0.5) == y).mean() > 0.95
     assert p[1, 0, 2] > 0.9 > 0.7 > p[1, 2, 2]
+
+
+def test_codes_weigh_alike_at_every_size():
+    codes = [(239, 1254), (482, 1303), (489, 8), (490, 3), (507, 1), (508, 5), (705, 1), (724, 2), (725, 1237), (752, 11), (968, 1202)]  # of check_s
+    few = chances(codes)
+    for times in (10, 1000):
+        assert np.abs(chances([(c, n * times) for c, n in codes]) - few).max() < 0.01

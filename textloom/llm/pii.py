@@ -182,6 +182,14 @@ def fit(found: DataFrame) -> list[int]:
     if not counted:
         return []
     codes = sorted((r["code"], r["count"]) for r in counted)
+    return [c for (c, _), q in zip(codes, chances(codes)) if q >= ADD_FROM]
+
+
+def chances(codes: list[tuple[int, int]]) -> np.ndarray:
+    """How likely spans of each vote code are personal data, from the (code, count) of all candidates.
+
+    A code weighs by its share of all candidates, at every size of the corpus.
+    """
     kind = np.array([unpack(c)[0] for c, _ in codes])
     v = np.array([unpack(c)[1] for c, _ in codes])
     n = np.array([k for _, k in codes], float)
@@ -189,15 +197,14 @@ def fit(found: DataFrame) -> list[int]:
     for k in set(kind.tolist()):
         of = kind == k
         target[of] = reliabilities(v[of], n[of])[0]
-    x, w = _features(kind, v), np.minimum(n, 1000) / np.minimum(n, 1000).sum()
+    x, w = _features(kind, v), n / n.sum()
     beta = np.zeros(x.shape[1])
     for _ in range(60):  # Newton steps of a ridge-penalised logistic model
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         g = x.T @ (w * (p - target)) + 1e-3 * beta
         h = (x * (w * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(beta))
         beta -= np.linalg.solve(h, g)
-    p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-    return [c for (c, _), q in zip(codes, p) if q >= ADD_FROM]
+    return 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
 
 
 def _digest(spans) -> str:
