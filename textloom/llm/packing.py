@@ -11,12 +11,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .runtime import id_and_text
+from .runtime import id_and_text, tidy
 from .tokens import END_ID, default_path, words_of
 
 CAPACITY = 2048
-#: Windows that are balanced at once, and pieces at most.
-GROUP_WINDOWS, GROUP_PIECES = 128, 2048
+#: Windows that are balanced at once, and the share of them that is left free so that balanced windows fit.
+GROUP_WINDOWS, SLACK = 128, 0.005
+#: What is balanced: pieces of at most this many tokens, and bundles of small pieces of at least half a fine piece.
+PIECE = 512
+#: One remainder in FINE_EVERY is cut into pieces this many times smaller: they even out what the large ones leave.
+FINE_EVERY, FINE = 12, 12
+#: What is left at the end of a partition is balanced too if it fills this many windows.
+LEAST_WINDOWS = 4
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
 
@@ -65,53 +71,77 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return out
 
 
-def whole_windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """Windows of uncut items: their count rises whenever capacity is exceeded."""
+def windows_of(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
+    """Near-equal windows of uncut items: their count rises whenever one is over capacity."""
     if any(s > capacity for s in sizes):
         raise ValueError("an item is larger than a window")
     k = -(-sum(sizes) // capacity)
     while True:
         windows = differencing(sizes, k) if k else []
         if all(sum(sizes[i] for i in w) <= capacity for w in windows):
-            return windows
+            return [w for w in windows if w]
         k += max(1, k // 64)
 
 
-def full_windows(pieces: list, capacity: int) -> tuple[list[list], list]:
-    """Balance ``pieces`` over as many windows as they fill, then level them.
-
-    A piece is (document, start, length).  What a window holds beyond capacity is
-    cut off and fills the windows that have room, so each is exactly full; the
-    rest comes back for further windows.
-    """
-    sizes = [p[2] for p in pieces]
-    k = sum(sizes) // capacity
-    if not k:
-        return [], pieces
-    windows, spare = [], []
-    for w in differencing(sizes, k):
-        held, room = [], capacity
-        for d, s, n in (pieces[i] for i in w):
-            if room:
-                held.append((d, s, min(n, room)))
-            if n > room:
-                spare.append((d, s + room, n - room))
-            room -= min(n, room)
-        windows.append((held, room))
-    out = []
-    for held, room in windows:
-        while room:
-            d, s, n = spare.pop()
-            held.append((d, s, min(n, room)))
-            if n > room:
-                spare.append((d, s + room, n - room))
-            room -= min(n, room)
-        out.append(held)
-    return out, spare
+class Group:
+    """Pieces that wait to be balanced.  A piece is (document, start, length)."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.most = capacity, max(1, min(PIECE, capacity // 2))
+        self.least = self.most // FINE // 2
+        self.room = int(GROUP_WINDOWS * capacity * (1 - SLACK))
+        self.items: list[list] = []
+        self.tokens = self.open = self.added = 0  # ``open``: tokens of the last item if it is a bundle that takes more
+
+    def add(self, doc, start: int, length: int) -> None:
+        """Cut a remainder into near-equal pieces; small ones join the open bundle."""
+        most = max(1, self.most // FINE) if self.added % FINE_EVERY == 0 else self.most
+        self.added += 1
+        parts = -(-length // most)
+        for i in range(parts):
+            lo, hi = start + length * i // parts, start + length * (i + 1) // parts
+            if hi - lo >= self.least:
+                self.items.insert(len(self.items) - bool(self.open), [(doc, lo, hi - lo)])
+            else:
+                if not self.open:
+                    self.items.append([])
+                self.items[-1].append((doc, lo, hi - lo))
+                self.open += hi - lo
+                if self.open >= self.least:
+                    self.open = 0
+        self.tokens += length
+
+    @property
+    def full(self) -> bool:
+        return self.tokens + self.capacity > self.room
+
+    def close(self) -> list[list]:
+        """All that waits, as windows of pieces."""
+        sizes = [sum(p[2] for p in i) for i in self.items]
+        windows = [[p for i in w for p in self.items[i]] for w in windows_of(sizes, self.capacity)]
+        self.items, self.tokens, self.open = [], 0, 0
+        return windows
+
+    def finish(self) -> list[list]:
+        """The last windows: what does not fill whole windows is cut off and closed without padding."""
+        whole, rest = self.tokens // self.capacity, []
+        left = int(whole * self.capacity * (1 - SLACK)) if whole >= LEAST_WINDOWS else 0
+        while self.tokens > left:
+            item = self.items.pop()
+            while item and self.tokens > left:
+                doc, s, n = item.pop()
+                cut = min(n, self.tokens - left)
+                rest.append((doc, s + n - cut, cut))
+                self.tokens -= cut
+                if n > cut:
+                    item.append((doc, s, n - cut))
+            if item:
+                self.items.append(item)
+        return self.close() + power_windows(rest, self.capacity)
 
 
 def power_windows(pieces: list, capacity: int) -> list[list]:
-    """Cut what is left at the end of a partition into windows of powers of two: no padding."""
+    """Cut pieces into windows of powers of two: no padding."""
     out, left = [], sum(p[2] for p in pieces)
     pieces = pieces[::-1]
     while left:
@@ -128,10 +158,11 @@ def power_windows(pieces: list, capacity: int) -> list[list]:
     return out
 
 
+@tidy("tokens")
 def _pack(batches, path: str, capacity: int):
     words, end = words_of(path), np.array([END_ID], "<u4").tobytes()
     base, count = TaskContext.get().partitionId() << 33, 0
-    waiting, tokens, out = [], 0, [[] for _ in _ARROW]
+    group, out = Group(capacity), [[] for _ in _ARROW]
 
     def emit(window):
         nonlocal count
@@ -158,21 +189,13 @@ def _pack(batches, path: str, capacity: int):
             for s in range(0, cut, capacity):
                 emit([(doc, s, capacity)])
             if n > cut:
-                waiting.append((doc, cut, n - cut))
-                tokens += n - cut
-            if tokens >= GROUP_WINDOWS * capacity or len(waiting) >= GROUP_PIECES:
-                full, waiting = full_windows(waiting, capacity)
-                for w in full:
+                group.add(doc, cut, n - cut)
+            if group.full:
+                for w in group.close():
                     emit(w)
-                tokens = sum(p[2] for p in waiting)
-                if len(waiting) >= GROUP_PIECES // 2:  # many tiny documents: close them
-                    for w in power_windows(waiting, capacity):
-                        emit(w)
-                    waiting, tokens = [], 0
             if len(out[0]) >= 4096:
                 yield flush()
-    full, rest = full_windows(waiting, capacity)
-    for w in [*full, *power_windows(rest, capacity)]:
+    for w in group.finish():
         emit(w)
     yield flush()
 
@@ -181,8 +204,9 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     """Cut and pack all documents into sequences of at most ``capacity`` tokens.
 
     Each partition tokenises its documents, cuts whole windows off long ones and
-    balances the remainders, a bounded group at a time, by Karmarkar-Karp
-    differencing.  No shuffle, no state that grows with the input.  Sequence
+    balances the pieces of the remainders, a bounded group at a time, by Karmarkar-Karp
+    differencing; a group takes one more window as long as one is over capacity, and
+    windows are padded by what they are short of it.  No shuffle, no state that grows with the input.  Sequence
     identifiers are partition number and running count, so a task that is run
     again gives the same ones.
 
