@@ -3,7 +3,15 @@ from collections import Counter
 
 import numpy as np
 
-from textloom.llm.decontaminate import RADIUS, HammingIndex, Items, leaks, without_leaks
+from textloom.llm import decontaminate
+from textloom.llm.decontaminate import RADIUS, Benchmark, HammingIndex, Items, Known, leaks, without_leaks
+
+
+class Held:
+    """A broadcast that is not sent."""
+
+    def __init__(self, value):
+        self.value = value
 
 
 def bag(words, width):
@@ -31,7 +39,9 @@ def test_equals_brute_force():
     rng = random.Random(11)
     vocabulary = [f"v{i}" for i in range(300)]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([2, 5, 15, 38, 38, 59])))) for i in range(40)]
-    index, found, missed = Items(items), 0, 0
+    blocks = [items[:25], items[25:], []]
+    decontaminate._BLOCKS.clear()
+    index, found, missed = Benchmark(Held(Known([Items(b).known for b in blocks])), [Held(b) for b in blocks]), 0, 0
     for _ in range(120):
         text = [rng.choice(vocabulary) for _ in range(rng.randrange(200))]
         for _ in range(rng.randrange(3)):
@@ -64,6 +74,15 @@ def test_hamming_blocks_find_all_within_radius():
     assert set(zip(row.tolist(), item.tolist())) == set(zip(*map(np.ndarray.tolist, np.nonzero(far <= RADIUS))))
 
 
+def test_many_blocks_in_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 3)
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(40)]
+    docs = spark.createDataFrame([(i, f"a b {items[i][1]} c {items[39 - i][1]}") for i in range(10)], "doc_id long, text string")
+    found = leaks(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(i, j) for i in range(10) for j in (i, 39 - i)}
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_edges(spark):
     item = " ".join(f"q{i}" for i in range(30))
     docs = spark.createDataFrame([(1, f"start {item} end", 7), (1, f"start {item} end", 7), (None, item, 7), (3, None, 7), (4, "", None), (5, "clean " * 40000, 7), (6, "q0 q1 q2 q3 q4 only", 7)], "doc_id long, text string, similarity int")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import id_and_text, plain_names
+from .runtime import CACHES, id_and_text, plain_names, tidy
 from .shingles import WIDTH, cells, shingles, word_hashes, words_of
 
 SIMILARITY = 0.8
@@ -18,8 +18,9 @@ SIMILARITY = 0.8
 #: on average with a standard deviation of 2.9, so one in about 2000 such pairs is missed; closer ones are not.
 RADIUS = 19
 BLOCK_BITS = (13, 13, 13, 13, 12)
-#: Items and bytes of text that are searched for in one pass over the documents.
-ITEMS_AT_ONCE, BYTES_AT_ONCE = 1000, 16 << 20
+#: Items of a block and their bytes, about; bytes of items in one pass over the documents; blocks that a worker
+#: has an index of at once.
+ITEMS_AT_ONCE, BLOCK_BYTES, BYTES_AT_ONCE, BLOCKS_HELD = 500, 4 << 20, 64 << 20, 4
 SCHEMA = "doc_id long, item_id long, similarity double, start_word long, n_words long, hamming int"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("hamming", pa.int32())])
 _BITMAP = 1 << 20
@@ -71,7 +72,7 @@ class HammingIndex:
 
 
 class Items:
-    """The searched items, by their number of words."""
+    """A block of the searched items, by their number of words."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         by: dict[int, list] = {}
@@ -80,17 +81,12 @@ class Items:
                 h = word_hashes(words)
                 by.setdefault(len(words), []).append((item_id, shingles(h)))
         self.groups = []
+        self.known: dict[int, np.ndarray] = {}
         for n, items in sorted(by.items()):
+            width = min(n, WIDTH)
             index = HammingIndex(np.concatenate([fingerprints(signs(s).sum(0, keepdims=True)) for _, s in items]))
-            self.groups.append((n, min(n, WIDTH), [i for i, _ in items], [np.unique(cells(s)) for _, s in items], index))
-        self.known: dict[int, np.ndarray] = {}
-        for n, width, _, _, _ in self.groups:
-            every = [s for _, s in by[n]]
-            self.known[width] = np.unique(np.concatenate([*every, self.known.get(width, np.empty(0, np.uint64))]))
-        self.bitmap = {}
-        for width, known in self.known.items():
-            self.bitmap[width] = np.zeros(_BITMAP, bool)
-            self.bitmap[width][(known % np.uint64(_BITMAP)).astype(np.int64)] = True
+            self.groups.append((n, width, [i for i, _ in items], [np.unique(cells(s)) for _, s in items], index))
+            self.known[width] = np.unique(np.concatenate([*(s for _, s in items), self.known.get(width, np.empty(0, np.uint64))]))
 
     def starts(self, hits: np.ndarray, n: int, words: int, width: int) -> np.ndarray:
         """Window starts that can hold a shingle of an item; all others have similarity 0."""
@@ -101,21 +97,12 @@ class Items:
         np.add.at(edge, np.minimum(hits, words - n) + 1, -1)
         return np.flatnonzero(np.cumsum(edge)[:-1] > 0)
 
-    def search(self, text: str | None, similarity: float) -> list[tuple]:
-        """(item_id, similarity, start, words, distance): the best window for every item found."""
-        words = words_of(text)
-        if not words:
-            return []
-        h = word_hashes(words)
-        at = {}
-        for width, bitmap in self.bitmap.items():
-            if len(h) >= width:
-                s = shingles(h, width)
-                hits = np.flatnonzero(bitmap[(s % np.uint64(_BITMAP)).astype(np.int64)])
-                known = self.known[width]
-                hits = hits[known[np.minimum(np.searchsorted(known, s[hits]), len(known) - 1)] == s[hits]]
-                if len(hits):
-                    at[width] = (s, hits)
+    def search(self, h: np.ndarray, at: dict[int, tuple[np.ndarray, np.ndarray]], similarity: float) -> list[tuple]:
+        """(item_id, similarity, start, words, distance): the best window for every item found.
+
+        ``h`` are the word hashes of a text; ``at`` has, by width, its shingles and the places of those
+        that some item of the block holds.
+        """
         best: dict[tuple[int, int], tuple] = {}
         for g, (n, width, ids, sets, index) in enumerate(self.groups):
             if width not in at:
@@ -139,20 +126,91 @@ class Items:
         return [v for _, v in best.values()]
 
 
-def _search(batches, items: Items, similarity: float):
+class Known:
+    """Which blocks of items hold each shingle."""
+
+    def __init__(self, blocks: list[dict[int, np.ndarray]]):
+        self.by = {}
+        for width in sorted({w for k in blocks for w in k}):
+            values = np.concatenate([k[width] for k in blocks if width in k])
+            block = np.concatenate([np.full(len(k[width]), b, np.int32) for b, k in enumerate(blocks) if width in k])
+            order = np.lexsort((block, values))
+            bitmap = np.zeros(_BITMAP, bool)
+            bitmap[(values % np.uint64(_BITMAP)).astype(np.int64)] = True
+            self.by[width] = (values[order], block[order], bitmap)
+
+    def hits(self, h: np.ndarray) -> dict[int, dict[int, tuple[np.ndarray, np.ndarray]]]:
+        """By block and width: the shingles of a text, and the places of those that the block holds."""
+        out: dict[int, dict] = {}
+        for width, (values, block, bitmap) in self.by.items():
+            if len(h) < width:
+                continue
+            s = shingles(h, width)
+            place = np.flatnonzero(bitmap[(s % np.uint64(_BITMAP)).astype(np.int64)])
+            lo = np.searchsorted(values, s[place])
+            n = np.searchsorted(values, s[place], "right") - lo
+            of = block[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            place = np.repeat(place, n)
+            for b in np.unique(of).tolist():
+                out.setdefault(b, {})[width] = (s, place[of == b])
+        return out
+
+
+_BLOCKS: dict[int, Items] = {}
+CACHES["items"] = _BLOCKS.clear
+
+
+class Benchmark:
+    """All items: what shingles they hold, and the items themselves in blocks of broadcasts.
+
+    A worker makes the index of a block when a text shares a shingle with it, and
+    remembers BLOCKS_HELD of them.
+    """
+
+    def __init__(self, known, blocks):
+        self.known, self.blocks = known, blocks
+
+    def block(self, b: int) -> Items:
+        if b not in _BLOCKS:
+            while len(_BLOCKS) >= BLOCKS_HELD:
+                del _BLOCKS[next(iter(_BLOCKS))]
+            _BLOCKS[b] = Items(self.blocks[b].value)
+        return _BLOCKS[b]
+
+    def search(self, text: str | None, similarity: float) -> list[tuple]:
+        words = words_of(text)
+        if not words:
+            return []
+        h = word_hashes(words)
+        return [f for b, at in sorted(self.known.value.hits(h).items()) for f in self.block(b).search(h, at, similarity)]
+
+
+@tidy("shingles")
+def _search(batches, items: Benchmark, similarity: float):
     for batch in batches:
         out = [(d.as_py(), *f) for d, t in zip(batch.column("doc_id"), batch.column("text")) for f in items.search(t.as_py(), similarity)]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], _ARROW.field(k).type) for k in range(6)], schema=_ARROW)
 
 
-def _item_blocks(benchmark: DataFrame):
-    """Blocks of at most about ITEMS_AT_ONCE items and BYTES_AT_ONCE bytes, one after the other."""
+def _passes(benchmark: DataFrame):
+    """The items, for one pass over the documents; for several only beyond BYTES_AT_ONCE bytes of items.
+
+    The driver holds the texts of one block of about ITEMS_AT_ONCE items at a time, and the hashes of
+    the shingles of a pass.
+    """
+    sc = benchmark.sparkSession.sparkContext
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    blocks = max(-(-n // ITEMS_AT_ONCE), -(-size // BYTES_AT_ONCE))
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        yield Items(sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r)))
+    count = max(-(-n // ITEMS_AT_ONCE), -(-size // BLOCK_BYTES))
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, count)))
+    passes = -(-size // BYTES_AT_ONCE)
+    for numbers in np.array_split(np.arange(count), passes) if count else ():
+        known, blocks = [], []
+        for b in numbers.tolist():
+            rows = sorted(((r["item_id"], r["text"]) for r in items.where(block == b).collect()), key=lambda r: (r[0] is None, r))
+            known.append(Items(rows).known)
+            blocks.append(sc.broadcast(rows))
+        yield Benchmark(sc.broadcast(Known(known)), blocks)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -165,13 +223,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     nothing; repeated rows and items are each reported; an empty table gives no rows.
     """
     out = None
-    for items in _item_blocks(benchmark):
+    for items in _passes(benchmark):
         part = id_and_text(docs).mapInArrow(partial(_search, items=items, similarity=similarity), SCHEMA)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
 
 
-def _clean(batches, items: Items, similarity: float):
+@tidy("shingles")
+def _clean(batches, items: Benchmark, similarity: float):
     for batch in batches:
         yield batch.filter(pa.array([not items.search(t.as_py(), similarity) for t in batch.column("text")], pa.bool_()))
 
@@ -179,6 +238,6 @@ def _clean(batches, items: Items, similarity: float):
 def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that hold no near copy of a benchmark item; columns stay."""
     rows = plain_names(docs)
-    for items in _item_blocks(benchmark):
+    for items in _passes(benchmark):
         rows = rows.mapInArrow(partial(_clean, items=items, similarity=similarity), rows.schema)
     return rows.toDF(*docs.columns)
