@@ -1,3 +1,4 @@
+import pathlib
 import re
 import zlib
 
@@ -8,8 +9,12 @@ import corpus_pipeline
 from tests.llm.test_decontaminate import brute as leaks_of
 from tests.llm.test_near_dup import brute as classes_of
 from tests.llm.test_pii import plain
-from textloom.llm.pii import KINDS
+from textloom.llm.near_dup import classes
+from textloom.llm.pii import KINDS, detect
+from textloom.llm.repeats import remove_repeats
+from textloom.llm.runtime import forget, keep, scratch, shared_dir
 from textloom.llm.tokens import default_path
+from textloom.llm.training_order import materialise
 
 
 def masked(text):
@@ -47,6 +52,35 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "personal_data", "packing"]
 
 
+def test_a_run_leaves_the_results_of_others_whole(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(20)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found, manifest = detect(docs), materialise(docs, length=64, per_shard=8)
+    classed, repeats = classes(docs), remove_repeats(docs)
+    shards = pathlib.Path(shared_dir(spark).removeprefix("file://")).glob("*/shards/*.bin")
+    assert (before := sorted(shards))
+    first = corpus_pipeline.run(spark, str(tmp_path))
+    n = first.count()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == n == first.count()
+    assert found.count() == classed.count() == repeats.count() == 20 and manifest.count() > 20
+    assert all(p.exists() for p in before)
+
+
+def test_scratch_deletes_its_own_tables_only(spark):
+    kept = keep(spark.range(3).toDF("x"), "outer")
+    with scratch(spark) as hand_on:
+        gone, stays = keep(kept, "inner"), hand_on(keep(kept, "inner"))
+        with scratch(spark) as inner:
+            up = inner(keep(kept, "deep"))
+        assert up.count() == gone.count() == 3
+    assert kept.count() == stays.count() == 3
+    folders = pathlib.Path(shared_dir(spark).removeprefix("file://"))
+    assert [(folders / t.kept_at.rsplit("/", 1)[1]).exists() for t in (kept, stays, gone, up)] == [True, True, False, False]
+    forget(kept)
+    assert not (folders / kept.kept_at.rsplit("/", 1)[1]).exists()
+
+
 def test_stages_keep_columns_of_any_name(spark, tmp_path):
     text = "the quick brown fox jumps over the lazy dog and runs home"
     docs = spark.createDataFrame([(1, text, "en", "k", 1), (2, None, None, None, None)], "doc_id long, text string, lang string, `a.b` string, _KEY int")

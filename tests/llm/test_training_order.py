@@ -3,6 +3,8 @@ import zlib
 import numpy as np
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from textloom.llm.runtime import read
 from textloom.llm.tokens import default_path
 from textloom.llm.training_order import materialise, permuted, read_slots
@@ -18,13 +20,15 @@ def test_permutation():
 
 
 def test_round_trip(spark, tmp_path):
-    docs = read(spark, SF, "documents").coalesce(1)
+    docs = read(spark, SF, "documents").repartition(3).cache()  # the same partitions each time
     folder = f"file://{tmp_path}/out"
     rows = sorted(materialise(docs, folder, length=64, per_shard=50).collect())
     assert [r.slot for r in rows] == list(range(len(rows)))
     got = list(read_slots(folder, 0, len(rows), 64, 50))
     t = Tokenizer.from_file(default_path())
-    want = [i for d in docs.collect() for i in [*t.encode(d.text, add_special_tokens=False).ids, 1]]
+    # a sequence holds tokens of one partition, whose last one is filled up
+    parts = docs.select(F.spark_partition_id().alias("p"), "text").collect()
+    want = [i for p in range(3) for d in parts if d.p == p for i in [*t.encode(d.text, add_special_tokens=False).ids, 1]]
     order = sorted(rows, key=lambda r: r.sequence_index)
     ids = np.concatenate([got[r.slot][: r.n_tokens] for r in order]).tolist()
     assert ids == want

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import keep
+from .runtime import forget, keep
 
 
 def _state(edges: DataFrame):
@@ -17,7 +17,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps, so a component of any shape takes
     about logarithmically many rounds; each round's edges are kept in the shared
-    folder.  Least neighbours come from partial aggregation, so a node of very
+    folder in place of the last.  Least neighbours come from partial aggregation, so a node of very
     many edges does not load one task.  No edges: no rows.
     """
     edges = keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -29,7 +29,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = keep(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = keep(small, "edges")
+        former, edges = edges, keep(small, "edges")
+        forget(large)
+        forget(former)
         now = _state(edges)
         if now == state:
             break

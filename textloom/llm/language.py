@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import bucket_of, plain_names, settle
+from .runtime import CACHES, bucket_of, plain_names, tidy
 
 #: N-grams of one to this many characters, within words padded by a space on each side.
 LONGEST = 4
@@ -114,6 +114,7 @@ class Ranks:
 
 
 _RANKS: dict[int, Ranks] = {}
+CACHES["ranks"] = _RANKS.clear
 
 
 def _ranks(profiles) -> Ranks:
@@ -133,6 +134,7 @@ def decide(ranks: Ranks, text: str | None) -> tuple[str, float, float]:
     return ranks.langs[j], float(1 / share.sum()), float(d[j])
 
 
+@tidy("ranks")
 def _predict(batches, profiles):
     ranks = _ranks(profiles)
     for batch in batches:
@@ -141,15 +143,15 @@ def _predict(batches, profiles):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", "lang_pred", "score", "distance"])
 
 
+@tidy("ranks")
 def _keep_known(batches, profiles, reject):
-    settle()
     ranks = _ranks(profiles)
     for batch in batches:
         got = [ranks.shares(t.as_py()) for t in batch.column("text")]
         yield batch.filter(pa.array([g is not None and len(g) > 0 and bool(g.min() <= reject) for g in got], pa.bool_()))
-    settle()
 
 
+@tidy()
 def _count(batches):
     total: dict[str, Counter] = {}
     for batch in batches:
@@ -163,8 +165,6 @@ def _count(batches):
         for i in range(0, len(got), 50_000):
             part = got[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([g for g, _ in part]), pa.array([n for _, n in part], pa.int64())], names=["lang", "gram", "n"])
-    total.clear()
-    settle()
 
 
 def learn(docs: DataFrame, rows: int = FIT_ROWS) -> dict[str, list[str]]:

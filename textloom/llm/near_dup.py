@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .components import components
-from .runtime import forget, id_and_text, keep, plain_names, settle
+from .runtime import id_and_text, keep, plain_names, scratch, tidy
 from .shingles import cells, mix, shingles, word_hashes, words_of
 
 SIMILARITY = 0.8
@@ -95,8 +95,8 @@ def _lists(values: np.ndarray, sizes: list[int], kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, kind))
 
 
+@tidy("shingles")
 def _sign(batches):
-    settle("shingles")
     ids, keys, regions, n = [], [], [], 0
 
     def done():
@@ -121,8 +121,6 @@ def _sign(batches):
                 ids, keys, regions, n = [], [], [], 0
     if ids:
         yield done()
-    ids, keys, regions = [], [], []
-    settle()
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -173,6 +171,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     its own row: class_id is its doc_id.  A text of under five words is one shingle.
     Repeated rows are one class.  An empty table gives no rows.
     """
+    with scratch(docs.sparkSession) as hand_on:
+        return hand_on(_classes(docs, similarity))
+
+
+def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     signed = keep(id_and_text(docs).mapInArrow(_sign, SCHEMA), "signatures")
     texts = signed.where("key is not null").select("key", "bands").dropDuplicates(["key"])
     entries = texts.select("key", F.explode("bands").alias("band"))
@@ -216,18 +219,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     of_class = by_key.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
     by_key = keep(by_key.join(of_class, "class").select("key", F.col("class").alias("class_key"), "class_id", "class_size"), "classes")
     out = signed.select("doc_id", "key").join(by_key, "key", "left")
-    out = keep(
+    return keep(
         out.select(
             "doc_id", "key", "class_key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
             F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
         ).withColumn("kept", F.col("key").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id"))),
         "rows",
     )
-    for table in (signed, entries, members, stars, sets, room):
-        forget(table)
-    return out
 
 
+@tidy()
 def _with_key(batches):
     """Each row with the key of its text; of the rows of a batch with equal doc_id and key one stays."""
     for batch in batches:
@@ -238,7 +239,6 @@ def _with_key(batches):
             seen.add(row)
         out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "_key"])
         yield out.filter(pa.array(stay, pa.bool_()))
-    settle()
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

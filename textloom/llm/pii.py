@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import id_and_text, keep, plain_names
+from .runtime import id_and_text, keep, plain_names, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("pattern", "check", "gazetteer", "word", "neighbour")
@@ -122,6 +122,7 @@ def votes(text: str, kind: int, s: int, e: int, base: bool) -> int:
     return code
 
 
+@tidy()
 def _candidates(batches):
     out = pa.schema([("doc_id", pa.int64()), ("found", pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("code", pa.int32())])))])
     for batch in batches:
@@ -242,6 +243,7 @@ def masked(text: str | None, added: frozenset[int]) -> str | None:
     return "".join([*out, text[at:]]) if spans else text
 
 
+@tidy()
 def _mask(batches, added, column):
     for batch in batches:
         i = batch.schema.get_field_index(column)

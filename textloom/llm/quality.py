@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import bucket_of
+from .runtime import bucket_of, tidy
 
 #: A filter sees KERNEL bytes; filters stand STEP bytes apart; a chunk is CHUNK steps, half of them shared with the next.
 KERNEL, STEP, CHUNK = 8, 4, 128
@@ -186,6 +186,7 @@ def zlib_order(doc_id: int) -> tuple[int, int]:
     return zlib.crc32(str(doc_id).encode()[::-1]), doc_id
 
 
+@tidy()
 def _score(batches, network: Network):
     for batch in batches:
         got = network.scores(batch.column("text").to_pylist())

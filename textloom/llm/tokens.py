@@ -17,8 +17,8 @@ from .runtime import CACHES
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Words that a worker remembers before it starts afresh.
-CACHE_WORDS = 600_000
+#: Words of a generation: a worker remembers those of the present and the one before.
+CACHE_WORDS = 200_000
 #: str.split() treats these as white space, the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
 _CACHES: dict[str, "Words"] = {}
@@ -49,13 +49,18 @@ class Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.shown = _byte_names()
+        self.before: dict[str, bytes] = {}
 
     def exact(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
+            self.before = dict(self)
             self.clear()
+        if (ids := self.before.get(word)) is not None:
+            self[word] = ids
+            return ids
         # letters and a final mark are split apart in any case; ASCII case is dropped
         if word[-1] in ".,!?;:" and len(word) > 1 and word[:-1].isalpha():
             ids = self[word[:-1]] + self[word[-1]]

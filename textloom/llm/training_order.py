@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import id_and_text, keep, new_path
+from .runtime import forget, id_and_text, keep, new_path, tidy
 from .shingles import mix
 from .tokens import END_ID, default_path, words_of
 
@@ -46,6 +46,7 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+@tidy("tokens")
 def _sequences(batches, path: str, length: int):
     """Documents of a partition one after the other, cut into sequences; the last is filled with END_ID."""
     words, end = words_of(path), np.array([END_ID], "<u4").tobytes()
@@ -77,6 +78,7 @@ def _sequences(batches, path: str, length: int):
         yield cut(data + end * (n * length - size), [length] * (n - 1) + [size - (n - 1) * length])
 
 
+@tidy()
 def _slots(batches, bases: dict, n: int, key: int):
     for batch in batches:
         index = np.array([bases[p] for p in batch.column("part").to_pylist()], np.int64) + batch.column("k").to_numpy()
@@ -87,6 +89,7 @@ def shard_path(folder: str, shard: int) -> str:
     return f"{folder}/shard-{shard:08d}.bin"
 
 
+@tidy()
 def _write(batches, folder: str, per_shard: int, stride: int):
     """Write each shard of a sorted partition under another name, then rename: a task that is
     run again leaves the same files."""
@@ -134,11 +137,14 @@ def materialise(docs: DataFrame, folder: str | None = None, tokenizer_path: str
         n += r["count"]
     folder = folder or new_path(spark, "shards")
     if not n:
+        forget(seq)
         return spark.createDataFrame([], MANIFEST)
     placed = seq.mapInArrow(partial(_slots, bases=bases, n=n, key=key), "slot long, sequence_index long, n_tokens long, tokens binary")
     shards = -(-n // per_shard)
     ranges = placed.repartitionById(shards, (F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot")
-    return keep(ranges.mapInArrow(partial(_write, folder=folder, per_shard=per_shard, stride=2 * length), MANIFEST), "manifest")
+    manifest = keep(ranges.mapInArrow(partial(_write, folder=folder, per_shard=per_shard, stride=2 * length), MANIFEST), "manifest")
+    forget(seq)
+    return manifest
 
 
 def read_slots(folder: str, start: int, count: int, length: int = LENGTH, per_shard: int = SHARD):
