@@ -7,36 +7,31 @@ from textloom.llm.language import known_language
 from textloom.llm.near_dup import one_of_each
 from textloom.llm.packing import pack
 from textloom.llm.pii import redact
-from textloom.llm.runtime import hold, keep, read, sweep
+from textloom.llm.runtime import forget, keep, read, scratch
 
 
 def language(spark, docs, sf_dir):
     """Documents whose language is none of the learned go."""
-    sweep(spark)
     return known_language(docs)
 
 
 def near_duplicates(spark, docs, sf_dir):
     """One document of each class of near copies stays."""
-    sweep(spark)
     return one_of_each(docs)
 
 
 def decontamination(spark, docs, sf_dir):
     """Documents that hold a benchmark item go."""
-    sweep(spark)
     return without_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark, docs, sf_dir):
     """Personal data is masked; all documents stay."""
-    sweep(spark)
     return redact(docs)
 
 
 def packing(spark, docs, sf_dir):
     """The remaining texts are packed; the result has a row per piece."""
-    sweep(spark)
     return pack(docs)
 
 
@@ -52,8 +47,16 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """Apply the stages to ``documents``, each one's result written to the shared folder."""
+    """Apply the stages to ``documents``, each one's result written to the shared folder.
+
+    Of the written results only the last stays, which the packed rows are read from.
+    """
     docs = read(spark, sf_dir, "documents")
+    former = None
     for name, stage in STAGES[:-1]:
-        docs = hold(keep(stage(spark, docs, sf_dir), name))  # held: the next stage sweeps the rest
+        with scratch(spark) as hand_on:  # what the stage kept goes once its result is written
+            docs = hand_on(keep(stage(spark, docs, sf_dir), name))
+        if former is not None:
+            forget(former)
+        former = docs
     return STAGES[-1][1](spark, docs, sf_dir)
