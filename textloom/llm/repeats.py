@@ -1,16 +1,24 @@
 """Repeated passages: a sparse suffix array over the bytes of all texts.
 
-Every window of WINDOW bytes has an anchor, its k-gram of least hash, so equal windows
-have equal anchors at equal places.  Only suffixes that start at anchors are sorted;
-each stands for the windows that share its anchor.  Anchors whose k-gram occurs once
-hold no repeated window; anchors with an equal whole context are settled by counting.
-The suffixes of the others are range-partitioned by sampled splitters over their leading
-bytes, sorted in each bucket by multikey quicksort, and compared with their neighbours.
+Only suffixes that start at anchors are sorted.  Every window of PASSAGE bytes, and so
+every one of WINDOW bytes, holds an anchor: its k-gram of least hash.  Equal windows
+have equal anchors at equal places, so each pair of them is seen at its anchor: the
+suffixes there agree to the right, the bytes before them to the left.
+
+Suffixes with equal bytes all around (as far as any window of theirs reaches) are
+counted as one before anything is sorted.  What is left goes by sampled splitters over
+the leading k-gram to range partitions.  A splitter falls between two different
+k-grams, so suffixes that have a window in common are never on two sides of one.  Each
+partition is read in order, in chunks of whole k-grams; a chunk is sorted by multikey
+quicksort, and runs of suffixes that share enough bytes with their neighbours are read
+off the common prefixes, whatever the number of suffixes.  A k-gram with more than HOT
+different surroundings is split: its windows are dealt out by their own bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -18,46 +26,63 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import id_and_text, keep
+from .runtime import id_and_text, keep, scratch, tidy
 from .shingles import mix
 
-WINDOW = 400
-GRAM = 64
-_SPAN = WINDOW - GRAM + 1  # k-grams of a window
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Bytes of a text that are anchored at once; the next block repeats the last window.
-BLOCK = 1 << 22
-#: Suffixes of one k-gram that are compared pair by pair; larger groups go by sorted neighbours.
-PAIRWISE = 24
-#: Leading bytes that splitters look at.
-LEAD = 32
+#: Bytes of a removed string, and of a string that counts as shared between documents (50 words take more).
+WINDOW, PASSAGE = 400, 256
+SIZES = (WINDOW, PASSAGE)
+GRAM = 48
+_BASE = np.array([0x9E3779B97F4A7C15], np.uint64)
+#: Bytes of a text that are anchored at once, and bytes on both sides that windows of its anchors may reach.
+BLOCK, MARGIN = 1 << 22, 2 * WINDOW
+#: Suffixes that are sorted at once (whole k-grams), and different surroundings from which a k-gram is split.
+CHUNK, HOT = 16_384, 32_768
 _POSITION = np.uint64((1 << 24) - 1)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of each run of GRAM bytes, by doubling."""
+    """A hash of each run of GRAM (3 x 16) bytes, by doubling."""
     h, width, power = data.astype(np.uint64) + np.uint64(1), 1, _BASE
-    while width < GRAM:
+    while width < GRAM // 3:
         h = h[:-width] * power + h[width:]
         power, width = power * power, width * 2
-    return mix(h)
+    return mix((h[: -2 * width] * power + h[width:-width]) * power + h[2 * width :])
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, windows, k-gram hash) of each anchor, in order."""
+def _least(least: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first window, windows) of each run of windows with the same least k-gram of ``span``."""
+    n, width = len(least), 1
+    if n < span:
+        return (np.empty(0, np.int64),) * 3
+    while 2 * width <= span:
+        least, width = np.minimum(least[:-width], least[width:]), width * 2
+    least = np.minimum(least[: n - span + 1], least[span - width :])
+    a = (least & _POSITION).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    return a[first], first, np.diff(first, append=len(a))
+
+
+def anchors(data: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, bytes before it, bytes from it on, k-gram hash): as far as the windows of the anchor reach."""
     out = []
-    for at in range(0, max(1, len(data) - WINDOW + 1), BLOCK):
-        part = data[at : at + BLOCK + WINDOW - 1]
-        if len(part) < WINDOW:
+    for at in range(0, len(data), block):
+        base = max(0, at - MARGIN)
+        part = data[base : at + block + MARGIN]
+        if len(part) < PASSAGE:
             continue
         h = gram_hashes(part)
-        least, width = (h & ~_POSITION) | np.arange(len(h), dtype=np.uint64), 1
-        while 2 * width <= _SPAN:
-            least, width = np.minimum(least[:-width], least[width:]), width * 2
-        least = np.minimum(least[: len(h) - _SPAN + 1], least[_SPAN - width :])
-        a = (least & _POSITION).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-        out.append((a[first] + at, first + at, np.diff(np.concatenate([first, [len(a)]])), h[a[first]].view(np.int64)))
+        least = (h & ~_POSITION) | np.arange(len(h), dtype=np.uint64)
+        a, lo, n = _least(least, PASSAGE - GRAM + 1)
+        hi = lo + n - 1 + PASSAGE
+        # the windows of WINDOW bytes reach further, and their anchors are among the same
+        wide, w_lo, w_n = _least(least, WINDOW - GRAM + 1)
+        at_wide = np.searchsorted(a, wide)
+        lo[at_wide] = np.minimum(lo[at_wide], w_lo)
+        hi[at_wide] = np.maximum(hi[at_wide], w_lo + w_n - 1 + WINDOW)
+        own = (a + base >= at) & (a + base < at + block)
+        a, lo, hi = a[own], lo[own], hi[own]
+        out.append((a + base, a - lo, hi - a, h[a].view(np.int64)))
     if not out:
         return (np.empty(0, np.int64),) * 4
     return tuple(np.concatenate(c) for c in zip(*out))
@@ -67,207 +92,285 @@ def raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-ANCHORS = "tkey binary, akey long, ctx long, lo long, n long, a long"
+def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "string": pa.string()}
+
+
+def _schema(text: str) -> pa.Schema:
+    return pa.schema([(n, _KINDS[k]) for n, k in (c.split() for c in text.split(", "))])
+
+
+#: A suffix: its text, k-gram, surroundings, place, and the bytes before and from there on that count.
+ANCHORS = "tkey binary, akey long, ctx long, a long, l int, r int"
 
 
-def _anchor_rows(batches):
-    names = [c.split()[0] for c in ANCHORS.split(", ")]
+@tidy()
+def _anchor_rows(batches, block: int):
+    schema = _schema(ANCHORS)
     for batch in batches:
-        rows, size = [[] for _ in names], 0
+        rows: list[list] = [[] for _ in schema]
         for t in batch.column("text"):
             b = raw(t.as_py())
-            if len(b) < WINDOW:
+            if len(b) < PASSAGE:
                 continue
             tkey = xxhash.xxh3_128_digest(b)
-            a, lo, n, h = (c.tolist() for c in anchors(np.frombuffer(b, np.uint8)))
-            ctx = [xxhash.xxh3_64_intdigest(b[i : i + k - 1 + WINDOW], x - i) - (1 << 63) for x, i, k in zip(a, lo, n)]
-            for column, values in zip(rows, ([tkey] * len(a), h, ctx, lo, n, a)):
+            a, l, r, h = (c.tolist() for c in anchors(np.frombuffer(b, np.uint8), block))
+            ctx = [xxhash.xxh3_64_intdigest(b[x - i : x + k], i) - (1 << 63) for x, i, k in zip(a, l, r)]
+            for column, values in zip(rows, ([tkey] * len(a), h, ctx, a, l, r)):
                 column.extend(values)
-            size += len(a)
-            if size > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 0 else pa.int64()) for i, c in enumerate(rows)], names=names)
-                rows, size = [[] for _ in names], 0
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 0 else pa.int64()) for i, c in enumerate(rows)], names=names)
+            if len(rows[0]) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
+                rows = [[] for _ in schema]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
 
 
-SUFFIXES = "lead binary, tkey binary, a long, lo long, n long, before binary, after binary"
+SUFFIXES = "gram binary, tkey binary, a long, akey long, ctx long, copies boolean, several boolean, hot boolean, before binary, after binary"
 
 
+@tidy()
 def _suffix_rows(batches):
-    names = [c.split()[0] for c in SUFFIXES.split(", ")]
-    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    """The bytes around the places that ``need`` names in each text."""
+    schema = _schema(SUFFIXES)
     for batch in batches:
         for tkey, text, need in zip(*(batch.column(c).to_pylist() for c in ("tkey", "text", "need"))):
             b, rows = raw(text), []
             for x in need:
-                a, lo, n = x["a"], x["lo"], x["n"]
-                rows.append((b[a : a + LEAD], tkey, a, lo, n, b[lo:a], b[a : lo + n - 1 + WINDOW]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+                a = x["a"]
+                rows.append((b[a : a + GRAM], tkey, a, x["akey"], x["ctx"], x["copies"], x["several"], x["hot"], b[a - x["l"] : a], b[a : a + x["r"]]))
+                if len(rows) >= 8192:
+                    yield _batch(schema, rows)
+                    rows = []
+            yield _batch(schema, rows)
 
 
 def _matrix(parts: list[bytes], width: int) -> np.ndarray:
-    """Rows of byte values from 1, 0 behind the end."""
-    out = np.zeros((len(parts), width), np.uint16)
-    for i, p in enumerate(parts):
-        out[i, : len(p)] = np.frombuffer(p, np.uint8)
-    out += (np.arange(width) < np.array([len(p) for p in parts])[:, None]).astype(np.uint16)
-    return out
+    """Rows of bytes, filled with zeros, as big-endian words: their order is that of the bytes."""
+    width = -(-width // 8) * 8
+    return np.frombuffer(b"".join(p.ljust(width, b"\0") for p in parts), ">u8").reshape(len(parts), -1).astype(np.uint64)
 
 
 def multikey_quicksort(rows: np.ndarray) -> np.ndarray:
-    """The order of byte strings: three-way partition on one column, the middle goes one on."""
+    """The order of rows: three-way partition on one column, the middle goes on with the next."""
     out, todo = [], [(np.arange(len(rows)), 0)]
     while todo:
         part, depth = todo.pop()
         while len(part) > 1 and depth < rows.shape[1]:
             key = rows[part, depth]
-            if key[0] == key[-1] and (key == key[0]).all():
+            pivot = key[len(key) // 2]
+            less, more = key < pivot, key > pivot
+            low, high = part[less], part[more]
+            if not len(low) and not len(high):
                 depth += 1
                 continue
-            pivot = np.sort(key)[len(key) // 2]
-            todo.append((part[key > pivot], depth))
-            todo.append((part[key == pivot], depth + 1))
-            part = part[key < pivot]
+            if len(high):
+                todo.append((high, depth))
+            todo.append((part[~(less | more)], depth + 1))
+            part = low
         out.append(part)
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-def _common(x: np.ndarray) -> np.ndarray:
-    """Leading columns that are all true."""
-    return np.where(x.all(-1), x.shape[-1], (~x).argmax(-1))
-
-
-def repeated(rows: list[tuple[int, int, int, bytes, bytes]]) -> list[list[tuple[int, int]]]:
-    """For suffixes (anchor, first window, windows, bytes before, bytes from the anchor on) of
-    one k-gram: the ranges (first, last) of windows of each that another one has too."""
-    g = len(rows)
-    left, right = _matrix([r[3][::-1] for r in rows], _SPAN), _matrix([r[4] for r in rows], WINDOW)
-    found: list[list[tuple[int, int]]] = [[] for _ in rows]
-    # a window that starts o bytes before the anchor shares o bytes to the left and WINDOW - o to the right
-    near = [a - lo - n + 1 for a, lo, n, _, _ in rows]
-    far = [a - lo for a, lo, n, _, _ in rows]
-    if g <= PAIRWISE:
-        for i in range(g - 1):
-            l = np.minimum(_common(left[i + 1 :] == left[i]), [len(rows[j][3]) for j in range(i + 1, g)])
-            r = np.minimum(_common(right[i + 1 :] == right[i]), [len(rows[j][4]) for j in range(i + 1, g)])
-            for j, lo, hi in zip(range(i + 1, g), (WINDOW - r).tolist(), l.tolist()):
-                lo, hi = max(lo, near[i], near[j]), min(hi, far[i], far[j])
-                if lo <= hi:
-                    for k in (i, j):
-                        found[k].append((rows[k][0] - hi, rows[k][0] - lo))
-        return found
-    ranks = []
-    for m in (left, right):
-        order = multikey_quicksort(m)
-        ranks.append((order, np.concatenate([[0], _common(m[order[1:]] == m[order[:-1]])])))
-    near, far = np.array(near), np.array(far)
-    classes = np.empty((2, g), np.int64)
-    for o in range(int(near.min()), int(far.max()) + 1):
-        rows_here = np.flatnonzero((near <= o) & (o <= far))
-        if len(rows_here) < 2:
-            continue
-        for k, depth in enumerate((o, WINDOW - o)):
-            order, lcp = ranks[k]
-            classes[k, order] = np.cumsum(lcp < depth)
-        both = classes[0, rows_here] * (g + 1) + classes[1, rows_here]
-        _, where, count = np.unique(both, return_inverse=True, return_counts=True)
-        for k in rows_here[count[where] > 1].tolist():
-            p = rows[k][0] - o
-            if found[k] and found[k][-1][0] == p + 1:
-                found[k][-1] = (p, found[k][-1][1])
-            else:
-                found[k].append((p, p))
-    return found
-
-
-RANGES = "tkey binary, lo long, n long"
-
-
-def _bucket(batches):
-    """Suffixes in order of their leading bytes; a group goes on over batches."""
-    group: list[dict] = []
-
-    def done():
-        by: dict[bytes, list[dict]] = {}
-        for r in group:
-            by.setdefault(r["after"][:GRAM], []).append(r)
-        out = []
-        for same in by.values():
-            if len(same) > 1:
-                for r, ranges in zip(same, repeated([(r["a"], r["lo"], r["n"], r["before"], r["after"]) for r in same])):
-                    out += [(r["tkey"], lo, hi - lo + 1) for lo, hi in ranges]
+def common(m: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Leading bytes that each row shares with the one before it in ``order``; the first has none."""
+    out = np.zeros(len(order), np.int64)
+    if len(order) < 2:
         return out
+    x, y = m[order[1:]], m[order[:-1]]
+    differs = x != y
+    first = differs.argmax(1)
+    at = np.arange(len(first))
+    words = (x[at, first] ^ y[at, first]).astype(">u8").view(np.uint8).reshape(-1, 8)
+    out[1:] = np.where(differs.any(1), 8 * first + (words != 0).argmax(1), 8 * m.shape[1])
+    return out
+
 
+def repeated(after: list[bytes], before: list[bytes], text: np.ndarray, several: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(row, kind, least offset, greatest offset) of windows that another row has too.
+
+    A window of SIZES[kind] bytes starts ``offset`` bytes before the row's anchor.  Rows
+    are suffixes of whole k-grams; windows of kind 1 count only if the rows are of different
+    texts (``text`` numbers them) or one of them is ``several``, that is, of more than one.
+    """
+    right = _matrix(after, WINDOW)
+    order = multikey_quicksort(right)
+    shared = common(right, order)
+    group = np.empty(len(order), np.uint64)
+    group[order] = np.cumsum(shared < GRAM)
+    left = np.concatenate([group[:, None], _matrix([b[::-1] for b in before], WINDOW - GRAM)], 1)
+    order_l = multikey_quicksort(left)
+    shared_l = common(left, order_l) - 8  # the number of the k-gram is no byte of the text
+    n_left = np.array([len(b) for b in before])
+    n_right = np.array([len(b) for b in after])
+    by_right, by_left = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
     out = []
+    for kind, size in enumerate(SIZES):
+        last = np.minimum(n_left, size - GRAM)
+        first = np.maximum(0, size - n_right)
+        opened = np.full(len(order), -1)
+        for o in range(0, size - GRAM + 2):
+            here = np.flatnonzero((first <= o) & (o <= last)) if o <= size - GRAM else np.empty(0, np.int64)
+            hit = np.zeros(len(order), bool)
+            if len(here) > 1:
+                by_right[order] = np.cumsum(shared < size - o)
+                by_left[order_l] = np.cumsum(shared_l < o)
+                key = by_right[here] * (len(order) + 1) + by_left[here]
+                _, place, count = np.unique(key, return_inverse=True, return_counts=True)
+                two = count > 1
+                if kind:
+                    least, most = np.full(len(count), 1 << 62), np.full(len(count), -1)
+                    np.minimum.at(least, place, text[here])
+                    np.maximum.at(most, place, text[here])
+                    mixed = np.zeros(len(count), bool)
+                    mixed[place[several[here]]] = True
+                    two &= mixed | (least < most)
+                hit[here[two[place]]] = True
+            for i in np.flatnonzero(~hit & (opened >= 0)).tolist():
+                out.append((i, kind, int(opened[i]), o - 1))
+            opened[~hit] = -1
+            opened[hit & (opened < 0)] = o
+    return out
+
+
+#: Windows of a text (or of every copy of a suffix, where ``copies``): offsets before the anchor ``a``.
+RANGES = "tkey binary, akey long, ctx long, copies boolean, kind int, a long, least int, most int"
+
+
+@tidy()
+def _bucket(batches, chunk: int):
+    """Repeated windows of suffixes that come in order of their k-grams, by chunks of whole k-grams."""
+    schema = _schema(RANGES)
+    held: list[dict] = []
+
+    def done(rows: list[dict]):
+        number = {t: i for i, t in enumerate({r["tkey"]: None for r in rows})}
+        text = np.array([number[r["tkey"]] for r in rows], np.int64)
+        several = np.array([r["several"] for r in rows], bool)
+        found = repeated([r["after"] for r in rows], [r["before"] for r in rows], text, several)
+        return _batch(schema, [(r["tkey"], r["akey"], r["ctx"], r["copies"], kind, r["a"], lo, hi) for i, kind, lo, hi in found for r in (rows[i],)])
+
     for batch in batches:
         for row in batch.to_pylist():
-            if group and group[-1]["lead"] != row["lead"]:
-                out += done()
-                group = []
-            group.append(row)
-        if len(out) > 20_000:
-            yield _ranges(out)
-            out = []
-    yield _ranges(out + done())
+            if len(held) >= chunk and held[-1]["gram"] != row["gram"]:
+                yield done(held)
+                held = []
+            held.append(row)
+    if held:
+        yield done(held)
+
 
+WINDOWS = "window binary, kind int, tkey binary, a long, o int, akey long, ctx long, copies boolean, several boolean"
 
-def _ranges(rows):
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["tkey", "lo", "n"])
 
+@tidy()
+def _window_rows(batches):
+    """Every window of suffixes of hot k-grams, by a hash of its bytes."""
+    schema = _schema(WINDOWS)
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            data, l = r["before"] + r["after"], len(r["before"])
+            for kind, size in enumerate(SIZES):
+                for o in range(max(0, size - len(r["after"])), min(l, size - GRAM) + 1):
+                    rows.append((xxhash.xxh3_128_digest(data[l - o : l - o + size]), kind, r["tkey"], r["a"], o, r["akey"], r["ctx"], r["copies"], r["several"]))
+            if len(rows) >= 16_384:
+                yield _batch(schema, rows)
+                rows = []
+        yield _batch(schema, rows)
 
-def cut(data: bytes, windows: list[tuple[int, int]]) -> tuple[bytes, int]:
-    """The bytes that no window covers, and the number of maximal covered runs."""
-    kept, at, runs = [], 0, 0
-    end = -1
-    for lo, n in sorted(windows):
-        hi = lo + n - 1 + WINDOW
-        if lo > end:
-            runs += 1
-        if lo > at:
-            kept.append(data[at:lo])
-        at = end = max(end, hi)
-    kept.append(data[max(at, 0) :])
-    return b"".join(kept), runs
 
+def _hot(suffixes: DataFrame) -> DataFrame:
+    """``_bucket`` for hot k-grams: windows meet by their bytes, with partial aggregation before the shuffle."""
+    windows = suffixes.where("hot").mapInArrow(_window_rows, WINDOWS)
+    place = F.struct("tkey", F.col("a") - F.col("o"))
+    found = windows.groupBy("window", "kind").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.min("tkey").alias("t"), F.max("tkey").alias("u"), F.max("several").alias("s"))
+    found = found.where("x <> y and (kind = 0 or t <> u or s)").select("window", "kind")
+    return windows.join(found, ["window", "kind"], "left_semi").select("tkey", "akey", "ctx", "copies", "kind", "a", F.col("o").alias("least"), F.col("o").alias("most"))
 
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
+def _spans(windows, size: int) -> list[tuple[int, int]]:
+    """Maximal runs of bytes that windows (first start, last start) of ``size`` bytes cover."""
+    runs: list[list[int]] = []
+    for lo, hi in sorted(windows):
+        if runs and lo <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], hi + size)
+        else:
+            runs.append([lo, hi + size])
+    return [(a, b) for a, b in runs]
 
+
+def words_inside(data: bytes, lo: int, hi: int) -> int:
+    """Words (between ASCII white space) that lie whole in ``data[lo:hi]``."""
+    inside = lambda at: 0 < at < len(data) and not data[at - 1 : at].isspace() and not data[at : at + 1].isspace()
+    return max(0, len(data[lo:hi].split()) - inside(lo) - inside(hi))
+
+
+OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_bytes long, longest_shared_words long"
+
+
+@tidy()
 def _cut_rows(batches):
+    schema = _schema(OUT)
     for batch in batches:
         rows = []
         for doc_id, text, windows in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "windows"))):
             b = raw(text)
-            kept, runs = cut(b, [(w["lo"], w["n"]) for w in windows or ()])
-            rows.append((doc_id, len(b), len(b) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i == 4 else pa.int64()) for i in range(5)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            gone = _spans([(w["lo"], w["hi"]) for w in windows or () if w["kind"] == 0], WINDOW)
+            shared = _spans([(w["lo"], w["hi"]) for w in windows or () if w["kind"] == 1], PASSAGE)
+            if len(b) >= PASSAGE and any(w["kind"] == 2 for w in windows or ()):  # the whole text is in another document
+                shared = [(0, len(b))]
+            kept = b"".join(b[i:j] for i, j in zip([0, *(e for _, e in gone)], [*(s for s, _ in gone), len(b)]))
+            rows.append((doc_id, len(b), len(b) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), sum(j - i for i, j in shared), max((words_inside(b, i, j) for i, j in shared), default=0)))
+        yield _batch(schema, rows)
 
 
+@tidy()
 def _with_key(batches):
     for batch in batches:
         keys = [xxhash.xxh3_128_digest(raw(t.as_py())) for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=["doc_id", "text", "tkey"])
 
 
+def _every(size: int) -> list:
+    """The least and greatest offsets of windows of ``size`` bytes around an anchor."""
+    return [F.greatest(F.lit(0), F.lit(size) - F.col("r")).alias("least"), F.least("l", F.lit(size - GRAM)).alias("most")]
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_bytes, longest_shared_words for every row.
 
     Removed is each byte that a WINDOW-byte string covers which also starts elsewhere,
-    in this text or another; a repeated row is another text.  Texts shorter than a
-    window stay whole; null counts as empty; an empty table gives no rows.
+    in this text or another; a repeated row is another text.  ``n_shared_bytes`` counts
+    bytes of PASSAGE-byte strings that stand in another row too, and
+    ``longest_shared_words`` the words in the longest run of such bytes.  Texts shorter
+    than these strings have none; null counts as empty; an empty table gives no rows.
     """
-    docs = id_and_text(docs)
-    found = keep(docs.mapInArrow(_anchor_rows, ANCHORS), "anchors")
-    one = F.min(F.struct("tkey", "lo", "n", "a")).alias("one")
-    classes = found.groupBy("akey", "ctx").agg(F.count("*").alias("copies"), one)
-    classes = keep(classes.withColumn("open", (F.col("copies") == 1).cast("int")), "classes")
-    keys = classes.groupBy("akey").agg(F.count("*").alias("kinds"), F.max("open").alias("open")).where("kinds > 1 and open = 1").select("akey")
-    need = classes.join(keys, "akey").select("one.*").groupBy("tkey").agg(F.collect_list(F.struct("lo", "n", "a")).alias("need"))
-    keyed = docs.mapInArrow(_with_key, "doc_id long, text string, tkey binary")
-    once = keyed.groupBy("tkey").agg(F.min("text").alias("text"))
-    suffixes = keep(once.join(need, "tkey").mapInArrow(_suffix_rows, SUFFIXES), "suffixes")
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ranges = suffixes.repartitionByRange(buckets, "lead").sortWithinPartitions("lead").mapInArrow(_bucket, RANGES)
-    copied = found.join(classes.where("copies > 1").select("akey", "ctx"), ["akey", "ctx"], "left_semi").select("tkey", "lo", "n")
-    windows = copied.unionByName(sorted_ranges).groupBy("tkey").agg(F.collect_set(F.struct("lo", "n")).alias("windows"))
+    spark, docs = docs.sparkSession, id_and_text(docs)
+    with scratch(spark) as hand_on:
+        found = keep(docs.mapInArrow(partial(_anchor_rows, block=BLOCK), ANCHORS), "anchors")
+        one = F.min(F.struct("tkey", "a", "l", "r")).alias("one")
+        classes = found.groupBy("akey", "ctx").agg(F.count("*").alias("n"), one, F.max("tkey").alias("last"))
+        classes = keep(classes.select("akey", "ctx", "one.*", (F.col("n") > 1).alias("copies"), (F.col("one.tkey") != F.col("last")).alias("several")), "classes")
+        keys = classes.groupBy("akey").agg(F.count("*").alias("kinds"), F.min("several").alias("settled")).where("kinds > 1 and not settled")
+        need = classes.join(keys.select("akey", (F.col("kinds") > HOT).alias("hot")), "akey")
+        need = need.groupBy("tkey").agg(F.collect_list(F.struct("a", "l", "r", "akey", "ctx", "copies", "several", "hot")).alias("need"))
+        keyed = docs.mapInArrow(_with_key, "doc_id long, text string, tkey binary")
+        once = keyed.groupBy("tkey").agg(F.min("text").alias("text"))
+        suffixes = keep(once.join(need, "tkey").mapInArrow(_suffix_rows, SUFFIXES), "suffixes")
+        ranges = suffixes.where("not hot").repartitionByRange("gram").sortWithinPartitions("gram").mapInArrow(partial(_bucket, chunk=CHUNK), RANGES)
+        if suffixes.where("hot").limit(1).count():
+            ranges = ranges.unionByName(_hot(suffixes))
+        ranges = keep(ranges, "ranges")
+
+        # what holds for one of the equal suffixes of a class holds for each
+        whole = classes.where("copies").select("akey", "ctx", F.lit(0).alias("kind"), *_every(WINDOW))
+        whole = whole.unionByName(classes.where("several").select("akey", "ctx", F.lit(1).alias("kind"), *_every(PASSAGE)))
+        whole = whole.unionByName(ranges.where("copies and kind = 1").select("akey", "ctx", "kind", "least", "most")).where("least <= most")
+        windows = found.select("akey", "ctx", "tkey", "a").join(whole, ["akey", "ctx"]).select("tkey", "kind", "a", "least", "most")
+        windows = windows.unionByName(ranges.select("tkey", "kind", "a", "least", "most"))
+        windows = windows.select("tkey", "kind", (F.col("a") - F.col("most")).alias("lo"), (F.col("a") - F.col("least")).alias("hi"))
+        several = keyed.groupBy("tkey").agg(F.count("*").alias("n")).where("n > 1").select("tkey", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))
+        windows = hand_on(keep(windows.unionByName(several).groupBy("tkey").agg(F.collect_set(F.struct("kind", "lo", "hi")).alias("windows")), "windows"))
     return keyed.join(windows, "tkey", "left").select("doc_id", "text", "windows").mapInArrow(_cut_rows, OUT)
