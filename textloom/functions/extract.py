@@ -43,23 +43,41 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(text.rlike(pattern), fold).otherwise(empty(SPAN))
 
 
-def line_of(text: Column, start: Column) -> Column:
-    before = F.substring(text, F.lit(1), start)
-    return 1 + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
+PLACE = "array<struct<byte:int,line:int,col:int,unit:int>>"
 
 
-def col_of(text: Column, start: Column) -> Column:
-    return 1 + F.length(F.substring_index(F.substring(text, F.lit(1), start), "\n", -1))
-
-
-def byte_of(text: Column, start: Column) -> Column:
-    return F.octet_length(F.substring(text, F.lit(1), start))
+def places(text: Column, offsets: Column) -> Column:
+    """For ascending code-point offsets: byte offset, line and column (from 1), and 0-based UTF-16 column.
 
+    One fold; each step reads the characters since the offset before it, so the whole is
+    linear in the text.  Characters are cut from fixed-width code units, where a place
+    is found without counting from the start.
+    """
 
-def utf16_of(text: Column, start: Column) -> Column:
-    """0-based column in UTF-16 units."""
-    last = F.substring_index(F.substring(text, F.lit(1), start), "\n", -1)
-    return (F.length(F.encode(last, "UTF-16BE")) / 2).cast("int")
+    def fold(units: Column) -> Column:
+        def step(acc: Column, at: Column) -> Column:
+            return F.aggregate(  # the characters between two offsets, bound once
+                F.array(F.decode(F.substring(units, 4 * acc["at"] + 1, 4 * (at - acc["at"])), "UTF-32")),
+                acc,
+                lambda a, part: F.aggregate(
+                    F.array(F.substring_index(part, "\n", -1)),
+                    a,
+                    lambda p, last: F.struct(
+                        at.cast("int").alias("at"),
+                        (p["byte"] + F.octet_length(part)).alias("byte"),
+                        (p["line"] + F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit("")))).alias("line"),
+                        (F.length(last) + F.when(F.length(last) < F.length(part), 1).otherwise(p["col"])).alias("col"),
+                        (F.octet_length(F.encode(last, "UTF-16BE")) / 2 + F.when(F.length(last) < F.length(part), 0).otherwise(p["unit"])).cast("int").alias("unit"),
+                        p["out"].alias("out"),
+                    ),
+                ),
+                lambda a: a.withField("out", F.array_append(a["out"], F.struct(a["byte"].alias("byte"), a["line"].alias("line"), a["col"].alias("col"), a["unit"].alias("unit")))),
+            )
+
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("byte"), F.lit(1).alias("line"), F.lit(1).alias("col"), F.lit(0).alias("unit"), empty(PLACE).alias("out"))
+        return F.aggregate(offsets, start, step, lambda acc: acc["out"])
+
+    return F.element_at(F.transform(F.array(F.encode(text, "UTF-32")), fold), 1)
 
 
 def stripped(text: Column) -> Column:

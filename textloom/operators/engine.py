@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.extract import byte_of, col_of, empty, line_of, utf16_of
+from ..functions.extract import empty, places
 from ..plans.rules import DELETE_BLOCK, DELETE_LINE, FLAG, Rule, Settings
 from .comments import comment_spans, file_type
 
@@ -34,6 +34,14 @@ def _of_rule(text: Column, reg: int, rule: Rule) -> Column:
     return F.transform(rule.spans(text), match).cast(MATCHES)
 
 
+def once(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with ``columns`` behind a generator of one row, so that filters and further uses of a column
+    read its value: the optimizer would put the whole expression in place of each use."""
+    rest = [c for c in df.columns if c not in columns]
+    one = df.select(*rest, F.explode(F.array(F.struct(*columns))).alias("_once"))
+    return one.select(*rest, *(F.col(f"_once.{c}").alias(c) for c in columns))
+
+
 def raw_matches(df: DataFrame, settings: Settings) -> DataFrame:
     """``df`` (path, ext, content, ...) with file_type, comment_spans and the gated, expanded matches."""
     df = df.withColumn("file_type", file_type(F.col("ext"), settings.lang)).withColumn("comment_spans", comment_spans(F.col("content"), F.col("ext")))
@@ -53,7 +61,7 @@ def raw_matches(df: DataFrame, settings: Settings) -> DataFrame:
     keep = lambda m: (m["confidence"] >= settings.min_confidence) & (
         (F.col("file_type") != "code") | (m["category"] != "prose") | F.exists("comment_spans", lambda s: (s["start"] <= m["start"]) & (s["end"] >= m["end"]))
     )
-    return df.withColumn("matches", F.transform(F.filter("matches", keep), _whole_lines(text)))
+    return once(df.withColumn("matches", F.transform(F.filter("matches", keep), _whole_lines(text))), "matches")
 
 
 def _whole_lines(text: Column):
@@ -107,24 +115,35 @@ def applied(text: Column, matches: Column) -> Column:
 
 def process(df: DataFrame, settings: Settings) -> DataFrame:
     """``df`` with file_type, resolved ``matches``, ``cleaned`` and ``density`` (matches in 1000 characters)."""
-    df = raw_matches(df, settings).withColumn("matches", resolved(F.col("matches")))
+    df = once(raw_matches(df, settings).withColumn("matches", resolved(F.col("matches"))), "matches")
     n = F.length("content")
     density = F.when(n > 0, 1000.0 * F.size("matches") / n).otherwise(0.0)
     return df.withColumn("cleaned", applied(F.col("content"), F.col("matches"))).withColumn("density", F.coalesce(density, F.lit(0.0)))
 
 
+def placed(*ends: str) -> Column:
+    """The matches in order, each with the places of its ``start`` and, if asked, ``end``."""
+
+    def of(matches: Column) -> Column:
+        out = F.transform(matches, lambda m: F.struct(m.alias("m")))
+        for e in ends:
+            at = places(F.col("content"), F.transform(matches, lambda m: m[e]))  # noqa: B023
+            out = F.zip_with(out, at, lambda x, p: x.withField(e, p))  # noqa: B023
+        return out
+
+    return F.element_at(F.transform(F.array(F.array_sort("matches")), of), 1)
+
+
 def match_rows(df: DataFrame, *keys: str) -> DataFrame:
     """A row per match, with line and column; the text leaves the plan here."""
-    rows = df.select(*keys, "content", F.explode("matches").alias("m"))
-    text, start = F.col("content"), F.col("m.start")
-    return rows.select(*keys, "m.*", line_of(text, start).alias("line"), col_of(text, start).alias("col"))
+    rows = once(df.withColumn("_p", placed("start")), "_p").select(*keys, F.explode("_p").alias("p"))
+    return rows.select(*keys, "p.m.*", F.col("p.start.line").alias("line"), F.col("p.start.col").alias("col"))
 
 
 def diagnostics(df: DataFrame, *keys: str) -> DataFrame:
     """Editor diagnostics: 0-based positions in UTF-16 units, severity by kind and confidence."""
-    rows = df.select(*keys, "content", F.explode("matches").alias("m"))
-    text = F.col("content")
-    at = [(line_of(text, F.col(f"m.{e}")) - 1).alias(f"{e}_line") for e in ("start", "end")] + [utf16_of(text, F.col(f"m.{e}")).alias(f"{e}_character") for e in ("start", "end")]
+    rows = once(df.withColumn("_p", placed("start", "end")), "_p").select(*keys, F.explode("_p").alias("p")).select(*keys, "p.*")
+    at = [(F.col(f"{e}.line") - 1).alias(f"{e}_line") for e in ("start", "end")] + [F.col(f"{e}.unit").alias(f"{e}_character") for e in ("start", "end")]
     severity = F.when(F.col("m.kind") == FLAG, "Warning").when(F.col("m.confidence") >= 0.85, "Error").otherwise("Warning")
     return rows.select(*keys, *at, severity.alias("severity"), F.col("m.rule_id").alias("rule_id"), F.col("m.description").alias("message"), F.col("m.kind").alias("kind"), F.col("m.suggestion").alias("new_text"))
 
@@ -145,10 +164,6 @@ def offset_at(text: Column, line: int, character: int) -> Column:
     return F.when(F.size(lines) > line, above + F.octet_length(part)).otherwise(F.octet_length(text))
 
 
-def with_bytes(rows: DataFrame, text: Column) -> DataFrame:
-    return rows.withColumn("byte_start", byte_of(text, F.col("start"))).withColumn("byte_end", byte_of(text, F.col("end")))
-
-
 def apply_decisions(df: DataFrame, decisions: DataFrame, *keys: str) -> DataFrame:
     """Keep the accepted matches of each document and apply them.
 
