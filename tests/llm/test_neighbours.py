@@ -46,3 +46,27 @@ def test_edges(spark):
 def test_prune_keeps_diverse_edges():
     x = np.array([[0, 0], [1, 0], [1.1, 0], [0, 2]], np.float32)
     assert robust_prune(x, np.array([0]), np.array([[1, 2, 3, -1, 0]]), 1.2, 3).tolist() == [[1, 3, -1]]
+
+
+def test_lengths_of_any_size_and_repeated_identifiers(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(60, 6))
+    for size in (1e-20, 1.0, 1e20):
+        rows = [(i, [float(np.float32(v)) for v in x * size * (1 + i % 3)]) for i, x in enumerate(base)]
+        rows += [(0, rows[0][1]), (5, [float(np.float32(size))] * 6)]
+        held = {}
+        for i, x in rows:
+            held[i] = min(held.get(i, x), x)
+        found = {(r.query_id, r.rank): (r.vec_id, r.score) for r in neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+        for q in range(0, 60, 20):
+            v = np.array(held[q])
+            want = sorted((-float((np.array(x) * v).sum()), i) for i, x in held.items() if i != q)[:20]
+            assert [found[q, k + 1][0] for k in range(20)] == [i for _, i in want]
+            assert all(abs(found[q, k + 1][1] + s) <= 1e-12 * abs(s) for k, (s, _) in enumerate(want))
+
+
+def test_vectors_of_unlike_length(spark):
+    rows = [(i, [1.0 + i, 2.0]) for i in range(30)] + [(100 + i, [1.0, 2.0, float(i)]) for i in range(30)]
+    found = neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert {r.query_id for r in found} == {0, 20, 100, 120}
+    assert all((r.query_id < 100) == (r.vec_id < 100) for r in found) and len(found) == 80

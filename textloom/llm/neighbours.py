@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import keep
+from .runtime import keep, scratch, tidy
 
 #: Edges of a node, beam of construction and of search, and how much longer a kept edge may be.
 DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX = 24, 40, 64, 1.2
 NEAREST = 20
-#: Shards, as long as none has more vectors than this; queries that are searched at once.
-SHARDS, SHARD_ROWS, QUERY_BLOCK = 8, 65_536, 8192
+#: Shards, as long as none has more vectors than this, on average.
+SHARDS, SHARD_ROWS = 8, 16_384
 _BATCH = 256
 
 
@@ -99,9 +99,18 @@ def build(x: np.ndarray, seed: int = 5) -> tuple[np.ndarray, int]:
 
 
 def _flat(x: np.ndarray) -> np.ndarray:
-    """One more component, so that nearest by distance is largest by inner product."""
-    norm = (x.astype(np.float64) ** 2).sum(1)
-    return np.concatenate([x, np.sqrt(np.maximum(norm.max() - norm, 0))[:, None]], 1).astype(np.float32)
+    """Scaled to norms of at most 1, and one more component, so that nearest by distance is largest by
+    inner product.  Norms are taken in double precision: squares of any finite float fit."""
+    wide = x.astype(np.float64)
+    norm = np.sqrt((wide**2).sum(1))
+    most = norm.max()
+    return np.concatenate([wide / most, np.sqrt(np.maximum(1 - (norm / most) ** 2, 0))[:, None]], 1).astype(np.float32)
+
+
+def _directions(q: np.ndarray) -> np.ndarray:
+    """Queries of norm 1: their length does not change what is nearest."""
+    wide = q.astype(np.float64)
+    return np.concatenate([wide / np.sqrt((wide**2).sum(1))[:, None], np.zeros((len(q), 1))], 1).astype(np.float32)
 
 
 def _index(key, table):
@@ -123,32 +132,49 @@ INDEX = "shard long, dim int, start long, vectors binary, graph binary, members
 FOUND = "query_id long, vec_id long, score double"
 
 
-def _search(batches, queries: list[tuple[int, bytes]], nearest: int):
-    q_ids = [i for i, _ in queries]
+@tidy()
+def _search(batches, nearest: int):
+    """Rows in order of shard: its index, then the queries, which stream by it."""
+    held = None
     for batch in batches:
-        for row in batch.to_pylist():
-            x = np.frombuffer(row["vectors"], np.float32).reshape(-1, row["dim"])
-            graph, members = np.frombuffer(row["graph"], np.int32).reshape(len(x), -1).astype(np.int64), row["members"]
-            flat = _flat(x)
-            q = np.stack([np.frombuffer(v, np.float32) for _, v in queries])
-            for lo in range(0, len(q), _BATCH):
-                part = q[lo : lo + _BATCH]
-                ids, _, _ = beam_search(flat, graph, row["start"], np.concatenate([part, np.zeros((len(part), 1), np.float32)], 1), SEARCH_BEAM)
-                score = (x[ids].astype(np.float64) * part[:, None, :].astype(np.float64)).sum(2)
-                out = []
-                for k, (node, s) in enumerate(zip(ids, score)):
-                    own = q_ids[lo + k]
-                    found = sorted((-v, m) for i, v in zip(node.tolist(), s.tolist()) if i >= 0 for m in members[i] if m != own)
-                    out += [(own, m, -v) for v, m in found[:nearest]]
-                yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+        shard, kind = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
+        edges = np.flatnonzero(np.diff(shard) | np.diff(kind)) + 1
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(shard)]):
+            part = batch.slice(lo, hi - lo)
+            if lo == hi:
+                continue
+            if kind[lo] == 0:
+                row = {c: part.column(c)[0].as_py() for c in ("dim", "start", "vectors", "graph", "members")}
+                x = np.frombuffer(row["vectors"], np.float32).reshape(-1, row["dim"])
+                held = (x, _flat(x), np.frombuffer(row["graph"], np.int32).reshape(len(x), -1).astype(np.int64), row["start"], row["members"])
+            else:
+                q = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1)
+                yield from _found(held, part.column("query_id").to_pylist(), q, nearest)
+
+
+def _found(held, q_ids: list[int], q: np.ndarray, nearest: int):
+    x, flat, graph, start, members = held
+    for lo in range(0, len(q), _BATCH):
+        part = q[lo : lo + _BATCH]
+        ids, _, _ = beam_search(flat, graph, start, _directions(part), SEARCH_BEAM)
+        score = (x[ids].astype(np.float64) * part[:, None, :].astype(np.float64)).sum(2)
+        out = []
+        for own, node, s in zip(q_ids[lo : lo + _BATCH], ids.tolist(), score.tolist()):
+            found = sorted((-v, m) for i, v in zip(node, s) if i >= 0 for m in members[i] if m != own)
+            out += [(own, m, -v) for v, m in found[:nearest]]
+        yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding of vectors that are not null, not zero, of finite components."""
+    """vec_id and embedding of vectors that are not null, not zero, of finite components.
+
+    A vec_id counts once: of rows that give it different vectors, the least vector is taken.
+    """
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where(
+    good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where(
         F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad & F.exists("embedding", lambda v: v != 0)
     )
+    return good.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
 def build_index(vectors: DataFrame, nearest: int = NEAREST) -> DataFrame:
@@ -158,8 +184,13 @@ def build_index(vectors: DataFrame, nearest: int = NEAREST) -> DataFrame:
     more), cut before the shuffle by Spark's partial group limit.  Vectors of unlike
     length go to shards of their own.
     """
+    with scratch(vectors.sparkSession) as hand_on:
+        return hand_on(_build_index(vectors, nearest))
+
+
+def _build_index(vectors: DataFrame, nearest: int) -> DataFrame:
     first = Window.partitionBy("embedding").orderBy("vec_id")
-    some = usable(vectors).distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= nearest + 1)
+    some = usable(vectors).withColumn("r", F.row_number().over(first)).where(F.col("r") <= nearest + 1)
     distinct = keep(some.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "distinct")
     shards = max(SHARDS, -(-distinct.count() // SHARD_ROWS))
     placed = distinct.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)) + F.size("embedding") * F.lit(1_000_000))
@@ -169,23 +200,17 @@ def build_index(vectors: DataFrame, nearest: int = NEAREST) -> DataFrame:
 def search(index: DataFrame, queries: DataFrame, nearest: int = NEAREST) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``nearest`` largest inner products found.
 
-    Queries (vec_id, embedding) go in blocks of QUERY_BLOCK against all shards, so a
-    task and the driver hold one block; scores are double-precision products of the
-    original vectors; ties go to the lesser vec_id; a query is not its own neighbour.
+    Each query is a row for every shard of its length; a task holds one shard's index
+    while its queries stream by.  Scores are double-precision products of the original
+    vectors; ties go to the lesser vec_id; a query is not its own neighbour.
     """
-    queries = usable(queries).dropDuplicates(["vec_id"])
-    blocks = -(-queries.count() // QUERY_BLOCK)
-    out = None
-    for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
-        by_dim: dict[int, list] = {}
-        for r in part:
-            by_dim.setdefault(len(r["embedding"]), []).append((r["vec_id"], np.array(r["embedding"], np.float32).tobytes()))
-        for dim, some in sorted(by_dim.items()):
-            found = index.where(F.col("dim") == dim).repartition(F.col("shard")).mapInArrow(partial(_search, queries=sorted(some), nearest=nearest), FOUND)
-            out = found if out is None else out.unionByName(found)
-    if out is None:
+    shards = [(r["shard"], r["dim"]) for r in index.select("shard", "dim").collect()]  # one for SHARD_ROWS vectors
+    if not shards:
         return index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    of_dim = F.filter(F.array(*(F.struct(F.lit(s).cast("long").alias("shard"), F.lit(d).alias("dim")) for s, d in sorted(shards))), lambda s: s["dim"] == F.size("embedding"))
+    asked = usable(queries).select(F.col("vec_id").alias("query_id"), "embedding", F.inline(of_dim)).select("shard", F.lit(1).alias("kind"), "query_id", "embedding")
+    rows = index.withColumn("kind", F.lit(0)).unionByName(asked, allowMissingColumns=True)
+    out = rows.repartition(len(shards), "shard").sortWithinPartitions("shard", "kind", "query_id").mapInArrow(partial(_search, nearest=nearest), FOUND)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= nearest).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
