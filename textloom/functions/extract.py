@@ -17,6 +17,28 @@ def empty(kind: str) -> Column:
     return F.array().cast(kind)
 
 
+#: Elements of a part of a growing list.
+PART = 64
+
+
+def growing(kind: str) -> Column:
+    """An empty list of type ``kind`` for folds that add to its end: full parts, and the last part.
+
+    Adding to an array copies it; here that is a part at most, or the list of parts.
+    """
+    return F.struct(empty(f"array<{kind}>").alias("full"), empty(kind).alias("last"))
+
+
+def grown(g: Column, x: Column) -> Column:
+    closes = F.size(g["last"]) >= PART - 1
+    last = F.array_append(g["last"], x)
+    return F.struct(F.when(closes, F.array_append(g["full"], last)).otherwise(g["full"]).alias("full"), F.when(closes, F.slice(g["last"], 1, 0)).otherwise(last).alias("last"))
+
+
+def gathered(g: Column) -> Column:
+    return F.flatten(F.array_append(g["full"], g["last"]))
+
+
 def spans(text: Column, pattern: str, group: int = 0) -> Column:
     """All matches of ``pattern``, which must not match the empty string.
 
@@ -33,12 +55,12 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
     shown = (lambda s: s["part"]) if group else (lambda s: s["hit"])
     fold = F.aggregate(
         steps,
-        F.struct(F.lit(0).alias("at"), empty(SPAN).alias("out")),
+        F.struct(F.lit(0).alias("at"), growing(SPAN).alias("out")),
         lambda acc, s: F.struct(
             (acc["at"] + s["gap"] + F.length(s["hit"])).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + s["gap"]).alias("start"), (acc["at"] + s["gap"] + F.length(shown(s))).alias("end"), shown(s).alias("original"))).alias("out"),
+            grown(acc["out"], F.struct((acc["at"] + s["gap"]).alias("start"), (acc["at"] + s["gap"] + F.length(shown(s))).alias("end"), shown(s).alias("original"))).alias("out"),
         ),
-        lambda acc: acc["out"],
+        lambda acc: gathered(acc["out"]),
     )
     return F.when(text.rlike(pattern), fold).otherwise(empty(SPAN))
 
@@ -71,11 +93,11 @@ def places(text: Column, offsets: Column) -> Column:
                         p["out"].alias("out"),
                     ),
                 ),
-                lambda a: a.withField("out", F.array_append(a["out"], F.struct(a["byte"].alias("byte"), a["line"].alias("line"), a["col"].alias("col"), a["unit"].alias("unit")))),
+                lambda a: a.withField("out", grown(a["out"], F.struct(a["byte"].alias("byte"), a["line"].alias("line"), a["col"].alias("col"), a["unit"].alias("unit")))),
             )
 
-        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("byte"), F.lit(1).alias("line"), F.lit(1).alias("col"), F.lit(0).alias("unit"), empty(PLACE).alias("out"))
-        return F.aggregate(offsets, start, step, lambda acc: acc["out"])
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("byte"), F.lit(1).alias("line"), F.lit(1).alias("col"), F.lit(0).alias("unit"), growing(PLACE).alias("out"))
+        return F.aggregate(offsets, start, step, lambda acc: gathered(acc["out"]))
 
     return F.element_at(F.transform(F.array(F.encode(text, "UTF-32")), fold), 1)
 

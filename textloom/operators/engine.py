@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.extract import empty, places
+from ..functions.extract import empty, gathered, growing, grown, places
 from ..plans.rules import DELETE_BLOCK, DELETE_LINE, FLAG, Rule, Settings
 from .comments import comment_spans, file_type
 
@@ -23,7 +23,7 @@ def _of_rule(text: Column, reg: int, rule: Rule) -> Column:
 
     def match(s: Column, i: Column) -> Column:
         o = s["original"]
-        suggestion = s["suggestion"] if rule.files == "captures" else rule.suggest(o) if rule.suggest else F.lit(rule.value)
+        suggestion = s["suggestion"] if rule.captures else rule.suggest(o) if rule.suggest else F.lit(rule.value)
         kind = rule.kind_of(o) if rule.kind_of else F.lit(rule.kind)
         return F.struct(
             s["start"].alias("start"), F.lit(reg).alias("reg"), i.alias("seq"), s["end"].alias("end"), F.lit(rule.id).alias("rule_id"), F.lit(rule.category).alias("category"),
@@ -52,7 +52,7 @@ def raw_matches(df: DataFrame, settings: Settings) -> DataFrame:
         m = _of_rule(text, reg, rule)
         if rule.code_only:
             m = F.when(F.col("file_type") == "code", m).otherwise(empty(MATCHES))
-        if rule.files and rule.files != "captures":
+        if rule.files:
             m = F.when(F.col("path").rlike(rule.files), m).otherwise(empty(MATCHES))
         found.append(m)
     matches = F.flatten(F.array(*found)) if found else empty(MATCHES)
@@ -84,17 +84,17 @@ def resolved(matches: Column) -> Column:
 
     A fold over the matches in (start, priority, emission) order; touching is no overlap.
     """
-    state = F.struct(F.lit(0).alias("to"), F.lit(None).cast(MATCH).alias("best"), empty(MATCHES).alias("out"))
+    state = F.struct(F.lit(0).alias("to"), F.lit(None).cast(MATCH).alias("best"), growing(MATCHES).alias("out"))
 
     def add(acc: Column, m: Column) -> Column:
         same = acc["best"].isNotNull() & (m["start"] < acc["to"])
         return F.struct(
             F.when(same, F.greatest(acc["to"], m["end"])).otherwise(m["end"]).alias("to"),
             F.when(same & (acc["best"]["reg"] <= m["reg"]), acc["best"]).otherwise(m).alias("best"),
-            F.when(same | acc["best"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], acc["best"])).alias("out"),
+            F.when(same | acc["best"].isNull(), acc["out"]).otherwise(grown(acc["out"], acc["best"])).alias("out"),
         )
 
-    end = lambda acc: F.when(acc["best"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], acc["best"]))
+    end = lambda acc: F.when(acc["best"].isNull(), empty(MATCHES)).otherwise(gathered(grown(acc["out"], acc["best"])))
     return F.array_sort(F.aggregate(F.array_sort(matches), state, add, end))
 
 

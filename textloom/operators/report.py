@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.extract import empty, places, stripped
+from ..functions.extract import gathered, growing, grown, places, stripped
 from ..plans.rules import Settings
 from .engine import once, placed
 
@@ -65,21 +65,21 @@ def sentences(text: Column, bytes_of: Column) -> Column:
     parts = F.split(text, r"(?U)(?<=[.!?])(?=\s)", -1)
     folded = F.aggregate(
         F.concat(parts, F.array(F.lit(""))),
-        F.struct(F.lit(0).alias("byte"), F.lit(1).alias("line"), empty(SENTENCES).alias("out")),
+        F.struct(F.lit(0).alias("byte"), F.lit(1).alias("line"), growing(SENTENCES).alias("out")),
         lambda acc, p: F.struct(
             (acc["byte"] + F.octet_length(p)).alias("byte"),
             (acc["line"] + F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))).alias("line"),
-            F.array_append(acc["out"], F.struct(stripped(p).alias("text"), acc["byte"].alias("byte"), acc["line"].alias("line"), F.lit(0).alias("first"))).alias("out"),
+            grown(acc["out"], F.struct(stripped(p).alias("text"), acc["byte"].alias("byte"), acc["line"].alias("line"), F.lit(0).alias("first"))).alias("out"),
         ),
-        lambda acc: acc["out"],
+        lambda acc: gathered(acc["out"]),
     )
     # both lists ascend: in the order of bytes, a start comes after the offsets before it
     marks = F.array_sort(F.concat(F.transform(bytes_of, lambda b: F.struct(b.alias("byte"), F.lit(1).alias("hit"))), F.transform(folded, lambda s: F.struct(s["byte"].alias("byte"), F.lit(0).alias("hit")))))
     first = F.aggregate(
         marks,
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out")),
-        lambda acc, m: F.struct((acc["n"] + m["hit"]).alias("n"), F.when(m["hit"] == 1, acc["out"]).otherwise(F.array_append(acc["out"], acc["n"])).alias("out")),
-        lambda acc: acc["out"],
+        F.struct(F.lit(0).alias("n"), growing("array<int>").alias("out")),
+        lambda acc, m: F.struct((acc["n"] + m["hit"]).alias("n"), F.when(m["hit"] == 1, acc["out"]).otherwise(grown(acc["out"], acc["n"])).alias("out")),
+        lambda acc: gathered(acc["out"]),
     )
     return F.zip_with(folded, first, lambda s, n: s.withField("first", n))
 

@@ -55,10 +55,10 @@ def _trivial(source: str) -> str:
     WHERE 5 * nc >= 4 * nw"""
 
 
-def rule_sql(reg: int, rule: Rule, source: str = "v") -> str:
-    """The rule's matches before gates and widening."""
+def rule_sql(reg: int, rule: Rule, source: str = "v", code: str = f"ext IN ({names(c.CODE)})") -> str:
+    """The rule's matches before gates and widening; ``code`` tells files of code."""
     if rule.code_only:
-        source = f"(SELECT * FROM {source} WHERE ext IN ({names(c.CODE)}))"
+        source = f"(SELECT * FROM {source} WHERE {code})"
     if rule.id == "trivial-comment":
         return _row(reg, rule, _trivial(source), conf="CASE WHEN nc = nw THEN 0.85 ELSE 0.7 END", desc="CASE WHEN nw = 0 THEN 'Trivial comment (stop words only).' ELSE 'Trivial comment restates code.' END")
     if rule.id == "docstring-filler":
@@ -78,13 +78,16 @@ def rule_sql(reg: int, rule: Rule, source: str = "v") -> str:
         inner = f"SELECT doc_id, seq, s, s + length(part) AS e, {stripped('part')} AS original FROM (SELECT *, string_split(original, {NL})[1] AS part FROM ({hits(source, pattern(*r.SQL_DOC))}))"
         return _row(reg, rule, inner)
     inner = " UNION ALL ".join(f"SELECT doc_id, {k} * 1000000 + seq AS seq, s, e, original FROM ({hits(source, pattern(*p))})" for k, p in enumerate(rule.patterns))
+    if rule.patterns[0][1].startswith("(?!["):  # symbols but the allowed ones: RE2 has no lookahead
+        symbols, kept = rule.patterns[0][1].partition("])")[2], rule.patterns[0][1][4:].partition("])")[0]
+        inner = f"SELECT * FROM ({hits(source, pattern('', symbols))}) WHERE original NOT IN ({names(kept.replace(chr(92), ''))})"
     if rule.id == "curly-quotes":
         return _row(reg, rule, inner, suggestion="CASE WHEN original IN ('“', '”') THEN '\"' ELSE '''' END")
     if rule.id == "hollow-intensifiers":
         syn = "CASE lower(original) " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in r.SYNONYMS.items()) + " END"
         cased = "CASE WHEN syn IS NULL THEN '' WHEN original = upper(original) THEN upper(syn) WHEN left(original, 1) = upper(left(original, 1)) THEN upper(left(syn, 1)) || substring(syn, 2) ELSE syn END"
         return _row(reg, rule, f"SELECT *, {syn} AS syn FROM ({inner})", suggestion=cased, kind="CASE WHEN syn IS NULL THEN 'FlagOnly' ELSE 'Replace' END", desc="CASE WHEN syn IS NULL THEN 'Hollow intensifier. Rephrase to be more direct.' ELSE 'Hollow intensifier. Use ''' || syn || ''' instead.' END")
-    if rule.suggest:  # captures of a file rule
+    if rule.captures:
         out = lit(rule.value)
         for i in range(9, 0, -1):
             if f"${i}" in rule.value:
@@ -96,9 +99,9 @@ def rule_sql(reg: int, rule: Rule, source: str = "v") -> str:
 def ctes(view: str, settings: Settings, upto: str) -> str:
     """WITH clause: v, spans, m (gated and widened), and as asked resolved and cleaned."""
     active = [(i, x) for i, x in settings.rules() if x.confidence >= settings.min_confidence or x.id == "trivial-comment"]
-    found = " UNION ALL ".join(rule_sql(i, x) for i, x in active)
     spans = " UNION ALL ".join(f"SELECT doc_id, s, e FROM ({hits(f'(SELECT * FROM v WHERE ext IN ({names(exts)}))', pattern(*p))})" for exts, ps in c.COMMENT_PATTERNS for p in ps)
     code = f"ext IN ({names(c.CODE)})" if settings.lang not in (*c.CODE, *c.PROSE) else str(settings.lang in c.CODE).lower()
+    found = " UNION ALL ".join(rule_sql(i, x, code=code) for i, x in active)
     out = f"""WITH v AS ({duckdb_sql(view)}),
     raw_spans AS ({spans}),
     marked AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM raw_spans),
@@ -129,6 +132,41 @@ def ctes(view: str, settings: Settings, upto: str) -> str:
     cleaned AS (SELECT doc_id, path, content, CASE WHEN deleted AND contains(t, {NL} || {NL} || {NL}) THEN regexp_replace(regexp_replace(t, '\n(?:[ \t\r]*\n)+', {NL} || {NL}, 'g'), '\n+\z', {NL}) ELSE t END AS cleaned FROM spliced)"""
 
 
+def _at(end: str) -> tuple[str, str]:
+    """0-based line and UTF-16 column of a place."""
+    before = f"substring(content, 1, {end})"
+    last = f"string_split({before}, {NL})[-1]"
+    astral = rf"length(regexp_replace({last}, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g'))"
+    return f"(length({before}) - length(replace({before}, {NL}, '')))::INTEGER", f"(length({last}) + {astral})::INTEGER"
+
+
+def diagnostics_sql(view: str, settings: Settings) -> str:
+    (a, b), (x, y) = _at("s"), _at("e")
+    severity = "CASE WHEN kind <> 'FlagOnly' AND confidence >= 0.85 THEN 'Error' ELSE 'Warning' END"
+    return f"""{ctes(view, settings, "resolved")}, diagnostic AS (SELECT doc_id, {a} AS start_line, {b} AS start_character, {x} AS end_line, {y} AS end_character,
+      {severity} AS severity, rule_id, kind, suggestion AS new_text FROM resolved)"""
+
+
+def accepted_sql(view: str, settings: Settings) -> str:
+    """Matches at even offsets are accepted, hedges with an edit."""
+    sql = ctes(view, settings, "cleaned").replace("FROM resolved WHERE kind <> 'FlagOnly'", "FROM accepted WHERE kind <> 'FlagOnly'")
+    one = """accepted AS (SELECT * REPLACE (CASE WHEN rule_id = 'hedges' THEN 'Replace' ELSE kind END AS kind, CASE WHEN rule_id = 'hedges' THEN 'NB: ' ELSE suggestion END AS suggestion) FROM resolved WHERE s % 2 = 0),
+    pieces AS ("""
+    return sql.replace("pieces AS (", one, 1) + " SELECT doc_id, coalesce(n, 0)::BIGINT AS accepted, cleaned FROM cleaned LEFT JOIN (SELECT doc_id, count(*) AS n FROM accepted GROUP BY doc_id) USING (doc_id)"
+
+
+# The rules in order of priority by category, and the categories of the profiles.
+PROFILE_SQL = """WITH rule(n, rule_id, category) AS (VALUES
+  (1, 'em-dash', 'typographic'), (2, 'en-dash', 'typographic'), (3, 'curly-quotes', 'typographic'), (4, 'ellipsis', 'typographic'), (5, 'nbsp', 'typographic'),
+  (6, 'zero-width', 'typographic'), (7, 'soft-hyphen', 'typographic'), (8, 'emoji', 'symbol'), (9, 'decorative-unicode', 'symbol'), (10, 'filler-openers', 'prose'),
+  (11, 'sycophantic-closers', 'prose'), (12, 'hedges', 'prose'), (13, 'transition-padding', 'prose'), (14, 'hollow-intensifiers', 'prose'), (15, 'trivial-comment', 'code'),
+  (16, 'docstring-filler', 'code'), (17, 'rust-verbose-doc', 'pack'), (18, 'rust-trivial-mod-doc', 'pack'), (19, 'python-args-boilerplate', 'pack'),
+  (20, 'python-empty-docstring-section', 'pack'), (21, 'jsts-boilerplate', 'pack'), (22, 'jsts-console-log', 'pack'), (23, 'go-verbose-doc', 'pack'), (24, 'sql-verbose-doc', 'pack')),
+profile(profile, more) AS (VALUES ('conservative', ''), ('prose', 'prose'), ('code', 'code'), ('aggressive', 'prose code'),
+  ('rust-pack', 'code pack'), ('python-pack', 'code pack'), ('jsts-pack', 'code pack'), ('go-pack', 'code pack'), ('sql-pack', 'code pack'))
+SELECT profile, (row_number() OVER (PARTITION BY profile ORDER BY n) - 1)::INTEGER AS priority, rule_id
+FROM profile JOIN rule ON category IN ('typographic', 'symbol') OR list_contains(string_split(more, ' '), category)"""
+
 LINE = f"(1 + length(substring(content, 1, s)) - length(replace(substring(content, 1, s), {NL}, '')))::INTEGER"
 COL = f"(1 + length(string_split(substring(content, 1, s), {NL})[-1]))::INTEGER"
 

@@ -136,6 +136,7 @@ def rule_file_errors(spark, sf_dir):
 
 def watch_stream(spark, sf_dir):
     """The watch operator over an append log of changes, read as a stream once."""
+    import tempfile
     import uuid
 
     from ..streaming.watch import watch
@@ -144,8 +145,8 @@ def watch_stream(spark, sf_dir):
     log = log.unionByName(log.select("path", F.lit(2).cast("long").alias("seq"), F.concat("content", F.lit("\nI hope this helps")).alias("content")))
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="textloom-")
     at = f"{base}/watch-{uuid.uuid4().hex}"
     log.write.parquet(f"{at}/log")
@@ -225,15 +226,14 @@ def oracle_sql() -> dict[str, str]:
         "file_ranking": top + " SELECT path, n::BIGINT AS total_matches, round(density, 6) AS density FROM scored WHERE n > 0",
         "coverage": o.ctes("prose", ALL_CODE, "resolved") + f" SELECT rule_id FROM (SELECT unnest([{ids}]) AS rule_id) WHERE rule_id NOT IN (SELECT rule_id FROM resolved)",
         "human_report": top + f" SELECT path, path || ':' || {o.LINE} || ':' || {o.COL} || ' [' || rule_id || '] ' || replace(original, chr(10), '↵') || ' -> ' || replace(suggestion, chr(10), '↵') AS line FROM resolved",
-        "profile_matrix": "SELECT * FROM (VALUES " + ", ".join(f"({o.lit(p)}, {i}::INTEGER, {o.lit(r.id)})" for p in _profiles() for i, r in Settings(p).rules()) + ") t(profile, priority, rule_id)",
+        "profile_matrix": o.PROFILE_SQL,
+        "allow_symbols": o.match_sql("prose", Settings("conservative", allow_symbols=("✓", "→x"))),
+        "forced_language": o.match_sql("code", replace(ALL_CODE, lang="md")),
+        "diagnostics": o.diagnostics_sql("prose", ALL_PROSE) + " SELECT * FROM diagnostic",
+        "code_actions": o.diagnostics_sql("prose", ALL_PROSE) + " SELECT * FROM diagnostic WHERE kind <> 'FlagOnly' AND start_line = 0 AND start_character <= 40",
+        "accepted_matches": o.accepted_sql("prose", ALL_PROSE),
     }
     short = "CASE WHEN strlen(t) > 100 THEN left(t, list_max(list_filter(range(0, 98), lambda k: strlen(left(t, k)) <= 97))) || '…' ELSE t END"
     out["sentence_scores"] = starts + f" SELECT doc_id, {short} AS text, line::INTEGER AS line, hits, round(d, 6) AS density, coalesce(words, '') AS matched_words FROM scores"
     out["top5_sentences"] = starts + f" SELECT path, {short} AS text, hits, round(d, 6) AS density FROM scores ORDER BY d DESC, path, line, text LIMIT 5"
     return out
-
-
-def _profiles():
-    from .rules import PROFILES
-
-    return list(PROFILES)

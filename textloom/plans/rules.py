@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,15 +33,28 @@ class Rule:
     severity: str = "warn"
     files: str | None = None
     explain: tuple[str, str, float, str, str] | None = None
-    sql_only_regex: bool = field(default=True)
+    captures: tuple[int, ...] = ()
 
     def spans(self, text: Column) -> Column:
         if self.find:
             return self.find(text)
+        if self.captures:
+            return self._filled(text)
         found = [spans(text, java(*p)) for p in self.patterns]
         return found[0] if len(found) == 1 else F.concat(*found)
 
 
+    def _filled(self, text: Column) -> Column:
+        """Spans with ``suggestion``: ``value`` with the groups $9 .. $1 of each match, as the pattern finds
+        them in the whole text; a group that took no part leaves nothing."""
+        pattern = java(*self.patterns[0])
+        out = F.transform(spans(text, pattern), lambda s: s.withField("suggestion", F.lit(self.value)))
+        for i in self.captures:
+            groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(i))
+            out = F.zip_with(out, groups, lambda s, g: s.withField("suggestion", F.replace(s["suggestion"], F.lit(f"${i}"), g)))  # noqa: B023
+        return F.filter(out, lambda s: s["start"].isNotNull())
+
+
 # Symbols, phrases, synonyms and patterns of the rules.
 EMOJI = "\U0001f000-\U0001faff\u2600-\u27bf\u2300-\u23ff\u2460-\u24ff\u25a0-\u25ff"
 DECORATIVE = "★✓✔→◆▸•●○◯■□▪▫▲▼◀▶♦♣♠♥※†‡§¶"
@@ -106,7 +119,7 @@ def _sql_docs(text: Column) -> Column:
     return F.transform(spans(text, java(*SQL_DOC)), _trimmed)
 
 
-def _without(symbols: str, allowed: tuple[str, ...], listed: bool) -> str:
+def _without(symbols: str, allowed: tuple[str, ...]) -> str:
     """A class of ``symbols`` but the first character of each allowed entry."""
     first = "".join(dict.fromkeys(a[0] for a in allowed if a))
     quoted = "".join("\\" + c if c in "\\]^-[&" else c for c in first)
@@ -123,8 +136,8 @@ def builtin(allow_symbols: tuple[str, ...] = (), phrases: tuple[str, ...] = ())
         Rule("nbsp", "typographic", 1.0, REPLACE, "Non-breaking space (U+00A0) is often generated by LLMs unnecessarily.", (("", "\u00a0"),), " ", explain=doc(("Non-breaking space (U+00A0)", "Replace with regular space", 1.0, "word\u00a0word", "word word"))),
         Rule("zero-width", "typographic", 1.0, REPLACE, "Zero-width character is an invisible typographic artifact.", (("", "[\u200b\u200c\u200d\ufeff]"),), explain=doc(("Zero-width characters: U+200B, U+200C, U+200D, U+FEFF", "Delete — removes the invisible character", 1.0, "word\u200bword", "wordword"))),
         Rule("soft-hyphen", "typographic", 1.0, REPLACE, "Soft hyphen (U+00AD) is an invisible typographic artifact.", (("", "\u00ad"),), explain=doc(("Soft hyphen (U+00AD) — invisible optional hyphen", "Delete — removes the character", 1.0, "soft\u00adhyphen", "softhyphen"))),
-        Rule("emoji", "symbol", 1.0, REPLACE, "Emoji character unlikely to be intentionally typed", (("", _without(EMOJI, allow_symbols, False)),)),
-        Rule("decorative-unicode", "symbol", 1.0, REPLACE, "Decorative Unicode symbol is a common LLM artifact", (("", _without(DECORATIVE, allow_symbols, True)),)),
+        Rule("emoji", "symbol", 1.0, REPLACE, "Emoji character unlikely to be intentionally typed", (("", _without(EMOJI, allow_symbols)),)),
+        Rule("decorative-unicode", "symbol", 1.0, REPLACE, "Decorative Unicode symbol is a common LLM artifact", (("", _without(DECORATIVE, allow_symbols)),)),
         Rule("filler-openers", "prose", 0.95, REPLACE, "Filler opener. State the point directly.", OPENERS, explain=doc(('Phrases at sentence start: "Certainly!", "Absolutely!", "Of course!", "I\'d be happy to"', "Replace(delete) — removes the filler phrase", 0.95, "Certainly! Here is the solution.", "Here is the solution."))),
         Rule("sycophantic-closers", "prose", 0.90, REPLACE, "Sycophantic closer. Delete the phrase.", CLOSERS),
         Rule("hedges", "prose", 0.85, REPLACE, "Hedge phrase. Delete it.", HEDGES),

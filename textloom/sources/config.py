@@ -38,15 +38,16 @@ def load(path: str | None = None, start: str = ".") -> dict:
 def settings(config: dict, start: str | None = None, **options) -> Settings:
     """Configuration over options for the profile; options over configuration for the confidence."""
     rules, disabled = merged(discover_rule_files(start)) if start else ([], [])
+    given = lambda *values: next((v for v in values if v is not None), None)
     listed = lambda k: tuple(config.get(k, ()))
     return Settings(
-        profile=config.get("profile") or options.get("profile") or "conservative",
+        profile=given(config.get("profile"), options.get("profile"), "conservative"),
         extra_profiles=(*listed("extra_profiles"), *options.get("extra_profiles", ())),
         skip=(*listed("skip"), *options.get("skip", ())),
         fix=tuple(options.get("fix", ())),
-        min_confidence=options.get("min_confidence") or config.get("min_confidence") or 0.6,
+        min_confidence=given(options.get("min_confidence"), config.get("min_confidence"), 0.6),
         lang=options.get("lang"),
-        threshold=options.get("threshold", config.get("threshold")),
+        threshold=given(options.get("threshold"), config.get("threshold")),
         allow_symbols=listed("allow_symbols"),
         custom_phrases=listed("custom_phrases"),
         file_rules=tuple(rules),

@@ -19,8 +19,7 @@ import re
 from dataclasses import dataclass, replace
 from pathlib import Path
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 from ..functions.extract import java
 from ..plans.rules import DELETE_LINE, FLAG, REPLACE, Rule, quote
@@ -117,6 +116,37 @@ def _blocks(text: str, errors: list[tuple[int, str]]):
         yield at, name, fields
 
 
+def pattern_error(pattern: str) -> str | None:
+    """Why the dialect that runs the rules refuses ``pattern``; None if it takes it.
+
+    With a session its own regular expressions decide; without one Python's, which are
+    close, but for named groups.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        from py4j.protocol import Py4JJavaError
+
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(java("", pattern))
+        except Py4JJavaError as bad:
+            return bad.java_exception.getMessage().splitlines()[0]
+        return None
+    try:
+        re.compile(pattern)
+    except re.error as bad:
+        return str(bad)
+    return "named groups are written (?<name>...)" if "(?P" in pattern else None
+
+
+def may_be_empty(pattern: str) -> bool:
+    """Whether some match can have no characters, as far as Python can read the pattern; such
+    matches have no span to report."""
+    try:
+        return re._parser.parse(pattern).getwidth()[0] == 0
+    except re.error:
+        return False
+
+
 def parse(text: str) -> tuple[list[Parsed], list[str], list[tuple[int, str]]]:
     """Rules, disabled identifiers, and every error as (line, message)."""
     rules, disabled, errors = [], [], []
@@ -153,10 +183,10 @@ def parse(text: str) -> tuple[list[Parsed], list[str], list[tuple[int, str]]]:
                 errors.append((where, f"unknown field '{key}'" + (f", did you mean '{near}'?" if near else "")))
         errors += [(at, f"rule '{name}' has no {k}") for k in ("match", "fix") if k not in seen]
         if rule.pattern and is_regex(rule.pattern):
-            try:
-                re.compile(rule.pattern)
-            except re.error as bad:
-                errors.append((at, f"rule '{name}' has an invalid pattern: {bad}"))
+            if bad := pattern_error(rule.pattern):
+                errors.append((at, f"rule '{rule.name}' has an invalid pattern: {bad}"))
+            elif may_be_empty(rule.pattern):
+                errors.append((at, f"rule '{rule.name}' has an invalid pattern: it can match the empty string"))
         if len(errors) == before:
             rules.append(rule)
     return rules, disabled, sorted(errors)
@@ -176,26 +206,21 @@ def compiled(rule: Parsed, enforce_files: bool = True) -> Rule:
     """The rule as column expressions.  Its pattern must not match the empty string."""
     regex = is_regex(rule.pattern)
     pattern = ("", rule.pattern) if regex else ("i", quote(rule.pattern))
-    if re.compile(rule.pattern if regex else re.escape(rule.pattern)).match(""):
+    if not rule.pattern:
         raise RuleFileError(f"rule '{rule.name}' matches the empty string")
     kind = {"delete-line": DELETE_LINE, "flag": FLAG}.get(rule.fix, REPLACE)
     value = unquoted(rule.fix) if rule.fix not in ("delete", "delete-line", "flag") else ""
     files = "|".join(glob_pattern(g) for g in rule.files) if rule.files and enforce_files else None
     out = Rule(rule.name, "custom", rule.confidence, kind, rule.message or f"Custom rule '{rule.name}' matched", (pattern,), value, severity=rule.severity, files=files)
-    groups = re.compile(rule.pattern).groups if regex else 0
-    used = [i for i in range(9, 0, -1) if f"${i}" in value and i <= groups]
-    if kind == REPLACE and used:
-        out = replace(out, suggest=lambda o: _filled(o, java(*pattern), value, used))
-    return out
-
-
-def _filled(original: Column, pattern: str, value: str, used: list[int]) -> Column:
-    """Captures, found again in the matched text, put in place of $9 .. $1; a group that
-    took no part leaves nothing."""
-    out = F.lit(value)
-    for i in used:
-        out = F.replace(out, F.lit(f"${i}"), F.regexp_extract(original, pattern, i))
-    return out
+    groups = _groups(rule.pattern) if regex else 0
+    used = tuple(i for i in range(9, 0, -1) if f"${i}" in value and i <= groups)
+    return replace(out, captures=used) if kind == REPLACE and used else out
+
+
+def _groups(pattern: str) -> int:
+    """Capturing groups of a pattern: opening brackets outside classes that are not special."""
+    plain = re.sub(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]", "", pattern, flags=re.S)
+    return len(re.findall(r"\((?!\?)|\(\?P?<(?![=!])", plain))
 
 
 def discover_rule_files(start: str) -> list[Path]:
