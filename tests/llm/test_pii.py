@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from textloom.llm.pii import KINDS, chances, detect, luhn, masked, redact, reliabilities, sha256_hex, spans_of
+from textloom.llm.pii import FEATURES, KINDS, chances, detect, luhn, masked, redact, reliabilities, sha256_hex, spans_of, unpack
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -69,8 +69,35 @@ def test_reliabilities_find_the_bad_labeler():
     assert p[1, 0, 2] > 0.9 > 0.7 > p[1, 2, 2]
 
 
+def coded(kind, *v, features=0):
+    for x in v:
+        kind = kind * 3 + x + 1
+    return kind * FEATURES + features
+
+
 def test_codes_weigh_alike_at_every_size():
-    codes = [(239, 1254), (482, 1303), (489, 8), (490, 3), (507, 1), (508, 5), (705, 1), (724, 2), (725, 1237), (752, 11), (968, 1202)]  # of check_s
-    few = chances(codes)
-    for times in (10, 1000):
+    codes = [(coded(0, 1, 1, 1, 0, 1, features=1), 1254), (coded(0, -1, -1, -1, 0, 1), 1303), (coded(2, 1, 1, 1, 1, 1, features=3), 80), (coded(2, 1, -1, -1, 0, -1, features=5), 30), (coded(3, 1, 1, 1, 0, 1), 1237), (coded(3, -1, -1, 0, 0, 0), 11)]
+    few = chances([(c, n * 100) for c, n in codes])  # the labelers' priors tell on tiny tables only
+    for times in (1000, 100000):
         assert np.abs(chances([(c, n * times) for c, n in codes]) - few).max() < 0.01
+    assert unpack(coded(3, -1, 0, 1, 1, -1, features=4)) == (3, [-1, 0, 1, 1, -1], 4)
+
+
+def test_added_spans_of_labelled_cases(spark):
+    """Local phone numbers and spelled-out addresses are personal data, number lists are not."""
+    names = ["ann", "bob", "eve", "kim", "lee", "max"]
+    yes, no = [], []
+    for i in range(240):
+        yes.append((f"please call me, phone ({200 + i % 700}) 555-{1000 + i * 7} thanks", "phone"))
+        yes.append((f"contact {names[i % 6]}{i} (at) example{i % 9} (dot) com please", "email") if i % 2 else (f"contact {names[i % 6].upper()}{i} (AT) EXAMPLE{i % 9} (DOT) COM please", "email"))
+        yes.append((f"write {names[i % 6]}@mail{i}.example.org or phone +1 (682) 555-{1000 + i}", "base"))
+        no.append((f"part x{100 + i % 900}-555-{1000 + i}_b and #{100 + i % 800}-200-{3000 + i}=z", "none"))
+        no.append((f"version {i}.{300 + i}.1.2 of the table 1234 5678 9012 {3000 + i} 77", "none"))
+    rows = [(i, t) for i, (t, _) in enumerate(yes + no)]
+    got = {r.doc_id: r for r in detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    added = lambda i: len([s for s in got[i].spans.split(",") if s]) - (got[i].n_email + got[i].n_ip + got[i].n_card + got[i].n_phone)
+    right = sum(added(i) > 0 for i, (_, k) in enumerate(yes) if k in ("phone", "email"))
+    wrong = sum(added(i) > 0 for i in range(len(yes), len(rows)))
+    print("added:", right, "of", sum(k != "base" for _, k in yes), "wrong:", wrong)
+    assert right / sum(k != "base" for _, k in yes) >= 0.9  # recall
+    assert right / (right + wrong) >= 0.9  # precision

@@ -22,6 +22,10 @@ from .runtime import id_and_text, keep, plain_names, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("pattern", "check", "gazetteer", "word", "neighbour")
+#: How much each labeler counts before its reliability is known: a number that fails its check is hardly personal data.
+FIRST_GUESS = np.array([1.0, 4.0, 1.0, 1.0, 1.0])
+#: Values of the span's own features.
+FEATURES = 6
 #: Posterior from which a candidate outside the base spans is added.
 ADD_FROM = 0.9
 #: Characters before a candidate in which context words are looked for.
@@ -72,7 +76,7 @@ def spans_of(text: str | None):
     if "@" in text:
         for s, e, ok in _emails(text):
             yield 0, s, e, ok
-    if "at" in text and ("(" in text or "[" in text):
+    if ("(" in text or "[" in text) and "at" in text.lower():
         for m in _SPELLED.finditer(text):
             yield 0, m.start(), m.end(), False
     for region in _NUMBERS.finditer(text):
@@ -96,30 +100,38 @@ def spans_of(text: str | None):
 
 
 def votes(text: str, kind: int, s: int, e: int, base: bool) -> int:
-    """The labelers' votes (each -1, 0 or 1) and the kind, as one number."""
+    """The kind, the labelers' votes (each -1, 0 or 1) and features of the span, as one number."""
     span, before, after = text[s:e], text[max(0, s - REACH) : s], text[e : e + 1]
-    check, known = 0, 0
+    # "pattern" looks at the shape alone and "check" at the numbers, so neither repeats the other
     if kind == 0:
+        shape = base
         known = 1 if re.split(r"[^A-Za-z]+", span)[-1].lower() in TOP_DOMAINS else -1
-        check = 1 if re.fullmatch(r"[A-Za-z0-9].{0,63}@.{4,253}", span, re.S) else -1
+        plain = span if base else re.sub(r" ?[\[(] ?dot ?[\])] ?", ".", re.sub(r" ?[\[(] ?at ?[\])] ?", "@", span, flags=re.I), flags=re.I)
+        check = 1 if ".." not in plain and re.fullmatch(r"[A-Za-z0-9].{0,63}@.{4,253}", plain, re.S) else -1
     elif kind == 1:
+        shape = all(len(p) <= 3 and (p == "0" or p[0] != "0") for p in span.split("."))
         first = int(span.split(".")[0][-4:] or 0)
         known = -1 if first in (0, 127) or first >= 224 else 1
         check = 1 if base else -1
     elif kind == 2:
+        groups = [len(g) for g in re.split("[ -]", span)]
+        shape = len(groups) == 1 or (len(set(re.findall("[ -]", span))) == 1 and (set(groups[:-1]) == {4} or groups in ([4, 6, 5], [4, 6, 4])))
         known = 1 if span[0] in "3456" else -1
         check = 1 if base else -1
     else:
         n = sum(c.isdigit() for c in span)
+        shape = base
         check = 1 if 10 <= n <= 13 else -1
         known = 1 if span[0] == "+" and span[1] != "0" else 0
     word = 1 if CONTEXT[KINDS[kind]].search(before) else 0
     near = before[-1:] + after
     neighbour = -1 if any(c.isalnum() or c in "_=\"'#" for c in near) else 1 if all(c.isspace() for c in near) else 0
     code = kind
-    for v in (1 if base else -1, check, known, word, neighbour):
+    for v in (1 if shape else -1, check, known, word, neighbour):
         code = code * 3 + v + 1
-    return code
+    # features of the span that no labeler sees: its length by thirds of the usual range, and whether it has separators
+    size = (e - s > (14, 9, 16, 12)[kind]) + (e - s > (22, 12, 18, 15)[kind])
+    return code * FEATURES + 2 * size + any(c in " -()" for c in span)
 
 
 @tidy()
@@ -141,21 +153,24 @@ def candidates(docs: DataFrame) -> DataFrame:
     return keep(id_and_text(docs).mapInArrow(_candidates, FOUND), "spans")
 
 
-def unpack(code: int) -> tuple[int, list[int]]:
+def unpack(code: int) -> tuple[int, list[int], int]:
+    """Kind, votes and features."""
+    code, features = divmod(code, FEATURES)
     v = []
     for _ in LABELERS:
         code, r = divmod(code, 3)
         v.append(r - 1)
-    return code, v[::-1]
+    return code, v[::-1], features
 
 
-def reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+def reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Expectation maximisation of a two-class model with independent labelers.
 
-    patterns: (n, labelers) votes.  Returns the posterior of each pattern and the
+    patterns: (n, labelers) votes; ``weight`` is how much each labeler counts in the first guess.  Returns the posterior of each pattern and the
     vote probabilities (class, labeler, vote).
     """
-    posterior = 1 / (1 + np.exp(-2.0 * patterns.sum(1)))
+    weight = np.ones(patterns.shape[1]) if weight is None else weight
+    posterior = 1 / (1 + np.exp(-2.0 * patterns @ weight))
     prior_votes = np.array([[3.0, 2.0, 1.0], [1.0, 2.0, 3.0]])  # labelers are thought better than chance
     for _ in range(rounds):
         p = np.empty((2, patterns.shape[1], 3))
@@ -169,15 +184,16 @@ def reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) ->
     return posterior, p
 
 
-def _features(kind: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.eye(len(KINDS))[kind], v == 1, v == -1, np.ones((len(v), 1))], axis=1).astype(float)
+def _features(kind: np.ndarray, v: np.ndarray, of_span: np.ndarray) -> np.ndarray:
+    """The classifier sees the span itself beside the votes, by kind."""
+    return np.concatenate([np.eye(len(KINDS) * FEATURES)[kind * FEATURES + of_span], v == 1, v == -1, np.ones((len(v), 1))], axis=1).astype(float)
 
 
 def fit(found: DataFrame) -> list[int]:
     """The vote codes whose spans are added, learned from all candidates.
 
     What comes to the driver is a count for each code: at most kinds x 3^labelers
-    rows (972), whatever the size of the corpus.
+    x features rows (5832), whatever the size of the corpus.
     """
     counted = found.select(F.explode("found.code").alias("code")).groupBy("code").count().collect()
     if not counted:
@@ -197,8 +213,8 @@ def chances(codes: list[tuple[int, int]]) -> np.ndarray:
     target = np.zeros(len(codes))
     for k in set(kind.tolist()):
         of = kind == k
-        target[of] = reliabilities(v[of], n[of])[0]
-    x, w = _features(kind, v), n / n.sum()
+        target[of] = reliabilities(v[of], n[of], weight=FIRST_GUESS)[0]
+    x, w = _features(kind, v, np.array([unpack(c)[2] for c, _ in codes])), n / n.sum()
     beta = np.zeros(x.shape[1])
     for _ in range(60):  # Newton steps of a ridge-penalised logistic model
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
