@@ -22,8 +22,8 @@ from .runtime import id_and_text, keep, plain_names, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("pattern", "check", "gazetteer", "word", "neighbour")
-#: How much each labeler counts before its reliability is known: a number that fails its check is hardly personal data.
-FIRST_GUESS = np.array([1.0, 4.0, 1.0, 1.0, 1.0])
+#: How much the check counts before its reliability is known, by kind: numbers that fail it are no address or card.
+CHECK_FIRST = (1.0, 4.0, 4.0, 1.0)
 #: Values of the span's own features.
 FEATURES = 6
 #: Posterior from which a candidate outside the base spans is added.
@@ -213,7 +213,7 @@ def chances(codes: list[tuple[int, int]]) -> np.ndarray:
     target = np.zeros(len(codes))
     for k in set(kind.tolist()):
         of = kind == k
-        target[of] = reliabilities(v[of], n[of], weight=FIRST_GUESS)[0]
+        target[of] = reliabilities(v[of], n[of], weight=np.array([1.0, CHECK_FIRST[k], 1.0, 1.0, 1.0]))[0]
     x, w = _features(kind, v, np.array([unpack(c)[2] for c, _ in codes])), n / n.sum()
     beta = np.zeros(x.shape[1])
     for _ in range(60):  # Newton steps of a ridge-penalised logistic model
