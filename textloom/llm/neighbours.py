@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 from .runtime import keep, scratch, tidy
 
 #: Edges of a node, beam of construction and of search, and how much longer a kept edge may be.
-DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX = 24, 40, 64, 1.2
+DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX = 24, 40, 96, 1.2
+#: Nearest candidates among which the edges of a node are chosen.
+POOL = 64
+#: Rounds in which the points of a shard are added, at most.
+ROUNDS = 8
 NEAREST = 20
 #: Shards, as long as none has more vectors than this, on average.
 SHARDS, SHARD_ROWS = 8, 16_384
@@ -54,9 +58,16 @@ def beam_search(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, bea
 def robust_prune(x: np.ndarray, points: np.ndarray, candidates: np.ndarray, relax: float, degree: int) -> np.ndarray:
     """Diverse neighbours of each point: the nearest candidate stays, and others go that are
     nearer to it, even times ``relax``, than to the point; then the next."""
+    order = np.argsort(candidates, axis=1)
+    candidates = np.take_along_axis(candidates, order, 1)
+    twice = np.zeros(candidates.shape, bool)
+    twice[:, 1:] = candidates[:, 1:] == candidates[:, :-1]
+    far = ((x[candidates] - x[points][:, None, :]) ** 2).sum(2)
+    far[(candidates < 0) | (candidates == points[:, None]) | twice] = np.inf
+    if far.shape[1] > POOL:
+        some = np.argpartition(far, POOL - 1, axis=1)[:, :POOL]
+        candidates, far = np.take_along_axis(candidates, some, 1), np.take_along_axis(far, some, 1)
     near = x[candidates]
-    far = ((near - x[points][:, None, :]) ** 2).sum(2)
-    far[(candidates < 0) | (candidates == points[:, None])] = np.inf
     norm = (near**2).sum(2)
     pair = np.maximum(norm[:, :, None] + norm[:, None, :] - 2 * near @ near.transpose(0, 2, 1), 0)
     out, rows = np.full((len(points), degree), -1, np.int64), np.arange(len(points))
@@ -80,9 +91,14 @@ def build(x: np.ndarray, seed: int = 5) -> tuple[np.ndarray, int]:
     if n > 1:
         graph[:, : min(DEGREE, n - 1)] = (np.arange(n)[:, None] + rng.integers(1, n, (n, min(DEGREE, n - 1)))) % n
     for relax in (1.0, RELAX):
-        for p in np.array_split(rng.permutation(n), -(-n // _BATCH)):
-            ids, _, expanded = beam_search(x, graph, start, x[p], BUILD_BEAM)
-            graph[p] = robust_prune(x, p, np.concatenate([ids, expanded, graph[p]], 1), relax, DEGREE)
+        # points are added in a fixed number of rounds: each node's back edges of a round are pruned together, so
+        # the work stays in proportion to the points
+        for p in np.array_split(rng.permutation(n), min(ROUNDS, -(-n // _BATCH))):
+            chosen = []
+            for part in np.array_split(p, -(-len(p) // _BATCH)):
+                ids, _, expanded = beam_search(x, graph, start, x[part], BUILD_BEAM)
+                chosen.append(robust_prune(x, part, np.concatenate([ids, expanded, graph[part]], 1), relax, DEGREE))
+            graph[p] = np.concatenate(chosen)
             source, target = np.repeat(p, DEGREE), graph[p].reshape(-1)
             source, target = source[target >= 0], target[target >= 0]
             order = np.argsort(target, kind="stable")
