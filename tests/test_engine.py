@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from textloom.operators import engine, report
 from textloom.operators.engine import process
 from textloom.plans.rules import Settings
+from textloom.sources.config import settings
 from textloom.sources.files import discover, glob_pattern, write_cleaned
 from textloom.sources.rule_files import RuleFileError, distance, is_regex, parse, rules_from, suggestion, unquoted, validate
 
@@ -113,3 +114,45 @@ def test_entry_imports_without_the_optional_part(monkeypatch):
         names = {}
     assert "resolved_prose" in names and not any(n.startswith("op") for n in names)
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_explicit_zeros_of_a_configuration():
+    assert settings({}, min_confidence=0.0).min_confidence == 0.0
+    assert settings({"min_confidence": 0.0}).min_confidence == 0.0
+    assert settings({}).min_confidence == 0.6 and settings({"min_confidence": 0.7}, min_confidence=0.0).min_confidence == 0.0
+    assert settings({"threshold": 0.0}, threshold=None).threshold == 0.0
+
+
+def test_patterns_of_the_running_dialect(spark):
+    said = lambda p: " ".join(m for _, m in parse(f"rule a\n  match: '{p}'\n  fix: delete\n")[2])
+    assert "invalid pattern" in said("(?P<n>x)") and said("(?<n>x)") == ""
+    assert "empty string" in said("\\b|x") and "empty string" in said("x*")
+
+
+def test_captures_are_those_of_the_whole_text(spark):
+    rules, _ = rules_from("rule swap\n  match: '(?<=a)(b)(c)?(?=d|e)'\n  fix: \"$2$1!\"\n")
+    a, b = run(spark, [("md", "abcd abe xbcd"), ("md", "abcx")], Settings(file_rules=rules))
+    assert a.cleaned == "acb!d ab!e xbcd" and b.cleaned == "abcx"
+
+
+def test_rule_files_merge_from_the_root_down(tmp_path):
+    deep = tmp_path / "a" / "b"
+    deep.mkdir(parents=True)
+    (tmp_path / ".textloom-rules").write_text("rule one\n  match: 'x'\n  fix: delete\nrule two\n  match: 'y'\n  fix: flag\ndisable em-dash\n")
+    (deep / ".textloom-rules").write_text("rule one\n  match: 'zz'\n  fix: 'q'\ndisable ellipsis\n")
+    s = settings({}, start=str(deep))
+    assert [(r.id, r.value, r.patterns[0][1]) for r in s.file_rules] == [("one", "q", "zz"), ("two", "", "y")]
+    assert s.disabled == ("em-dash", "ellipsis")
+
+
+def test_places_and_many_matches(spark):
+    text = "é—\n😀 — —x\n" * 150
+    got = run(spark, [("md", text)], Settings())[0]
+    docs = process(spark.createDataFrame([("p", "md", text)], DOC), Settings())
+    rows = sorted((r.start, r.line, r.col) for r in engine.match_rows(docs, "path").collect())
+    want = [(i, 1 + text.count("\n", 0, i), i - text.rfind("\n", 0, i)) for i, c in enumerate(text) if c in "—😀"]
+    assert rows == want and len(got.matches) == len(want) == 600
+    unit = sorted((r.start_line, r.start_character) for r in engine.diagnostics(docs, "path").collect())
+    assert unit == sorted((line - 1, len(text[i - col + 1 : i].encode("utf-16-le")) // 2) for i, line, col in want)
+    report_of = json.loads(report.json_document(docs).first()["report"])
+    assert report_of["summary"] == {"files_scanned": 1, "files_with_matches": 1, "total_matches": 600} and len(report_of["files"][0]["matches"]) == 600

@@ -19,6 +19,7 @@ import re
 from dataclasses import dataclass, replace
 from pathlib import Path
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import SparkSession
 
 from ..functions.extract import java
@@ -124,12 +125,10 @@ def pattern_error(pattern: str) -> str | None:
     """
     spark = SparkSession.getActiveSession()
     if spark is not None:
-        from py4j.protocol import Py4JJavaError
-
         try:
             spark._jvm.java.util.regex.Pattern.compile(java("", pattern))
-        except Py4JJavaError as bad:
-            return bad.java_exception.getMessage().splitlines()[0]
+        except IllegalArgumentException as bad:
+            return str(bad).splitlines()[0]
         return None
     try:
         re.compile(pattern)
