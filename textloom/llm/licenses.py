@@ -1,4 +1,11 @@
-"""License scan: lines of texts against licence templates, by DataFrame functions alone."""
+"""License scan: runs of words of texts against licence templates, by DataFrame functions alone.
+
+A notice may be wrapped over lines or stand inside a longer one, so what is compared
+with a template is any run of consecutive words of the normalised text whose number of
+bigrams is within the size bounds of the template.  A run that begins or ends with a bigram
+the template lacks is no better without it, so only runs between two of the template's
+bigrams are looked at, and only where enough of them stand close together.
+"""
 
 from __future__ import annotations
 
@@ -53,84 +60,100 @@ def size_bounds(size: int, similarity: float = SIMILARITY) -> tuple[int, int]:
     return math.ceil(size * similarity / (2 - similarity) - 1e-9), math.floor(size * (2 - similarity) / similarity + 1e-9)
 
 
-def needed_pairs(templates, similarity: float = SIMILARITY) -> list[str]:
-    """Bigrams of which every line that matches a template holds one at least.
+def needed_pairs(b: set[str], similarity: float = SIMILARITY) -> list[str]:
+    """Bigrams of which every run that matches a template of bigrams ``b`` holds one at least.
 
-    A match shares c of the template's b bigrams with c >= b s / (2 - s), so it has one
-    of any b - c + 1 of them: those of the most letters are taken, as they are rare.
+    A match shares c of the template's bigrams with c >= |b| s / (2 - s), so it has one
+    of any |b| - c + 1 of them: those of the most letters are taken, as they are rare.
     """
-    taken = set()
-    for b in templates:
-        taken.update(sorted(b, key=lambda p: (-len(p), p))[: len(b) - size_bounds(len(b), similarity)[0] + 1])
-    return sorted(taken)
+    return sorted(b, key=lambda p: (-len(p), p))[: len(b) - size_bounds(len(b), similarity)[0] + 1]
+
+
+def _with(value: Column, of) -> Column:
+    """``of(value)`` as an array of one: a lambda binds the value, so it is computed once."""
+    return F.transform(F.array(value), of)
+
+
+def _best_run(grams: Column, b: set[str], similarity: float) -> Column:
+    """The greatest Dice coefficient of a run of ``grams`` with the template ``b``; null if none is near."""
+    lo, hi = size_bounds(len(b), similarity)
+    template = F.array(*map(F.lit, sorted(b)))
+
+    def from_hits(hits: Column) -> Column:  # places of the template's bigrams
+        last = F.size(hits) - 1
+
+        def dice(start: Column, end: Column) -> Column:
+            first = F.get(hits, start)
+            run = F.array_distinct(F.slice(grams, first + 1, F.get(hits, end) - first + 1))
+            return F.get(_with(run, lambda r: 2.0 * F.size(F.array_intersect(r, template)) / (F.size(r) + len(b))), F.lit(0))
+
+        def from_start(start: Column) -> Column:
+            ends = F.sequence(start + (lo - 1), F.least(start + (hi - 1), last))
+            return F.array_max(F.transform(F.filter(ends, lambda e: F.get(hits, e) - F.get(hits, start) < hi), lambda e: dice(start, e)))
 
+        starts = F.when(last >= lo - 1, F.sequence(F.lit(0), last - (lo - 1))).otherwise(F.array().cast("array<int>"))
+        return F.array_max(F.transform(F.filter(starts, lambda p: F.get(hits, p + (lo - 1)) - F.get(hits, p) < hi), from_start))
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), "[^a-z0-9]+"), lambda w: w != "")
+    places = F.transform(grams, lambda g, i: F.when(F.array_contains(template, g), i))
+    return F.get(_with(F.filter(places, lambda i: i.isNotNull()), from_hits), F.lit(0))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_licenses, licenses (sorted identifiers), best: a row for every row of ``docs``.
 
-    A line of a text is a notice of a licence if the Dice coefficient of their sets of word bigrams is at
-    least ``similarity``.  A line matches only if the number of its bigrams is within
-    the size bounds of some template; texts and lines without the words of any
-    bigram that a match needs are passed over first.
+    A text holds a licence if some run of its consecutive words has a Dice coefficient of at
+    least ``similarity`` with the template, both as sets of word bigrams; the run has as many
+    bigrams as the size bounds of the template allow.  ``best`` is the greatest coefficient of
+    all licences found, 0 without one.  Texts without any bigram that a match needs are passed over.
 
-    Null and empty texts have no licence; lines of any length are read; repeated rows
-    and null identifiers give a row each; further columns are ignored.
+    Null and empty texts have no licence; texts of any length are read whole; repeated rows
+    and null identifiers give a row each; a template without two words matches nothing;
+    further columns are ignored; an empty table gives no rows.
     """
     templates = TEMPLATES if templates is None else templates
     parsed = {k: bigrams(normal(t)) for k, t in sorted(templates.items())}
     parsed = {k: b for k, b in parsed.items() if b}
-    empty = F.array().cast("array<struct<id:string,dice:double>>")
-    found = empty
+    found = empty = F.array().cast("array<struct<id:string,dice:double>>")
     if parsed:
-        bounds = {k: size_bounds(len(b), similarity) for k, b in parsed.items()}
-        least, most = min(lo for lo, _ in bounds.values()), max(hi for _, hi in bounds.values())
-        pairs = [p.split() for p in needed_pairs(parsed.values(), similarity)]
-
-        def likely(x: Column) -> Column:  # the words of some needed bigram; lower case is taken once
-            held = lambda t: reduce(Column.__or__, [F.contains(t, F.lit(a)) & F.contains(t, F.lit(b)) for a, b in pairs])
-            return F.exists(F.array(F.lower(x)), held)
-
-        def of_line(line: Column) -> Column:
-            # every value that is used twice is bound by a lambda, so it is computed once
-            grams = lambda w: F.filter(F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isNotNull())
-
-            def against(g: Column) -> Column:
-                tests = []
-                for k, b in parsed.items():
-                    lo, hi = bounds[k]
-                    dice = 2.0 * F.size(F.array_intersect(g, F.array(*map(F.lit, sorted(b))))) / (F.size(g) + len(b))
-                    tests.append(F.when(F.size(g).between(lo, hi), F.struct(F.lit(k).alias("id"), dice.alias("dice"))))
-                return F.filter(F.array(*tests), lambda t: t["dice"] >= similarity)
-
-            return F.flatten(F.transform(F.filter(F.transform(F.filter(F.array(_words(line)), lambda w: F.size(w) > 1), lambda w: F.array_distinct(grams(w))), lambda g: F.size(g).between(least, most)), against))
-
-        lines = F.filter(F.split("text", "\n"), likely)
-        found = F.when(likely(F.col("text")), F.flatten(F.transform(lines, of_line))).otherwise(empty)
+        needed = {k: needed_pairs(b, similarity) for k, b in parsed.items()}
+        pairs = sorted({p for ps in needed.values() for p in ps})
+        either = lambda tests: reduce(Column.__or__, tests)
+        likely = lambda t: either(reduce(Column.__and__, [F.contains(t, F.lit(w)) for w in p.split()]) for p in pairs)
+        holds = lambda n, ps: either(F.contains(n, F.lit(f" {p} ")) for p in ps)
+
+        def of_text(n: Column) -> Column:  # normalised, with a space before and behind each word
+            words = F.filter(F.split(n, " "), lambda w: w != "")
+            grams = _with(words, lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)))
+            tests = lambda g: F.array(*(F.struct(F.lit(k).alias("id"), F.when(holds(n, needed[k]), _best_run(g, b, similarity)).alias("dice")) for k, b in parsed.items()))
+            return F.filter(F.flatten(F.transform(grams, tests)), lambda t: t["dice"] >= similarity)
+
+        plain = F.transform(F.filter(F.array(F.lower("text")), likely), lambda t: F.concat(F.lit(" "), F.regexp_replace(t, "[^a-z0-9]+", " "), F.lit(" ")))
+        found = F.flatten(F.transform(F.filter(plain, lambda n: holds(n, pairs)), of_text))
     rows = id_and_text(docs).select("doc_id", F.coalesce(found, empty).alias("found"))
     return rows.select(
         "doc_id",
-        F.size("found").cast("long").alias("n_lines"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda f: f["id"]))), ",").alias("licenses"),
+        F.size("found").cast("long").alias("n_licenses"),
+        F.array_join(F.transform("found", lambda f: f["id"]), ",").alias("licenses"),
         F.round(F.coalesce(F.array_max(F.transform("found", lambda f: f["dice"])), F.lit(0.0)), 6).alias("best"),
     )
 
 
 def sql(templates: dict[str, str] | None = None, similarity: float = SIMILARITY) -> str:
-    """The same rows by DuckDB, without any pruning."""
+    """The same rows by DuckDB: all runs between two bigrams of a template, by joins."""
     parsed = {k: sorted(bigrams(normal(t))) for k, t in sorted((templates or TEMPLATES).items())}
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = ", ".join(f"({quote(k)}, [{', '.join(map(quote, b))}])" for k, b in parsed.items() if b)
+    rows = ", ".join(f"({quote(k)}, [{', '.join(map(quote, b))}], {', '.join(map(str, size_bounds(len(b), similarity)))})" for k, b in parsed.items() if b)
     return f"""
-    WITH template(id, grams) AS (VALUES {rows}),
+    WITH template(id, grams, least, most) AS (VALUES {rows}),
+    part AS (SELECT id, unnest(grams) AS g FROM template),
     docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-    line AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs),
-    word AS (SELECT r, list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM line),
-    gram AS (SELECT r, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM word WHERE len(w) > 1),
-    hit AS (SELECT r, id, 2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM gram, template),
-    best AS (SELECT r, count(*) AS n, string_agg(DISTINCT id, ',' ORDER BY id) AS ids, max(dice) AS dice FROM hit WHERE dice >= {similarity} GROUP BY r)
-    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(ids, '') AS licenses, round(coalesce(dice, 0.0)::DOUBLE, 6) AS best
+    word AS (SELECT r, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM docs),
+    gram AS (SELECT r, unnest(range(1, len(w))) AS i, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM word WHERE len(w) > 1),
+    hit AS (SELECT r, id, i FROM gram JOIN part USING (g)),
+    run AS (SELECT a.r, a.id, a.i AS first, b.i AS last FROM hit a JOIN hit b ON a.r = b.r AND a.id = b.id JOIN template t ON t.id = a.id WHERE b.i - a.i + 1 BETWEEN least AND most),
+    place AS (SELECT r, id, first, last, unnest(range(first, last + 1)) AS i FROM run),
+    held AS (SELECT DISTINCT p.r, p.id, first, last, g, part.g IS NOT NULL AS common FROM place p JOIN gram USING (r, i) LEFT JOIN part USING (id, g)),
+    score AS (SELECT r, id, 2.0 * count_if(common) / (count(*) + max(len(grams))) AS dice FROM held JOIN template USING (id) GROUP BY r, id, first, last),
+    best AS (SELECT r, count(DISTINCT id) AS n, string_agg(DISTINCT id, ',' ORDER BY id) AS ids, max(dice) AS dice FROM score WHERE dice >= {similarity} GROUP BY r)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_licenses, coalesce(ids, '') AS licenses, round(coalesce(dice, 0.0)::DOUBLE, 6) AS best
     FROM docs LEFT JOIN best USING (r)"""
