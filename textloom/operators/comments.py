@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.extract import SPAN, empty, java, spans, stripped
+from ..functions.extract import SPAN, empty, gathered, growing, grown, java, spans, stripped
 
 # Extensions, comment syntax and stop words.
 CODE = "rs py js ts jsx tsx java c cpp h hpp go php rb sh bash zsh toml yaml yml json sql kt swift cs scala".split()
@@ -43,11 +43,19 @@ def comment_spans(text: Column, ext: Column) -> Column:
     ordered = F.array_sort(F.transform(F.concat(*parts), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
 
     def add(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when(F.size(acc) == 0, F.array(s)).when(s["start"] <= last["end"], joined).otherwise(F.array_append(acc, s))
+        touches = F.coalesce(s["start"] <= acc["end"], F.lit(False))
+        return F.struct(
+            F.when(touches, acc["start"]).otherwise(s["start"]).alias("start"),
+            F.when(touches, F.greatest(acc["end"], s["end"])).otherwise(s["end"]).alias("end"),
+            F.when(touches | acc["end"].isNull(), acc["out"]).otherwise(grown(acc["out"], _open(acc))).alias("out"),
+        )
+
+    nothing = F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), growing(plain).alias("out"))
+    return F.aggregate(ordered, nothing, add, lambda acc: F.when(acc["end"].isNull(), empty(plain)).otherwise(gathered(grown(acc["out"], _open(acc)))))
+
 
-    return F.aggregate(ordered, empty(plain), add)
+def _open(acc: Column) -> Column:
+    return F.struct(acc["start"].alias("start"), acc["end"].alias("end"))
 
 
 def _is_comment(line: Column) -> Column:
@@ -69,19 +77,19 @@ def trivial(text: Column) -> Column:
     is_code = lambda x: ~_is_comment(x) & x.rlike(r"(?U)\S")
     down = F.aggregate(
         F.zip_with(lines, bare, lambda raw, x: F.struct(F.length(raw).alias("n"), x.alias("line"))),
-        F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("above"), empty("array<struct<start:int,n:int,line:string,above:string>>").alias("out")),
+        F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("above"), growing("array<struct<start:int,n:int,line:string,above:string>>").alias("out")),
         lambda acc, x: F.struct(
             (acc["at"] + x["n"] + 1).alias("at"),
             F.when(is_code(x["line"]), x["line"]).otherwise(acc["above"]).alias("above"),
-            F.array_append(acc["out"], F.struct(acc["at"].alias("start"), x["n"].alias("n"), x["line"].alias("line"), acc["above"].alias("above"))).alias("out"),
+            grown(acc["out"], F.struct(acc["at"].alias("start"), x["n"].alias("n"), x["line"].alias("line"), acc["above"].alias("above"))).alias("out"),
         ),
-        lambda acc: acc["out"],
+        lambda acc: gathered(acc["out"]),
     )
     up = F.aggregate(
         F.reverse(bare),
-        F.struct(F.lit(None).cast("string").alias("below"), empty("array<string>").alias("out")),
-        lambda acc, x: F.struct(F.when(is_code(x), x).otherwise(acc["below"]).alias("below"), F.array_append(acc["out"], acc["below"]).alias("out")),
-        lambda acc: F.reverse(acc["out"]),
+        F.struct(F.lit(None).cast("string").alias("below"), growing("array<string>").alias("out")),
+        lambda acc, x: F.struct(F.when(is_code(x), x).otherwise(acc["below"]).alias("below"), grown(acc["out"], acc["below"]).alias("out")),
+        lambda acc: F.reverse(gathered(acc["out"])),
     )
     both = F.zip_with(down, up, lambda d, below: F.struct(d["start"].alias("start"), d["n"].alias("n"), d["line"].alias("line"), F.coalesce(below, d["above"]).alias("code")))
     asked = F.filter(both, lambda x: x["code"].isNotNull() & _is_comment(x["line"]) & ~x["line"].rlike(r"(?U)\A\s*//[/!]"))

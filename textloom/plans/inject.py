@@ -37,7 +37,10 @@ _SNIPPETS = {
 }
 _EXTS = list(_SNIPPETS)
 _EXT = "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(_EXTS)) + " END"
-_CODE = "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN {_SNIPPETS[e]}" for i, e in enumerate(_EXTS)) + " END"
+#: What each line of the document's own text begins with behind the snippet: it becomes comments where there are any.
+_LEADS = {"rs": "// ", "py": "# ", "js": "// ", "go": "// ", "sql": "-- ", "json": "", "md": "", "tex": "% "}
+_WHOLE = lambda e: f"concat({_SNIPPETS[e]}, '{_LEADS[e]}', replace(text, {_N}, concat({_N}, '{_LEADS[e]}')), {_N})" if _LEADS[e] else f"concat({_SNIPPETS[e]}, text, {_N})"
+_CODE = "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN {_WHOLE(e)}" for i, e in enumerate(_EXTS)) + " END"
 _PROSE = "CASE doc_id % 16 " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(_CASES)) + " END"
 #: View -> expressions of path, ext and content.
 VIEWS = {
