@@ -1,9 +1,12 @@
 import difflib
 
+from pyspark.sql import functions as F
+
 from textloom.operators.engine import process
 from textloom.plans.inject import view
 from textloom.plans.queries import watch_stream
 from textloom.plans.rules import Settings
+from textloom.streaming.watch import debounced
 
 TEXTS = ["Plain words of a text.", "We utilize the tools. It is worth noting that the end is near.", "", None, "One line\nand another — of the same", "Certainly! The cat sat on the mat."]
 
@@ -29,3 +32,12 @@ def test_every_document_is_a_change(spark, tmp_path):
     got = [tuple(r) for r in watch_stream(spark, str(tmp_path)).collect()]
     assert len(got) == 80 and sorted(got) == sorted(want)
     assert any(n for _, _, n, _ in want) and any(d for _, _, _, d in want)
+
+
+def test_changes_in_quick_succession_count_as_one(spark):
+    rows = [("a", "2024-01-01 00:00:00.000", 1, "x"), ("a", "2024-01-01 00:00:00.400", 2, "y"), ("a", "2024-01-01 00:00:00.800", 3, None), ("a", "2024-01-01 00:00:01.400", 4, "w"),
+            ("b", "2024-01-01 00:00:00.400", 5, "p"), ("b", "2024-01-01 00:00:00.400", 6, "q"), ("b", None, 7, "r"), (None, "2024-01-01 00:00:00.000", 8, "s")]
+    changes = spark.createDataFrame(rows, "path string, ts string, seq long, content string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {tuple(r) for r in debounced(changes).collect()}
+    assert got == {("a", 3, None), ("a", 4, "w"), ("b", 6, "q"), (None, 8, "s")}
+    assert debounced(changes.limit(0)).count() == 0

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators import engine, report
 from ..operators.comments import comment_spans, file_type
-from ..sources.rule_files import parse, rules_from, validate
+from ..sources.files import decoded, without, write_cleaned
+from ..sources.rule_files import merged_texts, parse, rules_from, validate
 from . import oracle as o
 from .inject import view
 from .rules import Settings, builtin
@@ -43,6 +44,24 @@ disable ellipsis
 '''
 _FOUND, _OFF = rules_from(RULES)
 DSL = Settings("conservative", file_rules=_FOUND, disabled=_OFF)
+OUTER = '''
+rule order
+  match: "(of|in) (the|a) "
+  fix: "$2 $1 "
+rule phrase
+  match: "that the"
+  fix: "which the"
+disable ellipsis
+'''
+INNER = '''
+rule phrase
+  match: """(?x) is \\s
+    worth """
+  fix: "it is good"
+  severity: error
+disable em-dash
+'''
+EXCLUDES = ("**/*3.md", "docs/1?.md")
 
 
 def matches(spark, sf_dir, name: str, settings: Settings, resolve: bool = True) -> DataFrame:
@@ -134,21 +153,54 @@ def rule_file_errors(spark, sf_dir):
     return spark.createDataFrame(validate(bad), "line int, message string")
 
 
-def watch_stream(spark, sf_dir):
-    """The watch operator over an append log of changes, read as a stream once."""
+def merged_rules(spark, sf_dir):
+    """Rules of an outer and an inner file: the inner one's for equal names, disables of both."""
+    rules, disabled = merged_texts([("outer", OUTER), ("inner", INNER)])
+    return matches(spark, sf_dir, "prose", Settings("conservative", file_rules=tuple(rules), disabled=tuple(disabled)))
+
+
+def file_texts(spark, sf_dir):
+    """Documents as files of bytes, some binary, some with invalid bytes: excluded, passed over, decoded."""
+    tail = F.when(F.col("doc_id") % 7 == 0, F.lit(bytearray(b"\0"))).when(F.col("doc_id") % 5 == 0, F.lit(bytearray(b"\xff."))).otherwise(F.lit(bytearray()))
+    raw = view(spark, sf_dir, "prose").select("path", F.concat(F.encode("content", "UTF-8"), tail).alias("content"))
+    return decoded(without(raw, EXCLUDES))
+
+
+def changed_texts(spark, sf_dir):
+    """What is written for the files whose text changed."""
+    path = f"{_fresh(spark, 'cleaned')}/out"
+    write_cleaned(_both(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
+def debounced_changes(spark, sf_dir):
+    """Events as changes of their user's file: the last of each run."""
+    from ..streaming.watch import debounced
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return debounced(events.select(F.concat(F.lit("u/"), F.col("user_id").cast("string")).alias("path"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("content")), "6 hours")
+
+
+def _fresh(spark, name: str) -> str:
+    """A new place in the folder that driver and executors share."""
     import tempfile
     import uuid
 
-    from ..streaming.watch import watch
-
-    log = view(spark, sf_dir, "prose").select("path", F.lit(1).cast("long").alias("seq"), "content")
-    log = log.unionByName(log.select("path", F.lit(2).cast("long").alias("seq"), F.concat("content", F.lit("\nI hope this helps")).alias("content")))
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="textloom-")
-    at = f"{base}/watch-{uuid.uuid4().hex}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def watch_stream(spark, sf_dir):
+    """The watch operator over an append log of changes, read as a stream once."""
+    from ..streaming.watch import watch
+
+    log = view(spark, sf_dir, "prose").select("path", F.lit(1).cast("long").alias("seq"), "content")
+    log = log.unionByName(log.select("path", F.lit(2).cast("long").alias("seq"), F.concat("content", F.lit("\nI hope this helps")).alias("content")))
+    at = _fresh(spark, "watch")
     log.write.parquet(f"{at}/log")
     stream = watch(spark.readStream.schema(log.schema).parquet(f"{at}/log"), Settings("prose"))
     query = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
@@ -186,6 +238,7 @@ def queries() -> dict:
         "coverage": coverage, "sentence_scores": sentence_scores, "top5_sentences": top5_sentences, "profile_matrix": profile_matrix, "rules_catalog": rules_catalog,
         "diagnostics": diagnostics, "code_actions": code_actions, "human_report": human_report, "json_report": json_report, "unified_diff": unified_diff,
         "accepted_matches": accepted_matches, "rule_file_errors": rule_file_errors, "watch_stream": watch_stream,
+        "merged_rules": merged_rules, "file_texts": file_texts, "changed_texts": changed_texts, "debounced_changes": debounced_changes,
     }
     return out
 
@@ -232,6 +285,15 @@ def oracle_sql() -> dict[str, str]:
         "diagnostics": o.diagnostics_sql("prose", ALL_PROSE) + " SELECT * FROM diagnostic",
         "code_actions": o.diagnostics_sql("prose", ALL_PROSE) + " SELECT * FROM diagnostic WHERE kind <> 'FlagOnly' AND start_line = 0 AND start_character <= 40",
         "accepted_matches": o.accepted_sql("prose", ALL_PROSE),
+        # one file with what should come of the two
+        "merged_rules": o.match_sql("prose", Settings("conservative", disabled=("ellipsis", "em-dash"), file_rules=rules_from(
+            'rule order\n  match: "(of|in) (the|a) "\n  fix: "$2 $1 "\nrule phrase\n  match: "is[ ]worth"\n  severity: error\n  fix: "it is good"\n')[0])),
+        "file_texts": f"""SELECT path, 'md' AS ext, content || CASE WHEN doc_id % 5 = 0 THEN '\ufffd.' ELSE '' END AS content FROM ({o.duckdb_sql('prose')})
+          WHERE doc_id % 7 <> 0 AND path NOT LIKE '%3.md' AND path NOT LIKE 'docs/1_.md' AND content IS NOT NULL""",
+        "changed_texts": o.ctes("prose", ALL_PROSE, "cleaned") + " SELECT path, cleaned FROM cleaned WHERE content <> cleaned",
+        "debounced_changes": """WITH e AS (SELECT user_id, ts, event_id, event_type, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 6 HOURS THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+          g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM e)
+          SELECT 'u/' || user_id AS path, event_id AS seq, event_type AS content FROM g QUALIFY row_number() OVER (PARTITION BY user_id, g ORDER BY ts DESC, event_id DESC) = 1""",
     }
     short = "CASE WHEN strlen(t) > 100 THEN left(t, list_max(list_filter(range(0, 98), lambda k: strlen(left(t, k)) <= 97))) || '…' ELSE t END"
     out["sentence_scores"] = starts + f" SELECT doc_id, {short} AS text, line::INTEGER AS line, hits, round(d, 6) AS density, coalesce(words, '') AS matched_words FROM scores"

@@ -52,9 +52,14 @@ def discover(spark: SparkSession, path: str, recursive: bool = False, excludes:
         raise FileNotFoundError(path)
     single = fs.getFileStatus(fs_path).isFile()
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "content")
-    for g in () if single else excludes:
-        raw = raw.where(~F.col("path").rlike(glob_pattern(g)))
-    return decoded(raw)
+    return decoded(raw if single else without(raw, excludes))
+
+
+def without(files: DataFrame, excludes: tuple[str, ...]) -> DataFrame:
+    """Files whose paths none of the globs takes."""
+    for g in excludes:
+        files = files.where(~F.col("path").rlike(glob_pattern(g)))
+    return files
 
 
 def write_cleaned(df: DataFrame, path: str, mode: str = "error") -> None:

@@ -230,9 +230,14 @@ def discover_rule_files(start: str) -> list[Path]:
 
 def merged(files: list[Path], enforce_files: bool = True) -> tuple[list[Rule], list[str]]:
     """Rules of all files by name, the deeper file's for equal names; disables add up."""
+    return merged_texts([(str(f), f.read_text()) for f in files], enforce_files)
+
+
+def merged_texts(files: list[tuple[str, str]], enforce_files: bool = True) -> tuple[list[Rule], list[str]]:
+    """``merged`` of (path, text), outer files first; raises with all errors of all files."""
     rules, disabled, errors = {}, [], []
-    for f in files:
-        found, off, bad = parse(f.read_text())
+    for f, text in files:
+        found, off, bad = parse(text)
         errors += [f"{f}: line {n}: {m}" for n, m in bad]
         rules |= {r.name: r for r in found}
         disabled += off

@@ -16,6 +16,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.engine import process
 from ..plans.rules import Settings
 
+#: Changes of a path that follow each other within this time count as one.
+QUIET = "500 milliseconds"
 OUT = "path string, seq long, n_matches int, diff string"
 
 
@@ -33,6 +35,16 @@ def _step(key, batches, state: GroupState):
     yield pd.DataFrame(out, columns=["path", "seq", "n_matches", "diff"])
 
 
+def debounced(changes: DataFrame, quiet: str = QUIET) -> DataFrame:
+    """path, seq, content: the last change of each run of changes of a path without a pause of ``quiet``.
+
+    ``changes`` also has the time ``ts``; changes without one are left out.  On a stream it
+    needs a watermark on ``ts``, and a run is given out once the watermark has passed its end.
+    """
+    last = F.max_by(F.struct("seq", "content"), F.struct("ts", "seq")).alias("last")
+    return changes.groupBy("path", F.session_window("ts", quiet)).agg(last).select("path", "last.seq", "last.content")
+
+
 def watch(changes: DataFrame, settings: Settings) -> DataFrame:
     """A row for every change: its matches, and the difference from the path's last content."""
     ext = F.regexp_extract("path", r"\.([^./]+)$", 1)
