@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, near_dup, neighbours, packing, pii, quality, repeats, training_order
+from . import alignment, decontaminate, language, licenses, near_dup, neighbours, packing, pii, quality, repeats, training_order
 from .runtime import read
 
 
@@ -48,8 +48,12 @@ def op10_near_duplicates(spark, sf_dir):
     return near_dup.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
 
+def op11_alignment(spark, sf_dir):
+    return alignment.align(read(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_pack, op2_pii, op3_neighbours, op4_decontaminate, op5_language, op6_licenses, op7_repeats, op8_training_order, op9_quality, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_pack, op2_pii, op3_neighbours, op4_decontaminate, op5_language, op6_licenses, op7_repeats, op8_training_order, op9_quality, op10_near_duplicates, op11_alignment)}
 
 
 def oracle_sql():
