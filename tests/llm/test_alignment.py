@@ -76,9 +76,9 @@ def test_boundaries_equal_common_ends():
 def test_units_equal_whole_texts(pair, monkeypatch):
     """Also of random mixtures of spaces and marks, in slices and generations of any size."""
     rng = random.Random(3)
-    texts = ODD + ["".join(rng.choice(["a", "Ab", " ", " ", "\n", "\t", ".", "'s", "9", "é", "​", "　", "▁", "😀", "--"]) for _ in range(rng.randrange(60))) for _ in range(400)]
+    texts = ODD + ["".join(rng.choice(["a", "Ab", " ", " ", "\n", "\t", ".", "'s", "9", "é", ",", "|", "ß.", "​", "　", "▁", "😀", "--"]) for _ in range(rng.randrange(60))) for _ in range(400)]
     want = [None if (w := whole(pair, t)) is None else (len(w[0]), len(w[1]), [x[0] for x in w[2]], [x[1] for x in w[2]]) for t in texts]
-    for size, units in ((1 << 19, 120_000), (7, 10)):
+    for size, units in ((1 << 19, 200_000), (7, 10)):
         monkeypatch.setattr(alignment, "SLICE", size)
         monkeypatch.setattr(alignment, "CACHE_UNITS", units)
         got, held = [], []

@@ -8,6 +8,8 @@ import os
 import re
 from bisect import bisect_left, bisect_right
 from functools import partial
+from itertools import accumulate
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +21,16 @@ from .tokens import _byte_names
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Units that a worker remembers in each of two generations, and the longest that it remembers.
-CACHE_UNITS, CACHE_CHARS = 120_000, 200
+CACHE_UNITS, CACHE_CHARS = 200_000, 200
 #: Characters whose units are looked up at once.
 SLICE = 1 << 19
-#: A single space between two other characters: neither tokenizer joins what stands before it to it.
-#: (U+180E counts as white space for some libraries.)
-CUT = re.compile("(?<=[^\\s᠎])(?= [^\\s᠎])")
+#: Before one space or line end between two other characters (U+180E is white space for some libraries), and
+#: between a letter and a mark: neither tokenizer joins what stands before to what stands after.
+CUT = re.compile("(?<=[^\\s᠎])(?=[ \n][^\\s᠎])|(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,!?;:|])")
+#: One word for the first tokenizer.
+WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+#: What no piece of the second vocabulary may hold for CUT to be right.
+JOINED = re.compile("[^▁]▁|\n|[A-Za-zÀ-ÖØ-öø-ɏ][.,!?;:|]")
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links binary"
 _PAIRS: dict[tuple[str, str], "Pair"] = {}
 CACHES["alignment"] = _PAIRS.clear
@@ -58,10 +64,9 @@ def boundaries(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
 class Pair:
     """Both tokenizers, the bytes of their tokens, and alignments of units seen before.
 
-    A unit is a text from one CUT to the next with the space before it.  The first
-    tokenizer splits a text there; the second has no piece in which a space follows
-    another character.  So a text's tokens are those of its units, and both have a token that
-    ends at each cut.
+    A unit is a text from one CUT to the next.  The first tokenizer splits a text there; the
+    second has no piece that goes across one (JOINED).  So a text's tokens are those of
+    its units, and both have a token that ends at each cut.
     """
 
     def __init__(self, path_a: str, path_b: str):
@@ -79,9 +84,12 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         splits = plan["pre_tokenizer"] or {}
-        self.in_units = plan["normalizer"] is None and splits.get("type") == "ByteLevel" and splits.get("use_regex", False) and not any("▁" in p.lstrip("▁") for p in pieces)
+        self.in_units = plan["normalizer"] is None and splits.get("type") == "ByteLevel" and splits.get("use_regex", False) and not any(JOINED.search(p) for p in pieces)
         if len(self.a_bytes) * len(self.b_bytes) >= 1 << 32:
             raise ValueError("pairs of ids do not fit four bytes")
+        self.model, self.shown = self.a.model, _byte_names()
+        self.a_sizes, self.b_sizes = ([len(x) for x in names] for names in (self.a_bytes, self.b_bytes))
+        self.a_names, self.b_names = (list(map(str, range(len(names)))) for names in (self.a_bytes, self.b_bytes))
         self.now: dict[str, tuple | None] = {}
         self.before: dict[str, tuple | None] = {}
 
@@ -96,27 +104,26 @@ class Pair:
     def _aligned(self, unit: str, a: list[int], b: list[int]) -> tuple | None:
         """(tokens of A, of B, groups, groups as text, links), or None if the bytes are not those of the unit."""
         raw = unit.encode()
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
+        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
             return None
-        ends, sides = [], (a_bytes, b_bytes)
-        for side in sides:
-            at, of = 0, []
-            for x in side:
-                at += len(x)
-                of.append(at)
-            ends.append(of)
+        a_names, b_names, width = list(map(self.a_names.__getitem__, a)), list(map(self.b_names.__getitem__, b)), len(self.b_bytes)
         groups, links, i, j = [], [], 0, 0
-        for m, n in boundaries(*ends):
-            groups.append(f"{','.join(map(str, a[i:m]))}|{','.join(map(str, b[j:n]))}")
-            links.append(a[m - 1] * len(self.b_bytes) + b[n - 1])
+        for m, n in boundaries(list(accumulate(map(self.a_sizes.__getitem__, a))), list(accumulate(map(self.b_sizes.__getitem__, b)))):
+            groups.append(f"{','.join(a_names[i:m])}|{','.join(b_names[j:n])}")
+            links.append(a[m - 1] * width + b[n - 1])
             i, j = m, n
-        return len(a), len(b), len(links), ";".join(groups), np.array(links, "<u4").tobytes()
+        return len(a), len(b), len(links), ";".join(groups), pack(f"<{len(links)}I", *links)
 
     def learn(self, units: list[str]) -> dict[str, tuple | None]:
-        a = self.a.encode_batch(units, add_special_tokens=False)
-        b = self.b.encode([u[1:] for u in units], num_threads=1)
-        return {u: self._aligned(u, x.ids, y) for u, x, y in zip(units, a, b)}
+        """Alignments of units.  Within a text a unit without a space has none added: a line end, which
+        joins nothing, takes the added space and both are left out."""
+        words = [u for u in units if WORD.fullmatch(u)]
+        others = [u for u in units if not WORD.fullmatch(u)]
+        a = {u: [t.id for t in self.model.tokenize("".join(map(self.shown.__getitem__, u.encode())))] for u in words}
+        a.update((u, e.ids) for u, e in zip(others, self.a.encode_batch(others, add_special_tokens=False)))
+        spaced = [u[0] == " " or not self.in_units for u in units]
+        b = self.b.encode([u[1:] if s else "\n" + u for u, s in zip(units, spaced)], num_threads=1)
+        return {u: self._aligned(u, a[u], ids if s else ids[2:]) for u, s, ids in zip(units, spaced, b)}
 
     def look_up(self, wanted: list[list[str]]) -> dict[str, tuple | None]:
         """All units of a slice; long ones are not remembered."""
