@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, conversations, decontaminate, language, licenses, near_dup, neighbours, packing, pii, quality, repeats, training_order
+from . import alignment, conversations, decontaminate, language, licenses, near_dup, neighbours, packing, pii, quality, repeats, toxicity, training_order
 from .runtime import read
 
 
@@ -52,12 +52,17 @@ def op11_alignment(spark, sf_dir):
     return alignment.align(read(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
+
+
 def op13_conversations(spark, sf_dir):
     return conversations.repair_damaged(read(spark, sf_dir, "conversations"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_pack, op2_pii, op3_neighbours, op4_decontaminate, op5_language, op6_licenses, op7_repeats, op8_training_order, op9_quality, op10_near_duplicates, op11_alignment, op13_conversations)}
+    return {f.__name__: f for f in (op1_pack, op2_pii, op3_neighbours, op4_decontaminate, op5_language, op6_licenses, op7_repeats, op8_training_order, op9_quality, op10_near_duplicates, op11_alignment, op12_toxicity, op13_conversations)}
 
 
 def oracle_sql():
