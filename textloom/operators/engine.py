@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +45,22 @@ def once(df: DataFrame, *columns: str) -> DataFrame:
     return one.select(*rest, *(F.col(f"_once.{c}").alias(c) for c in columns))
 
 
-def raw_matches(df: DataFrame, settings: Settings) -> DataFrame:
-    """``df`` (path, ext, content, ...) with file_type, comment_spans and the gated, expanded matches."""
-    df = df.withColumn("file_type", file_type(F.col("ext"), settings.lang)).withColumn("comment_spans", comment_spans(F.col("content"), F.col("ext")))
+@dataclass(frozen=True)
+class ByRow:
+    """What may differ from row to row within one plan: which rules are active, the least confidence, the file type."""
+
+    active: Callable[[Rule], Column]
+    least: Column
+    file_type: Column
+
+
+def raw_matches(df: DataFrame, settings: Settings, by_row: ByRow | None = None) -> DataFrame:
+    """``df`` (path, ext, content, ...) with file_type, comment_spans and the gated, expanded matches.
+
+    Each rule's expression is evaluated only in rows where ``by_row`` has it active.
+    """
+    least = by_row.least if by_row else settings.min_confidence
+    df = df.withColumn("file_type", by_row.file_type if by_row else file_type(F.col("ext"), settings.lang)).withColumn("comment_spans", comment_spans(F.col("content"), F.col("ext")))
     text, found = F.col("content"), []
     for reg, rule in settings.rules():
         if rule.confidence < settings.min_confidence and rule.id != "trivial-comment":
@@ -54,11 +70,13 @@ def raw_matches(df: DataFrame, settings: Settings) -> DataFrame:
             m = F.when(F.col("file_type") == "code", m).otherwise(empty(MATCHES))
         if rule.files:
             m = F.when(F.col("path").rlike(rule.files), m).otherwise(empty(MATCHES))
+        if by_row:
+            m = F.when(by_row.active(rule), m).otherwise(empty(MATCHES))
         found.append(m)
     matches = F.flatten(F.array(*found)) if found else empty(MATCHES)
     matches = F.coalesce(matches, empty(MATCHES))  # null content
     df = df.withColumn("matches", matches)
-    keep = lambda m: (m["confidence"] >= settings.min_confidence) & (
+    keep = lambda m: (m["confidence"] >= least) & (
         (F.col("file_type") != "code") | (m["category"] != "prose") | F.exists("comment_spans", lambda s: (s["start"] <= m["start"]) & (s["end"] >= m["end"]))
     )
     return once(df.withColumn("matches", F.transform(F.filter("matches", keep), _whole_lines(text))), "matches")
@@ -113,9 +131,9 @@ def applied(text: Column, matches: Column) -> Column:
     return F.when(F.size(fixes) == 0, text).when(deletes & F.contains(spliced, F.lit("\n\n\n")), tidy).otherwise(spliced)
 
 
-def process(df: DataFrame, settings: Settings) -> DataFrame:
+def process(df: DataFrame, settings: Settings, by_row: ByRow | None = None) -> DataFrame:
     """``df`` with file_type, resolved ``matches``, ``cleaned`` and ``density`` (matches in 1000 characters)."""
-    df = once(raw_matches(df, settings).withColumn("matches", resolved(F.col("matches"))), "matches")
+    df = once(raw_matches(df, settings, by_row).withColumn("matches", resolved(F.col("matches"))), "matches")
     n = F.length("content")
     density = F.when(n > 0, 1000.0 * F.size("matches") / n).otherwise(0.0)
     return df.withColumn("cleaned", applied(F.col("content"), F.col("matches"))).withColumn("density", F.coalesce(density, F.lit(0.0)))

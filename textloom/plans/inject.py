@@ -45,16 +45,27 @@ _PROSE = "CASE doc_id % 16 " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumera
 #: View -> expressions of path, ext and content.
 VIEWS = {
     "prose": ("concat('docs/', cast(doc_id AS string), '.md')", "'md'", _PROSE),
+    "turns": ("concat('c/', cast(conv_id AS string), '-', role, '.md')", "'md'", _PROSE),
     "code": (f"concat('src/', cast(doc_id AS string), '.', {_EXT})", _EXT, _CODE),
 }
 
 
+#: Turns of ``conversations`` as documents: a number for each, and the same artifacts by it.
+TURNS = "conv_id * 1000 + turn"
+
+
 def duckdb_sql(name: str) -> str:
     path, ext, content = VIEWS[name]
-    return f"SELECT doc_id, {path.replace('string', 'varchar')} AS path, {ext} AS ext, {content} AS content FROM documents"
+    source, more = ("documents", "") if name != "turns" else (f"(SELECT *, {TURNS} AS doc_id FROM conversations)", ", conv_id, turn, role")
+    return f"SELECT doc_id, {path.replace('string', 'varchar')} AS path, {ext} AS ext, {content} AS content{more} FROM {source}"
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """doc_id, path, ext, content of the ``prose`` or ``code`` view of ``documents``."""
+    """doc_id, path, ext, content of the ``prose`` or ``code`` view of ``documents``, or of ``turns``, which also
+    has conv_id, turn and role."""
     path, ext, content = (F.expr(e.replace("''", "\\'").replace("\\section", "\\\\section")) for e in VIEWS[name])
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", path.alias("path"), ext.alias("ext"), content.alias("content"))
+    if name == "turns":
+        rows, more = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("doc_id", F.expr(TURNS)), ["conv_id", "turn", "role"]
+    else:
+        rows, more = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    return rows.select(*more, "doc_id", path.alias("path"), ext.alias("ext"), content.alias("content"))

@@ -13,6 +13,7 @@ from ..operators.comments import comment_spans, file_type
 from ..sources.files import decoded, without, write_cleaned
 from ..sources.rule_files import merged_texts, parse, rules_from, validate
 from . import oracle as o
+from . import streams
 from .inject import view
 from .rules import Settings, builtin
 
@@ -202,9 +203,7 @@ def watch_stream(spark, sf_dir):
     log = log.unionByName(log.select("path", F.lit(2).cast("long").alias("seq"), F.concat("content", F.lit("\nI hope this helps")).alias("content")))
     at = _fresh(spark, "watch")
     log.write.parquet(f"{at}/log")
-    stream = watch(spark.readStream.schema(log.schema).parquet(f"{at}/log"), Settings("prose"))
-    query = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    streams.finished(watch(spark.readStream.schema(log.schema).parquet(f"{at}/log"), Settings("prose")), at)
     return spark.read.parquet(f"{at}/out").select("path", "seq", "n_matches", F.length("diff").alias("diff_chars"))
 
 
@@ -239,6 +238,9 @@ def queries() -> dict:
         "diagnostics": diagnostics, "code_actions": code_actions, "human_report": human_report, "json_report": json_report, "unified_diff": unified_diff,
         "accepted_matches": accepted_matches, "rule_file_errors": rule_file_errors, "watch_stream": watch_stream,
         "merged_rules": merged_rules, "file_texts": file_texts, "changed_texts": changed_texts, "debounced_changes": debounced_changes,
+        "modified_documents": lambda s, d: streams.modified_documents(s, d, _fresh, ALL_PROSE),
+        "quiet_watch": lambda s, d: streams.quiet_watch(s, d, _fresh),
+        "document_sessions": lambda s, d: streams.sessions(s, d, _fresh),
     }
     return out
 
@@ -295,6 +297,7 @@ def oracle_sql() -> dict[str, str]:
           g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM e)
           SELECT 'u/' || user_id AS path, event_id AS seq, event_type AS content FROM g QUALIFY row_number() OVER (PARTITION BY user_id, g ORDER BY ts DESC, event_id DESC) = 1""",
     }
+    out |= {"modified_documents": streams.modified_sql(ALL_PROSE), "quiet_watch": streams.quiet_sql(), "document_sessions": streams.sessions_sql()}
     short = "CASE WHEN strlen(t) > 100 THEN left(t, list_max(list_filter(range(0, 98), lambda k: strlen(left(t, k)) <= 97))) || '…' ELSE t END"
     out["sentence_scores"] = starts + f" SELECT doc_id, {short} AS text, line::INTEGER AS line, hits, round(d, 6) AS density, coalesce(words, '') AS matched_words FROM scores"
     out["top5_sentences"] = starts + f" SELECT path, {short} AS text, hits, round(d, 6) AS density FROM scores ORDER BY d DESC, path, line, text LIMIT 5"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,11 +36,11 @@ def glob_pattern(glob: str) -> str:
     return f"(?s)^{out}$"
 
 
-def decoded(raw: DataFrame) -> DataFrame:
-    """(path, content bytes) to (path, ext, content): no binary files, invalid bytes replaced."""
+def decoded(raw: DataFrame, *more: Column) -> DataFrame:
+    """(path, content bytes) to (path, ext, content) and ``more``: no binary files, invalid bytes replaced."""
     text = raw.where(~F.contains("content", F.lit(bytearray(1))))
     ext = F.regexp_extract("path", r"[^/.][^/]*\.([^./]+)$", 1)
-    return text.select("path", F.when(ext != "", ext).alias("ext"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    return text.select("path", F.when(ext != "", ext).alias("ext"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), *more)
 
 
 def discover(spark: SparkSession, path: str, recursive: bool = False, excludes: tuple[str, ...] = ()) -> DataFrame:

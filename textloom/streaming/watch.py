@@ -11,28 +11,42 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.engine import process
 from ..plans.rules import Settings
 
 #: Changes of a path that follow each other within this time count as one.
 QUIET = "500 milliseconds"
-OUT = "path string, seq long, n_matches int, diff string"
+OUT = "path string, seq long, n_matches int, late boolean, previous long, diff string"
 
 
-def _step(key, batches, state: GroupState):
-    last = state.get[0] if state.exists else None
-    rows = pd.concat(list(batches)).sort_values("seq")
-    out = []
-    for seq, content, cleaned, n in rows[["seq", "content", "cleaned", "n"]].itertuples(index=False):
-        diff = ""
-        if n and last is not None and last != cleaned:
-            diff = "".join(x if x.endswith("\n") else x + "\n" for x in difflib.unified_diff(last.splitlines(keepends=True), cleaned.splitlines(keepends=True), f"a/{key[0]}", f"b/{key[0]}", n=3))
-        out.append((key[0], seq, n, diff))
-        last = content
-    state.update((last,))
-    yield pd.DataFrame(out, columns=["path", "seq", "n_matches", "diff"])
+class _Watch(StatefulProcessor):
+    """The last ``seq`` and content of a path."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "seq long, content string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        before, last = self.last.get() if self.last.exists() else (None, None)
+        held = pd.concat([b[["seq", "content", "cleaned", "n"]] for b in rows]).sort_values("seq", kind="stable", na_position="first")
+        out = []
+        for seq, content, cleaned, n in held.itertuples(index=False):
+            seq = None if pd.isna(seq) else int(seq)
+            if seq is None or (before is not None and seq <= before):
+                out.append((key[0], seq, n, True, None, ""))
+                continue
+            diff = ""
+            if n and last is not None and last != cleaned:
+                diff = "".join(x if x.endswith("\n") else x + "\n" for x in difflib.unified_diff(last.splitlines(keepends=True), cleaned.splitlines(keepends=True), f"a/{key[0]}", f"b/{key[0]}", n=3))
+            out.append((key[0], seq, n, False, before, diff))
+            before, last = seq, content
+        if before is not None:
+            self.last.update((before, last))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")]).astype({"seq": "Int64", "previous": "Int64"})
+
+    def close(self) -> None:
+        pass
 
 
 def debounced(changes: DataFrame, quiet: str = QUIET) -> DataFrame:
@@ -46,8 +60,28 @@ def debounced(changes: DataFrame, quiet: str = QUIET) -> DataFrame:
 
 
 def watch(changes: DataFrame, settings: Settings) -> DataFrame:
-    """A row for every change: its matches, and the difference from the path's last content."""
+    """A row for every change: its matches, and the difference from the path's last content.
+
+    ``seq`` orders the changes of a path, also across micro-batches: a change that is not after
+    the last one (repeated, late or without ``seq``) is ``late``, has no difference and does not
+    become the last content.  ``previous`` is the ``seq`` of the content that the difference is from.
+    A task holds the changes that one path has in one micro-batch, and the path's last content.
+    Needs a state store with several column families (``run.finished`` sets it).
+    """
     ext = F.regexp_extract("path", r"\.([^./]+)$", 1)
     df = process(changes.withColumn("ext", F.when(ext != "", ext)), settings)
     df = df.select("path", "seq", "content", "cleaned", F.size("matches").alias("n"))
-    return df.groupBy("path").applyInPandasWithState(_step, OUT, "last string", "append", GroupStateTimeout.NoTimeout)
+    return df.groupBy("path").transformWithStateInPandas(_Watch(), OUT, "Append", "None")
+
+
+def watch_quiet(changes: DataFrame, settings: Settings, quiet: str = QUIET, delay: str = "1 minute") -> DataFrame:
+    """``watch`` behind ``debounced``, as one stream with two stateful operators.
+
+    ``delay`` is the watermark: how far changes may be out of order.  A run of changes reaches
+    ``watch`` when the watermark passes its end, so runs of a path come in the order of their
+    ends and none is late; changes behind the watermark are dropped, as in any stream.
+    What is left is dealt out by change before it is scanned: a path of many changes is
+    scanned by many tasks, and the two operators' states are in different tasks, as they have to be.
+    """
+    quiet_changes = debounced(changes.withWatermark("ts", delay), quiet)
+    return watch(quiet_changes.repartition("path", "seq"), settings)
