@@ -1,9 +1,11 @@
+import re
+import zlib
 from collections import Counter
 
 import numpy as np
 
 from textloom.llm import language
-from textloom.llm.language import PROFILE, Ranks, decide, grams, identify, known_language, learn
+from textloom.llm.language import PROFILE, Ranks, decide, gram_hashes, grams, identify, known_language, learn
 from textloom.llm.runtime import read
 
 SF = "/root/testdata/sf0.01"
@@ -77,3 +79,36 @@ def test_counts_of_texts_of_every_length(monkeypatch):
             want = Counter(int(language.gram_hashes(np.array([ord(c) for c in g], np.uint32), len(g))[0]) for w in word.split() for g in grams(w))
             v, n = language.counted(letters)
             assert dict(zip(v.tolist(), n.tolist())) == want
+
+
+def test_copies_under_one_identifier_do_not_lose_a_language(spark):
+    """Texts that share an identifier, and copies of one text, in any number."""
+    en = [(1, f"the cat number {i} sat on the mat and the dog", "en") for i in range(400)] + [(1, "the same words again and again", "en")] * 400
+    de = [(7 + i, f"der hund nummer {i} und die katze auf der matte", "de") for i in range(30)]
+    docs = spark.createDataFrame(en + de + [(900, "the dog and the cat", None), (901, "die katze und der hund", None)], "doc_id long, text string, lang string")
+    profiles = learn(docs, rows=40)
+    assert set(profiles) == {"en", "de"} and all(len(p) > 50 for p in profiles.values())
+    got = {r.doc_id: r.lang_pred for r in identify(docs.where("doc_id >= 900"), profiles).collect()}
+    assert got == {900: "en", 901: "de"}
+
+
+def test_whole_query_equals_brute_force(spark):
+    """Profiles by counting, distances by ranks, for every text of a small table."""
+    docs = read(spark, "/root/testdata/sf0.001", "documents")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    counts = {}
+    for text, lang in {(r.doc_id, r.text, r.lang): (r.text, r.lang) for r in rows if r.lang and r.text and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}.values():
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            counts.setdefault(lang, Counter()).update(g for n in range(1, 5) for i in range(len(w) + 3 - n) if (g := f" {w} "[i : i + n]) != " ")
+    profiles = {lang: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:400]] for lang, c in counts.items()}
+    assert profiles == learn(docs)
+    order = lambda g: int(gram_hashes(np.array([ord(c) for c in g], np.uint32), len(g))[0])
+    got = {(r.doc_id, r.lang_pred, round(r.distance, 9)) for r in identify(docs, learn(docs)).collect()}
+    want = set()
+    for r in rows:
+        c = Counter(g for w in re.findall(r"[^\W\d_]+", (r.text or "").lower()) for n in range(1, 5) for i in range(len(w) + 3 - n) if (g := f" {w} "[i : i + n]) != " ")
+        top = sorted(c, key=lambda g: (-c[g], order(g)))[:400]
+        far = {lang: sum(abs((p.index(g) if g in p else 400) - i) for i, g in enumerate(top)) / (400 * len(top)) for lang, p in profiles.items()} if top else {}
+        best = min(far, key=lambda lang: (far[lang], lang)) if far else "und"
+        want.add((r.doc_id, best, round(far.get(best, 1.0), 9)))
+    assert got == want

@@ -170,28 +170,28 @@ def _count(batches):
 def learn(docs: DataFrame, rows: int = FIT_ROWS) -> dict[str, list[str]]:
     """Profiles from the labelled rows whose crc32(doc_id) mod 4 is not 2.
 
-    At most ``rows`` rows of each language are used, those with the least hash; where
-    there are more, at least about nine in ten of ``rows``.  A language of which more
-    rows than that share the least hash is not learned.
+    About ``rows`` rows of each language are used at most, those with the least hash of identifier and
+    text; where there are more, at least about nine in ten of ``rows``.  Rows with the same identifier
+    and text count once, so no language is lost to its copies.
     The driver gets the profiles: PROFILE n-grams for each language.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket_of(F.col("doc_id"), 4) != 2)).select(
-        F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.col("text").cast("string").alias("text")
+        F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text")
     )
-    # hashes in classes, each 2^(1/8) times the one below: counts of at most 513 classes for a language, made with
-    # partial aggregation, tell how many whole classes hold no more than ``rows``
+    # hashes in classes, each 2^(1/8) times the one below: sketches of at most 513 classes for a language, made with
+    # partial aggregation, tell how many whole classes hold no more than ``rows`` different hashes (the least class at any rate)
     share = (F.col("h").cast("double") + 2.0**63 + 1) / 2.0**64
     step = F.greatest(F.ceil(F.log2(share) * 8), F.lit(-512)).cast("int")
     labelled = labelled.withColumn("step", step)
     upto = F.sum("n").over(Window.partitionBy("lang").orderBy("step"))
-    cuts = labelled.groupBy("lang", "step").agg(F.count("*").alias("n")).withColumn("upto", upto).where(F.col("upto") <= rows).groupBy("lang").agg(F.max("step").alias("cut")).collect()
+    cuts = labelled.groupBy("lang", "step").agg(F.approx_count_distinct("h", 0.02).alias("n")).withColumn("upto", upto).groupBy("lang").agg(F.coalesce(F.max(F.when(F.col("upto") <= rows, F.col("step"))), F.min("step")).alias("cut")).collect()
     if not cuts:
         return {}
     small = None
     for c in cuts:
         one = (F.col("lang") == c["lang"]) & (F.col("step") <= c["cut"])
         small = one if small is None else small | one
-    counted = labelled.where(small).select("lang", "text").mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = labelled.where(small).dropDuplicates(["lang", "h"]).select("lang", "text").mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= PROFILE)
     profiles: dict[str, list[str]] = {}
     for r in sorted(best.collect(), key=lambda r: (r["lang"], r["r"])):
