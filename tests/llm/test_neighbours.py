@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm.neighbours import neighbours, robust_prune
+from textloom.llm.neighbours import SHARD_ROWS, Shard, _norms, neighbours, robust_prune
 from textloom.llm.runtime import read
 
 SF = "/root/testdata/sf0.01"
@@ -70,3 +71,24 @@ def test_vectors_of_unlike_length(spark):
     found = neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert {r.query_id for r in found} == {0, 20, 100, 120}
     assert all((r.query_id < 100) == (r.vec_id < 100) for r in found) and len(found) == 80
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+@pytest.mark.parametrize("spread", [0.0, 0.4])
+def test_recall_on_a_full_shard(clustered, spread):
+    """Recall at 20 against brute force, where a shard has its most vectors and lengths differ."""
+    rng, n, d = np.random.default_rng(7), SHARD_ROWS, 64
+    unit = lambda a: a / np.sqrt((a**2).sum(1, keepdims=True))
+    x = unit(rng.normal(size=(n, d)))
+    if clustered:
+        x = unit(x[rng.integers(0, 1000, n)] + rng.normal(size=(n, d)) * 0.3 / np.sqrt(d))
+    x = (x * np.exp(rng.normal(0, spread, n))[:, None]).astype(np.float32)
+    x = x[np.argsort(-_norms(x), kind="stable")]
+    q = x[rng.integers(0, n, 200)]
+    rows, score = Shard.of(x).search(q, 20)
+    exact = q.astype(float) @ x.T.astype(float)
+    best = np.argsort(-exact, axis=1, kind="stable")[:, :20]
+    assert np.allclose(np.take_along_axis(exact, rows, 1), score)
+    recall = np.mean([len(set(a) & set(b)) / 20 for a, b in zip(rows.tolist(), best.tolist())])
+    print("recall", recall)
+    assert recall >= 0.95

@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by inner product: a robust-pruned directed graph for each shard."""
+"""Approximate nearest neighbours by inner product: robust-pruned directed graphs for each shard."""
 
 from __future__ import annotations
 
@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from .runtime import keep, scratch, tidy
 
 #: Edges of a node, beam of construction and of search, and how much longer a kept edge may be.
-DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX = 24, 40, 96, 1.2
+DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX = 24, 40, 192, 1.2
 #: Nearest candidates among which the edges of a node are chosen.
 POOL = 64
 #: Rounds in which the points of a shard are added, at most.
 ROUNDS = 8
 NEAREST = 20
+#: Norms in one graph differ by this factor at most: edges between vectors then suit queries, which have norm 1.
+RANGE = 1.15
 #: Shards, as long as none has more vectors than this, on average.
 SHARDS, SHARD_ROWS = 8, 16_384
 _BATCH = 256
@@ -129,22 +131,64 @@ def _directions(q: np.ndarray) -> np.ndarray:
     return np.concatenate([wide / np.sqrt((wide**2).sum(1))[:, None], np.zeros((len(q), 1))], 1).astype(np.float32)
 
 
+def _norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x.astype(np.float64) ** 2).sum(1))
+
+
+class Shard:
+    """Vectors from the longest to the shortest, and a graph for each range of norms.
+
+    Inner products with a query of norm 1 are at most the norm, so the ranges are searched from
+    the longest on, and a query is done when its ``nearest`` best are above all norms left.
+    """
+
+    def __init__(self, x: np.ndarray, graph: np.ndarray, cuts: list[int], starts: list[int]):
+        self.x, self.graph, self.cuts, self.starts = x, graph, cuts, starts
+        self.norms = _norms(x)
+        self.flat = [_flat(x[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> "Shard":
+        """``x`` has descending norms."""
+        norms, cuts = _norms(x), [0]
+        while cuts[-1] < len(x):
+            cuts.append(int(np.searchsorted(-norms, -norms[cuts[-1]] / RANGE, side="right")))
+        built = [build(_flat(x[a:b])) for a, b in zip(cuts, cuts[1:])]
+        return cls(x, np.concatenate([g for g, _ in built]), cuts, [s for _, s in built])
+
+    def search(self, q: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (-1: none) and double-precision products of those found for each query."""
+        directions, lengths = _directions(q), _norms(q)
+        rows, products = np.full((len(q), nearest), -1, np.int64), np.full((len(q), nearest), -np.inf)
+        for k, (a, b) in enumerate(zip(self.cuts, self.cuts[1:])):
+            live = np.flatnonzero(products[:, -1] <= lengths * self.norms[a] * (1 + 1e-9))
+            for part in np.array_split(live, -(-len(live) // _BATCH)) if len(live) else ():
+                ids, _, _ = beam_search(self.flat[k], self.graph[a:b], self.starts[k], directions[part], min(SEARCH_BEAM, b - a))
+                found = np.where(ids >= 0, ids + a, -1)
+                product = (self.x[found].astype(np.float64) * q[part][:, None, :].astype(np.float64)).sum(2)
+                product[ids < 0] = -np.inf
+                both, all_rows = np.concatenate([products[part], product], 1), np.concatenate([rows[part], found], 1)
+                order = np.argsort(-both, axis=1, kind="stable")[:, :nearest]
+                products[part], rows[part] = np.take_along_axis(both, order, 1), np.take_along_axis(all_rows, order, 1)
+        return rows, products
+
+
 def _index(key, table):
     vectors = table.column("embedding").combine_chunks()
     x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
-    order = np.lexsort(x.T[:4])  # the same graph whatever order the rows come in
+    order = np.lexsort((*x.T[:4], -_norms(x)))  # the same graphs whatever order the rows come in
     table, x = table.take(pa.array(order)), x[order]
-    graph, start = build(_flat(x))
+    shard = Shard.of(x)
     members = table.column("ids").to_pylist()
     return pa.table(
         {
-            "shard": pa.array([key[0].as_py()], pa.int64()), "dim": pa.array([x.shape[1]], pa.int32()), "start": pa.array([start], pa.int64()),
-            "vectors": pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()), "graph": pa.array([graph.astype(np.int32).tobytes()], pa.binary()), "members": pa.array([members], pa.list_(pa.list_(pa.int64()))),
+            "shard": pa.array([key[0].as_py()], pa.int64()), "dim": pa.array([x.shape[1]], pa.int32()), "cuts": pa.array([shard.cuts], pa.list_(pa.int64())), "starts": pa.array([shard.starts], pa.list_(pa.int64())),
+            "vectors": pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()), "graph": pa.array([shard.graph.astype(np.int32).tobytes()], pa.binary()), "members": pa.array([members], pa.list_(pa.list_(pa.int64()))),
         }
     )
 
 
-INDEX = "shard long, dim int, start long, vectors binary, graph binary, members array<array<long>>"
+INDEX = "shard long, dim int, cuts array<long>, starts array<long>, vectors binary, graph binary, members array<array<long>>"
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -160,20 +204,17 @@ def _search(batches, nearest: int):
             if lo == hi:
                 continue
             if kind[lo] == 0:
-                row = {c: part.column(c)[0].as_py() for c in ("dim", "start", "vectors", "graph", "members")}
+                row = {c: part.column(c)[0].as_py() for c in ("dim", "cuts", "starts", "vectors", "graph", "members")}
                 x = np.frombuffer(row["vectors"], np.float32).reshape(-1, row["dim"])
-                held = (x, _flat(x), np.frombuffer(row["graph"], np.int32).reshape(len(x), -1).astype(np.int64), row["start"], row["members"])
+                held = Shard(x, np.frombuffer(row["graph"], np.int32).reshape(len(x), -1).astype(np.int64), row["cuts"], row["starts"]), row["members"]
             else:
                 q = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1)
-                yield from _found(held, part.column("query_id").to_pylist(), q, nearest)
+                yield from _found(*held, part.column("query_id").to_pylist(), q, nearest)
 
 
-def _found(held, q_ids: list[int], q: np.ndarray, nearest: int):
-    x, flat, graph, start, members = held
+def _found(shard: Shard, members: list, q_ids: list[int], q: np.ndarray, nearest: int):
     for lo in range(0, len(q), _BATCH):
-        part = q[lo : lo + _BATCH]
-        ids, _, _ = beam_search(flat, graph, start, _directions(part), SEARCH_BEAM)
-        score = (x[ids].astype(np.float64) * part[:, None, :].astype(np.float64)).sum(2)
+        ids, score = shard.search(q[lo : lo + _BATCH], nearest + 1)  # one may be the query itself
         out = []
         for own, node, s in zip(q_ids[lo : lo + _BATCH], ids.tolist(), score.tolist()):
             found = sorted((-v, m) for i, v in zip(node, s) if i >= 0 for m in members[i] if m != own)
@@ -226,7 +267,8 @@ def search(index: DataFrame, queries: DataFrame, nearest: int = NEAREST) -> Data
     of_dim = F.filter(F.array(*(F.struct(F.lit(s).cast("long").alias("shard"), F.lit(d).alias("dim")) for s, d in sorted(shards))), lambda s: s["dim"] == F.size("embedding"))
     asked = usable(queries).select(F.col("vec_id").alias("query_id"), "embedding", F.inline(of_dim)).select("shard", F.lit(1).alias("kind"), "query_id", "embedding")
     rows = index.withColumn("kind", F.lit(0)).unionByName(asked, allowMissingColumns=True)
-    out = rows.repartition(len(shards), "shard").sortWithinPartitions("shard", "kind", "query_id").mapInArrow(partial(_search, nearest=nearest), FOUND)
+    task = F.element_at(F.create_map(*(F.lit(v) for k, (s, _) in enumerate(sorted(shards)) for v in (s, k))), F.col("shard"))  # a shard each
+    out = rows.repartitionById(len(shards), task).sortWithinPartitions("shard", "kind", "query_id").mapInArrow(partial(_search, nearest=nearest), FOUND)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= nearest).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
