@@ -66,6 +66,34 @@ def test_groups_hold_every_piece_with_little_padding():
         assert sum(t & (t - 1) == 0 and t < 2048 for t in sums) <= 11
 
 
+def packed(sizes):
+    group, windows = Group(2048), []
+    for i, n in enumerate(sizes):
+        group.add(i, 0, n)
+        if group.full:
+            windows += group.close()
+    return windows + group.finish()
+
+
+def test_documents_that_fit_stay_whole():
+    sizes = np.random.default_rng(6).lognormal(6, 0.8, 4000).astype(int).clip(1, 2047).tolist()
+    windows = packed(sizes)
+    cut = {d for w in windows for d, s, n in w if n < sizes[d]}
+    sums = [sum(p[2] for p in w) for w in windows]
+    print("cut", len(cut), "padding", sum(2048 - t for t in sums if t & (t - 1)) / sum(sums))
+    assert len(cut) <= 0.12 * len(sizes) and sum(2048 - t for t in sums if t & (t - 1)) <= 0.03 * sum(sums)
+
+
+def test_equal_documents_and_few_of_them():
+    """No size at which differencing is left out: sizes that pair badly, and what a small partition holds."""
+    for sizes in ([700] * 3000, [1100] * 2000, [2047] * 300, [1] * 5000, [100] * 20, [900, 1500, 700], [1500] * 3, [5]):
+        windows = packed(sizes)
+        sums = [sum(p[2] for p in w) for w in windows]
+        assert sum(sums) == sum(sizes) and max(sums) <= 2048
+        assert sum(2048 - t for t in sums if t & (t - 1)) <= 0.03 * sum(sums)
+        assert sum(t > 1900 for t in sums) >= sum(sums) // 2048 - sum(sums) // 2048 // 20 - 1
+
+
 def test_round_trip(spark):
     docs = spark.createDataFrame([(i if i != 3 else None, x, 0) for i, x in enumerate(TEXTS * 3)], "doc_id long, text string, sequence_id int")
     rows = pack(docs.repartition(3)).collect()

@@ -17,12 +17,12 @@ from .tokens import END_ID, default_path, words_of
 CAPACITY = 2048
 #: Windows that are balanced at once, and the share of them that is left free so that balanced windows fit.
 GROUP_WINDOWS, SLACK = 128, 0.005
-#: What is balanced: pieces of at most this many tokens, and bundles of small pieces of at least half a fine piece.
-PIECE = 512
-#: One remainder in FINE_EVERY is cut into pieces this many times smaller: they even out what the large ones leave.
-FINE_EVERY, FINE = 12, 12
-#: What is left at the end of a partition is balanced too if it fills this many windows.
-LEAST_WINDOWS = 4
+#: At each level of cutting: the largest pieces of documents that fit a window, of what is left of longer ones, and (from
+#: the second on) of every FINE_EVERY-th document, whose pieces even out what the large ones leave.
+LEVELS = ((2048, 96, 96), (2048, 96, 64), (1024, 96, 64), (512, 512, 42), (256, 256, 21), (128, 128, 10))
+FINE_EVERY = 12
+#: Share of padding in a group that is tried first, and above which documents are cut further.
+PADDING = (0.012, 0.03)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
 
@@ -71,73 +71,107 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return out
 
 
-def windows_of(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """Near-equal windows of uncut items: their count rises whenever one is over capacity."""
+def windows_of(sizes: list[int], capacity: int = CAPACITY, least: int = 0, most: int | None = None) -> list[list[int]] | None:
+    """Near-equal windows of uncut items, at least ``least``: their count rises whenever one is over capacity.
+    None if it would rise above ``most``."""
     if any(s > capacity for s in sizes):
         raise ValueError("an item is larger than a window")
-    k = -(-sum(sizes) // capacity)
-    while True:
+    k = max(least, -(-sum(sizes) // capacity))
+    while most is None or k <= most:
         windows = differencing(sizes, k) if k else []
         if all(sum(sizes[i] for i in w) <= capacity for w in windows):
             return [w for w in windows if w]
         k += max(1, k // 64)
+    return None
 
 
 class Group:
-    """Pieces that wait to be balanced.  A piece is (document, start, length)."""
+    """Remainders of documents that wait to be balanced.  A piece is (document, start, length)."""
 
     def __init__(self, capacity: int):
-        self.capacity, self.most = capacity, max(1, min(PIECE, capacity // 2))
-        self.least = self.most // FINE // 2
+        self.capacity = capacity
         self.room = int(GROUP_WINDOWS * capacity * (1 - SLACK))
-        self.items: list[list] = []
-        self.tokens = self.open = self.added = 0  # ``open``: tokens of the last item if it is a bundle that takes more
+        self.waiting: list[tuple] = []
+        self.tokens = self.level = self.closed = 0
 
     def add(self, doc, start: int, length: int) -> None:
-        """Cut a remainder into near-equal pieces; small ones join the open bundle."""
-        most = max(1, self.most // FINE) if self.added % FINE_EVERY == 0 else self.most
-        self.added += 1
-        parts = -(-length // most)
-        for i in range(parts):
-            lo, hi = start + length * i // parts, start + length * (i + 1) // parts
-            if hi - lo >= self.least:
-                self.items.insert(len(self.items) - bool(self.open), [(doc, lo, hi - lo)])
-            else:
-                if not self.open:
-                    self.items.append([])
-                self.items[-1].append((doc, lo, hi - lo))
-                self.open += hi - lo
-                if self.open >= self.least:
-                    self.open = 0
+        self.waiting.append((doc, start, length))
         self.tokens += length
 
     @property
     def full(self) -> bool:
         return self.tokens + self.capacity > self.room
 
+    def items(self, level: int) -> list[list]:
+        """What is balanced: near-equal pieces, and bundles of small ones.
+
+        What is left of a document longer than a window is cut at every level; documents
+        that fit a window are whole at the first one.
+        """
+        fits, left, small = (max(1, m * self.capacity // CAPACITY) for m in LEVELS[level])
+        out, bundle, size, nth = [], [], 0, 0
+        for doc, start, length in self.waiting:
+            most = left if start else fits
+            if level and (nth := nth + 1) % FINE_EVERY == 1:
+                most = small
+            parts = -(-length // most)
+            for i in range(parts):
+                lo, hi = start + length * i // parts, start + length * (i + 1) // parts
+                if hi - lo >= small // 2:
+                    out.append([(doc, lo, hi - lo)])
+                    continue
+                bundle.append((doc, lo, hi - lo))
+                size += hi - lo
+                if size >= small // 2:
+                    out.append(bundle)
+                    bundle, size = [], 0
+        return out + ([bundle] if bundle else [])
+
     def close(self) -> list[list]:
-        """All that waits, as windows of pieces."""
-        sizes = [sum(p[2] for p in i) for i in self.items]
-        windows = [[p for i in w for p in self.items[i]] for w in windows_of(sizes, self.capacity)]
-        self.items, self.tokens, self.open = [], 0, 0
+        """All that waits, as windows of pieces, cut no further than the padding asks for.
+
+        The level that the group before ended with is tried first, and now and then the one below.
+        """
+        self.closed += 1
+        start = max(0, self.level - 1) if self.closed % 8 == 0 else self.level
+        windows: list[list] = []
+        for self.level in range(start, len(LEVELS)):
+            items = self.items(self.level)
+            sizes = [sum(p[2] for p in i) for i in items]
+            last = self.level == len(LEVELS) - 1
+            least, most = (int(self.tokens / self.capacity / (1 - p)) + 1 for p in PADDING)
+            found = windows_of(sizes, self.capacity) if last else windows_of(sizes, self.capacity, least, most)
+            if found is not None:
+                windows = [[p for i in w for p in items[i]] for w in found]
+                break
+        self.waiting, self.tokens = [], 0
         return windows
 
     def finish(self) -> list[list]:
-        """The last windows: what does not fill whole windows is cut off and closed without padding."""
+        """The last windows: what does not fill whole ones, or does not fit when they are balanced, is cut off
+        and closed without padding."""
         whole, rest = self.tokens // self.capacity, []
-        left = int(whole * self.capacity * (1 - SLACK)) if whole >= LEAST_WINDOWS else 0
+        left = int(whole * self.capacity * (1 - SLACK))
         while self.tokens > left:
-            item = self.items.pop()
-            while item and self.tokens > left:
-                doc, s, n = item.pop()
-                cut = min(n, self.tokens - left)
-                rest.append((doc, s + n - cut, cut))
-                self.tokens -= cut
-                if n > cut:
-                    item.append((doc, s, n - cut))
-            if item:
-                self.items.append(item)
-        return self.close() + power_windows(rest, self.capacity)
+            doc, start, length = self.waiting.pop()
+            cut = min(length, self.tokens - left)
+            rest.append((doc, start + length - cut, cut))
+            self.tokens -= cut
+            if length > cut:
+                self.waiting.append((doc, start, length - cut))
+        items = self.items(max(self.level, 3))
+        windows = [[p for i in w for p in items[i]] for w in differencing([sum(p[2] for p in i) for i in items], whole)]
+        for w in windows:
+            over = sum(p[2] for p in w) - self.capacity
+            while over > 0:
+                doc, start, length = w.pop()
+                cut = min(length, over)
+                rest.append((doc, start + length - cut, cut))
+                over -= cut
+                if length > cut:
+                    w.append((doc, start, length - cut))
+        self.waiting, self.tokens = [], 0
+        return [w for w in windows if w] + power_windows(rest, self.capacity)
 
 
 def power_windows(pieces: list, capacity: int) -> list[list]:
@@ -204,9 +238,11 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     """Cut and pack all documents into sequences of at most ``capacity`` tokens.
 
     Each partition tokenises its documents, cuts whole windows off long ones and
-    balances the pieces of the remainders, a bounded group at a time, by Karmarkar-Karp
-    differencing; a group takes one more window as long as one is over capacity, and
-    windows are padded by what they are short of it.  No shuffle, no state that grows with the input.  Sequence
+    balances the remainders, a bounded group at a time, by Karmarkar-Karp differencing; a
+    group takes one more window as long as one is over capacity, and windows are padded by what they are
+    short of it.  Documents that fit a window stay whole if padding then is at most
+    3 %; else all are cut, further and further, until it is.  At a partition's end tokens beyond whole windows
+    are cut off into windows of powers of two.  No shuffle, no state that grows with the input.  Sequence
     identifiers are partition number and running count, so a task that is run
     again gives the same ones.
 
