@@ -22,7 +22,7 @@ GROUP_WINDOWS, SLACK = 128, 0.005
 LEVELS = ((2048, 96, 96), (2048, 96, 64), (1024, 96, 64), (512, 512, 42), (256, 256, 21), (128, 128, 10))
 FINE_EVERY = 12
 #: Share of padding in a group that is tried first, and above which documents are cut further.
-PADDING = (0.012, 0.03)
+PADDING = (0.012, 0.026)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
 
