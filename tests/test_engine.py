@@ -156,3 +156,28 @@ def test_places_and_many_matches(spark):
     assert unit == sorted((line - 1, len(text[i - col + 1 : i].encode("utf-16-le")) // 2) for i, line, col in want)
     report_of = json.loads(report.json_document(docs).first()["report"])
     assert report_of["summary"] == {"files_scanned": 1, "files_with_matches": 1, "total_matches": 600} and len(report_of["files"][0]["matches"]) == 600
+
+
+def test_symbol_rules_in_one_pass(spark):
+    """One class for all rules of single characters gives what each rule's own pattern does."""
+    import random
+
+    from textloom.functions.extract import java, spans
+    from textloom.operators.engine import raw_matches
+    from textloom.plans.rules import Settings, any_of, builtin
+    from textloom.sources.rule_files import rules_from
+
+    rng = random.Random(8)
+    marks = "—–“”‘’… ​‌‍﻿­\U0001f680✓→•★※†‡§¶☀➿⌀⓿①■\U0001faff\U0001f000éß¥·‒‧ab -]&\n"
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(80))) for _ in range(120)] + [None, ""]
+    found, _ = rules_from('rule own\n  match: "[a-]"\n  fix: "x"\nrule amp\n  match: "[a&&b]"\n  fix: "x"\nrule not\n  match: "[^a]"\n  fix: flag\n')
+    df = spark.createDataFrame([(i, "a.md", "md", t) for i, t in enumerate(texts)], "doc_id long, path string, ext string, content string").repartition(3)
+    for settings in (Settings("conservative"), Settings("conservative", allow_symbols=("✓", "→x", "]")), Settings("conservative", file_rules=found)):
+        got = {(r.doc_id, r.m.rule_id, r.m.start, r.m.end, r.m.original) for r in raw_matches(df, settings).select("doc_id", F.explode("matches").alias("m")).collect()}
+        want = set()
+        for _, rule in settings.rules():
+            pattern = java(*rule.patterns[0])
+            want |= {(r.doc_id, rule.id, r.s.start, r.s.end, r.s.original) for r in df.select("doc_id", F.explode(spans(F.col("content"), pattern)).alias("s")).collect()}
+        assert got == want and len(got) > 500
+    assert [r.id for r in builtin() if r.symbols] == ["em-dash", "en-dash", "curly-quotes", "ellipsis", "nbsp", "zero-width", "soft-hyphen", "emoji", "decorative-unicode"]
+    assert any_of(["a-c", "b-d", "x"]) == "[\\x{61}-\\x{64}\\x{78}-\\x{78}&&[[a-c][b-d][x]]]"

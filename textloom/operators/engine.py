@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.extract import empty, gathered, growing, grown, places
-from ..plans.rules import DELETE_BLOCK, DELETE_LINE, FLAG, Rule, Settings
+from ..functions.extract import empty, gathered, growing, grown, java, places, spans
+from ..plans.rules import DELETE_BLOCK, DELETE_LINE, FLAG, Rule, Settings, any_of, in_class
 from .comments import comment_spans, file_type
 
 MATCH = (
@@ -21,6 +21,11 @@ MATCHES = f"array<{MATCH}>"
 
 def _of_rule(text: Column, reg: int, rule: Rule) -> Column:
     """The rule's spans as matches, numbered in the order in which they are emitted."""
+    return F.transform(rule.spans(text), _match(reg, rule)).cast(MATCHES)
+
+
+def _match(reg: int, rule: Rule):
+    """A span of the rule as a match."""
     varies = rule.id in ("trivial-comment",)
     described = varies or rule.id == "python-args-boilerplate"
 
@@ -34,7 +39,18 @@ def _of_rule(text: Column, reg: int, rule: Rule) -> Column:
             suggestion.alias("suggestion"), kind.alias("kind"), (s["description"] if described else rule.describe(o) if rule.describe else F.lit(rule.description)).alias("description"),
         )
 
-    return F.transform(rule.spans(text), match).cast(MATCHES)
+    return match
+
+
+def _of_symbols(text: Column, rules: list[tuple[int, Rule, Column]]) -> Column:
+    """Matches of all rules for single characters, in one pass: one class finds every rule's characters, and each
+    hit is a match of those rules whose class has it, where the rule's condition holds."""
+    every = java("", any_of([rule.symbols[0] for _, rule, _ in rules]))
+
+    def told(s: Column, i: Column) -> Column:
+        return F.array(*(F.when(in_class(*rule.symbols)(s["original"]) & holds, _match(reg, rule)(s, i).cast(MATCH)) for reg, rule, holds in rules))
+
+    return F.array_compact(F.flatten(F.transform(spans(text, every), told)))
 
 
 def once(df: DataFrame, *columns: str) -> DataFrame:
@@ -61,18 +77,23 @@ def raw_matches(df: DataFrame, settings: Settings, by_row: ByRow | None = None)
     """
     least = by_row.least if by_row else settings.min_confidence
     df = df.withColumn("file_type", by_row.file_type if by_row else file_type(F.col("ext"), settings.lang)).withColumn("comment_spans", comment_spans(F.col("content"), F.col("ext")))
-    text, found = F.col("content"), []
+    text, found, symbols = F.col("content"), [], []
     for reg, rule in settings.rules():
         if rule.confidence < settings.min_confidence and rule.id != "trivial-comment":
             continue  # the same for every match: pruned here
-        m = _of_rule(text, reg, rule)
+        holds = F.lit(True)
         if rule.code_only:
-            m = F.when(F.col("file_type") == "code", m).otherwise(empty(MATCHES))
+            holds = holds & (F.col("file_type") == "code")
         if rule.files:
-            m = F.when(F.col("path").rlike(rule.files), m).otherwise(empty(MATCHES))
+            holds = holds & F.col("path").rlike(rule.files)
         if by_row:
-            m = F.when(by_row.active(rule), m).otherwise(empty(MATCHES))
-        found.append(m)
+            holds = holds & by_row.active(rule)
+        if rule.symbols:
+            symbols.append((reg, rule, holds))
+        else:
+            found.append(F.when(holds, _of_rule(text, reg, rule)).otherwise(empty(MATCHES)))
+    if symbols:
+        found.append(_of_symbols(text, symbols))
     matches = F.flatten(F.array(*found)) if found else empty(MATCHES)
     matches = F.coalesce(matches, empty(MATCHES))  # null content
     df = df.withColumn("matches", matches)

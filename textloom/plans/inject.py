@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import spread
+
 _N = "chr(10)"
 _CASES = [
     "text",
@@ -67,5 +69,5 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "turns":
         rows, more = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("doc_id", F.expr(TURNS)), ["conv_id", "turn", "role"]
     else:
-        rows, more = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+        rows, more = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), []
     return rows.select(*more, "doc_id", path.alias("path"), ext.alias("ext"), content.alias("content"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -14,6 +15,10 @@ from ..operators import comments
 REPLACE, DELETE_LINE, DELETE_BLOCK, FLAG = "Replace", "DeleteLine", "DeleteBlock", "FlagOnly"
 
 
+#: One character or a class, perhaps without some of its characters.
+_SINGLE = re.compile(r"(?P<plain>[^\\\[\](){}.*+?^$|])|(?:\(\?!\[(?P<allowed>(?:\\.|[^\\\]])*)\]\))?\[(?P<symbols>[^\\\[\]^&]+)\]", re.S)
+
+
 @dataclass(frozen=True)
 class Rule:
     """``find`` gives spans: structs of start, end, original and, if they vary, confidence and description."""
@@ -35,6 +40,14 @@ class Rule:
     explain: tuple[str, str, float, str, str] | None = None
     captures: tuple[int, ...] = ()
 
+    @property
+    def symbols(self) -> tuple[str, str] | None:
+        """For rules that find single characters: their class, and what of it is allowed."""
+        if self.find or self.captures or len(self.patterns) != 1 or self.patterns[0][0]:
+            return None
+        found = _SINGLE.fullmatch(self.patterns[0][1])
+        return (found["plain"] or found["symbols"], found["allowed"] or "") if found else None
+
     def spans(self, text: Column) -> Column:
         if self.find:
             return self.find(text)
@@ -119,6 +132,45 @@ def _sql_docs(text: Column) -> Column:
     return F.transform(spans(text, java(*SQL_DOC)), _trimmed)
 
 
+def in_class(symbols: str, allowed: str = "") -> Callable[[Column], Column]:
+    """Whether a character is in a class of characters and ranges, and not among the allowed ones (perhaps quoted)."""
+    ranges = re.findall(r"(.)-(.)|(.)", symbols, re.S)
+    single = [c for _, _, c in ranges if c]
+    kept = [c for c in re.findall(r"\\\\(.)|(.)", allowed, re.S) for c in c if c]
+
+    def test(c: Column) -> Column:
+        out = c.isin(*single) if single else F.lit(False)
+        for low, high, one in ranges:
+            if not one:
+                out = out | c.between(low, high)
+        return out & ~c.isin(*kept) if kept else out
+
+    return test
+
+
+#: Gaps that ``any_of`` leaves out at first sight.
+HULLS = 3
+
+
+def any_of(classes: list[str]) -> str:
+    """One class of all characters of ``classes``.
+
+    Most characters of a text are in none.  They are told by a few ranges that hold all the others,
+    between the widest gaps, before any class is looked at.
+    """
+    ends = sorted((ord(low or one), ord(high or one)) for c in classes for low, high, one in re.findall("(.)-(.)|(.)", c, re.S))
+    joined = [list(ends[0])]
+    for low, high in ends[1:]:
+        if low > joined[-1][1]:
+            joined.append([low, high])
+        else:
+            joined[-1][1] = max(joined[-1][1], high)
+    widest = sorted(range(1, len(joined)), key=lambda k: joined[k - 1][1] - joined[k][0])[:HULLS]
+    edges = [0, *sorted(widest), len(joined)]
+    hulls = "".join(f"\\x{{{joined[a][0]:x}}}-\\x{{{joined[b - 1][1]:x}}}" for a, b in zip(edges, edges[1:]))
+    return f"[{hulls}&&[{''.join(f'[{c}]' for c in dict.fromkeys(classes))}]]"
+
+
 def _without(symbols: str, allowed: tuple[str, ...]) -> str:
     """A class of ``symbols`` but the first character of each allowed entry."""
     first = "".join(dict.fromkeys(a[0] for a in allowed if a))

@@ -43,6 +43,16 @@ def decoded(raw: DataFrame, *more: Column) -> DataFrame:
     return text.select("path", F.when(ext != "", ext).alias("ext"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), *more)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small input dealt out over all cores.
+
+    A file of one row group is read by one task, into however many splits it is cut.  Only a scan
+    of fewer splits than there are cores is dealt out, so a large input is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def discover(spark: SparkSession, path: str, recursive: bool = False, excludes: tuple[str, ...] = ()) -> DataFrame:
     """Text files at or below ``path``.  Excludes do not apply to a single file; hidden files
     (names that begin with ``_`` or ``.``) are those that Spark's reader passes over."""
