@@ -47,6 +47,7 @@ _PROSE = "CASE doc_id % 16 " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumera
 #: View -> expressions of path, ext and content.
 VIEWS = {
     "prose": ("concat('docs/', cast(doc_id AS string), '.md')", "'md'", _PROSE),
+    "tree": ("concat('docs/', lang, '/', source, '/', cast(doc_id AS string), '.md')", "'md'", _PROSE),
     "turns": ("concat('c/', cast(conv_id AS string), '-', role, '.md')", "'md'", _PROSE),
     "code": (f"concat('src/', cast(doc_id AS string), '.', {_EXT})", _EXT, _CODE),
 }
@@ -63,11 +64,11 @@ def duckdb_sql(name: str) -> str:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """doc_id, path, ext, content of the ``prose`` or ``code`` view of ``documents``, or of ``turns``, which also
-    has conv_id, turn and role."""
+    """doc_id, path, ext, content of the ``prose``, ``code`` or ``tree`` view of ``documents``, or of ``turns``, which
+    also has conv_id, turn and role."""
     path, ext, content = (F.expr(e.replace("''", "\\'").replace("\\section", "\\\\section")) for e in VIEWS[name])
     if name == "turns":
         rows, more = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("doc_id", F.expr(TURNS)), ["conv_id", "turn", "role"]
     else:
-        rows, more = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), []
+        rows, more = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", *(("lang", "source") if name == "tree" else ()))), []
     return rows.select(*more, "doc_id", path.alias("path"), ext.alias("ext"), content.alias("content"))

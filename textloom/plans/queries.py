@@ -13,7 +13,7 @@ from ..operators.comments import comment_spans, file_type
 from ..sources.files import decoded, without, write_cleaned
 from ..sources.rule_files import merged_texts, parse, rules_from, validate
 from . import oracle as o
-from . import streams
+from . import streams, tree
 from .inject import view
 from .rules import Settings, builtin
 
@@ -240,6 +240,7 @@ def queries() -> dict:
         "merged_rules": merged_rules, "file_texts": file_texts, "changed_texts": changed_texts, "debounced_changes": debounced_changes,
         "modified_documents": lambda s, d: streams.modified_documents(s, d, _fresh, ALL_PROSE),
         "quiet_watch": lambda s, d: streams.quiet_watch(s, d, _fresh),
+        "nearest_rules": tree.nearest_rules,
         "document_sessions": lambda s, d: streams.sessions(s, d, _fresh),
     }
     return out
@@ -297,7 +298,7 @@ def oracle_sql() -> dict[str, str]:
           g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM e)
           SELECT 'u/' || user_id AS path, event_id AS seq, event_type AS content FROM g QUALIFY row_number() OVER (PARTITION BY user_id, g ORDER BY ts DESC, event_id DESC) = 1""",
     }
-    out |= {"modified_documents": streams.modified_sql(ALL_PROSE), "quiet_watch": streams.quiet_sql(), "document_sessions": streams.sessions_sql()}
+    out |= {"modified_documents": streams.modified_sql(ALL_PROSE), "quiet_watch": streams.quiet_sql(), "document_sessions": streams.sessions_sql(), "nearest_rules": tree.sql()}
     short = "CASE WHEN strlen(t) > 100 THEN left(t, list_max(list_filter(range(0, 98), lambda k: strlen(left(t, k)) <= 97))) || '…' ELSE t END"
     out["sentence_scores"] = starts + f" SELECT doc_id, {short} AS text, line::INTEGER AS line, hits, round(d, 6) AS density, coalesce(words, '') AS matched_words FROM scores"
     out["top5_sentences"] = starts + f" SELECT path, {short} AS text, hits, round(d, 6) AS density FROM scores ORDER BY d DESC, path, line, text LIMIT 5"
