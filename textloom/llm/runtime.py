@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -141,6 +142,7 @@ def settle(*uses: str) -> None:
     for name, empty in CACHES.items():
         if name not in uses:
             empty()
+    gc.collect()
     pa.default_memory_pool().release_unused()
     if libc := _libc():
         libc.malloc_trim(0)

@@ -18,7 +18,7 @@ from .runtime import CACHES
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Words of a generation: a worker remembers those of the present and the one before.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 160_000
 #: str.split() treats these as white space, the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
 _CACHES: dict[str, "Words"] = {}
