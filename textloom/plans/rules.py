@@ -92,6 +92,48 @@ SQL_DOC = ("im", r"^[ \t]*--[ \t]*Selects? (?:all|the) [a-zA-Z0-9_]+[ \t]*\n[ \t
 
 _WORDS = (("i", r"\b(" + "|".join([*SYNONYMS, *FLAGGED]) + r")\b"),)
 
+# What rules say of a match, and the explanations that some have: what is found, the fix, confidence, before, after.
+DESCRIPTIONS = {
+    'em-dash': 'Em dash (U+2014) is rarely typed by humans and is a strong LLM signal.',
+    'en-dash': 'En dash (U+2013) is a common LLM typographic artifact.',
+    'curly-quotes': 'Curly quotes are common LLM typographic artifacts.',
+    'ellipsis': 'Ellipsis character (U+2026) is a common LLM typographic artifact.',
+    'nbsp': 'Non-breaking space (U+00A0) is often generated by LLMs unnecessarily.',
+    'zero-width': 'Zero-width character is an invisible typographic artifact.',
+    'soft-hyphen': 'Soft hyphen (U+00AD) is an invisible typographic artifact.',
+    'emoji': 'Emoji character unlikely to be intentionally typed',
+    'decorative-unicode': 'Decorative Unicode symbol is a common LLM artifact',
+    'filler-openers': 'Filler opener. State the point directly.',
+    'sycophantic-closers': 'Sycophantic closer. Delete the phrase.',
+    'hedges': 'Hedge phrase. Delete it.',
+    'transition-padding': 'Transitional padding. Delete the phrase.',
+    'hollow-intensifiers': 'Hollow intensifier. Rephrase to be more direct.',
+    'trivial-comment': 'Trivial comment restates code.',
+    'docstring-filler': 'Filler docstring restates the function signature without adding information',
+    'rust-verbose-doc': 'GPT-style Rust doc comment restates the obvious. Remove or replace with actual semantic information.',
+    'rust-trivial-mod-doc': 'Module doc comment restates the module name. Add real documentation.',
+    'python-empty-docstring-section': 'Empty NumPy docstring section header with no content. Remove it.',
+    'jsts-boilerplate': 'JSDoc boilerplate with no real information. Remove it.',
+    'jsts-console-log': 'Leftover debug console.log(). Remove it.',
+    'go-verbose-doc': 'Go comment restates function name trivially. Add real docs or remove.',
+    'sql-verbose-doc': 'Trivial SQL comment restates SELECT *. Remove it.',
+    'custom-phrases': 'Custom phrase match from config',
+}
+EXPLANATIONS = {
+    'em-dash': ('Em dash character (U+2014 —) — almost never typed by humans', 'Replace with " - " (space-hyphen-space)', 1.0, 'word — word', 'word  -  word'),
+    'en-dash': ('En dash character (U+2013 \u2013)', 'Replace with " - "', 1.0, 'pages 10\u201320', 'pages 10 - 20'),
+    'curly-quotes': ('Curly/smart quotes: \u201c\u201d (double) and \u2018\u2019 (single)', 'Replace with straight quotes " or \'', 1.0, '“hello”', '"hello"'),
+    'ellipsis': ('Ellipsis character U+2026 (…)', 'Replace with three dots "..."', 1.0, 'and so on…', 'and so on...'),
+    'nbsp': ('Non-breaking space (U+00A0)', 'Replace with regular space', 1.0, 'word\xa0word', 'word word'),
+    'zero-width': ('Zero-width characters: U+200B, U+200C, U+200D, U+FEFF', 'Delete — removes the invisible character', 1.0, 'word\u200bword', 'wordword'),
+    'soft-hyphen': ('Soft hyphen (U+00AD) — invisible optional hyphen', 'Delete — removes the character', 1.0, 'soft\xadhyphen', 'softhyphen'),
+    'filler-openers': ('Phrases at sentence start: "Certainly!", "Absolutely!", "Of course!", "I\'d be happy to"', 'Replace(delete) — removes the filler phrase', 0.95, 'Certainly! Here is the solution.', 'Here is the solution.'),
+    'rust-verbose-doc': ('Rust `///` doc comments starting with "This function/method/struct…" or "Returns the/a…"', 'DeleteLine — removes the entire doc comment line', 0.8, '/// This function processes the input data.', '(line deleted)'),
+    'rust-trivial-mod-doc': ('Inner doc comments (`//!`) that say "This module contains/provides…"', 'DeleteLine', 0.75, '//! This module contains the authentication logic.', '(line deleted)'),
+    'python-args-boilerplate': ('NumPy/Google-style Python docstrings where Args/Returns sections contain only generic descriptions like "The input data", "The output result"', 'FlagOnly — highlighted in report and interactive mode, never auto-deleted', 0.75, 'Args:\n    data: The input data.\nReturns:\n    The output data.', '(flagged for review)'),
+    'python-empty-docstring-section': ('NumPy-style docstring section headers (Args:, Returns:, etc.) that have no content below them', 'DeleteLine', 0.9, 'Args:\nReturns:\n    int', 'Returns:\n    int'),
+}
+
 
 def _synonym(word: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in SYNONYMS.items() for x in kv]), F.lower(word))
@@ -179,40 +221,39 @@ def _without(symbols: str, allowed: tuple[str, ...]) -> str:
 
 
 def builtin(allow_symbols: tuple[str, ...] = (), phrases: tuple[str, ...] = ()) -> list[Rule]:
-    doc = lambda what: (what[0], what[1], what[2], what[3], what[4])
     rules = [
-        Rule("em-dash", "typographic", 1.0, REPLACE, "Em dash (U+2014) is rarely typed by humans and is a strong LLM signal.", (("", "\u2014"),), " - ", explain=doc(("Em dash character (U+2014 \u2014) — almost never typed by humans", 'Replace with " - " (space-hyphen-space)', 1.0, "word \u2014 word", "word  -  word"))),
-        Rule("en-dash", "typographic", 1.0, REPLACE, "En dash (U+2013) is a common LLM typographic artifact.", (("", "\u2013"),), " - ", explain=doc(("En dash character (U+2013 \u2013)", 'Replace with " - "', 1.0, "pages 10\u201320", "pages 10 - 20"))),
-        Rule("curly-quotes", "typographic", 1.0, REPLACE, "Curly quotes are common LLM typographic artifacts.", (("", "[\u201c\u201d\u2018\u2019]"),), suggest=lambda o: F.when(o.isin("\u201c", "\u201d"), '"').otherwise("'"), explain=doc(("Curly/smart quotes: \u201c\u201d (double) and \u2018\u2019 (single)", "Replace with straight quotes \" or '", 1.0, "\u201chello\u201d", '"hello"'))),
-        Rule("ellipsis", "typographic", 1.0, REPLACE, "Ellipsis character (U+2026) is a common LLM typographic artifact.", (("", "\u2026"),), "...", explain=doc(("Ellipsis character U+2026 (\u2026)", 'Replace with three dots "..."', 1.0, "and so on\u2026", "and so on..."))),
-        Rule("nbsp", "typographic", 1.0, REPLACE, "Non-breaking space (U+00A0) is often generated by LLMs unnecessarily.", (("", "\u00a0"),), " ", explain=doc(("Non-breaking space (U+00A0)", "Replace with regular space", 1.0, "word\u00a0word", "word word"))),
-        Rule("zero-width", "typographic", 1.0, REPLACE, "Zero-width character is an invisible typographic artifact.", (("", "[\u200b\u200c\u200d\ufeff]"),), explain=doc(("Zero-width characters: U+200B, U+200C, U+200D, U+FEFF", "Delete — removes the invisible character", 1.0, "word\u200bword", "wordword"))),
-        Rule("soft-hyphen", "typographic", 1.0, REPLACE, "Soft hyphen (U+00AD) is an invisible typographic artifact.", (("", "\u00ad"),), explain=doc(("Soft hyphen (U+00AD) — invisible optional hyphen", "Delete — removes the character", 1.0, "soft\u00adhyphen", "softhyphen"))),
-        Rule("emoji", "symbol", 1.0, REPLACE, "Emoji character unlikely to be intentionally typed", (("", _without(EMOJI, allow_symbols)),)),
-        Rule("decorative-unicode", "symbol", 1.0, REPLACE, "Decorative Unicode symbol is a common LLM artifact", (("", _without(DECORATIVE, allow_symbols)),)),
-        Rule("filler-openers", "prose", 0.95, REPLACE, "Filler opener. State the point directly.", OPENERS, explain=doc(('Phrases at sentence start: "Certainly!", "Absolutely!", "Of course!", "I\'d be happy to"', "Replace(delete) — removes the filler phrase", 0.95, "Certainly! Here is the solution.", "Here is the solution."))),
-        Rule("sycophantic-closers", "prose", 0.90, REPLACE, "Sycophantic closer. Delete the phrase.", CLOSERS),
-        Rule("hedges", "prose", 0.85, REPLACE, "Hedge phrase. Delete it.", HEDGES),
-        Rule("transition-padding", "prose", 0.80, REPLACE, "Transitional padding. Delete the phrase.", TRANSITIONS),
+        Rule("em-dash", "typographic", 1.0, REPLACE, DESCRIPTIONS["em-dash"], (("", "\u2014"),), " - ", explain=EXPLANATIONS["em-dash"]),
+        Rule("en-dash", "typographic", 1.0, REPLACE, DESCRIPTIONS["en-dash"], (("", "\u2013"),), " - ", explain=EXPLANATIONS["en-dash"]),
+        Rule("curly-quotes", "typographic", 1.0, REPLACE, DESCRIPTIONS["curly-quotes"], (("", "[\u201c\u201d\u2018\u2019]"),), suggest=lambda o: F.when(o.isin("\u201c", "\u201d"), '"').otherwise("'"), explain=EXPLANATIONS["curly-quotes"]),
+        Rule("ellipsis", "typographic", 1.0, REPLACE, DESCRIPTIONS["ellipsis"], (("", "\u2026"),), "...", explain=EXPLANATIONS["ellipsis"]),
+        Rule("nbsp", "typographic", 1.0, REPLACE, DESCRIPTIONS["nbsp"], (("", "\u00a0"),), " ", explain=EXPLANATIONS["nbsp"]),
+        Rule("zero-width", "typographic", 1.0, REPLACE, DESCRIPTIONS["zero-width"], (("", "[\u200b\u200c\u200d\ufeff]"),), explain=EXPLANATIONS["zero-width"]),
+        Rule("soft-hyphen", "typographic", 1.0, REPLACE, DESCRIPTIONS["soft-hyphen"], (("", "\u00ad"),), explain=EXPLANATIONS["soft-hyphen"]),
+        Rule("emoji", "symbol", 1.0, REPLACE, DESCRIPTIONS["emoji"], (("", _without(EMOJI, allow_symbols)),)),
+        Rule("decorative-unicode", "symbol", 1.0, REPLACE, DESCRIPTIONS["decorative-unicode"], (("", _without(DECORATIVE, allow_symbols)),)),
+        Rule("filler-openers", "prose", 0.95, REPLACE, DESCRIPTIONS["filler-openers"], OPENERS, explain=EXPLANATIONS["filler-openers"]),
+        Rule("sycophantic-closers", "prose", 0.90, REPLACE, DESCRIPTIONS["sycophantic-closers"], CLOSERS),
+        Rule("hedges", "prose", 0.85, REPLACE, DESCRIPTIONS["hedges"], HEDGES),
+        Rule("transition-padding", "prose", 0.80, REPLACE, DESCRIPTIONS["transition-padding"], TRANSITIONS),
         Rule(
-            "hollow-intensifiers", "prose", 0.70, REPLACE, "Hollow intensifier. Rephrase to be more direct.", _WORDS, suggest=_cased,
+            "hollow-intensifiers", "prose", 0.70, REPLACE, DESCRIPTIONS["hollow-intensifiers"], _WORDS, suggest=_cased,
             kind_of=lambda o: F.when(_synonym(o).isNull(), FLAG).otherwise(REPLACE),
-            describe=lambda o: F.when(_synonym(o).isNull(), "Hollow intensifier. Rephrase to be more direct.").otherwise(F.concat(F.lit("Hollow intensifier. Use '"), _synonym(o), F.lit("' instead."))),
+            describe=lambda o: F.when(_synonym(o).isNull(), DESCRIPTIONS["hollow-intensifiers"]).otherwise(F.concat(F.lit("Hollow intensifier. Use '"), _synonym(o), F.lit("' instead."))),
         ),
-        Rule("trivial-comment", "code", 0.85, DELETE_LINE, "Trivial comment restates code.", code_only=True, find=comments.trivial),
-        Rule("docstring-filler", "code", 0.80, DELETE_BLOCK, "Filler docstring restates the function signature without adding information", code_only=True, find=comments.filler_docstrings),
-        Rule("rust-verbose-doc", "pack", 0.80, DELETE_LINE, "GPT-style Rust doc comment restates the obvious. Remove or replace with actual semantic information.", RUST_DOC, code_only=True, explain=doc(('Rust `///` doc comments starting with "This function/method/struct…" or "Returns the/a…"', "DeleteLine — removes the entire doc comment line", 0.80, "/// This function processes the input data.", "(line deleted)"))),
-        Rule("rust-trivial-mod-doc", "pack", 0.75, DELETE_LINE, "Module doc comment restates the module name. Add real documentation.", RUST_MODULE, code_only=True, explain=doc(('Inner doc comments (`//!`) that say "This module contains/provides…"', "DeleteLine", 0.75, "//! This module contains the authentication logic.", "(line deleted)"))),
-        Rule("python-args-boilerplate", "pack", 0.75, FLAG, "", code_only=True, find=_args, explain=doc(('NumPy/Google-style Python docstrings where Args/Returns sections contain only generic descriptions like "The input data", "The output result"', "FlagOnly — highlighted in report and interactive mode, never auto-deleted", 0.75, "Args:\n    data: The input data.\nReturns:\n    The output data.", "(flagged for review)"))),
-        Rule("python-empty-docstring-section", "pack", 0.90, DELETE_LINE, "Empty NumPy docstring section header with no content. Remove it.", code_only=True, find=_empty_sections, explain=doc(("NumPy-style docstring section headers (Args:, Returns:, etc.) that have no content below them", "DeleteLine", 0.90, "Args:\nReturns:\n    int", "Returns:\n    int"))),
-        Rule("jsts-boilerplate", "pack", 0.85, DELETE_LINE, "JSDoc boilerplate with no real information. Remove it.", JS_PARAM, code_only=True),
-        Rule("jsts-console-log", "pack", 0.90, DELETE_LINE, "Leftover debug console.log(). Remove it.", JS_LOG, code_only=True),
-        Rule("go-verbose-doc", "pack", 0.85, DELETE_LINE, "Go comment restates function name trivially. Add real docs or remove.", GO_DOC, code_only=True),
-        Rule("sql-verbose-doc", "pack", 0.90, DELETE_LINE, "Trivial SQL comment restates SELECT *. Remove it.", code_only=True, find=_sql_docs),
+        Rule("trivial-comment", "code", 0.85, DELETE_LINE, DESCRIPTIONS["trivial-comment"], code_only=True, find=comments.trivial),
+        Rule("docstring-filler", "code", 0.80, DELETE_BLOCK, DESCRIPTIONS["docstring-filler"], code_only=True, find=comments.filler_docstrings),
+        Rule("rust-verbose-doc", "pack", 0.80, DELETE_LINE, DESCRIPTIONS["rust-verbose-doc"], RUST_DOC, code_only=True, explain=EXPLANATIONS["rust-verbose-doc"]),
+        Rule("rust-trivial-mod-doc", "pack", 0.75, DELETE_LINE, DESCRIPTIONS["rust-trivial-mod-doc"], RUST_MODULE, code_only=True, explain=EXPLANATIONS["rust-trivial-mod-doc"]),
+        Rule("python-args-boilerplate", "pack", 0.75, FLAG, "", code_only=True, find=_args, explain=EXPLANATIONS["python-args-boilerplate"]),
+        Rule("python-empty-docstring-section", "pack", 0.90, DELETE_LINE, DESCRIPTIONS["python-empty-docstring-section"], code_only=True, find=_empty_sections, explain=EXPLANATIONS["python-empty-docstring-section"]),
+        Rule("jsts-boilerplate", "pack", 0.85, DELETE_LINE, DESCRIPTIONS["jsts-boilerplate"], JS_PARAM, code_only=True),
+        Rule("jsts-console-log", "pack", 0.90, DELETE_LINE, DESCRIPTIONS["jsts-console-log"], JS_LOG, code_only=True),
+        Rule("go-verbose-doc", "pack", 0.85, DELETE_LINE, DESCRIPTIONS["go-verbose-doc"], GO_DOC, code_only=True),
+        Rule("sql-verbose-doc", "pack", 0.90, DELETE_LINE, DESCRIPTIONS["sql-verbose-doc"], code_only=True, find=_sql_docs),
     ]
     if phrases:
         body = "|".join(rf"\b{quote(p)}\b" for p in phrases)
-        rules.append(Rule("custom-phrases", "custom", 0.75, REPLACE, "Custom phrase match from config", (("i", body),)))
+        rules.append(Rule("custom-phrases", "custom", 0.75, REPLACE, DESCRIPTIONS["custom-phrases"], (("i", body),)))
     return rules
 
 
