@@ -1,9 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.operators.comments import comment_spans
 from textloom.plans.inject import view
 from textloom.plans.queries import INNER, OUTER
-from textloom.sources.rule_files import RuleFileError, merged_texts
+from textloom.sources.rule_files import RuleFileError, merged_texts, validate, validated
 
 
 def test_inner_rules_win_and_disables_add_up(spark):
@@ -29,3 +30,10 @@ def test_code_view_holds_whole_texts(spark, tmp_path):
     assert got[2].content is None and got[8].content is None and got[5].content.endswith(long + "\n")
     spans = [(s.start, s.end) for s in got[9].s]
     assert len(spans) > 3000 and all(a < b for a, b in spans) and all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
+
+
+def test_a_table_of_rule_files_is_checked(spark):
+    files = [("a", 'rule a\n  match: "x"\n  fix: delete\n'), ("b", 'rule b\n  match: "["\n  sevrity: warn\n  fix: y\n'), ("c", None), ("d", ""), ("b", "disable\n")]
+    got = sorted(map(tuple, validated(spark.createDataFrame(files, "path string, content string").withColumn("line", F.lit(9))).collect()))
+    assert got == sorted((p, at, m) for p, text in files if text for at, m in validate(text)) and len(got) == 4
+    assert validated(spark.createDataFrame([], "path string, content string")).count() == 0

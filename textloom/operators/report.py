@@ -165,6 +165,12 @@ def catalog(spark, settings: Settings) -> DataFrame:
     return spark.createDataFrame(rows, "priority int, rule_id string, category string, pattern_summary string, fix_behavior string, confidence double, example_input string, example_output string")
 
 
+def catalog_with_hits(df: DataFrame, settings: Settings) -> DataFrame:
+    """``catalog`` with the number of resolved matches of each rule in ``df``."""
+    counts = rule_counts(df).withColumnRenamed("n", "hits")
+    return catalog(df.sparkSession, settings).join(counts, "rule_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+
+
 def _diffs(batches):
     import difflib
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import engine, report
 from ..operators.comments import comment_spans, file_type
 from ..sources.files import decoded, without, write_cleaned
-from ..sources.rule_files import merged_texts, parse, rules_from, validate
+from ..sources.rule_files import merged_texts, rules_from, validated
 from . import oracle as o
 from . import streams, tree
 from .inject import view
@@ -111,14 +111,17 @@ def top5_sentences(spark, sf_dir):
 
 
 def profile_matrix(spark, sf_dir):
+    """The rules of each profile in order, and how many matches each has in the prose view before overlaps are resolved."""
     from .rules import PROFILES
 
-    rows = [(p, i, r.id) for p in PROFILES for i, r in Settings(p).rules()]
-    return spark.createDataFrame(rows, "profile string, priority int, rule_id string")
+    rows = spark.createDataFrame([(p, i, r.id) for p in PROFILES for i, r in Settings(p).rules()], "profile string, priority int, rule_id string")
+    found = engine.raw_matches(view(spark, sf_dir, "prose"), ALL_CODE).select(F.explode("matches.rule_id").alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("n"))
+    return rows.join(found, "rule_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def rules_catalog(spark, sf_dir):
-    return report.catalog(spark, ALL_CODE)
+    """What each rule says of itself, and how often it is found in the code view."""
+    return report.catalog_with_hits(processed(spark, sf_dir, "code", ALL_CODE), ALL_CODE)
 
 
 def diagnostics(spark, sf_dir):
@@ -147,11 +150,22 @@ def accepted_matches(spark, sf_dir):
     return engine.apply_decisions(df, d, "doc_id").select("doc_id", F.size("matches").cast("long").alias("accepted"), "cleaned")
 
 
+#: Rule files made of documents, by doc_id modulo their number: a phrase of the text, and perhaps errors.
+RULE_FILES = (
+    """concat('rule a', chr(10), '  match: "', phrase, '"', chr(10), '  fix: delete', chr(10))""",
+    """concat('rule b', chr(10), '  sevrity: warn', chr(10), '  match: "', phrase, '"', chr(10), '  fix: delete', chr(10), 'disable', chr(10))""",
+    """concat('# ', phrase, chr(10), 'rule c', chr(10), '  match: "', phrase, '"', chr(10), '  confidence: 3', chr(10))""",
+    """concat('rule d', chr(10), '  match: "', phrase, ' ["', chr(10), '  fix: ', phrase, 'x', chr(10), 'rule e', chr(10), '  fix: flag', chr(10))""",
+)
+#: The phrase: the first word of the text if it has only letters from a to z.
+PHRASE = "coalesce(nullif(regexp_extract(text, '^[A-Za-z]+', 0), ''), 'word')"
+
+
 def rule_file_errors(spark, sf_dir):
-    """The checker on a file with one error of each kind."""
-    bad = "rule a\n  sevrity: warn\n  match: \"x\"\n  fix: delete\nrule b\n  match: \"[\"\n  fix: y\nrule c\n  match: \"ok\"\n  confidence: 3\ndisable\n"
-    assert parse(RULES)[2] == []
-    return spark.createDataFrame(validate(bad), "line int, message string")
+    """The checker over a rule file for each document."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("rules/"), F.col("doc_id").cast("string")).alias("path"), "doc_id", F.expr(PHRASE).alias("phrase"))
+    content = F.expr("CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(RULE_FILES)) + " END")
+    return validated(docs.select("path", content.alias("content")))
 
 
 def merged_rules(spark, sf_dir):
@@ -282,7 +296,7 @@ def oracle_sql() -> dict[str, str]:
         "file_ranking": top + " SELECT path, n::BIGINT AS total_matches, round(density, 6) AS density FROM scored WHERE n > 0",
         "coverage": o.ctes("prose", ALL_CODE, "resolved") + f" SELECT rule_id FROM (SELECT unnest([{ids}]) AS rule_id) WHERE rule_id NOT IN (SELECT rule_id FROM resolved)",
         "human_report": top + f" SELECT path, path || ':' || {o.LINE} || ':' || {o.COL} || ' [' || rule_id || '] ' || replace(original, chr(10), '↵') || ' -> ' || replace(suggestion, chr(10), '↵') AS line FROM resolved",
-        "profile_matrix": o.PROFILE_SQL,
+        "profile_matrix": f"SELECT p.*, coalesce(n, 0) AS n FROM ({o.PROFILE_SQL}) p LEFT JOIN ({o.ctes('prose', ALL_CODE, 'm')} SELECT rule_id, count(*) AS n FROM m GROUP BY rule_id) USING (rule_id)",
         "allow_symbols": o.match_sql("prose", Settings("conservative", allow_symbols=("✓", "→x"))),
         "forced_language": o.match_sql("code", replace(ALL_CODE, lang="md")),
         "diagnostics": o.diagnostics_sql("prose", ALL_PROSE) + " SELECT * FROM diagnostic",
@@ -298,6 +312,17 @@ def oracle_sql() -> dict[str, str]:
           g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM e)
           SELECT 'u/' || user_id AS path, event_id AS seq, event_type AS content FROM g QUALIFY row_number() OVER (PARTITION BY user_id, g ORDER BY ts DESC, event_id DESC) = 1""",
     }
+    rows = []
+    for reg, r in ALL_CODE.rules():
+        e = r.explain or (f"Pattern matched by rule '{r.id}'", "See rule definition", 0.0, "(no example)", "(no example)")
+        rows.append(f"({reg}, {o.names([r.id, r.category, *e[:2]])}, {e[2]}::DOUBLE, {o.names(e[3:])})")
+    out["rules_catalog"] = o.ctes("code", ALL_CODE, "resolved") + f""" SELECT c.*, coalesce(hits, 0) AS hits FROM (VALUES {', '.join(rows)}) c(priority, rule_id, category, pattern_summary, fix_behavior, confidence, example_input, example_output)
+      LEFT JOIN (SELECT rule_id, count(*) AS hits FROM resolved GROUP BY rule_id) USING (rule_id)"""
+    out["rule_file_errors"] = f"""WITH f AS (SELECT doc_id, 'rules/' || doc_id AS path, {PHRASE} AS phrase FROM documents)
+      SELECT path, line, message FROM f JOIN (VALUES (1, 2, 'unknown field ''sevrity'', did you mean ''severity''?'), (1, 5, 'empty disable directive'),
+        (2, 2, 'rule ''c'' has no fix'), (2, 4, 'confidence must be a number from 0 to 1, got: 3'), (3, 4, 'rule ''e'' has no match')) e(kind, line, message) ON doc_id % 4 = kind
+      UNION ALL SELECT path, 3, 'replacement must be in quotes: ' || phrase || 'x' FROM f WHERE doc_id % 4 = 3
+      UNION ALL SELECT path, 1, 'rule ''d'' has an invalid pattern: unterminated character set at position ' || (length(phrase) + 1) FROM f WHERE doc_id % 4 = 3"""
     out |= {"modified_documents": streams.modified_sql(ALL_PROSE), "quiet_watch": streams.quiet_sql(), "document_sessions": streams.sessions_sql(), "nearest_rules": tree.sql()}
     short = "CASE WHEN strlen(t) > 100 THEN left(t, list_max(list_filter(range(0, 98), lambda k: strlen(left(t, k)) <= 97))) || '…' ELSE t END"
     out["sentence_scores"] = starts + f" SELECT doc_id, {short} AS text, line::INTEGER AS line, hits, round(d, 6) AS density, coalesce(words, '') AS matched_words FROM scores"

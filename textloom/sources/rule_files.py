@@ -20,7 +20,7 @@ from dataclasses import dataclass, replace
 from pathlib import Path
 
 from pyspark.errors import IllegalArgumentException
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.extract import java
 from ..plans.rules import DELETE_LINE, FLAG, REPLACE, Rule, quote
@@ -201,6 +201,20 @@ def validate(text: str) -> list[tuple[int, str]]:
     return sorted(errors)
 
 
+def _validated(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        found = [(p, at, message) for p, text in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()) for at, message in validate(text or "")]
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))], names=["path", "line", "message"])
+
+
+def validated(files: DataFrame) -> DataFrame:
+    """path, line, message of everything that is wrong with a table of rule files (path, content): a row
+    each, none for a file without errors or without content."""
+    return files.select("path", "content").mapInArrow(_validated, "path string, line int, message string")
+
+
 def compiled(rule: Parsed, enforce_files: bool = True) -> Rule:
     """The rule as column expressions.  Its pattern must not match the empty string."""
     regex = is_regex(rule.pattern)
