@@ -211,7 +211,8 @@ def _validated(batches):
 
 def validated(files: DataFrame) -> DataFrame:
     """path, line, message of everything that is wrong with a table of rule files (path, content): a row
-    each, none for a file without errors or without content."""
+    each, none for a file without errors or without content.  Tasks have no session, so patterns are
+    checked by Python's regular expressions (``pattern_error``): close to those that run the rules, not the same."""
     return files.select("path", "content").mapInArrow(_validated, "path string, line int, message string")
 
 
