@@ -19,8 +19,8 @@ from .rules import PROFILES, Settings
 
 #: Time without a change after which a run of changes counts as one, and how far changes are out of order.
 PAUSE, DELAY = "6 hours", "1 day"
-#: The files in which the changes arrive.
-ARRIVALS = 4
+#: How many times changes arrive, and how many of them a file holds: tasks write and read an arrival's files side by side.
+ARRIVALS, FILE_ROWS = 4, 100_000
 
 
 def _write(batches, folder: str):
@@ -69,18 +69,18 @@ def changes(spark, sf_dir) -> DataFrame:
 def quiet_watch(spark, sf_dir, fresh) -> DataFrame:
     """Debounced watch of all events as one stream, once arriving in order and once up to half a day out of order."""
     log = changes(spark, sf_dir)
-    low, high = log.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    low, high, n = log.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts")), F.count("*")).first()
     if low is None:
         low, high = 0, 0
     last = spark.createDataFrame([("the end.md", high + 30 * 86400, 0, "")], "path string, s long, seq long, content string").select("path", F.timestamp_seconds("s").alias("ts"), "seq", "content")
-    out = None
+    files, out = 1 + n // (ARRIVALS * FILE_ROWS), None
     for arrival, delayed in (("in order", F.lit(0)), ("out of order", F.col("seq") * 7919 % 43200)):
         at = fresh(spark, "quiet")
         piece = (F.unix_seconds("ts") + delayed - low) * ARRIVALS / (high - low + 43200)
-        for k in range(ARRIVALS):  # one file after the other, as they would arrive
-            log.where(F.floor(piece) == k).coalesce(1).write.mode("append").parquet(f"{at}/log")
+        for k in range(ARRIVALS):  # some files after the others, as they would arrive
+            log.where(F.floor(piece) == k).repartition(files).write.mode("append").parquet(f"{at}/log")
         last.coalesce(1).write.mode("append").parquet(f"{at}/log")
-        stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/log")
+        stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files).parquet(f"{at}/log")
         finished(watch_quiet(stream, Settings("prose"), PAUSE, DELAY), at)
         got = spark.read.parquet(f"{at}/out").select(F.lit(arrival).alias("arrival"), "path", "seq", F.col("n_matches").cast("long").alias("n_matches"), "late", "previous")
         out = got if out is None else out.unionByName(got)

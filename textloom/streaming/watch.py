@@ -8,8 +8,7 @@ from __future__ import annotations
 
 import difflib
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,22 +27,19 @@ class _Watch(StatefulProcessor):
         self.last = handle.getValueState("last", "seq long, content string")
 
     def handleInputRows(self, key, rows, timerValues):
-        before, last = self.last.get() if self.last.exists() else (None, None)
-        held = pd.concat([b[["seq", "content", "cleaned", "n"]] for b in rows]).sort_values("seq", kind="stable", na_position="first")
-        out = []
-        for seq, content, cleaned, n in held.itertuples(index=False):
-            seq = None if pd.isna(seq) else int(seq)
+        before, last = self.last.get() or (None, None)
+        for r in sorted(rows, key=lambda r: (r.seq is not None, r.seq or 0)):
+            seq, content, cleaned, n = r.seq, r.content, r.cleaned, r.n
             if seq is None or (before is not None and seq <= before):
-                out.append((key[0], seq, n, True, None, ""))
+                yield Row(path=key[0], seq=seq, n_matches=n, late=True, previous=None, diff="")
                 continue
             diff = ""
             if n and last is not None and last != cleaned:
                 diff = "".join(x if x.endswith("\n") else x + "\n" for x in difflib.unified_diff(last.splitlines(keepends=True), cleaned.splitlines(keepends=True), f"a/{key[0]}", f"b/{key[0]}", n=3))
-            out.append((key[0], seq, n, False, before, diff))
+            yield Row(path=key[0], seq=seq, n_matches=n, late=False, previous=before, diff=diff)
             before, last = seq, content
         if before is not None:
             self.last.update((before, last))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")]).astype({"seq": "Int64", "previous": "Int64"})
 
     def close(self) -> None:
         pass
@@ -71,7 +67,7 @@ def watch(changes: DataFrame, settings: Settings) -> DataFrame:
     ext = F.regexp_extract("path", r"\.([^./]+)$", 1)
     df = process(changes.withColumn("ext", F.when(ext != "", ext)), settings)
     df = df.select("path", "seq", "content", "cleaned", F.size("matches").alias("n"))
-    return df.groupBy("path").transformWithStateInPandas(_Watch(), OUT, "Append", "None")
+    return df.groupBy("path").transformWithState(_Watch(), OUT, "Append", "None")
 
 
 def watch_quiet(changes: DataFrame, settings: Settings, quiet: str = QUIET, delay: str = "1 minute") -> DataFrame:
