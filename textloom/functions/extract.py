@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,13 +41,70 @@ def gathered(g: Column) -> Column:
     return F.flatten(F.array_append(g["full"], g["last"]))
 
 
-def spans(text: Column, pattern: str, group: int = 0) -> Column:
+#: Among these are all that Java takes for an ASCII letter where case does not matter, beside its two cases.
+_FOLDS = "\\u0100-\\uffff"
+_WORD_LIST = re.compile(r"\\b\((?:\?:)?([^()|\\]+(?:\|[^()|\\]+)*)\)")
+_PHRASES = re.compile(r"\\b[A-Za-z][^()|\\]*\\b(?:\|\\b[A-Za-z][^()|\\]*\\b)*")
+#: First letters of a match that ``guarded`` looks at.
+GUARD = 3
+
+
+def guarded(flags: str, body: str) -> str:
+    """``java(flags, body)``; before words to choose from it looks at the first letters alone.
+
+    Most places of a text are told by that, before a word's edge is looked for and any word is tried.
+    """
+    pattern, words = java(flags, body), []
+    if "x" not in flags and (found := _WORD_LIST.match(body)) and "|" not in body[found.end() :]:
+        words = found[1].split("|")
+    elif "x" not in flags and _PHRASES.fullmatch(body):
+        words = body.replace(r"\b", "").split("|")
+    firsts = [re.match(r"[A-Za-z]*(?![*?{+])", w)[0][:GUARD] for w in words]
+    n = min(map(len, firsts), default=0)
+    if not n:
+        return pattern
+    shown = lambda c: c.upper() + c.lower() if "i" in flags else c
+    classes = "".join("[" + "".join(sorted({x for f in firsts for x in shown(f[k])})) + (_FOLDS if "i" in flags else "") + "]" for k in range(n))
+    return java(flags, f"(?=(?-iuU:{classes}))(?:{body})")
+
+
+#: A character that no text should have; those that do are gone through twice.
+MARK = "\uffff"
+
+
+def spans(text: Column, pattern: str, group: int = 0, needs: tuple[str, ...] = ()) -> Column:
     """All matches of ``pattern``, which must not match the empty string.
 
-    Matches and the gaps between them come from two built-in functions; one fold adds
-    up their lengths.  With ``group`` the span is that of the group, which must begin
-    where the match does.
+    The text is gone through once: each match is put between marks, and one fold adds up the
+    lengths of what lies between them.  With ``group`` the span is that of the group, which must begin
+    where the match does.  A text without any of ``needs``, one of which every match has, is not searched.
     """
+    searched = F.lit(True) if not needs else _any(text, needs)
+    if group:
+        return F.when(searched & text.rlike(pattern), _spans_twice(text, pattern, group)).otherwise(empty(SPAN))
+    parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    fold = F.aggregate(
+        F.transform(parts, lambda p, i: F.struct(p.alias("part"), F.length(p).alias("n"), (i % 2 == 1).alias("hit"))),
+        F.struct(F.lit(0).alias("at"), growing(SPAN).alias("out")),
+        lambda acc, s: F.struct(
+            (acc["at"] + s["n"]).alias("at"),
+            F.when(s["hit"], grown(acc["out"], F.struct(acc["at"].alias("start"), (acc["at"] + s["n"]).alias("end"), s["part"].alias("original")))).otherwise(acc["out"]).alias("out"),
+        ),
+        lambda acc: gathered(acc["out"]),
+    )
+    marked = F.when(F.contains(text, F.lit(MARK)), _spans_twice(text, pattern, 0)).otherwise(fold)
+    return F.when(text.isNotNull() & searched, marked).otherwise(empty(SPAN))
+
+
+def _any(text: Column, literals: tuple[str, ...]) -> Column:
+    found = F.contains(text, F.lit(literals[0]))
+    for x in literals[1:]:
+        found = found | F.contains(text, F.lit(x))
+    return found
+
+
+def _spans_twice(text: Column, pattern: str, group: int) -> Column:
+    """Spans from two built-in functions: the matches, and the gaps between them."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     steps = F.zip_with(F.split(text, pattern, -1), hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit")))
     if group:
@@ -53,7 +112,7 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
         steps = F.zip_with(steps, part, lambda s, p: F.struct(s["gap"].alias("gap"), s["hit"].alias("hit"), p.alias("part")))
     steps = F.filter(steps, lambda s: s["hit"].isNotNull())
     shown = (lambda s: s["part"]) if group else (lambda s: s["hit"])
-    fold = F.aggregate(
+    return F.aggregate(
         steps,
         F.struct(F.lit(0).alias("at"), growing(SPAN).alias("out")),
         lambda acc, s: F.struct(
@@ -62,7 +121,6 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
         ),
         lambda acc: gathered(acc["out"]),
     )
-    return F.when(text.rlike(pattern), fold).otherwise(empty(SPAN))
 
 
 PLACE = "array<struct<byte:int,line:int,col:int,unit:int>>"

@@ -97,18 +97,19 @@ def trivial(text: Column) -> Column:
     def judged(x: Column) -> Column:
         body = F.regexp_replace(x["line"], r"(?U)\A\s*(?://|#|--|%)", "")
         words = F.filter(F.transform(_tokens(body), F.lower), lambda t: ~t.isin(STOP_WORDS))
-        code = F.transform(F.filter(F.flatten(F.transform(_tokens(x["code"]), lambda t: F.split(t, r"(?U)(?<=\p{Lower})(?=\p{Upper})"))), lambda t: t != ""), F.lower)
-        return F.struct(
-            x["start"].alias("start"), F.least(x["start"] + x["n"] + 1, F.length(text)).alias("end"), x["line"].alias("original"),
-            F.size(words).alias("n"), F.size(F.filter(words, lambda t: F.array_contains(code, t))).alias("c"),
-        )
-
-    hits = F.filter(F.transform(asked, judged), lambda x: 5 * x["c"] >= 4 * x["n"])
+        code = F.transform(F.filter(F.split(x["code"], _SEPARATORS + r"|(?<=\p{Lower})(?=\p{Upper})"), lambda t: t != ""), F.lower)
+        bound = F.array(F.struct(words.alias("words"), code.alias("code")))  # once for a line, not for each word
+        shared = lambda b: F.struct(F.size(b["words"]).alias("n"), F.size(F.filter(b["words"], lambda t: F.array_contains(b["code"], t))).alias("c"))
+        return F.element_at(F.transform(bound, lambda b: F.struct(
+            x["start"].alias("start"), F.least(x["start"] + x["n"] + 1, F.length(text)).alias("end"), x["line"].alias("original"), shared(b).alias("shared"),
+        )), 1)
+
+    hits = F.filter(F.transform(asked, judged), lambda x: 5 * x["shared"]["c"] >= 4 * x["shared"]["n"])
     out = F.transform(
         hits,
         lambda x: F.struct(
-            x["start"].alias("start"), x["end"].alias("end"), x["original"].alias("original"), F.when(x["c"] == x["n"], 0.85).otherwise(0.70).alias("confidence"),
-            F.when(x["n"] == 0, "Trivial comment (stop words only).").otherwise("Trivial comment restates code.").alias("description"),
+            x["start"].alias("start"), x["end"].alias("end"), x["original"].alias("original"), F.when(x["shared"]["c"] == x["shared"]["n"], 0.85).otherwise(0.70).alias("confidence"),
+            F.when(x["shared"]["n"] == 0, "Trivial comment (stop words only).").otherwise("Trivial comment restates code.").alias("description"),
         ),
     )
     return F.when(text.rlike(r"(?mdU)^\s*(?://|#|--|%)"), out).otherwise(empty(_FOUND))
@@ -117,11 +118,11 @@ def trivial(text: Column) -> Column:
 def filler_docstrings(text: Column) -> Column:
     """Docstrings and documentation comments that only restate the signature."""
     inner = (
-        (TRIPLE, lambda o: stripped(F.regexp_replace(F.regexp_replace(o, "\\A[\"']+", ""), "[\"']+\\z", ""))),
-        (SLASHES, lambda o: stripped(F.replace(o, F.lit("///"), F.lit("")))),
-        (STARS, lambda o: stripped(F.regexp_replace(o, r"/\*\*|\*/|\*", ""))),
+        (TRIPLE, ('"""', "'''"), lambda o: stripped(F.regexp_replace(F.regexp_replace(o, "\\A[\"']+", ""), "[\"']+\\z", ""))),
+        (SLASHES, ("///",), lambda o: stripped(F.replace(o, F.lit("///"), F.lit("")))),
+        (STARS, ("/**",), lambda o: stripped(F.regexp_replace(o, r"/\*\*|\*/|\*", ""))),
     )
-    return F.concat(*[_generic(spans(text, p), of) for p, of in inner])
+    return F.concat(*[_generic(spans(text, p, needs=needs), of) for p, needs, of in inner])
 
 
 def _generic(found: Column, inner) -> Column:

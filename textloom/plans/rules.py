@@ -9,7 +9,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.extract import java, spans
+from ..functions.extract import guarded, java, spans
 from ..operators import comments
 
 REPLACE, DELETE_LINE, DELETE_BLOCK, FLAG = "Replace", "DeleteLine", "DeleteBlock", "FlagOnly"
@@ -39,6 +39,8 @@ class Rule:
     files: str | None = None
     explain: tuple[str, str, float, str, str] | None = None
     captures: tuple[int, ...] = ()
+    #: Literals of which every match has one.
+    needs: tuple[str, ...] = ()
 
     @property
     def symbols(self) -> tuple[str, str] | None:
@@ -53,7 +55,7 @@ class Rule:
             return self.find(text)
         if self.captures:
             return self._filled(text)
-        found = [spans(text, java(*p)) for p in self.patterns]
+        found = [spans(text, guarded(*p), needs=self.needs) for p in self.patterns]
         return found[0] if len(found) == 1 else F.concat(*found)
 
 
@@ -135,14 +137,25 @@ EXPLANATIONS = {
 }
 
 
+#: Words as they mostly are written, with the synonym as it is written then; the flagged ones have none.
+_WRITTEN = {f(w): (s, f(s)) for w, s in SYNONYMS.items() for f in (str.lower, str.upper, str.capitalize)}
+_FLAGGED = [f(w) for w in FLAGGED for f in (str.lower, str.upper, str.capitalize)]
+
+
+def _of_written(word: Column, which: int) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for w, s in _WRITTEN.items() for x in (w, s[which])]), word)
+
+
 def _synonym(word: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in SYNONYMS.items() for x in kv]), F.lower(word))
+    other = F.element_at(F.create_map(*[F.lit(x) for kv in SYNONYMS.items() for x in kv]), F.lower(word))
+    return F.when(word.isin(list(_WRITTEN)), _of_written(word, 0)).when(~word.isin(_FLAGGED), other)
 
 
 def _cased(word: Column) -> Column:
     s = _synonym(word)
     first = F.substring(word, 1, 1)
-    return F.when(s.isNull(), "").when(word == F.upper(word), F.upper(s)).when((first == F.upper(first)) & (first != F.lower(first)), F.initcap(s)).otherwise(s)
+    other = F.when(s.isNull(), "").when(word == F.upper(word), F.upper(s)).when((first == F.upper(first)) & (first != F.lower(first)), F.initcap(s)).otherwise(s)
+    return F.when(word.isin(list(_WRITTEN)), _of_written(word, 1)).when(word.isin(_FLAGGED), "").otherwise(other)
 
 
 def _trimmed(s: Column) -> Column:
@@ -158,7 +171,7 @@ def _first_80(s: Column) -> Column:
 
 
 def _args(text: Column) -> Column:
-    a, r = spans(text, java(*PY_ARGS)), spans(text, java(*PY_RETURNS))
+    a, r = (spans(text, java(*p), needs=('"""',)) for p in (PY_ARGS, PY_RETURNS))
     inside = F.filter(r, lambda m: ~F.exists(a, lambda x: (x["start"] <= m["start"]) & (x["end"] >= m["end"])))
     tag = lambda what: lambda s: F.struct(*[_first_80(s)[c].alias(c) for c in ("start", "end", "original")], F.lit(f"Python docstring {what}").alias("description"))
     return F.concat(F.transform(a, tag("Args section contains only generic boilerplate with no real semantic information.")), F.transform(inside, tag("Returns section contains only generic boilerplate.")))
@@ -171,7 +184,7 @@ def _empty_sections(text: Column) -> Column:
 
 
 def _sql_docs(text: Column) -> Column:
-    return F.transform(spans(text, java(*SQL_DOC)), _trimmed)
+    return F.transform(spans(text, java(*SQL_DOC), needs=("--",)), _trimmed)
 
 
 def in_class(symbols: str, allowed: str = "") -> Callable[[Column], Column]:
@@ -242,13 +255,13 @@ def builtin(allow_symbols: tuple[str, ...] = (), phrases: tuple[str, ...] = ())
         ),
         Rule("trivial-comment", "code", 0.85, DELETE_LINE, DESCRIPTIONS["trivial-comment"], code_only=True, find=comments.trivial),
         Rule("docstring-filler", "code", 0.80, DELETE_BLOCK, DESCRIPTIONS["docstring-filler"], code_only=True, find=comments.filler_docstrings),
-        Rule("rust-verbose-doc", "pack", 0.80, DELETE_LINE, DESCRIPTIONS["rust-verbose-doc"], RUST_DOC, code_only=True, explain=EXPLANATIONS["rust-verbose-doc"]),
-        Rule("rust-trivial-mod-doc", "pack", 0.75, DELETE_LINE, DESCRIPTIONS["rust-trivial-mod-doc"], RUST_MODULE, code_only=True, explain=EXPLANATIONS["rust-trivial-mod-doc"]),
+        Rule("rust-verbose-doc", "pack", 0.80, DELETE_LINE, DESCRIPTIONS["rust-verbose-doc"], RUST_DOC, code_only=True, needs=("///",), explain=EXPLANATIONS["rust-verbose-doc"]),
+        Rule("rust-trivial-mod-doc", "pack", 0.75, DELETE_LINE, DESCRIPTIONS["rust-trivial-mod-doc"], RUST_MODULE, code_only=True, needs=("//!",), explain=EXPLANATIONS["rust-trivial-mod-doc"]),
         Rule("python-args-boilerplate", "pack", 0.75, FLAG, "", code_only=True, find=_args, explain=EXPLANATIONS["python-args-boilerplate"]),
         Rule("python-empty-docstring-section", "pack", 0.90, DELETE_LINE, DESCRIPTIONS["python-empty-docstring-section"], code_only=True, find=_empty_sections, explain=EXPLANATIONS["python-empty-docstring-section"]),
-        Rule("jsts-boilerplate", "pack", 0.85, DELETE_LINE, DESCRIPTIONS["jsts-boilerplate"], JS_PARAM, code_only=True),
-        Rule("jsts-console-log", "pack", 0.90, DELETE_LINE, DESCRIPTIONS["jsts-console-log"], JS_LOG, code_only=True),
-        Rule("go-verbose-doc", "pack", 0.85, DELETE_LINE, DESCRIPTIONS["go-verbose-doc"], GO_DOC, code_only=True),
+        Rule("jsts-boilerplate", "pack", 0.85, DELETE_LINE, DESCRIPTIONS["jsts-boilerplate"], JS_PARAM, code_only=True, needs=("@",)),
+        Rule("jsts-console-log", "pack", 0.90, DELETE_LINE, DESCRIPTIONS["jsts-console-log"], JS_LOG, code_only=True, needs=("('", '("')),
+        Rule("go-verbose-doc", "pack", 0.85, DELETE_LINE, DESCRIPTIONS["go-verbose-doc"], GO_DOC, code_only=True, needs=("//",)),
         Rule("sql-verbose-doc", "pack", 0.90, DELETE_LINE, DESCRIPTIONS["sql-verbose-doc"], code_only=True, find=_sql_docs),
     ]
     if phrases:
