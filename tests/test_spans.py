@@ -2,9 +2,10 @@ import random
 
 from pyspark.sql import functions as F
 
-from textloom.functions.extract import MARK, _spans_twice, empty, guarded, java, spans, SPAN
+from textloom.functions.extract import MARK, SPAN, _spans_twice, empty, guarded, java, spans
+from textloom.operators import engine, report
 from textloom.operators.comments import trivial
-from textloom.plans.rules import CLOSERS, HEDGES, SYNONYMS, _WORDS, _cased, _synonym, builtin
+from textloom.plans.rules import CLOSERS, HEDGES, SYNONYMS, Settings, _WORDS, _cased, _synonym, builtin
 
 
 def test_one_pass_equals_two(spark):
@@ -34,3 +35,11 @@ def test_words_shared_with_the_code_below(spark):
     assert [(x.start, x.end, x.confidence) for x in plan.first().f] == []
     found = spark.createDataFrame([("# The user list\nuserList = x1\n",)], "t string").select(trivial(F.col("t")).alias("f")).first().f
     assert [(x.start, x.end, x.confidence) for x in found] == [(0, 16, 0.85)]
+
+
+def test_cleaned_text_is_made_once(spark):
+    """The filter of changed texts reads the cleaned text; it does not make it a second time."""
+    docs = engine.process(spark.createDataFrame([("a.md", "md", "a — b")], "path string, ext string, content string"), Settings("conservative"))
+    plan = report.unified_diff(docs)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [x for x in plan.splitlines() if "Filter" in x and "cleaned" in x]
+    assert filters and not any("array_join" in x for x in filters)

@@ -186,4 +186,4 @@ def _diffs(batches):
 
 def unified_diff(df: DataFrame) -> DataFrame:
     """path, diff for changed files; line differences are beyond SQL, so Arrow batches go to Python."""
-    return df.where("content <> cleaned").select("path", "content", "cleaned").mapInPandas(_diffs, "path string, diff string")
+    return once(df.select("path", "content", "cleaned"), "cleaned").where("content <> cleaned").mapInPandas(_diffs, "path string, diff string")

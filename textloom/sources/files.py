@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.engine import once
+
 
 def glob_pattern(glob: str) -> str:
     """A glob as a pattern for whole paths: ``*`` and ``?`` also match separators."""
@@ -74,4 +76,4 @@ def without(files: DataFrame, excludes: tuple[str, ...]) -> DataFrame:
 
 def write_cleaned(df: DataFrame, path: str, mode: str = "error") -> None:
     """Changed texts only, to a new place; inputs are never overwritten."""
-    df.where("content <> cleaned").select("path", "cleaned").write.mode(mode).parquet(path)
+    once(df.select("path", "content", "cleaned"), "cleaned").where("content <> cleaned").select("path", "cleaned").write.mode(mode).parquet(path)
