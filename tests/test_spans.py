@@ -43,3 +43,44 @@ def test_cleaned_text_is_made_once(spark):
     plan = report.unified_diff(docs)._jdf.queryExecution().optimizedPlan().toString()
     filters = [x for x in plan.splitlines() if "Filter" in x and "cleaned" in x]
     assert filters and not any("array_join" in x for x in filters)
+
+
+def test_patterns_in_one_pass(spark):
+    """Patterns looked for together find what each finds alone, overlapping ones included."""
+    from textloom.functions.extract import apart, finds, joins
+    from textloom.plans.rules import OPENERS, TRANSITIONS
+
+    r = random.Random(2)
+    some = ["utilize", "Robust", "\u017fynergy", "Certainly!", "all in all, ", "In summary, ", "keep in mind that", "please note that", "note that the", "that the that", "I hope this helps!", "of the", " ", "\n", "\n ", "\u2014", "\U0001f680", "\u00e9", "x", "aaa"]
+    texts = [("",)] + [("".join(r.choice(some) + r.choice(["", " ", "\n"]) for _ in range(r.randrange(40))),) for _ in range(150)]
+    df = spark.createDataFrame(texts, "t string")
+    patterns = [("", "[\u2014\U0001f680]"), *OPENERS, *CLOSERS, *HEDGES, *TRANSITIONS, *_WORDS, ("i", "\\bof the\\b"), ("", "that the"), ("", "aa"), ("i", "that (?:the )?that")]
+    assert all(joins(*p) for p in patterns) and not joins("", r"(a)\1") and not joins("x", "a b") and not joins("", "(?<n>a)")
+    rows = df.select("t", F.array(*(apart(finds(F.col("t"), patterns), k) for k in range(len(patterns)))).alias("a"), F.array(*(_spans_twice(F.col("t"), java(*p), 0) for p in patterns)).alias("b")).collect()
+    for x in rows:
+        assert x.a == x.b, x.t
+
+
+def test_running_sums(spark):
+    from textloom.functions.extract import running
+
+    r = random.Random(3)
+    lists = [([r.randrange(-5, 9) for _ in range(n)],) for n in (1, 2, 63, 64, 65, 128, 129, 5000)]
+    df = spark.createDataFrame(lists, "x array<int>")
+    for x in df.select("x", running(F.col("x")).alias("s"), running(F.col("x"), F.greatest, -99).alias("m")).collect():
+        assert x.s == [sum(x.x[:i]) for i in range(len(x.x))] if len(x.x) < 200 else x.s[-1] == sum(x.x[:-1])
+        assert x.m[:200] == [max([-99, *x.x[:i]]) for i in range(len(x.x[:200]))]
+
+
+def test_many_fixes_in_one_text(spark):
+    """The time of a text does not grow with the square of its fixes."""
+    import time
+
+    took = []
+    for n in (1_000, 1_000, 8_000):
+        df = spark.createDataFrame([("a.md", "md", "a\u2014b\U0001f680\n" * n)], "path string, ext string, content string")
+        began = time.time()
+        row = engine.process(df, Settings("conservative")).select("cleaned", F.size("matches").alias("n")).first()
+        took.append(time.time() - began)
+        assert row.n == 2 * n and row.cleaned == "a - b\n" * n
+    assert took[2] < 24 * max(took[1], 0.3)

@@ -41,11 +41,40 @@ def gathered(g: Column) -> Column:
     return F.flatten(F.array_append(g["full"], g["last"]))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value made once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(numbers: Column, add=lambda a, n: a + n, none: int = 0) -> Column:
+    """For a list of integers the sums (or what ``add`` and ``none`` make) of those before each.
+
+    Spark copies what a fold holds at every step, texts included, so a fold that gathers a long list costs the square
+    of its length.  Here the list is cut in parts, and a fold holds the sums of a part at most, or those of the parts.
+    """
+
+    def sums(x: Column, first: Column) -> Column:
+        start = F.struct(first.cast("int").alias("at"), empty("array<int>").alias("out"))
+        return F.aggregate(x, start, lambda acc, n: F.struct(add(acc["at"], n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+
+    def of(parts: Column) -> Column:
+        totals = F.transform(parts, lambda x: F.aggregate(x, F.lit(none), lambda a, n: add(a, n)))
+        return F.flatten(F.zip_with(parts, sums(totals, F.lit(none)), sums))
+
+    cut = bound(numbers, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / PART).cast("int")), lambda i: F.slice(x, PART * i + 1, F.lit(PART))))
+    return bound(cut, of)
+
+
+def overlap(found: Column) -> Column:
+    """Whether among structs in order of ``start`` one begins before the end of the one before."""
+    return F.exists(F.zip_with(found, F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0))), lambda a, b: F.coalesce(b["start"] < a["end"], F.lit(False))), lambda x: x)
+
+
 #: Among these are all that Java takes for an ASCII letter where case does not matter, beside its two cases.
 _FOLDS = "\\u0100-\\uffff"
 _WORD_LIST = re.compile(r"\\b\((?:\?:)?([^()|\\]+(?:\|[^()|\\]+)*)\)")
 _PHRASES = re.compile(r"\\b[A-Za-z][^()|\\]*\\b(?:\|\\b[A-Za-z][^()|\\]*\\b)*")
-#: First letters of a match that ``guarded`` looks at.
+#: First characters of a match that ``guarded`` looks at.
 GUARD = 3
 
 
@@ -59,7 +88,7 @@ def guarded(flags: str, body: str) -> str:
         words = found[1].split("|")
     elif "x" not in flags and _PHRASES.fullmatch(body):
         words = body.replace(r"\b", "").split("|")
-    firsts = [re.match(r"[A-Za-z]*(?![*?{+])", w)[0][:GUARD] for w in words]
+    firsts = [re.match(r"(?:[A-Za-z][A-Za-z ]*)?(?![*?{+])", w)[0][:GUARD] for w in words]
     n = min(map(len, firsts), default=0)
     if not n:
         return pattern
@@ -75,23 +104,19 @@ MARK = "\uffff"
 def spans(text: Column, pattern: str, group: int = 0, needs: tuple[str, ...] = ()) -> Column:
     """All matches of ``pattern``, which must not match the empty string.
 
-    The text is gone through once: each match is put between marks, and one fold adds up the
-    lengths of what lies between them.  With ``group`` the span is that of the group, which must begin
+    The text is gone through once: each match is put between marks, and the lengths of what lies between
+    them are added up.  With ``group`` the span is that of the group, which must begin
     where the match does.  A text without any of ``needs``, one of which every match has, is not searched.
     """
     searched = F.lit(True) if not needs else _any(text, needs)
     if group:
         return F.when(searched & text.rlike(pattern), _spans_twice(text, pattern, group)).otherwise(empty(SPAN))
-    parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
-    fold = F.aggregate(
-        F.transform(parts, lambda p, i: F.struct(p.alias("part"), F.length(p).alias("n"), (i % 2 == 1).alias("hit"))),
-        F.struct(F.lit(0).alias("at"), growing(SPAN).alias("out")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["n"]).alias("at"),
-            F.when(s["hit"], grown(acc["out"], F.struct(acc["at"].alias("start"), (acc["at"] + s["n"]).alias("end"), s["part"].alias("original")))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: gathered(acc["out"]),
-    )
+    def cut(parts: Column) -> Column:
+        both = F.zip_with(parts, running(F.transform(parts, F.length)), lambda p, at: F.struct(at.alias("start"), (at + F.length(p)).alias("end"), p.alias("original")))
+        return F.filter(both, lambda s, i: i % 2 == 1)
+
+    shown = F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}"))
+    fold = bound(shown, lambda m: F.when(F.octet_length(m) > F.octet_length(text), bound(F.split(m, MARK, -1), cut)).otherwise(empty(SPAN)))
     marked = F.when(F.contains(text, F.lit(MARK)), _spans_twice(text, pattern, 0)).otherwise(fold)
     return F.when(text.isNotNull() & searched, marked).otherwise(empty(SPAN))
 
@@ -123,41 +148,107 @@ def _spans_twice(text: Column, pattern: str, group: int) -> Column:
     )
 
 
+#: Between what the patterns of ``finds`` match at one place.
+BETWEEN = "\ufffe"
+FIND = "array<struct<at:int,found:array<string>>>"
+#: What keeps a pattern from standing beside others in one: references to groups, names of groups, quotes, the last match.
+_ALONE = re.compile(r"\\[1-9GQk]|\(\?<[A-Za-z]")
+
+
+def joins(flags: str, body: str) -> bool:
+    """Whether a pattern may be one of those of ``finds``."""
+    return "x" not in flags and not _ALONE.search(body)
+
+
+def begins(flags: str, body: str) -> str:
+    """What holds where a match of the pattern begins: no letter before a word, a line's edge."""
+    if guarded(flags, body) != java(flags, body):
+        return "(?<![A-Za-z])"
+    return r"(?mdU:^|(?=\n))" if "m" in flags and body.startswith(r"(?:^|\n)") and "|" not in re.sub(r"\([^()]*\)", "", body) else ""
+
+
+def finds(text: Column, patterns: list[tuple[str, str]]) -> Column:
+    """All places where any of ``patterns`` matches, in one pass: ``found`` has for each pattern what it matches
+    there, empty if nothing.  Matches of a pattern may overlap (see ``apart``).
+
+    For texts without ``MARK`` and ``BETWEEN``.  At each place where a pattern matches, what they match there
+    is put into the text between marks; a text that stays as long as it is has none.
+    """
+    by_begin = {}
+    for p in patterns:
+        by_begin.setdefault(begins(*p), []).append(f"(?:{guarded(*p)})")
+    every = "(?=" + "|".join(f"{b}(?:{'|'.join(ps)})" for b, ps in by_begin.items()) + ")" + "".join(f"(?=(?<p{i}>{guarded(*p)})?)" for i, p in enumerate(patterns))
+    marked = F.regexp_replace(text, F.lit(every), F.lit(MARK + BETWEEN.join(f"${{p{i}}}" for i in range(len(patterns))) + MARK))
+
+    def cut(parts: Column) -> Column:
+        lengths = F.transform(parts, lambda p, i: F.when(i % 2 == 1, 0).otherwise(F.length(p)))
+        hits = F.filter(F.zip_with(parts, running(lengths), lambda p, at: F.struct(at.alias("at"), p.alias("part"))), lambda s, i: i % 2 == 1)
+        return F.transform(hits, lambda s: F.struct(s["at"].alias("at"), F.split(s["part"], BETWEEN, -1).alias("found")))
+
+    return bound(marked, lambda m: F.when(F.octet_length(m) > F.octet_length(text), bound(F.split(m, MARK, -1), cut)).otherwise(empty(FIND)))
+
+
+def apart(found: Column, k: int) -> Column:
+    """The matches of the pattern ``k`` of ``finds`` that do not overlap, from the left: its ``spans``."""
+    hits = F.transform(
+        F.filter(found, lambda h: h["found"][k] != ""),
+        lambda h: F.struct(h["at"].alias("start"), (h["at"] + F.length(h["found"][k])).alias("end"), h["found"][k].alias("original")),
+    )
+
+    def kept(all_of: Column) -> Column:
+        return F.aggregate(
+            all_of,
+            F.struct(F.lit(0).alias("to"), growing(SPAN).alias("out")),
+            lambda acc, s: F.when(s["start"] < acc["to"], acc).otherwise(F.struct(s["end"].alias("to"), grown(acc["out"], s).alias("out"))),
+            lambda acc: gathered(acc["out"]),
+        )
+
+    return bound(hits, lambda x: F.when(overlap(x), kept(x)).otherwise(x))
+
+
 PLACE = "array<struct<byte:int,line:int,col:int,unit:int>>"
 
 
 def places(text: Column, offsets: Column) -> Column:
     """For ascending code-point offsets: byte offset, line and column (from 1), and 0-based UTF-16 column.
 
-    One fold; each step reads the characters since the offset before it, so the whole is
-    linear in the text.  Characters are cut from fixed-width code units, where a place
-    is found without counting from the start.
+    The text is cut at the offsets, and what the parts have is added up: linear in the text.  Characters are
+    cut from fixed-width code units, where a place is found without counting from the start.
     """
-
-    def fold(units: Column) -> Column:
-        def step(acc: Column, at: Column) -> Column:
-            return F.aggregate(  # the characters between two offsets, bound once
-                F.array(F.decode(F.substring(units, 4 * acc["at"] + 1, 4 * (at - acc["at"])), "UTF-32")),
-                acc,
-                lambda a, part: F.aggregate(
-                    F.array(F.substring_index(part, "\n", -1)),
-                    a,
-                    lambda p, last: F.struct(
-                        at.cast("int").alias("at"),
-                        (p["byte"] + F.octet_length(part)).alias("byte"),
-                        (p["line"] + F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit("")))).alias("line"),
-                        (F.length(last) + F.when(F.length(last) < F.length(part), 1).otherwise(p["col"])).alias("col"),
-                        (F.octet_length(F.encode(last, "UTF-16BE")) / 2 + F.when(F.length(last) < F.length(part), 0).otherwise(p["unit"])).cast("int").alias("unit"),
-                        p["out"].alias("out"),
-                    ),
-                ),
-                lambda a: a.withField("out", grown(a["out"], F.struct(a["byte"].alias("byte"), a["line"].alias("line"), a["col"].alias("col"), a["unit"].alias("unit")))),
-            )
-
-        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("byte"), F.lit(1).alias("line"), F.lit(1).alias("col"), F.lit(0).alias("unit"), growing(PLACE).alias("out"))
-        return F.aggregate(offsets, start, step, lambda acc: gathered(acc["out"]))
-
-    return F.element_at(F.transform(F.array(F.encode(text, "UTF-32")), fold), 1)
+    wide = lambda x: (F.octet_length(F.encode(x, "UTF-16BE")) / 2).cast("int")
+
+    def measured(at: Column, part: Column) -> Column:
+        last = F.substring_index(part, "\n", -1)
+        return F.struct(
+            at.cast("int").alias("at"), F.octet_length(part).alias("byte"), (F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit("")))).alias("lines"),
+            F.length(last).alias("tail"), wide(part).alias("unit"), wide(last).alias("tail_unit"),
+        )
+
+    def placed(b: Column) -> Column:
+        before = F.slice(F.concat(F.array(F.lit(0)), b["at"]), 1, F.size(b["at"]))
+        parts = F.zip_with(before, b["at"], lambda a, z: F.struct(z.alias("at"), F.decode(F.substring(b["units"], 4 * a + 1, 4 * (z - a)), "UTF-32").alias("part")))
+        return bound(F.transform(parts, lambda p: measured(p["at"], p["part"])), summed)
+
+    def summed(m: Column) -> Column:
+        units = running(F.transform(m, lambda x: x["unit"]))
+        begun = F.zip_with(m, units, lambda x, u: F.struct(x.alias("x"), (u + x["unit"]).alias("unit")))
+        return bound(begun, ended)
+
+    def ended(m: Column) -> Column:
+        sums = lambda of: running(F.transform(m, of))
+        begin = lambda of: F.transform(m, lambda y: F.when(y["x"]["lines"] > 0, of(y)).otherwise(0))
+        line_at, unit_at = begin(lambda y: y["x"]["at"] - y["x"]["tail"]), begin(lambda y: y["unit"] - y["x"]["tail_unit"])
+        most = lambda x: F.zip_with(running(x, F.greatest), x, lambda a, b: F.greatest(a, b))
+        all_of = F.zip_with(m, sums(lambda y: y["x"]["byte"]), lambda y, n: F.struct(y.alias("m"), n.alias("byte")))
+        for name, more in (("line", sums(lambda y: y["x"]["lines"])), ("line_at", most(line_at)), ("unit_at", most(unit_at))):
+            all_of = F.zip_with(all_of, more, lambda z, n: z.withField(name, n))  # noqa: B023
+        return F.transform(all_of, lambda z: F.struct(
+            (z["byte"] + z["m"]["x"]["byte"]).alias("byte"), (1 + z["line"] + z["m"]["x"]["lines"]).alias("line"),
+            (1 + z["m"]["x"]["at"] - z["line_at"]).alias("col"), (z["m"]["unit"] - z["unit_at"]).alias("unit"),
+        ))
+
+    made = bound(F.struct(F.encode(text, "UTF-32").alias("units"), offsets.alias("at")), lambda b: F.when(F.size(b["at"]) > 0, placed(b)).otherwise(empty(PLACE)))
+    return F.when(text.isNotNull() & offsets.isNotNull(), made)
 
 
 def stripped(text: Column) -> Column:

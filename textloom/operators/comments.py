@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.extract import SPAN, empty, gathered, growing, grown, java, spans, stripped
+from ..functions.extract import SPAN, bound, empty, gathered, growing, grown, java, running, spans, stripped
 
 # Extensions, comment syntax and stop words.
 CODE = "rs py js ts jsx tsx java c cpp h hpp go php rb sh bash zsh toml yaml yml json sql kt swift cs scala".split()
@@ -69,30 +69,28 @@ def _tokens(text: Column) -> Column:
 def trivial(text: Column) -> Column:
     """Comment lines of which four in five words stand in the adjacent code line.
 
-    Two folds over the lines carry line starts with the nearest code above, and the
-    nearest code below.  Offsets are true ones for any line ends.
+    The numbers of the nearest code lines above and below are added up over the lines; texts of lines are looked up by
+    them.  Offsets are true ones for any line ends.
     """
-    lines = F.split(text, "\n", -1)
-    bare = F.transform(lines, lambda x: F.regexp_replace(x, r"\r\z", ""))
-    is_code = lambda x: ~_is_comment(x) & x.rlike(r"(?U)\S")
-    down = F.aggregate(
-        F.zip_with(lines, bare, lambda raw, x: F.struct(F.length(raw).alias("n"), x.alias("line"))),
-        F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("above"), growing("array<struct<start:int,n:int,line:string,above:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["n"] + 1).alias("at"),
-            F.when(is_code(x["line"]), x["line"]).otherwise(acc["above"]).alias("above"),
-            grown(acc["out"], F.struct(acc["at"].alias("start"), x["n"].alias("n"), x["line"].alias("line"), acc["above"].alias("above"))).alias("out"),
-        ),
-        lambda acc: gathered(acc["out"]),
-    )
-    up = F.aggregate(
-        F.reverse(bare),
-        F.struct(F.lit(None).cast("string").alias("below"), growing("array<string>").alias("out")),
-        lambda acc, x: F.struct(F.when(is_code(x), x).otherwise(acc["below"]).alias("below"), grown(acc["out"], acc["below"]).alias("out")),
-        lambda acc: F.reverse(gathered(acc["out"])),
-    )
-    both = F.zip_with(down, up, lambda d, below: F.struct(d["start"].alias("start"), d["n"].alias("n"), d["line"].alias("line"), F.coalesce(below, d["above"]).alias("code")))
-    asked = F.filter(both, lambda x: x["code"].isNotNull() & _is_comment(x["line"]) & ~x["line"].rlike(r"(?U)\A\s*//[/!]"))
+    blank, comment, code, none = 0, 1, 2, -(1 << 30)
+
+    def told(raw: Column) -> Column:
+        line = F.when(F.endswith(raw, F.lit("\r")), F.regexp_replace(raw, r"\r\z", "")).otherwise(raw)
+        kind = lambda x: F.when(_is_comment(x), comment).when(x.rlike(r"(?U)\S"), code).otherwise(blank)
+        return bound(line, lambda x: F.struct(F.length(raw).alias("n"), x.alias("line"), kind(x).alias("kind")))
+
+    def near(lines: Column) -> Column:
+        numbers = lambda sign: F.transform(lines, lambda x, i: F.when(x["kind"] == code, sign * i).otherwise(none))
+        above, below = running(numbers(1), F.greatest, none), F.reverse(running(F.reverse(numbers(-1)), F.greatest, none))
+        which = F.zip_with(above, below, lambda a, b: F.when(b > none, -b).when(a > none, a))
+        starts = F.zip_with(running(F.transform(lines, lambda x: x["n"] + 1)), which, lambda at, k: F.struct(at.alias("at"), k.alias("code")))
+        asked = F.filter(
+            F.zip_with(lines, starts, lambda x, s: F.struct(s["at"].alias("start"), x["n"].alias("n"), x["line"].alias("line"), x["kind"].alias("kind"), s["code"].alias("code"))),
+            lambda x: (x["kind"] == comment) & x["code"].isNotNull() & ~x["line"].rlike(r"(?U)\A\s*//[/!]"),
+        )
+        return F.transform(asked, lambda x: x.withField("code", F.get(lines, x["code"])["line"]))
+
+    asked = bound(F.transform(F.split(text, "\n", -1), told), near)
 
     def judged(x: Column) -> Column:
         body = F.regexp_replace(x["line"], r"(?U)\A\s*(?://|#|--|%)", "")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.extract import empty, gathered, growing, grown, java, places, spans
+from ..functions.extract import BETWEEN, MARK, apart, bound, empty, finds, gathered, growing, grown, java, overlap, places, spans
 from ..plans.rules import DELETE_BLOCK, DELETE_LINE, FLAG, Rule, Settings, any_of, in_class
 from .comments import comment_spans, file_type
 
@@ -21,7 +21,11 @@ MATCHES = f"array<{MATCH}>"
 
 def _of_rule(text: Column, reg: int, rule: Rule) -> Column:
     """The rule's spans as matches, numbered in the order in which they are emitted."""
-    return F.transform(rule.spans(text), _match(reg, rule)).cast(MATCHES)
+    return _emitted(rule.spans(text), reg, rule)
+
+
+def _emitted(found: Column, reg: int, rule: Rule) -> Column:
+    return F.transform(found, _match(reg, rule)).cast(MATCHES)
 
 
 def _match(reg: int, rule: Rule):
@@ -42,15 +46,46 @@ def _match(reg: int, rule: Rule):
     return match
 
 
-def _of_symbols(text: Column, rules: list[tuple[int, Rule, Column]]) -> Column:
-    """Matches of all rules for single characters, in one pass: one class finds every rule's characters, and each
-    hit is a match of those rules whose class has it, where the rule's condition holds."""
-    every = java("", any_of([rule.symbols[0] for _, rule, _ in rules]))
+def _symbols(rules: list[tuple[int, Rule, Column]]) -> str:
+    """One class that finds the characters of all rules for single characters."""
+    return any_of([rule.symbols[0] for _, rule, _ in rules])
+
+
+def _of_symbols(found: Column, rules: list[tuple[int, Rule, Column]]) -> Column:
+    """Matches of all rules for single characters: each hit is a match of those rules whose class has it, where the
+    rule's condition holds."""
 
     def told(s: Column, i: Column) -> Column:
         return F.array(*(F.when(in_class(*rule.symbols)(s["original"]) & holds, _match(reg, rule)(s, i).cast(MATCH)) for reg, rule, holds in rules))
 
-    return F.array_compact(F.flatten(F.transform(spans(text, every), told)))
+    return F.array_compact(F.flatten(F.transform(found, told)))
+
+
+def _in_one_pass(text: Column, symbols: list[tuple[int, Rule, Column]], phrases: list[tuple[int, Rule, Column]]) -> Column:
+    """Matches of all rules for single characters and phrases: the text is gone through once, and each rule takes
+    its own of what was found.  A text that has a mark in it is gone through for each pattern."""
+    patterns = [("", _symbols(symbols))] if symbols else []
+    at = {}
+    for reg, rule, _ in phrases:
+        at[reg] = range(len(patterns), len(patterns) + len(rule.patterns))
+        patterns += rule.patterns
+
+    def dealt(found: Column) -> Column:
+        out = []
+        if symbols:
+            hits = F.filter(found, lambda h: h["found"][0] != "")
+            out.append(_of_symbols(F.transform(hits, lambda h: F.struct(h["at"].alias("start"), (h["at"] + 1).alias("end"), h["found"][0].alias("original"))), symbols))
+        for reg, rule, holds in phrases:
+            own = [apart(found, k) for k in at[reg]]
+            out.append(F.when(holds, _emitted(F.concat(*own) if len(own) > 1 else own[0], reg, rule)).otherwise(empty(MATCHES)))
+        return F.flatten(F.array(*out))
+
+    alone = [F.when(holds, _of_rule(text, reg, rule)).otherwise(empty(MATCHES)) for reg, rule, holds in phrases]
+    if symbols:
+        alone.append(_of_symbols(spans(text, java("", _symbols(symbols))), symbols))
+    marked = F.contains(text, F.lit(MARK)) | F.contains(text, F.lit(BETWEEN))
+    one = F.element_at(F.transform(F.array(finds(text, patterns)), lambda found: F.when(F.size(found) == 0, empty(MATCHES)).otherwise(dealt(found))), 1)
+    return F.when(marked, F.flatten(F.array(*alone))).when(text.isNotNull(), one).otherwise(empty(MATCHES))
 
 
 def once(df: DataFrame, *columns: str) -> DataFrame:
@@ -77,7 +112,7 @@ def raw_matches(df: DataFrame, settings: Settings, by_row: ByRow | None = None)
     """
     least = by_row.least if by_row else settings.min_confidence
     df = df.withColumn("file_type", by_row.file_type if by_row else file_type(F.col("ext"), settings.lang)).withColumn("comment_spans", comment_spans(F.col("content"), F.col("ext")))
-    text, found, symbols = F.col("content"), [], []
+    text, found, symbols, phrases = F.col("content"), [], [], []
     for reg, rule in settings.rules():
         if rule.confidence < settings.min_confidence and rule.id != "trivial-comment":
             continue  # the same for every match: pruned here
@@ -90,10 +125,12 @@ def raw_matches(df: DataFrame, settings: Settings, by_row: ByRow | None = None)
             holds = holds & by_row.active(rule)
         if rule.symbols:
             symbols.append((reg, rule, holds))
+        elif rule.joins:
+            phrases.append((reg, rule, holds))
         else:
             found.append(F.when(holds, _of_rule(text, reg, rule)).otherwise(empty(MATCHES)))
-    if symbols:
-        found.append(_of_symbols(text, symbols))
+    if symbols or phrases:
+        found.append(_in_one_pass(text, symbols, phrases))
     matches = F.flatten(F.array(*found)) if found else empty(MATCHES)
     matches = F.coalesce(matches, empty(MATCHES))  # null content
     df = df.withColumn("matches", matches)
@@ -121,35 +158,52 @@ def _whole_lines(text: Column):
 def resolved(matches: Column) -> Column:
     """One match of every chain of overlapping ones: of least priority number, then of least start.
 
-    A fold over the matches in (start, priority, emission) order; touching is no overlap.
+    A fold over the matches in (start, priority, emission) order, or just that order if none overlap; touching is no
+    overlap.  It holds the numbers of matches: what a fold holds is copied at every step.
     """
-    state = F.struct(F.lit(0).alias("to"), F.lit(None).cast(MATCH).alias("best"), growing(MATCHES).alias("out"))
 
-    def add(acc: Column, m: Column) -> Column:
-        same = acc["best"].isNotNull() & (m["start"] < acc["to"])
-        return F.struct(
-            F.when(same, F.greatest(acc["to"], m["end"])).otherwise(m["end"]).alias("to"),
-            F.when(same & (acc["best"]["reg"] <= m["reg"]), acc["best"]).otherwise(m).alias("best"),
-            F.when(same | acc["best"].isNull(), acc["out"]).otherwise(grown(acc["out"], acc["best"])).alias("out"),
-        )
+    def chosen(ordered: Column) -> Column:
+        numbers = F.transform(ordered, lambda m, i: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["reg"].alias("reg"), i.alias("i")))
+        state = F.struct(F.lit(0).alias("to"), F.lit(None).cast("int").alias("reg"), F.lit(None).cast("int").alias("best"), growing("array<int>").alias("out"))
+
+        def add(acc: Column, m: Column) -> Column:
+            same = acc["best"].isNotNull() & (m["start"] < acc["to"])
+            stays = same & (acc["reg"] <= m["reg"])
+            return F.struct(
+                F.when(same, F.greatest(acc["to"], m["end"])).otherwise(m["end"]).alias("to"),
+                F.when(stays, acc["reg"]).otherwise(m["reg"]).alias("reg"),
+                F.when(stays, acc["best"]).otherwise(m["i"]).alias("best"),
+                F.when(same | acc["best"].isNull(), acc["out"]).otherwise(grown(acc["out"], acc["best"])).alias("out"),
+            )
+
+        best = F.aggregate(numbers, state, add, lambda acc: gathered(grown(acc["out"], acc["best"])))
+        return F.array_sort(F.transform(best, lambda i: F.get(ordered, i)))
 
-    end = lambda acc: F.when(acc["best"].isNull(), empty(MATCHES)).otherwise(gathered(grown(acc["out"], acc["best"])))
-    return F.array_sort(F.aggregate(F.array_sort(matches), state, add, end))
+    return bound(F.array_sort(matches), lambda ordered: F.when(overlap(ordered), chosen(ordered)).otherwise(ordered))
 
 
 def applied(text: Column, matches: Column) -> Column:
     """The text with every fix made, blank lines collapsed if a line was deleted.
 
-    Characters beyond ASCII stay as they are when blank lines collapse.
+    The text is cut at the fixes from fixed-width code units, where a place is found without counting from
+    the start.  Characters beyond ASCII stay as they are when blank lines collapse.
     """
     fixes = F.filter(matches, lambda m: m["kind"] != FLAG)
-    ends = F.concat(F.array(F.lit(0)), F.transform(fixes, lambda m: m["end"]))
-    parts = F.transform(fixes, lambda m, i: F.concat(F.substring(text, F.element_at(ends, i + 1) + 1, m["start"] - F.element_at(ends, i + 1)), F.when(m["kind"] == "Replace", m["suggestion"]).otherwise("")))
-    last = F.element_at(ends, -1)
-    spliced = F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.length(text) - last))
-    deletes = F.exists(matches, lambda m: m["kind"].isin(DELETE_LINE, DELETE_BLOCK))
-    tidy = F.regexp_replace(F.regexp_replace(spliced, r"\n(?:[ \t\r]*\n)+", "\n\n"), r"\n+\z", "\n")
-    return F.when(F.size(fixes) == 0, text).when(deletes & F.contains(spliced, F.lit("\n\n\n")), tidy).otherwise(spliced)
+
+    def fixed(b: Column) -> Column:
+        part = lambda start, end: F.decode(F.substring(b["units"], 4 * start + 1, 4 * (end - start)), "UTF-32")
+        before = F.concat(F.array(F.lit(0)), F.transform(b["fixes"], lambda m: m["end"]))
+        put = F.zip_with(b["fixes"], F.slice(before, 1, F.size(b["fixes"])), lambda m, at: F.concat(part(at, m["start"]), F.when(m["kind"] == "Replace", m["suggestion"]).otherwise("")))
+        last = F.element_at(b["fixes"], -1)["end"]
+        return F.concat(F.array_join(put, ""), F.decode(F.substring(b["units"], 4 * last + 1, F.octet_length(b["units"])), "UTF-32"))
+
+    def tidied(spliced: Column) -> Column:
+        deletes = F.exists(matches, lambda m: m["kind"].isin(DELETE_LINE, DELETE_BLOCK))
+        tidy = F.regexp_replace(F.regexp_replace(spliced, r"\n(?:[ \t\r]*\n)+", "\n\n"), r"\n+\z", "\n")
+        return F.when(deletes & F.contains(spliced, F.lit("\n\n\n")), tidy).otherwise(spliced)
+
+    once_each = F.transform(F.array(F.struct(F.encode(text, "UTF-32").alias("units"), fixes.alias("fixes"))), fixed)
+    return F.when(F.exists(matches, lambda m: m["kind"] != FLAG), F.element_at(F.transform(once_each, tidied), 1)).otherwise(text)
 
 
 def process(df: DataFrame, settings: Settings, by_row: ByRow | None = None) -> DataFrame:

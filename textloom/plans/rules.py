@@ -9,7 +9,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.extract import guarded, java, spans
+from ..functions.extract import guarded, java, joins, spans
 from ..operators import comments
 
 REPLACE, DELETE_LINE, DELETE_BLOCK, FLAG = "Replace", "DeleteLine", "DeleteBlock", "FlagOnly"
@@ -50,6 +50,11 @@ class Rule:
         found = _SINGLE.fullmatch(self.patterns[0][1])
         return (found["plain"] or found["symbols"], found["allowed"] or "") if found else None
 
+    @property
+    def joins(self) -> bool:
+        """Whether its patterns are looked for in one pass with those of other rules."""
+        return not (self.find or self.captures or self.needs) and all(joins(*p) for p in self.patterns)
+
     def spans(self, text: Column) -> Column:
         if self.find:
             return self.find(text)
