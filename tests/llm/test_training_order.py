@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -6,7 +7,7 @@ from tokenizers import Tokenizer
 from pyspark.sql import functions as F
 
 from textloom.llm.runtime import read
-from textloom.llm.tokens import default_path
+from textloom.llm.tokens import Words, default_path
 from textloom.llm.training_order import materialise, permuted, read_slots
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +42,18 @@ def test_edges(spark):
     rows = materialise(docs, length=4).collect()
     assert sum(r.n_tokens for r in rows) == 1 + 1 + 3 + 3
     assert materialise(docs.limit(0)).count() == 0
+
+
+def test_latin_texts_are_cut_as_the_library_does():
+    words, t = Words(default_path()), Tokenizer.from_file(default_path())
+    rng = random.Random(8)
+    signs = [*map(chr, range(1, 256)), *"'''strevmlld  ABÀÉß<|>" * 4]
+    for _ in range(3000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(1, 60)))
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_words_are_remembered_without_case_and_marks():
+    words = Words(default_path())
+    words.encode("Étude, étude. ÉTUDE$$$ étude étude's")
+    assert sorted(words) == sorted(["étude", ",", ".", "$$$", "'s"])

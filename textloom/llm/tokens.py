@@ -1,8 +1,10 @@
 """Token identifiers of whole texts, by a cache of words.
 
 The vocabulary drops white space before it splits a text, so no token crosses
-white space: a text's identifiers are those of its words in order.  Each
-distinct word is tokenised by the library once per worker.
+white space: a text's identifiers are those of its words in order.  In texts of
+Latin-1 characters words are cut further, and lower case, as the vocabulary has
+them, so that fewer are distinct.  A worker remembers words that the library
+has tokenised.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 
@@ -21,6 +24,8 @@ END_ID = 1
 CACHE_WORDS = 160_000
 #: str.split() treats these as white space, the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
+#: The pieces that the vocabulary cuts lower case texts of Latin-1 characters into.
+_PIECES = re.compile(r"[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|'(?:s|t|re|ve|m|ll|d)|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\sa-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+").findall
 _CACHES: dict[str, "Words"] = {}
 CACHES["tokens"] = _CACHES.clear
 
@@ -61,14 +66,15 @@ class Words(dict):
         if (ids := self.before.get(word)) is not None:
             self[word] = ids
             return ids
+        if word.isalpha() and word.islower() and (word.isascii() or word == word.lower() and unicodedata.is_normalized("NFC", word)):
+            # letters alone are one piece for the model, which sees names of their bytes
+            shown = word if word.isascii() else "".join(map(self.shown.__getitem__, word.encode()))
+            ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         # letters and a final mark are split apart in any case; ASCII case is dropped
-        if word[-1] in ".,!?;:" and len(word) > 1 and word[:-1].isalpha():
+        elif word[-1] in ".,!?;:" and len(word) > 1 and word[:-1].isalpha():
             ids = self[word[:-1]] + self[word[-1]]
-        elif word.isascii() and word.isalpha() and not word.islower():
+        elif word.isascii() and word.isalpha():
             ids = self[word.lower()]
-        elif word.isalpha() and word.islower() and word == word.lower() and unicodedata.is_normalized("NFC", word):
-            # letters alone are one piece for the model, which sees names of their bytes
-            ids = np.array([t.id for t in self.model.tokenize("".join(map(self.shown.__getitem__, word.encode())))], "<u4").tobytes()
         else:
             ids = self.exact(word)
         self[word] = ids
@@ -79,9 +85,20 @@ class Words(dict):
             return b""
         if _ODD.search(text):
             return self.exact(text)
+        if "<|" not in text and _is_latin(text):
+            return b"".join(map(self.__getitem__, _PIECES(text.lower())))
         return b"".join(map(self.__getitem__, text.split()))
 
 
+def _is_latin(text: str) -> bool:
+    """Whether all characters are of Latin-1: composed, with lower case of one letter each."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def words_of(path: str) -> Words:
     if path not in _CACHES:
         _CACHES[path] = Words(path)
