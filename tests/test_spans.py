@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from textloom.functions.extract import MARK, SPAN, _spans_twice, empty, guarded, java, spans
+from textloom.functions.extract import MARK, SPAN, _spans_twice, empty, guarded, java, places, spans
 from textloom.operators import engine, report
 from textloom.operators.comments import trivial
 from textloom.plans.rules import CLOSERS, HEDGES, SYNONYMS, Settings, _WORDS, _cased, _synonym, builtin
@@ -84,3 +84,17 @@ def test_many_fixes_in_one_text(spark):
         took.append(time.time() - began)
         assert row.n == 2 * n and row.cleaned == "a - b\n" * n
     assert took[2] < 24 * max(took[1], 0.3)
+
+
+def test_places_that_are_needed(spark):
+    """Any part of a place is as in the whole one, and no other is made."""
+    r = random.Random(4)
+    texts = ["".join(r.choice(["a", "é", "\U0001f680", "\n", "\r\n"]) for _ in range(r.randrange(1, 200))) for _ in range(40)]
+    rows = [(t, sorted(r.sample(range(len(t) + 1), r.randint(0, min(len(t), 90))))) for t in [*texts, "plain\nascii " * 20]]
+    df = spark.createDataFrame(rows, "t string, at array<int>")
+    needs = [("line", "col"), ("unit", "line"), ("byte",), ("col",)]
+    for x in df.select("t", "at", places(F.col("t"), F.col("at")).alias("all"), *(places(F.col("t"), F.col("at"), n).alias("_".join(n)) for n in needs)).collect():
+        want = [(len(b.encode()), 1 + b.count("\n"), 1 + len(last), len(last.encode("utf-16-le")) // 2) for k in x["at"] for b in [x.t[:k]] for last in [b.rsplit("\n", 1)[-1]]]
+        assert [tuple(p) for p in x["all"]] == want
+        for n in needs:
+            assert [p.asDict() for p in x["_".join(n)]] == [{k: p[k] for k in n} for p in x["all"]]

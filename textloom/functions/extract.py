@@ -206,23 +206,27 @@ def apart(found: Column, k: int) -> Column:
     return bound(hits, lambda x: F.when(overlap(x), kept(x)).otherwise(x))
 
 
-PLACE = "array<struct<byte:int,line:int,col:int,unit:int>>"
+PLACE = ("byte", "line", "col", "unit")
 
 
-def places(text: Column, offsets: Column) -> Column:
-    """For ascending code-point offsets: byte offset, line and column (from 1), and 0-based UTF-16 column.
+def places(text: Column, offsets: Column, need: tuple[str, ...] = PLACE) -> Column:
+    """For ascending code-point offsets those asked of: byte offset, line and column (from 1), and 0-based UTF-16 column.
 
     The text is cut at the offsets, and what the parts have is added up: linear in the text.  Characters are
     cut from fixed-width code units, where a place is found without counting from the start.
     """
-    wide = lambda x: (F.octet_length(F.encode(x, "UTF-16BE")) / 2).cast("int")
+    need = tuple(n for n in PLACE if n in need)
+
+    def wide(x: Column) -> Column:
+        """UTF-16 units: as many as characters if all are ASCII."""
+        return F.when(F.octet_length(x) == F.length(x), F.length(x)).otherwise((F.octet_length(F.encode(x, "UTF-16BE")) / 2).cast("int"))
 
     def measured(at: Column, part: Column) -> Column:
         last = F.substring_index(part, "\n", -1)
-        return F.struct(
-            at.cast("int").alias("at"), F.octet_length(part).alias("byte"), (F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit("")))).alias("lines"),
-            F.length(last).alias("tail"), wide(part).alias("unit"), wide(last).alias("tail_unit"),
-        )
+        ends = lambda of: F.when(F.contains(part, F.lit("\n")), of(last)).otherwise(0)
+        lines = F.when(F.contains(part, F.lit("\n")), F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit("")))).otherwise(0)
+        shown = {"byte": {"byte": F.octet_length(part)}, "line": {}, "col": {"tail": ends(F.length)}, "unit": {"unit": wide(part), "tail_unit": ends(wide)}}
+        return F.struct(at.cast("int").alias("at"), lines.alias("lines"), *(c.alias(k) for n in need for k, c in shown[n].items()))
 
     def placed(b: Column) -> Column:
         before = F.slice(F.concat(F.array(F.lit(0)), b["at"]), 1, F.size(b["at"]))
@@ -230,24 +234,29 @@ def places(text: Column, offsets: Column) -> Column:
         return bound(F.transform(parts, lambda p: measured(p["at"], p["part"])), summed)
 
     def summed(m: Column) -> Column:
-        units = running(F.transform(m, lambda x: x["unit"]))
-        begun = F.zip_with(m, units, lambda x, u: F.struct(x.alias("x"), (u + x["unit"]).alias("unit")))
+        units = running(F.transform(m, lambda x: x["unit"])) if "unit" in need else F.transform(m, lambda x: F.lit(0))
+        begun = F.zip_with(m, units, lambda x, u: F.struct(x.alias("x"), (u + x["unit"] if "unit" in need else u).alias("unit")))
         return bound(begun, ended)
 
     def ended(m: Column) -> Column:
         sums = lambda of: running(F.transform(m, of))
         begin = lambda of: F.transform(m, lambda y: F.when(y["x"]["lines"] > 0, of(y)).otherwise(0))
-        line_at, unit_at = begin(lambda y: y["x"]["at"] - y["x"]["tail"]), begin(lambda y: y["unit"] - y["x"]["tail_unit"])
-        most = lambda x: F.zip_with(running(x, F.greatest), x, lambda a, b: F.greatest(a, b))
-        all_of = F.zip_with(m, sums(lambda y: y["x"]["byte"]), lambda y, n: F.struct(y.alias("m"), n.alias("byte")))
-        for name, more in (("line", sums(lambda y: y["x"]["lines"])), ("line_at", most(line_at)), ("unit_at", most(unit_at))):
-            all_of = F.zip_with(all_of, more, lambda z, n: z.withField(name, n))  # noqa: B023
-        return F.transform(all_of, lambda z: F.struct(
-            (z["byte"] + z["m"]["x"]["byte"]).alias("byte"), (1 + z["line"] + z["m"]["x"]["lines"]).alias("line"),
-            (1 + z["m"]["x"]["at"] - z["line_at"]).alias("col"), (z["m"]["unit"] - z["unit_at"]).alias("unit"),
-        ))
-
-    made = bound(F.struct(F.encode(text, "UTF-32").alias("units"), offsets.alias("at")), lambda b: F.when(F.size(b["at"]) > 0, placed(b)).otherwise(empty(PLACE)))
+        most = lambda x: bound(x, lambda v: F.zip_with(running(v, F.greatest), v, lambda a, b: F.greatest(a, b)))
+        before = {
+            "byte": lambda: sums(lambda y: y["x"]["byte"]), "line": lambda: sums(lambda y: y["x"]["lines"]),
+            "col": lambda: most(begin(lambda y: y["x"]["at"] - y["x"]["tail"])), "unit": lambda: most(begin(lambda y: y["unit"] - y["x"]["tail_unit"])),
+        }
+        all_of = F.transform(m, lambda y: F.struct(y.alias("m")))
+        for n in need:
+            all_of = F.zip_with(all_of, before[n](), lambda z, v: z.withField(n, v))  # noqa: B023
+        told = {
+            "byte": lambda z: z["byte"] + z["m"]["x"]["byte"], "line": lambda z: 1 + z["line"] + z["m"]["x"]["lines"],
+            "col": lambda z: 1 + z["m"]["x"]["at"] - z["col"], "unit": lambda z: z["m"]["unit"] - z["unit"],
+        }
+        return F.transform(all_of, lambda z: F.struct(*(told[n](z).alias(n) for n in need)))
+
+    nothing = empty(f"array<struct<{','.join(f'{n}:int' for n in need)}>>")
+    made = bound(F.struct(F.encode(text, "UTF-32").alias("units"), offsets.alias("at")), lambda b: F.when(F.size(b["at"]) > 0, placed(b)).otherwise(nothing))
     return F.when(text.isNotNull() & offsets.isNotNull(), made)
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.extract import BETWEEN, MARK, apart, bound, empty, finds, gathered, growing, grown, java, overlap, places, spans
+from ..functions.extract import BETWEEN, MARK, PLACE, apart, bound, empty, finds, gathered, growing, grown, java, overlap, places, spans
 from ..plans.rules import DELETE_BLOCK, DELETE_LINE, FLAG, Rule, Settings, any_of, in_class
 from .comments import comment_spans, file_type
 
@@ -214,13 +214,13 @@ def process(df: DataFrame, settings: Settings, by_row: ByRow | None = None) -> D
     return df.withColumn("cleaned", applied(F.col("content"), F.col("matches"))).withColumn("density", F.coalesce(density, F.lit(0.0)))
 
 
-def placed(*ends: str) -> Column:
-    """The matches in order, each with the places of its ``start`` and, if asked, ``end``."""
+def placed(*ends: str, need: tuple[str, ...] = PLACE) -> Column:
+    """The matches in order, each with the places (what is needed of them) of its ``start`` and, if asked, ``end``."""
 
     def of(matches: Column) -> Column:
         out = F.transform(matches, lambda m: F.struct(m.alias("m")))
         for e in ends:
-            at = places(F.col("content"), F.transform(matches, lambda m: m[e]))  # noqa: B023
+            at = places(F.col("content"), F.transform(matches, lambda m: m[e]), need)  # noqa: B023
             out = F.zip_with(out, at, lambda x, p: x.withField(e, p))  # noqa: B023
         return out
 
@@ -229,13 +229,13 @@ def placed(*ends: str) -> Column:
 
 def match_rows(df: DataFrame, *keys: str) -> DataFrame:
     """A row per match, with line and column; the text leaves the plan here."""
-    rows = once(df.withColumn("_p", placed("start")), "_p").select(*keys, F.explode("_p").alias("p"))
+    rows = once(df.withColumn("_p", placed("start", need=("line", "col"))), "_p").select(*keys, F.explode("_p").alias("p"))
     return rows.select(*keys, "p.m.*", F.col("p.start.line").alias("line"), F.col("p.start.col").alias("col"))
 
 
 def diagnostics(df: DataFrame, *keys: str) -> DataFrame:
     """Editor diagnostics: 0-based positions in UTF-16 units, severity by kind and confidence."""
-    rows = once(df.withColumn("_p", placed("start", "end")), "_p").select(*keys, F.explode("_p").alias("p")).select(*keys, "p.*")
+    rows = once(df.withColumn("_p", placed("start", "end", need=("line", "unit"))), "_p").select(*keys, F.explode("_p").alias("p")).select(*keys, "p.*")
     at = [(F.col(f"{e}.line") - 1).alias(f"{e}_line") for e in ("start", "end")] + [F.col(f"{e}.unit").alias(f"{e}_character") for e in ("start", "end")]
     severity = F.when(F.col("m.kind") == FLAG, "Warning").when(F.col("m.confidence") >= 0.85, "Error").otherwise("Warning")
     return rows.select(*keys, *at, severity.alias("severity"), F.col("m.rule_id").alias("rule_id"), F.col("m.description").alias("message"), F.col("m.kind").alias("kind"), F.col("m.suggestion").alias("new_text"))

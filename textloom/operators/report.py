@@ -93,7 +93,7 @@ def sentence_scores(df: DataFrame, *keys: str) -> DataFrame:
     reach no further.
     """
     text = F.col("content")
-    bytes_of = F.transform(places(text, F.transform("matches", lambda m: m["start"])), lambda p: p["byte"])
+    bytes_of = F.transform(places(text, F.transform("matches", lambda m: m["start"]), ("byte",)), lambda p: p["byte"])
     rows = once(df.where(F.size("matches") > 0).select(*keys, text, "matches", bytes_of.alias("_b")), "_b")
     rows = once(rows.withColumn("_s", sentences(text, F.col("_b"))), "_s")
     # array<struct<byte, word>> once for each text; a sentence takes its own part
@@ -120,7 +120,7 @@ def top_sentences(df: DataFrame, n: int = 5) -> DataFrame:
 
 def human(df: DataFrame) -> DataFrame:
     """A line of report for every match."""
-    rows = once(df.withColumn("_p", placed("start")), "_p").select("path", F.explode("_p").alias("p")).select("path", "p.*")
+    rows = once(df.withColumn("_p", placed("start", need=("line", "col"))), "_p").select("path", F.explode("_p").alias("p")).select("path", "p.*")
     shown = lambda c: F.replace(F.col(c), F.lit("\n"), F.lit("↵"))
     return rows.select("path", F.col("m.start").alias("start"), F.format_string("%s:%d:%d [%s] %s -> %s", F.col("path"), F.col("start.line"), F.col("start.col"), F.col("m.rule_id"), shown("m.original"), shown("m.suggestion")).alias("line"))
 
@@ -140,7 +140,7 @@ def _json_of_file() -> Column:
 
 def json_files(df: DataFrame) -> DataFrame:
     """path, report: one JSON object for each file with matches."""
-    return df.where(F.size("matches") > 0).withColumn("_p", placed("start")).select("path", F.to_json(_json_of_file()).alias("report"))
+    return df.where(F.size("matches") > 0).withColumn("_p", placed("start", need=("line", "col"))).select("path", F.to_json(_json_of_file()).alias("report"))
 
 
 def json_document(df: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def json_document(df: DataFrame) -> DataFrame:
     """
     n = F.size("matches")
     kept = F.when(n > 0, F.struct("path", F.to_json(_json_of_file()).alias("report")))
-    all_of = df.withColumn("_p", placed("start")).agg(F.array_sort(F.collect_list(kept)).alias("f"), *(c().alias(k) for k, c in _SUMMARY))
+    all_of = df.withColumn("_p", placed("start", need=("line", "col"))).agg(F.array_sort(F.collect_list(kept)).alias("f"), *(c().alias(k) for k, c in _SUMMARY))
     body = F.concat(F.lit('{"files":['), F.array_join(F.transform("f", lambda x: x["report"]), ","), F.lit('],"summary":'), F.to_json(F.struct(*(k for k, _ in _SUMMARY))), F.lit("}"))
     return all_of.select(body.alias("report"))
 

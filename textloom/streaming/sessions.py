@@ -98,7 +98,7 @@ def answers(asked: DataFrame) -> DataFrame:
     kind_of = F.when(F.col("language").isin(CODE), "code").when(F.col("language").isin(PROSE), "prose").when(F.col("ext").isin(CODE), "code").otherwise("prose")
     rows = ByRow(lambda rule: F.array_contains("allowed", rule.category), F.col("min_confidence"), kind_of)
     df = asked.withColumn("path", path).withColumn("ext", F.when((ext != "") & ~F.contains(ext, F.lit("/")), ext)).withColumn("allowed", allowed).withColumn("content", F.col("text"))
-    df = process(df, EVERY, rows).withColumn("_p", placed("start", "end"))
+    df = process(df, EVERY, rows).withColumn("_p", placed("start", "end", need=("line", "unit")))
 
     def told(p):
         m, severe = p["m"], (p["m"]["kind"] != FLAG) & (p["m"]["confidence"] >= 0.85)
