@@ -98,3 +98,16 @@ def test_places_that_are_needed(spark):
         assert [tuple(p) for p in x["all"]] == want
         for n in needs:
             assert [p.asDict() for p in x["_".join(n)]] == [{k: p[k] for k in n} for p in x["all"]]
+
+
+def test_code_actions_place_near_matches_only(spark):
+    """Matches that begin beyond the range go before they are placed; the actions are the same."""
+    texts = ["\U0001f680 of the — a\nof the x…\n" + "of the — y " * 30, "x" * 60 + " of the", "a — b\nc — d\n— e", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string").selectExpr("doc_id", "'a.md' AS path", "'md' AS ext", "content")
+    done = engine.process(df, Settings("prose", custom_phrases=("of the",))).select("doc_id", "content", "matches").cache()
+    for at in ((0, 0, 0, 8), (0, 4, 1, 6), (1, 0, 1, 3), (2, 0, 2, 40)):
+        near = engine.begun_by(done, *at[2:])
+        rows = [sorted(map(tuple, engine.code_actions(engine.diagnostics(x, "doc_id"), *at).collect())) for x in (done, near)]
+        assert rows[0] == rows[1] and rows[0]
+    assert max(x.n for x in engine.begun_by(done, 0, 8).select(F.size("matches").alias("n")).collect()) < 5
+    done.unpersist()

@@ -241,6 +241,16 @@ def diagnostics(df: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, *at, severity.alias("severity"), F.col("m.rule_id").alias("rule_id"), F.col("m.description").alias("message"), F.col("m.kind").alias("kind"), F.col("m.suggestion").alias("new_text"))
 
 
+def begun_by(df: DataFrame, line: int, character: int) -> DataFrame:
+    """``df`` with those matches alone that may begin at or before a 0-based line and UTF-16 column.
+
+    A line has no more characters than units, so none that does is left out.
+    """
+    text = F.col("content")
+    above = F.length(F.substring_index(text, "\n", line)) + 1 if line else F.lit(0)
+    return df.withColumn("matches", F.filter("matches", lambda m: m["start"] <= above + character))
+
+
 def code_actions(found: DataFrame, start_line: int, start_character: int, end_line: int, end_character: int) -> DataFrame:
     """Edits of the diagnostics that touch a range (both ends count); flags have none."""
     before = F.struct("start_line", "start_character") <= F.struct(F.lit(end_line), F.lit(end_character))

@@ -129,7 +129,8 @@ def diagnostics(spark, sf_dir):
 
 
 def code_actions(spark, sf_dir):
-    return engine.code_actions(engine.diagnostics(processed(spark, sf_dir, "prose", ALL_PROSE), "doc_id"), 0, 0, 0, 40).drop("message")
+    df = engine.begun_by(processed(spark, sf_dir, "prose", ALL_PROSE), 0, 40)
+    return engine.code_actions(engine.diagnostics(df, "doc_id"), 0, 0, 0, 40).drop("message")
 
 
 def human_report(spark, sf_dir):
