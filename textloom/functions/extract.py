@@ -78,22 +78,32 @@ _PHRASES = re.compile(r"\\b[A-Za-z][^()|\\]*\\b(?:\|\\b[A-Za-z][^()|\\]*\\b)*")
 GUARD = 3
 
 
-def guarded(flags: str, body: str) -> str:
-    """``java(flags, body)``; before words to choose from it looks at the first letters alone.
-
-    Most places of a text are told by that, before a word's edge is looked for and any word is tried.
-    """
-    pattern, words = java(flags, body), []
+def _firsts(flags: str, body: str) -> list[str]:
+    """The first letters of the words that a pattern chooses from; none if it is of another kind."""
+    words = []
     if "x" not in flags and (found := _WORD_LIST.match(body)) and "|" not in body[found.end() :]:
         words = found[1].split("|")
     elif "x" not in flags and _PHRASES.fullmatch(body):
         words = body.replace(r"\b", "").split("|")
     firsts = [re.match(r"(?:[A-Za-z][A-Za-z ]*)?(?![*?{+])", w)[0][:GUARD] for w in words]
-    n = min(map(len, firsts), default=0)
-    if not n:
-        return pattern
-    shown = lambda c: c.upper() + c.lower() if "i" in flags else c
-    classes = "".join("[" + "".join(sorted({x for f in firsts for x in shown(f[k])})) + (_FOLDS if "i" in flags else "") + "]" for k in range(n))
+    return firsts if all(firsts) else []
+
+
+def _letter(*letters: tuple[str, str]) -> str:
+    """A class of letters, each with flags: if case does not matter, with all that Java takes for it."""
+    cased = {x for c, flags in letters for x in ((c.upper(), c.lower()) if "i" in flags else c)}
+    return "[" + "".join(sorted(cased)) + (_FOLDS if any("i" in flags for _, flags in letters) else "") + "]"
+
+
+def guarded(flags: str, body: str) -> str:
+    """``java(flags, body)``; before words to choose from it looks at the first letters alone.
+
+    Most places of a text are told by that, before a word's edge is looked for and any word is tried.
+    """
+    firsts = _firsts(flags, body)
+    if not firsts:
+        return java(flags, body)
+    classes = "".join(_letter(*((f[k], flags) for f in firsts)) for k in range(min(map(len, firsts))))
     return java(flags, f"(?=(?-iuU:{classes}))(?:{body})")
 
 
@@ -101,6 +111,11 @@ def guarded(flags: str, body: str) -> str:
 MARK = "\uffff"
 
 
+def has(text: Column, *marks: str) -> Column:
+    """Whether one of the last characters below U+10000 is in the text: their first two bytes are looked for once."""
+    return F.contains(text.cast("binary"), F.lit(bytearray(b"\xef\xbf"))) & _any(text, marks)
+
+
 def spans(text: Column, pattern: str, group: int = 0, needs: tuple[str, ...] = ()) -> Column:
     """All matches of ``pattern``, which must not match the empty string.
 
@@ -116,9 +131,10 @@ def spans(text: Column, pattern: str, group: int = 0, needs: tuple[str, ...] = (
         return F.filter(both, lambda s, i: i % 2 == 1)
 
     shown = F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}"))
-    fold = bound(shown, lambda m: F.when(F.octet_length(m) > F.octet_length(text), bound(F.split(m, MARK, -1), cut)).otherwise(empty(SPAN)))
-    marked = F.when(F.contains(text, F.lit(MARK)), _spans_twice(text, pattern, 0)).otherwise(fold)
-    return F.when(text.isNotNull() & searched, marked).otherwise(empty(SPAN))
+    # marks of the text's own matter only if something is found
+    told = lambda m: F.when(has(text, MARK), _spans_twice(text, pattern, 0)).otherwise(bound(F.split(m, MARK, -1), cut))
+    found = bound(shown, lambda m: F.when(F.octet_length(m) > F.octet_length(text), told(m)).otherwise(empty(SPAN)))
+    return F.when(text.isNotNull() & searched, found).otherwise(empty(SPAN))
 
 
 def _any(text: Column, literals: tuple[str, ...]) -> Column:
@@ -160,25 +176,71 @@ def joins(flags: str, body: str) -> bool:
     return "x" not in flags and not _ALONE.search(body)
 
 
+#: What holds where a match begins: no letter before a word, a line's edge.
+_WORD, _LINE = "(?<![A-Za-z])", r"(?mdU:^|(?=\n))"
+_LETTERS = frozenset(map(ord, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+
+
 def begins(flags: str, body: str) -> str:
     """What holds where a match of the pattern begins: no letter before a word, a line's edge."""
-    if guarded(flags, body) != java(flags, body):
-        return "(?<![A-Za-z])"
-    return r"(?mdU:^|(?=\n))" if "m" in flags and body.startswith(r"(?:^|\n)") and "|" not in re.sub(r"\([^()]*\)", "", body) else ""
+    if _firsts(flags, body):
+        return _WORD
+    return _LINE if "m" in flags and body.startswith(r"(?:^|\n)") and "|" not in re.sub(r"\([^()]*\)", "", body) else ""
+
+
+def _first_letters(patterns: list[tuple[str, str]]) -> str:
+    """What tells that one of the patterns' words may begin: their first letters, by place and then by word."""
+    firsts = [(f, flags) for flags, body in patterns for f in _firsts(flags, body)]
+    near = "".join(_letter(*((f[k], flags) for f, flags in firsts)) for k in range(min(len(f) for f, _ in firsts)))
+    by_first = {}
+    for f, flags in firsts:
+        by_first.setdefault(_letter((f[0], flags)), {})["".join(_letter((c, flags)) for c in f[1:])] = None
+    words = "|".join(first + ("" if "" in rest else f"(?:{'|'.join(rest)})") for first, rest in by_first.items())
+    return f"(?=(?-imsuU:{near}))(?=(?-imsuU:{words}))"
 
 
-def finds(text: Column, patterns: list[tuple[str, str]]) -> Column:
+def skipping(patterns: list[tuple[str, str]], codes: frozenset[int]) -> str | None:
+    """What lies before the next place where one of ``patterns`` may match, as a pattern that never goes back.
+
+    ``codes`` are the characters up to U+00FF that a match of those that begin neither a word nor a line has first.
+    A run of letters, and of other characters that begin nothing, is gone through in one step: a word is
+    looked for at its first letter alone, and a line at its edge.
+    """
+    if codes & (_LETTERS | {10}):
+        return None
+    by_begin = {}
+    for p in patterns:
+        by_begin.setdefault(begins(*p), []).append(p)
+    one_of = lambda ps: f"(?:{'|'.join(f'(?:{guarded(*p)})' for p in ps)})"
+    lines = one_of(by_begin[_LINE]) if _LINE in by_begin else ""
+    words = _first_letters(by_begin[_WORD]) + one_of(by_begin[_WORD]) if _WORD in by_begin else ""
+    places = ([one_of(by_begin[""])] if "" in by_begin else []) + [_LINE + lines] * bool(lines) + [words] * bool(words)
+    no_line, no_word = f"(?!(?md:^){lines})" if lines else "", f"(?!{words})" if words else ""
+    of = lambda codes: "[" + "".join(f"\\x{c:02x}" for c in sorted(codes)) + "]"
+    letters, plain = of(_LETTERS), of(frozenset(range(256)) - _LETTERS - codes - {10})
+    steps = (f"(?={letters}){no_word}{no_line}(?>{letters}+)(?>{plain}*)", f"(?={plain}){no_line}(?>{plain}+)", f"(?!{'|'.join(places)})(?s:.)")
+    return f"(?:{'|'.join(steps)})*+"
+
+
+def finds(text: Column, patterns: list[tuple[str, str]], codes: frozenset[int] | None = None) -> Column:
     """All places where any of ``patterns`` matches, in one pass: ``found`` has for each pattern what it matches
     there, empty if nothing.  Matches of a pattern may overlap (see ``apart``).
 
     For texts without ``MARK`` and ``BETWEEN``.  At each place where a pattern matches, what they match there
-    is put into the text between marks; a text that stays as long as it is has none.
+    is put into the text between marks; a text that stays as long as it is has none.  With ``codes`` (see ``skipping``)
+    the text between is gone through by words; without, each character is looked at.
     """
-    by_begin = {}
-    for p in patterns:
-        by_begin.setdefault(begins(*p), []).append(f"(?:{guarded(*p)})")
-    every = "(?=" + "|".join(f"{b}(?:{'|'.join(ps)})" for b, ps in by_begin.items()) + ")" + "".join(f"(?=(?<p{i}>{guarded(*p)})?)" for i, p in enumerate(patterns))
-    marked = F.regexp_replace(text, F.lit(every), F.lit(MARK + BETWEEN.join(f"${{p{i}}}" for i in range(len(patterns))) + MARK))
+    groups = "".join(f"(?=(?<p{i}>{guarded(*p)})?)" for i, p in enumerate(patterns))
+    put = MARK + BETWEEN.join(f"${{p{i}}}" for i in range(len(patterns))) + MARK
+    between = skipping(patterns, codes) if codes is not None else None
+    if between:
+        every, put = rf"\G(?<before>{between}){groups}(?<at>(?s:.))", f"${{before}}{put}${{at}}"
+    else:
+        by_begin = {}
+        for p in patterns:
+            by_begin.setdefault(begins(*p), []).append(f"(?:{guarded(*p)})")
+        every = "(?=" + "|".join(f"{b}(?:{'|'.join(ps)})" for b, ps in by_begin.items()) + ")" + groups
+    marked = F.regexp_replace(text, F.lit(every), F.lit(put))
 
     def cut(parts: Column) -> Column:
         lengths = F.transform(parts, lambda p, i: F.when(i % 2 == 1, 0).otherwise(F.length(p)))

@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.extract import BETWEEN, MARK, PLACE, apart, bound, empty, finds, gathered, growing, grown, java, overlap, places, spans
-from ..plans.rules import DELETE_BLOCK, DELETE_LINE, FLAG, Rule, Settings, any_of, in_class
+from ..functions.extract import BETWEEN, MARK, PLACE, apart, begins, bound, empty, finds, gathered, growing, grown, has, java, overlap, places, spans
+from ..plans.rules import DELETE_BLOCK, DELETE_LINE, FLAG, Rule, Settings, any_of, codes_of, in_class
 from .comments import comment_spans, file_type
 
 MATCH = (
@@ -83,9 +83,10 @@ def _in_one_pass(text: Column, symbols: list[tuple[int, Rule, Column]], phrases:
     alone = [F.when(holds, _of_rule(text, reg, rule)).otherwise(empty(MATCHES)) for reg, rule, holds in phrases]
     if symbols:
         alone.append(_of_symbols(spans(text, java("", _symbols(symbols))), symbols))
-    marked = F.contains(text, F.lit(MARK)) | F.contains(text, F.lit(BETWEEN))
-    one = F.element_at(F.transform(F.array(finds(text, patterns)), lambda found: F.when(F.size(found) == 0, empty(MATCHES)).otherwise(dealt(found))), 1)
-    return F.when(marked, F.flatten(F.array(*alone))).when(text.isNotNull(), one).otherwise(empty(MATCHES))
+    codes = frozenset() if not symbols else codes_of([rule.symbols[0] for _, rule, _ in symbols])
+    codes = codes if all(begins(*p) for p in patterns[bool(symbols) :]) else None
+    one = F.element_at(F.transform(F.array(finds(text, patterns, codes)), lambda found: F.when(F.size(found) == 0, empty(MATCHES)).otherwise(dealt(found))), 1)
+    return F.when(has(text, MARK, BETWEEN), F.flatten(F.array(*alone))).when(text.isNotNull(), one).otherwise(empty(MATCHES))
 
 
 def once(df: DataFrame, *columns: str) -> DataFrame:

@@ -231,6 +231,12 @@ def any_of(classes: list[str]) -> str:
     return f"[{hulls}&&[{''.join(f'[{c}]' for c in dict.fromkeys(classes))}]]"
 
 
+def codes_of(classes: list[str]) -> frozenset[int]:
+    """The characters up to U+00FF that are in one of ``classes``."""
+    ends = [(ord(low or one), ord(high or one)) for c in classes for low, high, one in re.findall("(.)-(.)|(.)", c, re.S)]
+    return frozenset(k for low, high in ends for k in range(low, min(high, 255) + 1))
+
+
 def _without(symbols: str, allowed: tuple[str, ...]) -> str:
     """A class of ``symbols`` but the first character of each allowed entry."""
     first = "".join(dict.fromkeys(a[0] for a in allowed if a))
