@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from textloom.functions.extract import finds, skipping
+from textloom.plans import queries
 from textloom.plans.rules import CLOSERS, HEDGES, OPENERS, TRANSITIONS, _WORDS, codes_of
 
 SYMBOLS = ["\u2014\u00a7", "\U0001f680-\U0001f6ff", "\u00a0\u00ad"]
@@ -26,3 +27,10 @@ def test_words_are_gone_past_in_one_step(spark):
     for few in (PATTERNS[:1], PATTERNS[1:3], PATTERNS[3:5]):  # symbols, lines, words alone
         rows = df.select(finds(F.col("t"), few).alias("a"), finds(F.col("t"), few, codes if few[0] == PATTERNS[0] else frozenset()).alias("b")).collect()
         assert all(x.a == x.b for x in rows) and any(x.a for x in rows)
+
+
+def test_accepted_matches_match_once(spark):
+    """Decisions and what they are applied to come of one matching."""
+    df = queries.queries()["accepted_matches"](spark, "/root/testdata/sf0.001")
+    assert "Great question" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.agg(F.sum("accepted")).first()[0] > 0

@@ -146,7 +146,10 @@ def unified_diff(spark, sf_dir):
 
 
 def accepted_matches(spark, sf_dir):
-    df = processed(spark, sf_dir, "prose", ALL_PROSE)
+    """Those that begin at an even character; matched once, for the decisions and for what they are applied to."""
+    found, path = processed(spark, sf_dir, "prose", ALL_PROSE).select("doc_id", "content", "matches"), f"{_fresh(spark, 'accepted')}/found"
+    found.write.option("compression", "zstd").parquet(path)
+    df = spark.read.schema(found.schema).parquet(path)
     d = df.select("doc_id", F.explode("matches").alias("m")).select("doc_id", F.col("m.start").alias("start"), (F.col("m.start") % 2 == 0).alias("accept"), F.when(F.col("m.rule_id") == "hedges", "NB: ").alias("edit"))
     return engine.apply_decisions(df, d, "doc_id").select("doc_id", F.size("matches").cast("long").alias("accepted"), "cleaned")
 
