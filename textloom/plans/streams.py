@@ -45,11 +45,14 @@ def modified_documents(spark, sf_dir, fresh, settings) -> DataFrame:
 
     After each the stream takes what was modified; a row for every version of every file.
     """
-    from ..operators.engine import process
+    from ..operators.engine import once, process
 
     at = fresh(spark, "modified")
-    done = process(view(spark, sf_dir, "prose"), settings)
-    for version in (done.select("path", "content"), done.where("content <> cleaned").select("path", F.col("cleaned").alias("content")), done.select("path", F.concat("cleaned", F.lit("\nI hope this helps")).alias("content"))):
+    docs = view(spark, sf_dir, "prose")
+    done = once(process(docs, settings).select("path", "content", "cleaned"), "cleaned").select("path", "cleaned", (F.col("content") != F.col("cleaned")).alias("changed"))
+    done.write.option("compression", "zstd").parquet(f"{at}/cleaned")  # matched once, for both later versions
+    done = spark.read.schema(done.schema).parquet(f"{at}/cleaned")
+    for version in (docs.select("path", "content"), done.where("changed").select("path", F.col("cleaned").alias("content")), done.select("path", F.concat("cleaned", F.lit("\nI hope this helps")).alias("content"))):
         write_files(version, f"{at}/in")
         time.sleep(1.2 * QUIET_MS / 1000)
         finished(modified_files(spark, f"{at}/in", recursive=True), at)

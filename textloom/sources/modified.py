@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import time
 
 import pyarrow as pa
@@ -41,37 +42,34 @@ class ModifiedReader(DataSourceStreamReader):
         self.quiet = int(options.get("quietMs", QUIET_MS)) * 1_000_000
         self.top = (START["modified"], START["path"])
 
-    def _files(self) -> list[tuple[int, str, int]]:
-        """(modified, path, size) of all files there are, hidden ones too."""
+    def _files(self, low: tuple[int, str], high: tuple[int, str]) -> list[tuple[int, str, int]]:
+        """(modified, path, size) of all files beyond ``low`` and up to ``high``, hidden ones too."""
         fs, root = pa.fs.FileSystem.from_uri(self.path)
         top = fs.get_file_info(root)
         if top.type == pa.fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
         found = [top] if top.type == pa.fs.FileType.File else fs.get_file_info(pa.fs.FileSelector(root, recursive=self.recursive))
-        return sorted((f.mtime_ns, f.path, f.size) for f in found if f.type == pa.fs.FileType.File)
+        return [(f.mtime_ns, f.path, f.size) for f in found if f.type == pa.fs.FileType.File and low < (f.mtime_ns, f.path) <= high]
 
     def initialOffset(self) -> dict:
         return START
 
     def latestOffset(self) -> dict:
         until = time.time_ns() - self.quiet
-        for modified, path, _ in reversed(self._files()):
-            if modified <= until:
-                self.top = max(self.top, (modified, path))  # also if the last file is deleted meanwhile
-                break
+        last = max(self._files(self.top, (until, chr(sys.maxunicode))), default=self.top)
+        self.top = max(self.top, last[:2])  # also if the last file is deleted meanwhile
         return {"modified": self.top[0], "path": self.top[1]}
 
     def partitions(self, start: dict, end: dict) -> list[Files]:
         low, high = ((o["modified"], o["path"]) for o in (start, end))
         self.top = max(self.top, high)
         out, size = [], 0
-        for modified, path, n in self._files():
-            if low < (modified, path) <= high:
-                if not out or size + n > PARTITION_BYTES or len(out[-1].found) >= PARTITION_FILES:
-                    out.append(Files([]))
-                    size = 0
-                out[-1].found.append((modified, path))
-                size += n
+        for modified, path, n in sorted(self._files(low, high)):
+            if not out or size + n > PARTITION_BYTES or len(out[-1].found) >= PARTITION_FILES:
+                out.append(Files([]))
+                size = 0
+            out[-1].found.append((modified, path))
+            size += n
         return out
 
     def read(self, partition: Files):
