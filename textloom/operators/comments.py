@@ -79,7 +79,8 @@ def trivial(text: Column) -> Column:
         kind = lambda x: F.when(_is_comment(x), comment).when(x.rlike(r"(?U)\S"), code).otherwise(blank)
         return bound(line, lambda x: F.struct(F.length(raw).alias("n"), x.alias("line"), kind(x).alias("kind")))
 
-    def near(lines: Column) -> Column:
+    def near(whole: Column) -> Column:
+        lines = whole["lines"]
         numbers = lambda sign: F.transform(lines, lambda x, i: F.when(x["kind"] == code, sign * i).otherwise(none))
         above, below = running(numbers(1), F.greatest, none), F.reverse(running(F.reverse(numbers(-1)), F.greatest, none))
         which = F.zip_with(above, below, lambda a, b: F.when(b > none, -b).when(a > none, a))
@@ -88,18 +89,19 @@ def trivial(text: Column) -> Column:
             F.zip_with(lines, starts, lambda x, s: F.struct(s["at"].alias("start"), x["n"].alias("n"), x["line"].alias("line"), x["kind"].alias("kind"), s["code"].alias("code"))),
             lambda x: (x["kind"] == comment) & x["code"].isNotNull() & ~x["line"].rlike(r"(?U)\A\s*//[/!]"),
         )
-        return F.transform(asked, lambda x: x.withField("code", F.get(lines, x["code"])["line"]))
+        end = lambda x: F.least(x["start"] + x["n"] + 1, whole["length"])
+        return F.transform(asked, lambda x: x.withField("code", F.get(lines, x["code"])["line"]).withField("end", end(x)))
 
-    asked = bound(F.transform(F.split(text, "\n", -1), told), near)
+    asked = bound(F.struct(F.transform(F.split(text, "\n", -1), told).alias("lines"), F.length(text).alias("length")), near)
 
     def judged(x: Column) -> Column:
         body = F.regexp_replace(x["line"], r"(?U)\A\s*(?://|#|--|%)", "")
-        words = F.filter(F.transform(_tokens(body), F.lower), lambda t: ~t.isin(STOP_WORDS))
+        words = F.filter(bound(body, lambda b: F.when(F.octet_length(b) == F.length(b), _tokens(F.lower(b))).otherwise(F.transform(_tokens(b), F.lower))), lambda t: ~t.isin(STOP_WORDS))
         code = F.transform(F.filter(F.split(x["code"], _SEPARATORS + r"|(?<=\p{Lower})(?=\p{Upper})"), lambda t: t != ""), F.lower)
-        bound = F.array(F.struct(words.alias("words"), code.alias("code")))  # once for a line, not for each word
+        once = F.array(F.struct(words.alias("words"), code.alias("code")))  # once for a line, not for each word
         shared = lambda b: F.struct(F.size(b["words"]).alias("n"), F.size(F.filter(b["words"], lambda t: F.array_contains(b["code"], t))).alias("c"))
-        return F.element_at(F.transform(bound, lambda b: F.struct(
-            x["start"].alias("start"), F.least(x["start"] + x["n"] + 1, F.length(text)).alias("end"), x["line"].alias("original"), shared(b).alias("shared"),
+        return F.element_at(F.transform(once, lambda b: F.struct(
+            x["start"].alias("start"), x["end"].alias("end"), x["line"].alias("original"), shared(b).alias("shared"),
         )), 1)
 
     hits = F.filter(F.transform(asked, judged), lambda x: 5 * x["shared"]["c"] >= 4 * x["shared"]["n"])
