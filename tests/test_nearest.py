@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.functions.extract import grouped, java
 from textloom.operators import nearest
 from textloom.operators.nearest import above, by_folder, folder_of, process_nearest, read_rules
 from textloom.plans.rules import Settings
@@ -47,3 +48,25 @@ def test_errors_and_bound(spark, monkeypatch):
     monkeypatch.setattr(nearest, "MOST_RULES", 2)
     with pytest.raises(RuleFileError, match="4 rules"):
         read_rules(table(spark))
+
+
+def test_rules_of_other_folders_cost_a_document_nothing(spark):
+    """No document is dealt out by its folder, and none is gone through for a rule that is not in force there."""
+    files = [("", 'rule a\n  match: "one"\n  fix: "1"\n'), ("other", 'rule a\n  match: "[a-z]+"\n  fix: delete\nrule letter\n  match: "[a-z]"\n  fix: delete\n')]
+    df = spark.createDataFrame([("x/a.md", "md", "one two —"), ("other/a.md", "md", "one two —")], "path string, ext string, content string")
+    done = process_nearest(df, table(spark, files), Settings("conservative"))
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert "[[a-z]]" not in plan and "(?<p1>" not in plan  # symbols have a pass, each rule of a file its own
+    assert sorted((r.path, r.cleaned) for r in done.collect()) == [("other/a.md", "   - "), ("x/a.md", "1 two  - ")]
+
+
+def test_groups_in_one_pass(spark):
+    """Also in texts that have the marks in them, and where a group takes no part."""
+    pattern = java("", "(o)(x)?n(e)")
+    df = spark.createDataFrame([("one — oxne",), ("\uffff one\ufffe oxne",), ("none",), ("two",), ("",), (None,), ("one" * 200,)], "t string")
+    rows = [r.f for r in df.select(grouped(F.col("t"), pattern, (3, 2, 1)).alias("f")).collect()]
+    got = [[(s.start, s.end, s.original, s.groups) for s in f] for f in rows]
+    one = lambda at: (at, at + 3, "one", ["e", "", "o"])
+    oxne = lambda at: (at, at + 4, "oxne", ["e", "x", "o"])
+    assert got == [[one(0), oxne(6)], [one(2), oxne(7)], [one(1)], [], [], [], [one(3 * k) for k in range(200)]]

@@ -137,6 +137,37 @@ def spans(text: Column, pattern: str, group: int = 0, needs: tuple[str, ...] = (
     return F.when(text.isNotNull() & searched, found).otherwise(empty(SPAN))
 
 
+GROUPED = "array<struct<start:int,end:int,original:string,groups:array<string>>>"
+
+
+def grouped(text: Column, pattern: str, groups: tuple[int, ...]) -> Column:
+    """``spans`` with ``groups``: what each of the numbered groups took of the match, empty if it took no part.
+
+    The text is gone through once: a match and its groups are put between marks.
+    """
+    shown = F.regexp_replace(text, F.lit(pattern), F.lit(MARK + BETWEEN.join(f"${i}" for i in (0, *groups)) + MARK))
+
+    def cut(parts: Column) -> Column:
+        split = F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.split(p, BETWEEN, -1)).otherwise(F.array(p)))
+        return bound(split, put)
+
+    def put(found: Column) -> Column:
+        at = running(F.transform(found, lambda p: F.length(p[0])))
+        both = F.zip_with(found, at, lambda p, a: F.struct(a.alias("start"), (a + F.length(p[0])).alias("end"), p[0].alias("original"), F.slice(p, 2, len(groups)).alias("groups")))
+        return F.filter(both, lambda s, i: i % 2 == 1)
+
+    def each() -> Column:
+        """For texts that have marks of their own: the text is gone through for each group."""
+        out = F.transform(spans(text, pattern), lambda s: s.withField("groups", empty("array<string>")))
+        for i in groups:
+            out = F.zip_with(out, F.regexp_extract_all(text, F.lit(pattern), F.lit(i)), lambda s, g: s.withField("groups", F.array_append(s["groups"], g)))
+        return F.filter(out, lambda s: s["start"].isNotNull())
+
+    told = lambda m: F.when(has(text, MARK, BETWEEN), each()).otherwise(bound(F.split(m, MARK, -1), cut))
+    found = bound(shown, lambda m: F.when(F.octet_length(m) > F.octet_length(text), told(m)).otherwise(empty(GROUPED)))
+    return F.when(text.isNotNull(), found).otherwise(empty(GROUPED))
+
+
 def _any(text: Column, literals: tuple[str, ...]) -> Column:
     found = F.contains(text, F.lit(literals[0]))
     for x in literals[1:]:

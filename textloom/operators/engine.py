@@ -99,11 +99,16 @@ def once(df: DataFrame, *columns: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class ByRow:
-    """What may differ from row to row within one plan: which rules are active, the least confidence, the file type."""
+    """What may differ from row to row within one plan: which rules are active, the least confidence, the file type.
+
+    Rules that are ``alone`` have a pass of their own in the rows where they are active; others may be looked
+    for in all rows, whoever has them, as they share a pass.
+    """
 
     active: Callable[[Rule], Column]
     least: Column
     file_type: Column
+    alone: Callable[[Rule], bool] = lambda rule: False
 
 
 def raw_matches(df: DataFrame, settings: Settings, by_row: ByRow | None = None) -> DataFrame:
@@ -124,9 +129,10 @@ def raw_matches(df: DataFrame, settings: Settings, by_row: ByRow | None = None)
             holds = holds & F.col("path").rlike(rule.files)
         if by_row:
             holds = holds & by_row.active(rule)
-        if rule.symbols:
+        alone = by_row is not None and by_row.alone(rule)
+        if rule.symbols and not alone:
             symbols.append((reg, rule, holds))
-        elif rule.joins:
+        elif rule.joins and not alone:
             phrases.append((reg, rule, holds))
         else:
             found.append(F.when(holds, _of_rule(text, reg, rule)).otherwise(empty(MATCHES)))

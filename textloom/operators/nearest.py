@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.extract import empty
 from ..plans.rules import Rule, Settings
 from ..sources.rule_files import RuleFileError, compiled, parse
 from .comments import file_type
-from .engine import ByRow, process
+from .engine import ByRow, once, process
 
 #: Rules of all files together, at most: each is an expression of the one plan.
 MOST_RULES = 500
@@ -47,39 +48,46 @@ def read_rules(files: DataFrame) -> tuple[list[tuple[str, Rule]], list[tuple[str
     return sorted(rules, key=lambda r: (r[1].id, r[0])), disabled
 
 
-def by_folder(folders: DataFrame, rules: list[tuple[str, Rule]], disabled: list[tuple[str, str]]) -> DataFrame:
-    """For each ``folder``: ``active``, the rules (by place in ``rules``) in force, and ``off``, identifiers disabled.
+def in_force(up: Column, rules: list[tuple[str, Rule]], disabled: list[tuple[str, str]]) -> tuple[Column, Column]:
+    """For the folders of ``up``, from the root down: the rules (by place in ``rules``) in force there, and identifiers disabled.
 
-    Of rules of one name that of the nearest folder counts; disabled identifiers add up.  The
-    tables of rules are bounded (``read_rules``), the one of folders grows with the input.
+    Of rules of one name that of the nearest folder counts; disabled identifiers add up.  The rule files
+    are in the plan, so nothing is joined and no document is dealt out by its folder.
     """
-    spark = folders.sparkSession
-    up = folders.select("folder", F.posexplode(above(F.col("folder"))).alias("depth", "at"))
-    named = spark.createDataFrame([(f, r.id, k) for k, (f, r) in enumerate(rules)], "at string, name string, k int")
-    nearest = Window.partitionBy("folder", "name").orderBy(F.desc("depth"), F.desc("k"))
-    active = up.join(F.broadcast(named), "at").withColumn("n", F.row_number().over(nearest)).where("n = 1").groupBy("folder").agg(F.collect_set("k").alias("active"))
-    gone = spark.createDataFrame(disabled, "at string, name string")
-    off = up.join(F.broadcast(gone), "at").groupBy("folder").agg(F.collect_set("name").alias("off"))
-    return active.join(off, "folder", "full_outer")
+    named, gone = {}, {}
+    for k, (f, r) in enumerate(rules):
+        named.setdefault(r.id, {})[f] = k
+    for f, i in disabled:
+        gone.setdefault(i, set()).add(f)
+    among = lambda folders: lambda at: at.isin(*sorted(folders))
+    place = lambda by: F.create_map(*(F.lit(x) for pair in by.items() for x in pair))
+    active = [F.try_element_at(place(by), F.try_element_at(F.filter(up, among(by)), F.lit(-1))) for by in named.values()]
+    off = [F.when(F.exists(up, among(folders)), F.lit(i)) for i, folders in gone.items()]
+    return tuple(F.array_compact(F.array(*found)).cast(kind) if found else empty(kind) for found, kind in ((active, "array<int>"), (off, "array<string>")))
+
+
+def by_folder(folders: DataFrame, rules: list[tuple[str, Rule]], disabled: list[tuple[str, str]]) -> DataFrame:
+    """For each ``folder``: ``active`` and ``off``, what is ``in_force``."""
+    active, off = in_force(F.col("_up"), rules, disabled)
+    return once(folders.select("folder", above(F.col("folder")).alias("_up")), "_up").select("folder", active.alias("active"), off.alias("off"))
 
 
 def process_nearest(docs: DataFrame, files: DataFrame, settings: Settings) -> DataFrame:
     """``process`` where each document (path, ext, content) also follows the rule files above it.
 
-    ``files`` has ``folder`` and ``content``.  One plan for all documents: the rules in force are found
-    once for each folder and joined to its documents, and every rule's expression is
-    evaluated only where it is in force.  Documents with a null path follow no file.
+    ``files`` has ``folder`` and ``content``.  One plan for all documents: each tells the rules in force
+    by its folder, and the expression of a rule of a file is evaluated only where it is in force: no
+    document is gone through for the rules of other folders.  Documents with a null path follow no file.
     """
     rules, disabled = read_rules(files)
     places = {id(r): k for k, (_, r) in enumerate(rules)}
-    docs = docs.withColumn("_folder", folder_of(F.col("path")))
-    found = by_folder(docs.where("_folder is not null").select(F.col("_folder").alias("folder")).distinct(), rules, disabled)
-    found = found.select(F.col("folder").alias("_folder"), F.col("active").alias("_active"), F.col("off").alias("_off"))
-    docs = docs.join(found, "_folder", "left").withColumn("_active", F.coalesce("_active", F.array().cast("array<int>"))).withColumn("_off", F.coalesce("_off", F.array().cast("array<string>")))
+    docs = once(docs.withColumn("_up", above(folder_of(F.col("path")))), "_up")
+    active_here, off = in_force(F.col("_up"), rules, disabled)
+    docs = once(docs.withColumn("_active", active_here).withColumn("_off", off).drop("_up"), "_active", "_off")
 
     def active(rule: Rule) -> Column:
         on = ~F.array_contains("_off", rule.id)
         return on & F.array_contains("_active", places[id(rule)]) if id(rule) in places else on
 
-    row = ByRow(active, F.lit(settings.min_confidence), file_type(F.col("ext"), settings.lang))
-    return process(docs, replace(settings, file_rules=tuple(r for _, r in rules)), row).drop("_folder", "_active", "_off")
+    row = ByRow(active, F.lit(settings.min_confidence), file_type(F.col("ext"), settings.lang), lambda rule: id(rule) in places)
+    return process(docs, replace(settings, file_rules=tuple(r for _, r in rules)), row).drop("_active", "_off")

@@ -9,7 +9,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.extract import guarded, java, joins, spans
+from ..functions.extract import grouped, guarded, java, joins, spans
 from ..operators import comments
 
 REPLACE, DELETE_LINE, DELETE_BLOCK, FLAG = "Replace", "DeleteLine", "DeleteBlock", "FlagOnly"
@@ -67,12 +67,14 @@ class Rule:
     def _filled(self, text: Column) -> Column:
         """Spans with ``suggestion``: ``value`` with the groups $9 .. $1 of each match, as the pattern finds
         them in the whole text; a group that took no part leaves nothing."""
-        pattern = java(*self.patterns[0])
-        out = F.transform(spans(text, pattern), lambda s: s.withField("suggestion", F.lit(self.value)))
-        for i in self.captures:
-            groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(i))
-            out = F.zip_with(out, groups, lambda s, g: s.withField("suggestion", F.replace(s["suggestion"], F.lit(f"${i}"), g)))  # noqa: B023
-        return F.filter(out, lambda s: s["start"].isNotNull())
+
+        def filled(s: Column) -> Column:
+            value = F.lit(self.value)
+            for k, i in enumerate(self.captures):
+                value = F.replace(value, F.lit(f"${i}"), s["groups"][k])
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["original"].alias("original"), value.alias("suggestion"))
+
+        return F.transform(grouped(text, java(*self.patterns[0]), self.captures), filled)
 
 
 # Symbols, phrases, synonyms and patterns of the rules.
