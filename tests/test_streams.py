@@ -1,10 +1,13 @@
 import datetime
 import os
+import pickle
+import shutil
 import time
 
 from pyspark.sql import functions as F
 
 from textloom.plans.rules import Settings
+from textloom.sources import modified
 from textloom.sources.modified import ModifiedReader, modified_files
 from textloom.streaming.run import PROVIDER, finished
 from textloom.streaming.sessions import EVENT, answers, document_sessions
@@ -65,6 +68,35 @@ def test_offsets_wait_and_never_go_back(tmp_path):
     assert reader.latestOffset() == end and reader.partitions(end, end) == [] and list(reader.read(part)) == []
 
 
+def test_the_driver_holds_no_files(tmp_path, monkeypatch):
+    """Tasks get folders and shares of folders; each file between the offsets is read once, those written since are not."""
+    monkeypatch.setattr(modified, "PARTITION_FILES", 10)
+    monkeypatch.setattr(modified, "SHARES", 3)
+    names = [f"flat/name{k}.md" for k in range(100)] + [f"deep/{k % 7}/x/name{k}.md" for k in range(40)] + ["name.md"]
+    for name in names:
+        put(tmp_path / name, name.encode())
+    put(tmp_path / "none" / "x" / "y", b"")
+    os.utime(tmp_path / "none" / "x" / "y", (2**32, 2**32))
+    reader = ModifiedReader({"path": str(tmp_path), "quietMs": "0", "recursive": "true"})
+    end = reader.latestOffset()
+    parts = reader.partitions(reader.initialOffset(), end)
+    held = [pickle.dumps(p) for p in parts]
+    assert sum(h.count(b"name") for h in held) <= len(parts)  # that of the last file alone, which is the offset
+    assert sum(h.count(b"flat") > 0 for h in held) >= 3 and sum(h.count(b"none") for h in held) == 0
+    put(tmp_path / "flat" / "name5.md", b"later")
+    (tmp_path / "flat" / "name6.md").unlink()
+    shutil.rmtree(tmp_path / "deep" / "3")
+    got = sorted((r["path"], r["content"]) for p in parts for b in reader.read(p) for r in b.to_pylist())
+    left = [n for n in names if n not in ("flat/name5.md", "flat/name6.md") and not n.startswith("deep/3/")]
+    assert got == sorted((str(tmp_path / n), n.encode()) for n in left)
+    after = reader.latestOffset()
+    again = [r["content"] for p in reader.partitions(end, after) for b in reader.read(p) for r in b.to_pylist()]
+    assert again == [b"later"]
+    alone = ModifiedReader({"path": str(tmp_path), "quietMs": "0"})
+    found = [r["content"] for p in alone.partitions(alone.initialOffset(), alone.latestOffset()) for b in alone.read(p) for r in b.to_pylist()]
+    assert found == [b"name.md"]
+
+
 def test_late_and_repeated_changes(spark, tmp_path):
     batches = [[("a.md", 1, "x"), ("b.md", 5, "y")], [("a.md", 3, "utilize"), ("a.md", 2, "of — it")], [("a.md", 2, "again"), ("a.md", None, "—"), ("b.md", 5, "y"), ("a.md", 4, None), (None, 1, "z")], [("a.md", 5, "— end")]]
     stream = arrivals(spark, tmp_path, batches, "path string, seq long, content string")

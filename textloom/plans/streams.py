@@ -21,14 +21,19 @@ from .rules import PROFILES, Settings
 PAUSE, DELAY = "6 hours", "1 day"
 #: How many times changes arrive, and how many of them a file holds: tasks write and read an arrival's files side by side.
 ARRIVALS, FILE_ROWS = 4, 100_000
+#: Folders over which the files of ``modified_documents`` are dealt: tasks list those that they read, not all files.
+FOLDERS = 1024
 
 
 def _write(batches, folder: str):
     fs, root = pa.fs.FileSystem.from_uri(folder)
+    made = set()
     for batch in batches:
         paths = batch.column("path").to_pylist()
         for path, content in zip(paths, batch.column("content").to_pylist()):
-            fs.create_dir(f"{root}/{path.rpartition('/')[0]}", recursive=True)
+            if (above := path.rpartition("/")[0]) not in made:
+                fs.create_dir(f"{root}/{above}", recursive=True)
+                made.add(above)
             with fs.open_output_stream(f"{root}/{path}") as f:
                 f.write(content.encode())
         yield pa.RecordBatch.from_arrays([pa.array([len(paths)])], names=["n"])
@@ -43,7 +48,8 @@ def write_files(df: DataFrame, folder: str) -> int:
 def modified_documents(spark, sf_dir, fresh, settings) -> DataFrame:
     """Three versions of all documents as files: as they are, those that cleaning changes, all with a line more.
 
-    After each the stream takes what was modified; a row for every version of every file.
+    After each the stream takes what was modified; a row for every version of every file.  A file lies in one of
+    FOLDERS folders by its path, which is what stands behind the last ``in``.
     """
     from ..operators.engine import once, process
 
@@ -53,7 +59,8 @@ def modified_documents(spark, sf_dir, fresh, settings) -> DataFrame:
     done.write.option("compression", "zstd").parquet(f"{at}/cleaned")  # matched once, for both later versions
     done = spark.read.schema(done.schema).parquet(f"{at}/cleaned")
     for version in (docs.select("path", "content"), done.where("changed").select("path", F.col("cleaned").alias("content")), done.select("path", F.concat("cleaned", F.lit("\nI hope this helps")).alias("content"))):
-        write_files(version, f"{at}/in")
+        dealt = F.concat(F.crc32(F.col("path").cast("binary")) % FOLDERS, F.lit("/in/"), "path")
+        write_files(version.select(dealt.alias("path"), "content"), f"{at}/in")
         time.sleep(1.2 * QUIET_MS / 1000)
         finished(modified_files(spark, f"{at}/in", recursive=True), at)
     rows = spark.read.parquet(f"{at}/out").withColumn("path", F.substring_index("path", "/in/", -1))
